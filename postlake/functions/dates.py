@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postlake.functions.text import col, squeeze, strip
+from postlake.functions.sqltext import bind, let_sql, q
+from postlake.functions.text import col, squeeze_sql, strip_sql
 
 # Wordings of relative dates.
 TODAY_WORDS = ["posted today", "today", "just posted"]
@@ -13,100 +14,128 @@ YESTERDAY_WORDS = ["posted yesterday", "yesterday"]
 DAYS_AGO = r"^posted (\d+)\+? days? ago$"
 MONTH_AGO_WORDS = ["posted 30+ days ago", "posted more than 30 days ago"]
 
+_DASHED = r"^\d{4}-\d{2}-\d{2}$"
+_COMPACT = r"^\d{8}(?:..)?$"
+_WEEK = r"^\d{4}(?:W\d{2}(?:[1-7](?:..)?)?|-W\d{2}(?:-[1-7])?)$"
+_US = r"^(\d{1,2})/(\d{1,2})/(\d{2,4})$"
+_RFC = (
+    r"(?i)^(?:[a-z]+,\s*)?(\d{1,2})[\s-]+([a-z]{3})[a-z]*[\s-]+(\d{2,4})"
+    r"\s+\d{1,2}:\d{2}(?::\d{2})?(?:\s.*)?$"
+)
 
-def _date(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
 
+def _part(x: str, pattern: str, group: int = 1) -> str:
+    return f"try_cast(regexp_extract({x}, {q(pattern)}, {group}) as int)"
 
-def _part(c: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(c, pattern, group).try_cast("int")
 
+def _date_sql(year: str, month: str, day: str) -> str:
+    return f"try_to_date(format_string('%04d-%02d-%02d', {year}, {month}, {day}), 'yyyy-MM-dd')"
 
-def iso_date(c: Column | str) -> Column:
+
+def iso_sql(x: str) -> str:
     """First ten characters as a calendar date, compact date or week date.
 
     After a compact date two more characters may follow, as in a compact timestamp cut to ten.
     """
-    head = F.left(col(c), F.lit(10))
-    dashed, compact = r"^\d{4}-\d{2}-\d{2}$", r"^\d{8}(?:..)?$"
-    week = r"^\d{4}(?:W\d{2}(?:[1-7](?:..)?)?|-W\d{2}(?:-[1-7])?)$"
-    year, number = _part(head, r"^(\d{4})", 1), _part(head, r"W(\d{2})", 1)
-    day = F.coalesce(_part(head, r"W\d{2}-?([1-7])", 1), F.lit(1))
-    # Week 1 holds 4 January; a week number is valid when its Thursday lies in the same year.
-    fourth = _date(year, F.lit(1), F.lit(4))
-    monday = F.date_add(fourth, -F.weekday(fourth) + (number - 1) * 7)
-    in_year = F.year(F.date_add(monday, F.lit(3))) == year
-    return F.when(
-        year > 0,
-        F.when(head.rlike(dashed), F.try_to_date(head, "yyyy-MM-dd"))
-        .when(head.rlike(compact), F.try_to_date(F.left(head, F.lit(8)), "yyyyMMdd"))
-        .when(head.rlike(week) & (number > 0) & in_year, F.date_add(monday, day - 1)),
-    )
+
+    def week(h: str) -> str:
+        # Week 1 holds 4 January; a week number is valid when its Thursday lies in the same year.
+        year, number = _part(h, r"^(\d{4})"), _part(h, r"W(\d{2})")
+        day = f"coalesce({_part(h, r'W\d{2}-?([1-7])')}, 1)"
+        monday = let_sql(
+            _date_sql(year, "1", "4"), lambda j: f"date_add({j}, ({number} - 1) * 7 - weekday({j}))"
+        )
+        return let_sql(
+            monday,
+            lambda m: f"if({number} > 0 and year(date_add({m}, 3)) = {year}, date_add({m}, {day} - 1), null)",
+        )
+
+    def read(h: str) -> str:
+        return (
+            f"case when startswith({h}, '0000') then null"
+            f" when {h} rlike {q(_DASHED)} then try_to_date({h}, 'yyyy-MM-dd')"
+            f" when {h} rlike {q(_COMPACT)} then try_to_date(left({h}, 8), 'yyyyMMdd')"
+            f" when {h} rlike {q(_WEEK)} then {week(h)} end"
+        )
+
+    return let_sql(f"left({x}, 10)", read)
+
+
+def iso_date(c: Column | str) -> Column:
+    return bind(c, iso_sql)
 
 
 def epoch_ms_date(c: Column | str) -> Column:
-    return F.to_date(F.timestamp_millis(col(c).try_cast("bigint")))
+    return bind(c, lambda x: f"to_date(timestamp_millis(try_cast({x} as bigint)))")
 
 
 def epoch_s_date(c: Column | str) -> Column:
     """Seconds since 1970 in UTC; zero counts as missing."""
-    return F.to_date(F.timestamp_seconds(F.nullif(col(c).try_cast("bigint"), F.lit(0))))
+    return bind(c, lambda x: f"to_date(timestamp_seconds(nullif(try_cast({x} as bigint), 0)))")
 
 
-def us_date(c: Column | str) -> Column:
+def us_sql(x: str) -> str:
     """`m/d/yy` or `m/d/yyyy`; years below 100 belong to this century."""
-    pattern = r"^(\d{1,2})/(\d{1,2})/(\d{2,4})$"
-    value = col(c)
-    year = _part(value, pattern, 3)
-    full = F.when(year < 100, year + 2000).otherwise(year)
-    return F.when(value.rlike(pattern), _date(full, _part(value, pattern, 1), _part(value, pattern, 2)))
+    year = let_sql(_part(x, _US, 3), lambda y: f"if({y} < 100, {y} + 2000, {y})")
+    return f"if({x} rlike {q(_US)}, {_date_sql(year, _part(x, _US, 1), _part(x, _US, 2))}, null)"
 
 
-def rfc_date(c: Column | str) -> Column:
+def us_date(c: Column | str) -> Column:
+    return bind(c, us_sql)
+
+
+def rfc_sql(x: str) -> str:
     """Mail-style date; the calendar day as written, whatever the offset."""
-    pattern = r"(?i)^(?:[a-z]+,\s*)?(\d{1,2})[\s-]+([a-z]{3})[a-z]*[\s-]+(\d{2,4})\s+\d{1,2}:\d{2}(?::\d{2})?(?:\s.*)?$"
-    value = strip(c)
-    year = _part(value, pattern, 3)
-    full = (
-        F.when(year < 69, year + 2000).when(year < 100, year + 1900).otherwise(year)
-    )
-    months = "jan feb mar apr may jun jul aug sep oct nov dec"
-    month = F.lower(F.regexp_extract(value, pattern, 2))
-    number = (F.position(month, F.lit(months)) + 3) / 4
-    return F.when(
-        value.rlike(pattern), _date(full, number.cast("int"), _part(value, pattern, 1))
+    year = let_sql(
+        _part(x, _RFC, 3), lambda y: f"case when {y} < 69 then {y} + 2000 when {y} < 100 then {y} + 1900 else {y} end"
     )
+    months = "'jan feb mar apr may jun jul aug sep oct nov dec'"
+    month = f"cast((position(lower(regexp_extract({x}, {q(_RFC)}, 2)), {months}) + 3) / 4 as int)"
+    return f"if({x} rlike {q(_RFC)}, {_date_sql(year, month, _part(x, _RFC, 1))}, null)"
+
+
+def rfc_date(c: Column | str) -> Column:
+    return bind(c, lambda x: let_sql(strip_sql(x), rfc_sql))
 
 
 def any_date(c: Column | str) -> Column:
     """ISO, then US short, then mail-style."""
-    value = strip(c)
-    return F.coalesce(iso_date(value), us_date(value), rfc_date(value))
+    return bind(
+        c,
+        lambda x: let_sql(strip_sql(x), lambda v: f"coalesce({iso_sql(v)}, {us_sql(v)}, {rfc_sql(v)})"),
+    )
+
+
+def _listed(words: list[str]) -> str:
+    return "(" + ", ".join(q(w) for w in words) + ")"
 
 
 def relative_date(c: Column | str, anchor: Column | str) -> Column:
     """Wordings such as "Posted 3 Days Ago" counted back from `anchor`, else an ISO prefix."""
-    text, today = col(c), col(anchor)
-    words = F.lower(squeeze(text))
-    return (
-        F.when(words.isin(TODAY_WORDS), today)
-        .when(words.isin(YESTERDAY_WORDS), F.date_sub(today, 1))
-        .when(words.rlike(DAYS_AGO), F.date_sub(today, _part(words, DAYS_AGO, 1)))
-        .when(words.isin(MONTH_AGO_WORDS), F.date_sub(today, 30))
-        .otherwise(iso_date(text))
-    )
+
+    def read(p: str) -> str:
+        return let_sql(
+            f"lower({squeeze_sql(f'{p}.x')})",
+            lambda w: f"case when {w} in {_listed(TODAY_WORDS)} then {p}.today"
+            f" when {w} in {_listed(YESTERDAY_WORDS)} then date_sub({p}.today, 1)"
+            f" when {w} rlike {q(DAYS_AGO)} then date_sub({p}.today, {_part(w, DAYS_AGO)})"
+            f" when {w} in {_listed(MONTH_AGO_WORDS)} then date_sub({p}.today, 30)"
+            f" else {iso_sql(f'{p}.x')} end",
+        )
+
+    return bind(F.struct(col(c).alias("x"), col(anchor).alias("today")), read)
 
 
 def date_notation(c: Column | str) -> Column:
     """Which notation a text date uses; NULL when none is recognised."""
-    value = strip(c)
-    words = F.lower(squeeze(value))
-    relative = words.isin(TODAY_WORDS + YESTERDAY_WORDS + MONTH_AGO_WORDS) | words.rlike(DAYS_AGO)
-    return (
-        F.when(relative, F.lit("relative"))
-        .when(iso_date(value).isNotNull(), F.lit("iso"))
-        .when(us_date(value).isNotNull(), F.lit("us"))
-        .when(rfc_date(value).isNotNull(), F.lit("rfc"))
-        .when(value.rlike(r"^\d{12,}$"), F.lit("epoch_ms"))
-        .when(value.rlike(r"^\d{9,11}$"), F.lit("epoch_s"))
-    )
+
+    def classify(v: str) -> str:
+        words = f"lower({squeeze_sql(v)})"
+        relative = f"{words} in {_listed(TODAY_WORDS + YESTERDAY_WORDS + MONTH_AGO_WORDS)} or {words} rlike {q(DAYS_AGO)}"
+        return (
+            f"case when {relative} then 'relative' when {iso_sql(v)} is not null then 'iso'"
+            f" when {us_sql(v)} is not null then 'us' when {rfc_sql(v)} is not null then 'rfc'"
+            f" when {v} rlike {q(r'^\d{12,}$')} then 'epoch_ms' when {v} rlike {q(r'^\d{9,11}$')} then 'epoch_s' end"
+        )
+
+    return bind(c, lambda x: let_sql(strip_sql(x), classify))

@@ -7,100 +7,95 @@ from functools import lru_cache
 from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from postlake.functions.text import col, let
+from postlake.functions.sqltext import bind, each_sql, let_sql, q
 
 _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
-def _literal_map(values: dict[str, str]) -> Column:
-    # One JSON literal: the optimizer folds it to a map constant.
-    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
-
-
 @lru_cache(maxsize=1)
-def _names() -> tuple[dict[str, str], dict[str, str], str]:
-    """Common names, all names, and a longest-first pattern of the names valid without `;`."""
+def _names() -> tuple[str, str, str]:
+    """Common names as a map, the rest as one searchable text, and a longest-first pattern of the
+    names that are valid without `;`."""
+    bare = sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True)
     common = {"amp;": "&", "nbsp;": "\xa0", "lt;": "<", "gt;": ">", "quot;": '"', "apos;": "'"}
     common.update({f"{name};": chr(point) for name, point in name2codepoint.items()})
-    bare = sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True)
-    return common, dict(html5), "^(" + "|".join(bare) + ")"
+    common.update({f"{name};": html5[name] for name in bare})
+    rare = "".join(
+        f"\x01{name}\x02{char}"
+        for name, char in html5.items()
+        if name.endswith(";") and name not in common
+    )
+    table = f"from_json({q(json.dumps(common, ensure_ascii=False))}, 'map<string,string>')"
+    return table, q(rare + "\x01"), "^(" + "|".join(bare) + ")"
 
 
 @lru_cache(maxsize=1)
-def _windows_1252() -> dict[str, str]:
+def _windows_1252() -> str:
     """Numbers 128-159 mean Windows-1252 characters where that code page defines one."""
-    out = {}
+    chars = []
     for number in range(0x80, 0xA0):
         try:
-            out[str(number)] = bytes([number]).decode("cp1252")
+            chars.append(bytes([number]).decode("cp1252"))
         except UnicodeDecodeError:
-            out[str(number)] = chr(number)
-    return out
+            chars.append(chr(number))
+    return q("".join(chars))
 
 
-def _numbered(ref: Column) -> Column:
-    hexed = F.regexp_extract(ref, "^&#[xX]([0-9a-fA-F]+)", 1)
-    decimal = F.regexp_extract(ref, "^&#([0-9]+)", 1)
-    number = F.when(
-        hexed != "", F.when(F.length(F.ltrim(hexed, F.lit("0"))) > 8, None).otherwise(F.conv(hexed, 16, 10))
-    ).otherwise(decimal)
+def _numbered_sql(ref: str) -> str:
+    digits = f"ltrim('0', regexp_extract({ref}, '^&#[xX]?([0-9a-fA-F]+)', 1))"
+    number = let_sql(
+        digits,
+        lambda d: f"if({d} = '', '0', if({ref} rlike '^&#[xX]', if(length({d}) > 8, null, conv({d}, 16, 10)), {d}))",
+    )
 
-    def resolve(n: Column) -> Column:
-        replacement = F.lit("\ufffd")
-        char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    def resolve(n: str) -> str:
         return (
-            F.when(n.isNull() | (n > 0x10FFFF) | (n == 0) | n.between(0xD800, 0xDFFF), replacement)
-            .when(n == 13, F.lit("\r"))
-            .when(n.between(0x80, 0x9F), F.element_at(_literal_map(_windows_1252()), n.cast("string")))
-            .when(
-                n.between(1, 8)
-                | (n == 11)
-                | n.between(14, 31)
-                | (n == 127)
-                | n.between(0xFDD0, 0xFDEF)
-                | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE),
-                F.lit(""),
-            )
-            .otherwise(char)
+            f"case when {n} is null or {n} > 1114111 or {n} = 0 or {n} between 55296 and 57343 then '\ufffd'"
+            f" when {n} = 13 then '\\r'"
+            f" when {n} between 128 and 159 then substr({_windows_1252()}, cast({n} - 127 as int), 1)"
+            f" when {n} between 1 and 8 or {n} = 11 or {n} between 14 and 31 or {n} = 127"
+            f" or {n} between 64976 and 65007 or ({n} & 65534) = 65534 then ''"
+            f" else decode(unhex(lpad(hex({n}), 8, '0')), 'UTF-32') end"
         )
 
-    return let(number.try_cast("bigint"), resolve)
+    return let_sql(f"try_cast({number} as bigint)", resolve)
 
 
-def _named(ref: Column) -> Column:
-    common, every, bare = _names()
-    name = F.substr(ref, F.lit(2))
-    prefix = F.regexp_extract(name, bare, 1)
-    shortened = F.when(
-        prefix != "",
-        F.concat(
-            F.element_at(_literal_map(every), prefix), F.substr(name, F.length(prefix) + F.lit(1))
-        ),
-    )
-    return F.coalesce(
-        F.element_at(_literal_map(common), name),
-        F.element_at(_literal_map(every), name),
-        shortened,
-        ref,
-    )
+def _named_sql(ref: str) -> str:
+    table, rare, bare = _names()
 
+    def look_up(names: str) -> str:
+        name = f"substr({ref}, 2)"
+        marked = f"concat('\x01', {name}, '\x02')"
+        in_rare = let_sql(
+            rare,
+            lambda text: f"if(contains({text}, {marked}), substring_index(substring_index({text}, {marked}, -1), '\x01', 1), null)",
+        )
+        shortened = let_sql(
+            f"regexp_extract({name}, {q(bare)}, 1)",
+            lambda p: f"if({p} <> '', concat(element_at({names}, concat({p}, ';')), substr({name}, length({p}) + 1)), null)",
+        )
+        return f"coalesce(element_at({names}, {name}), {in_rare}, {shortened}, {ref})"
 
-def unescape(c: Column | str) -> Column:
+    return let_sql(table, look_up)
+
+
+def unescape_sql(x: str) -> str:
     """Resolve named and numeric references; text without `&` is passed through untouched."""
 
-    def rebuild(text: Column) -> Column:
-        refs = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
-        resolved = F.transform(
-            refs,
-            lambda ref: F.when(F.startswith(ref, F.lit("&#")), _numbered(ref)).otherwise(_named(ref)),
+    def rebuild(text: str) -> str:
+        resolved = each_sql(
+            f"regexp_extract_all({text}, {q(_REFERENCE)}, 0)",
+            lambda ref: f"case when {ref} = '&amp;' then '&' when startswith({ref}, '&#') then {_numbered_sql(ref)}"
+            f" else {_named_sql(ref)} end",
         )
-        pieces = F.zip_with(
-            F.split(text, _REFERENCE, -1),
-            resolved,
-            lambda piece, char: F.concat(piece, F.coalesce(char, F.lit(""))),
-        )
-        return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+        pieces = f"split({text}, {q(_REFERENCE)}, -1)"
+        woven = f"zip_with({pieces}, {resolved}, (piece, char) -> concat(piece, coalesce(char, '')))"
+        return f"if(contains({text}, '&'), array_join({woven}, ''), {text})"
+
+    return let_sql(x, rebuild)
 
-    return let(col(c), rebuild)
+
+def unescape(c: Column | str) -> Column:
+    return bind(c, unescape_sql)

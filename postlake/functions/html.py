@@ -8,15 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postlake.functions import variants as V
-from postlake.functions.entities import unescape
+from postlake.functions.entities import unescape_sql
+from postlake.functions.sqltext import bind, each_sql, keep_sql, let_sql, q
 from postlake.functions.text import (
     LINE_BREAK,
     WHITESPACE,
     col,
-    let,
     nonempty,
-    squeeze,
-    strip,
+    squeeze_sql,
+    strip_sql,
     title_case_words,
 )
 
@@ -44,162 +44,180 @@ DESCRIPTION_SPAN = r"""(?is)<span\b[^>]*class=["'][^"']*jobdescription[^"']*["']
 TITLE_SPAN = r"""(?is)<span\b[^>]*itemprop=["']title["'][^>]*>(.*?)</span>"""
 
 
+def matched_sql(x: str, pattern: str, group: int = 1) -> str:
+    return let_sql(x, lambda t: f"if({t} rlike {q(pattern)}, regexp_extract({t}, {q(pattern)}, {group}), null)")
+
+
 def matched(c: Column | str, pattern: str, group: int = 1) -> Column:
     """Group of the first match; NULL without a match, "" for an empty group."""
-    value = col(c)
-    return F.when(value.rlike(pattern), F.regexp_extract(value, pattern, group))
+    return bind(c, lambda x: matched_sql(x, pattern, group))
+
+
+def strip_html_sql(x: str, drop_scripts: bool = False) -> str:
+    out = x
+    if drop_scripts:
+        out = f"regexp_replace({out}, {q(r'(?is)<script\b.*?</script>')}, ' ')"
+        out = f"regexp_replace({out}, {q(r'(?is)<style\b.*?</style>')}, ' ')"
+    return squeeze_sql(unescape_sql(f"regexp_replace({out}, '<[^>]+>', ' ')"))
 
 
 def strip_html(c: Column | str, drop_scripts: bool = False) -> Column:
     """Tags removed, references resolved, white space collapsed to single spaces."""
-    value = col(c)
-    if drop_scripts:
-        value = F.regexp_replace(value, r"(?is)<script\b.*?</script>", " ")
-        value = F.regexp_replace(value, r"(?is)<style\b.*?</style>", " ")
-    return squeeze(unescape(F.regexp_replace(value, "<[^>]+>", " ")))
+    return bind(c, lambda x: strip_html_sql(x, drop_scripts))
+
+
+def _lines_sql(x: str) -> str:
+    text = f"regexp_replace({x}, {q(r'(?i)<\s*br\s*/?\s*>')}, '\\n')"
+    text = f"regexp_replace({text}, {q(r'(?i)</\s*(?:p|div|li|tr)\s*>')}, '\\n')"
+    text = f"regexp_replace({text}, '<[^>]+>', ' ')"
+    filled = keep_sql(f"split({text}, {q(LINE_BREAK)})", lambda line: f"{strip_sql(line)} <> ''")
+    return f"array_join({each_sql(filled, lambda line: squeeze_sql(unescape_sql(line)))}, '\\n')"
 
 
 def strip_html_lines(c: Column | str) -> Column:
     """Like `strip_html`, but line breaks and closing blocks keep their line; blank lines go."""
-    value = F.regexp_replace(col(c), r"(?i)<\s*br\s*/?\s*>", "\n")
-    value = F.regexp_replace(value, r"(?i)</\s*(?:p|div|li|tr)\s*>", "\n")
-    value = F.regexp_replace(value, "<[^>]+>", " ")
-    filled = F.filter(F.split(value, LINE_BREAK), lambda line: strip(line) != "")
-    return F.array_join(F.transform(filled, lambda line: squeeze(unescape(line))), "\n")
+    return bind(c, _lines_sql)
+
+
+def attribute_sql(attrs: str, name: str) -> str:
+    pattern = rf"""(?i){name}\s*=\s*["']([^"']+)["']"""
+    return strip_sql(unescape_sql(f"nullif(regexp_extract({attrs}, {q(pattern)}, 1), '')"))
 
 
 def attribute(attrs: Column | str, name: str) -> Column:
     """Attribute value, unescaped and trimmed; NULL when absent."""
-    found = F.regexp_extract(col(attrs), rf"""(?i){name}\s*=\s*["']([^"']+)["']""", 1)
-    return strip(unescape(nonempty(found)))
+    return bind(attrs, lambda a: attribute_sql(a, name))
+
+
+def quoted_attribute_sql(attrs: str, name: str) -> str:
+    return unescape_sql(matched_sql(attrs, rf"""(?is){name}\s*=\s*(["'])(.*?)\1""", 2))
 
 
 def quoted_attribute(attrs: Column | str, name: str) -> Column:
     """Attribute value between matching quotes, unescaped; NULL when absent."""
-    return unescape(matched(attrs, rf"""(?is){name}\s*=\s*(["'])(.*?)\1""", 2))
+    return bind(attrs, lambda a: quoted_attribute_sql(a, name))
+
+
+def links_sql(html: str) -> str:
+    return each_sql(
+        f"regexp_extract_all({html}, {q(ANCHOR)}, 0)",
+        lambda m: f"named_struct('attrs', regexp_extract({m}, {q(ANCHOR)}, 1),"
+        f" 'inner', regexp_extract({m}, {q(ANCHOR)}, 2))",
+    )
 
 
 def links(html: Column | str) -> Column:
     """ARRAY<STRUCT<attrs, inner>> of the anchors in document order, from one pass over the page."""
-    whole = F.regexp_extract_all(col(html), F.lit(ANCHOR), F.lit(0))
-    return F.transform(
-        whole,
-        lambda m: F.struct(
-            F.regexp_extract(m, ANCHOR, 1).alias("attrs"),
-            F.regexp_extract(m, ANCHOR, 2).alias("inner"),
-        ),
-    )
+    return bind(html, links_sql)
 
 
-def link_spans(html: Column | str) -> Column:
+def link_spans_sql(html: str) -> str:
     """`links` plus the 0-based start and end offset of every anchor."""
-    value = col(html)
-    whole = F.regexp_extract_all(value, F.lit(ANCHOR), F.lit(0))
-    gaps = F.split(value, ANCHOR, -1)
-
-    def total(texts: Column) -> Column:
-        return F.aggregate(texts, F.lit(0), lambda acc, t: acc + F.length(t))
-
-    def place(both: Column) -> Column:
-        return F.transform(
-            both["m"],
-            lambda m, i: let(
-                total(F.slice(both["g"], F.lit(1), i + 1)) + total(F.slice(both["m"], F.lit(1), i)),
-                lambda start: F.struct(
-                    F.regexp_extract(m, ANCHOR, 1).alias("attrs"),
-                    F.regexp_extract(m, ANCHOR, 2).alias("inner"),
-                    start.alias("start"),
-                    (start + F.length(m)).alias("end"),
-                ),
-            ),
+
+    def total(texts: str) -> str:
+        return f"aggregate({texts}, 0, (acc, t) -> acc + length(t))"
+
+    def place(both: str) -> str:
+        start = f"{total(f'slice({both}.g, 1, i + 1)')} + {total(f'slice({both}.m, 1, i)')}"
+        described = let_sql(
+            start,
+            lambda s: f"named_struct('attrs', regexp_extract(m, {q(ANCHOR)}, 1), 'inner', regexp_extract(m, {q(ANCHOR)}, 2),"
+            f" 'start', {s}, 'end', {s} + length(m))",
         )
+        return f"transform({both}.m, (m, i) -> {described})"
 
-    return let(F.struct(whole.alias("m"), gaps.alias("g")), place)
+    found = (
+        f"named_struct('m', regexp_extract_all({html}, {q(ANCHOR)}, 0), 'g', split({html}, {q(ANCHOR)}, -1))"
+    )
+    return let_sql(found, place)
 
 
-def enclosing_article(html: Column | str, start: Column, end: Column) -> Column:
-    """Text from the nearest `<article` before a span to the next `</article>` after it, else ""."""
-    value = col(html)
-    sides = F.struct(
-        F.substr(value, F.lit(1), start).alias("before"), F.substr(value, end + 1).alias("after")
+def enclosing_article_sql(html: str, start: str, end: str) -> str:
+    sides = f"named_struct('before', substr({html}, 1, {start}), 'after', substr({html}, {end} + 1))"
+    return let_sql(
+        sides,
+        lambda s: f"if(contains({s}.before, '<article') and contains({s}.after, '</article>'),"
+        f" concat('<article', substring_index({s}.before, '<article', -1), substr({html}, {start} + 1, {end} - {start}),"
+        f" substring_index({s}.after, '</article>', 1), '</article>'), '')",
     )
 
-    def cut(s: Column) -> Column:
-        inside = F.contains(s["before"], F.lit("<article")) & F.contains(
-            s["after"], F.lit("</article>")
-        )
-        return F.when(
-            inside,
-            F.concat(
-                F.lit("<article"),
-                F.substring_index(s["before"], "<article", -1),
-                F.substr(value, start + 1, end - start),
-                F.substring_index(s["after"], "</article>", 1),
-                F.lit("</article>"),
-            ),
-        ).otherwise(F.lit(""))
 
-    return let(sides, cut)
+def article_footer_sql(article: str, icon_class: str) -> str:
+    marked = keep_sql(
+        f"regexp_extract_all({article}, {q(PARAGRAPH)}, 1)", lambda p: f"contains({p}, {q(icon_class)})"
+    )
+    return strip_html_sql(f"try_element_at({marked}, 1)", drop_scripts=True)
 
 
-def article_footer(article: Column, icon_class: str) -> Column:
+def article_footer(article: Column | str, icon_class: str) -> Column:
     """Text of the first paragraph that carries an icon class."""
-    marked = F.filter(
-        F.regexp_extract_all(article, F.lit(PARAGRAPH), F.lit(1)),
-        lambda p: F.contains(p, F.lit(icon_class)),
-    )
-    return strip_html(F.try_element_at(marked, F.lit(1)), drop_scripts=True)
+    return bind(article, lambda a: article_footer_sql(a, icon_class))
 
 
-def article_content(article: Column) -> Column:
-    return strip_html(matched(article, ARTICLE_CONTENT), drop_scripts=True)
+def article_content_sql(article: str) -> str:
+    return strip_html_sql(matched_sql(article, ARTICLE_CONTENT), drop_scripts=True)
 
 
-def meta_content(html: Column | str, name: str) -> Column:
-    """Content of a meta tag by name or property, either attribute order."""
+def article_content(article: Column | str) -> Column:
+    return bind(article, article_content_sql)
+
+
+def meta_content_sql(html: str, name: str) -> str:
     key = rf"""(?:name|property)=["']{re.escape(name)}["']"""
     content = r"""content=["']([^"']+)["']"""
-    found = F.coalesce(
-        nonempty(F.regexp_extract(col(html), rf"(?is)<meta[^>]+{key}[^>]+{content}", 1)),
-        nonempty(F.regexp_extract(col(html), rf"(?is)<meta[^>]+{content}[^>]+{key}", 1)),
+    by_key = q(rf"(?is)<meta[^>]+{key}[^>]+{content}")
+    by_content = q(rf"(?is)<meta[^>]+{content}[^>]+{key}")
+    found = (
+        f"coalesce(nullif(regexp_extract({html}, {by_key}, 1), ''),"
+        f" nullif(regexp_extract({html}, {by_content}, 1), ''))"
     )
-    return strip(unescape(found))
+    return strip_sql(unescape_sql(found))
+
+
+def meta_content(html: Column | str, name: str) -> Column:
+    """Content of a meta tag by name or property, either attribute order."""
+    return bind(html, lambda h: meta_content_sql(h, name))
 
 
 def heading(html: Column | str, drop_scripts: bool = True) -> Column:
-    return strip_html(matched(html, HEADING), drop_scripts)
+    return bind(html, lambda h: strip_html_sql(matched_sql(h, HEADING), drop_scripts))
 
 
 def page_title(html: Column | str) -> Column:
-    return strip_html(matched(html, TITLE), drop_scripts=True)
+    return bind(html, lambda h: strip_html_sql(matched_sql(h, TITLE), drop_scripts=True))
 
 
 def page_description(html: Column | str) -> Column:
     """Meta description, else the text of the whole body."""
-    meta = nonempty(meta_content(html, "description"))
-    return F.coalesce(
-        strip_html(meta, drop_scripts=True), strip_html(matched(html, BODY), drop_scripts=True)
+    return bind(
+        html,
+        lambda h: f"coalesce({strip_html_sql(f'''nullif({meta_content_sql(h, 'description')}, '')''', True)},"
+        f" {strip_html_sql(matched_sql(h, BODY), True)})",
     )
 
 
 def expanded_locations(html: Column | str) -> Column:
     """Location paragraphs of a "Same job available" block, joined."""
-    block = matched(html, MORE_LOCATIONS, 0)
-    found = F.transform(
-        F.regexp_extract_all(block, F.lit(LOCATION_PARAGRAPH), F.lit(1)),
-        lambda p: strip_html(p, drop_scripts=True),
-    )
-    return nonempty(F.array_join(F.filter(found, lambda x: x != ""), "; "))
+
+    def joined(h: str) -> str:
+        paragraphs = f"regexp_extract_all({matched_sql(h, MORE_LOCATIONS, 0)}, {q(LOCATION_PARAGRAPH)}, 1)"
+        places = each_sql(paragraphs, lambda p: strip_html_sql(p, drop_scripts=True))
+        return f"nullif(array_join(filter({places}, x -> x <> ''), '; '), '')"
+
+    return bind(html, joined)
 
 
 def label_pairs(html: Column | str, pattern: str) -> Column:
     """ARRAY<STRUCT<label, value>> of a two-group pattern; labels lower-case, both as plain text."""
-    whole = F.regexp_extract_all(col(html), F.lit(pattern), F.lit(0))
-    return F.transform(
-        whole,
-        lambda m: F.struct(
-            F.lower(strip_html(F.regexp_extract(m, pattern, 1), drop_scripts=True)).alias("label"),
-            strip_html(F.regexp_extract(m, pattern, 2), drop_scripts=True).alias("value"),
+
+    def part(m: str, group: int) -> str:
+        return strip_html_sql(f"regexp_extract({m}, {q(pattern)}, {group})", drop_scripts=True)
+
+    return bind(
+        html,
+        lambda h: each_sql(
+            f"regexp_extract_all({h}, {q(pattern)}, 0)",
+            lambda m: f"named_struct('label', lower({part(m, 1)}), 'value', {part(m, 2)})",
         ),
     )
 
@@ -212,92 +230,109 @@ def labelled_field(
     `definitions` and `divisions` are `label_pairs` of the page, `plain` its text. A matching pair
     decides at once, even with a blank value; only pages without one are searched for `Label: value`.
     """
+    wanted = ", ".join(q(label) for label in labels)
 
-    def hits(pairs: Column | str) -> Column:
-        return F.filter(col(pairs), lambda p: p["label"].isin(labels))
-
-    def inline(label: str) -> Column:
+    def inline(x: str, label: str) -> str:
         pattern = rf"(?iU)\b{re.escape(label)}\b\s*:\s+([^|•]+)"
-        return nonempty(F.regexp_extract(col(plain), pattern, 1))
+        return f"nullif(regexp_extract({x}.t, {q(pattern)}, 1), '')"
 
-    in_list, in_divs = hits(definitions), hits(divisions)
-    value = (
-        F.when(F.size(in_list) > 0, F.try_element_at(in_list, F.lit(1))["value"])
-        .when(F.size(in_divs) > 0, F.try_element_at(in_divs, F.lit(1))["value"])
-        .otherwise(strip(F.coalesce(*[inline(label) for label in labels])))
-    )
-    return nonempty(F.left(value, F.lit(200)))
+    def pick(x: str) -> str:
+        hits = f"filter(if(exists({x}.d, p -> p.label in ({wanted})), {x}.d, {x}.v), p -> p.label in ({wanted}))"
+        written = strip_sql(f"coalesce({', '.join(inline(x, label) for label in labels)})")
+        value = let_sql(hits, lambda h: f"if(size({h}) > 0, try_element_at({h}, 1).value, {written})")
+        return f"nullif(left({value}, 200), '')"
+
+    inputs = F.struct(col(definitions).alias("d"), col(divisions).alias("v"), col(plain).alias("t"))
+    return bind(inputs, pick)
 
 
 def line_field(text: Column | str, label: str) -> Column:
     """Value of the first line `Label: value`."""
-    pattern = rf"^{re.escape(label)}:[{WHITESPACE}]*(.+)$"
-    lines = F.transform(F.split(col(text), LINE_BREAK), strip)
-    first = F.try_element_at(F.filter(lines, lambda line: line.rlike(pattern)), F.lit(1))
-    return nonempty(strip(F.regexp_extract(first, pattern, 1)))
+    pattern = q(rf"^{re.escape(label)}:[{WHITESPACE}]*(.+)$")
 
+    def pick(x: str) -> str:
+        lines = each_sql(f"split({x}, {q(LINE_BREAK)})", strip_sql)
+        first = f"try_element_at({keep_sql(lines, lambda line: f'{line} rlike {pattern}')}, 1)"
+        return f"nullif({strip_sql(f'regexp_extract({first}, {pattern}, 1)')}, '')"
 
-def _postings_in(value: Column, depth: int) -> Column:
+    return bind(text, pick)
+
+
+def _postings_sql(value: str, depth: int) -> str:
     """JobPosting objects inside a JSON-LD value, in document order, down to `depth` lists."""
-    kind = V.sub(value, "@type")
-    kinds = F.coalesce(
-        F.try_variant_get(kind, "$", "array<string>"),
-        F.array(F.try_variant_get(kind, "$", "string")),
+    kind = V.sub_sql(value, "@type")
+    is_posting = let_sql(
+        kind,
+        lambda k: f"coalesce(array_contains(try_variant_get({k}, '$', 'array<string>'), 'JobPosting'),"
+        f" try_variant_get({k}, '$', 'string') = 'JobPosting', false)",
     )
-    none = F.array().cast("array<variant>")
-    nested = F.coalesce(V.items(value), V.items(value, "@graph"))
-    below = (
-        F.flatten(F.transform(nested, lambda item: _postings_in(item, depth - 1))) if depth else none
-    )
-    return F.when(
-        F.coalesce(F.array_contains(kinds, "JobPosting"), F.lit(False)), F.array(value)
-    ).otherwise(F.coalesce(below, none))
+    none = "cast(array() as array<variant>)"
+    below = none
+    if depth:
+        nested = f"coalesce({V.items_sql(value)}, {V.items_sql(value, '@graph')})"
+        below = f"coalesce(flatten({each_sql(nested, lambda e: _postings_sql(e, depth - 1))}), {none})"
+    return f"if({is_posting}, array({value}), {below})"
 
 
 def json_ld_posting(html: Column | str, depth: int = 3) -> Column:
     """First JobPosting object of a page as VARIANT; scripts with broken JSON are passed over."""
-    scripts = F.regexp_extract_all(col(html), F.lit(JSON_LD), F.lit(1))
-    parsed = F.transform(scripts, lambda s: F.try_parse_json(strip(unescape(s))))
-    found = F.flatten(
-        F.transform(F.filter(parsed, lambda v: v.isNotNull()), lambda v: _postings_in(v, depth))
-    )
-    return F.when(F.size(scripts) > 0, F.try_element_at(found, F.lit(1)))
 
+    def pick(h: str) -> str:
+        parsed = each_sql(
+            f"regexp_extract_all({h}, {q(JSON_LD)}, 1)",
+            lambda s: f"try_parse_json({strip_sql(unescape_sql(s))})",
+        )
+        found = each_sql(f"filter({parsed}, v -> v is not null)", lambda v: _postings_sql(v, depth))
+        return f"try_element_at(flatten({found}), 1)"
 
-def _country(v: Column) -> Column:
-    return F.when(V.is_object(v), V.text(v, "name")).otherwise(V.scalar(v))
+    return bind(html, pick)
 
 
-def _place(v: Column, street_fallback: bool) -> Column:
-    address = V.sub(v, "address")
-    parts = nonempty(
-        F.concat_ws(
-            ", ",
-            V.text(address, "addressLocality"),
-            V.text(address, "addressRegion"),
-            _country(V.sub(address, "addressCountry")),
-        )
+def _country_sql(v: str) -> str:
+    return let_sql(
+        v, lambda c: f"if(startswith(to_json({c}), '{{'), {V.text_sql(c, 'name')}, {V.text_sql(c)})"
     )
-    if street_fallback:
-        parts = F.coalesce(parts, V.text(address, "streetAddress"))
-    return F.when(V.is_object(v), F.when(V.is_object(address), parts)).otherwise(V.scalar(v))
 
 
-def json_ld_location(v: Column, street_fallback: bool = False) -> Column:
+def _place_sql(place: str, street_fallback: bool) -> str:
+    def address_text(a: str) -> str:
+        composed = (
+            f"nullif(concat_ws(', ', {V.text_sql(a, 'addressLocality')}, {V.text_sql(a, 'addressRegion')},"
+            f" {_country_sql(V.sub_sql(a, 'addressCountry'))}), '')"
+        )
+        if street_fallback:
+            composed = f"coalesce({composed}, {V.text_sql(a, 'streetAddress')})"
+        return f"if(startswith(to_json({a}), '{{'), {composed}, null)"
+
+    address = let_sql(V.sub_sql(place, "address"), address_text)
+    return f"if(startswith(to_json({place}), '{{'), {address}, {V.text_sql(place)})"
+
+
+def json_ld_location(v: Column | str, street_fallback: bool = False) -> Column:
     """Place or list of places as text, places joined by "; "."""
-    listed = F.transform(V.items(v), lambda place: _place(place, street_fallback))
-    joined = nonempty(F.array_join(F.filter(listed, lambda x: x.isNotNull() & (x != "")), "; "))
-    return F.when(V.is_array(v), joined).otherwise(_place(v, street_fallback))
 
+    def pick(x: str) -> str:
+        listed = each_sql(V.items_sql(x), lambda place: _place_sql(place, street_fallback))
+        joined = f"nullif(array_join(filter({listed}, t -> t <> ''), '; '), '')"
+        return f"if(startswith(to_json({x}), '['), {joined}, {_place_sql(x, street_fallback)})"
 
-def json_ld_employment(v: Column) -> Column:
+    return bind(v, pick)
+
+
+def json_ld_employment(v: Column | str) -> Column:
     """Employment type: list joined by ", ", a single constant in title case."""
-    listed = F.filter(F.transform(V.items(v), V.scalar), lambda x: x.isNotNull())
-    return F.when(V.is_array(v), F.array_join(listed, ", ")).otherwise(
-        let(V.scalar(v), title_case_words)
+    listed = bind(
+        v,
+        lambda x: f"if(startswith(to_json({x}), '['), array_join(filter({each_sql(V.items_sql(x), V.text_sql)},"
+        " t -> t is not null), ', '), null)",
     )
+    single = bind(v, lambda x: f"if(startswith(to_json({x}), '['), null, {V.text_sql(x)})")
+    return F.coalesce(listed, title_case_words(single))
 
 
-def json_ld_identifier(v: Column) -> Column:
+def json_ld_identifier(v: Column | str) -> Column:
     """Identifier text, or the value, name or @id of an identifier object."""
-    return F.when(V.is_object(v), V.first_text(v, "value", "name", "@id")).otherwise(V.scalar(v))
+    return bind(
+        v,
+        lambda x: f"if(startswith(to_json({x}), '{{'), {V.first_text_sql(x, 'value', 'name', '@id')}, {V.text_sql(x)})",
+    )

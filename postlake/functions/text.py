@@ -1,4 +1,4 @@
-"""Text normalisation as Column expressions; no Python runs per row."""
+"""Text normalisation inside the JVM; no Python runs per row."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postlake.functions.sqltext import bind, each_sql, let_sql, q
+
 # Every character that counts as white space when text is split or stripped.
 WHITESPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -37,6 +39,14 @@ def first_nonempty(*cols: Column | str) -> Column:
     return F.coalesce(*[nonempty(c) for c in cols])
 
 
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, {q(f'^[{WHITESPACE}]+|[{WHITESPACE}]+$')}, '')"
+
+
+def squeeze_sql(x: str) -> str:
+    return f"trim(regexp_replace({x}, {q(f'[{WHITESPACE}]+')}, ' '))"
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
 
@@ -79,55 +89,49 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(single_from), "".join(single_to), several
 
 
-def fold_ascii(c: Column | str) -> Column:
+def fold_sql(x: str) -> str:
     """Accents and compatibility forms reduced to ASCII; everything else outside ASCII is dropped."""
-    value = col(c)
     single_from, single_to, several = _fold_tables()
-    pairs = F.str_to_map(
-        F.lit("\x02".join(f"{k}\x01{v}" for k, v in several.items())), F.lit("\x02"), F.lit("\x01")
-    )
-    spelled = F.array_join(
-        F.transform(
-            F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)),
-            lambda ch: F.when(F.ascii(ch) < 128, ch).otherwise(
-                F.coalesce(F.element_at(pairs, ch), ch)
-            ),
-        ),
-        "",
+    pairs = "\x02".join(f"{k}\x01{v}" for k, v in several.items())
+    table = f"str_to_map({q(pairs)}, '\x02', '\x01')"
+    spelled = each_sql(
+        f"regexp_extract_all({x}, '(?s).', 0)",
+        lambda ch: f"if(ascii({ch}) < 128, {ch}, coalesce(element_at({table}, {ch}), {ch}))",
     )
-    widened = F.when(value.rlike(_char_class(map(ord, several))), spelled).otherwise(value)
-    folded = F.regexp_replace(F.translate(widened, single_from, single_to), r"[^\x00-\x7F]", "")
-    return F.when(value.rlike(r"[^\x00-\x7F]"), folded).otherwise(value)
+    several_class = q(_char_class(map(ord, several)))
+    widened = f"if({x} rlike {several_class}, array_join({spelled}, ''), {x})"
+    other = q(r"[^\x00-\x7F]")
+    folded = f"regexp_replace(translate({widened}, {q(single_from)}, {q(single_to)}), {other}, '')"
+    return f"if({x} rlike {other}, {folded}, {x})"
+
+
+def norm_sql(x: str) -> str:
+    return f"coalesce(trim(regexp_replace(lower({fold_sql(x)}), '[^a-z0-9]+', ' ')), '')"
 
 
 def norm_text(c: Column | str) -> Column:
-    """Lower-case ASCII words separated by one space; NULL gives the empty string.
+    """Lower-case ASCII words separated by one space; NULL gives the empty string."""
+    return bind(c, norm_sql)
 
-    The argument is referenced more than once: pass a plain column, or stage it first.
-    """
-    lowered = F.lower(fold_ascii(c))
-    return F.coalesce(F.trim(F.regexp_replace(lowered, "[^a-z0-9]+", " ")), F.lit(""))
+
+def _cases(x: str, replacements: dict[str, str]) -> str:
+    whens = " ".join(f"when {q(k)} then {q(v)}" for k, v in replacements.items())
+    return f"case {x} {whens} else {x} end"
 
 
 def title_from_norm(normed: Column | str) -> Column:
     """Title form of an already normalised text."""
-
-    def expand(token: Column) -> Column:
-        out = token
-        for short, long in TITLE_TOKENS.items():
-            out = F.when(token == short, F.lit(long)).otherwise(out)
-        return out
-
-    return F.array_join(F.transform(F.split(col(normed), " "), expand), " ")
+    return bind(
+        normed,
+        lambda x: "array_join("
+        + each_sql(f"split({x}, ' ')", lambda token: _cases(token, TITLE_TOKENS))
+        + ", ' ')",
+    )
 
 
 def location_from_norm(normed: Column | str) -> Column:
     """Location form of an already normalised text."""
-    value = col(normed)
-    out = value
-    for alias, name in LOCATION_ALIASES.items():
-        out = F.when(value == alias, F.lit(name)).otherwise(out)
-    return out
+    return bind(normed, lambda x: _cases(x, LOCATION_ALIASES))
 
 
 def norm_title(c: Column | str) -> Column:
@@ -135,14 +139,20 @@ def norm_title(c: Column | str) -> Column:
 
 
 def norm_location(c: Column | str) -> Column:
-    return let(norm_text(c), location_from_norm)
+    return bind(c, lambda x: let_sql(norm_sql(x), lambda n: _cases(n, LOCATION_ALIASES)))
 
 
 def title_case_words(c: Column | str) -> Column:
     """`FULL_TIME` becomes `Full-Time`: underscores to hyphens, then every letter run capitalised."""
-    hyphened = F.replace(col(c), F.lit("_"), F.lit("-"))
-    runs = F.regexp_extract_all(hyphened, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    return bind(
+        c,
+        lambda x: "array_join("
+        + each_sql(
+            f"regexp_extract_all(replace({x}, '_', '-'), {q(r'\p{L}+|\P{L}+')}, 0)",
+            lambda run: f"initcap({run})",
+        )
+        + ", '')",
+    )
 
 
 def join_nonempty(separator: str, *cols: Column | str) -> Column:

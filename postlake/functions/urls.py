@@ -7,103 +7,114 @@ from urllib.parse import uses_netloc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postlake.functions.text import col, let, nonempty, strip
+from postlake.functions.sqltext import bind, each_sql, keep_sql, let_sql, q
+from postlake.functions.text import col, strip_sql
 
 # Query parameters that only track where a visitor came from.
 TRACKING_PARAMS = ["gh_src", "lever-source", "source", "ref", "referrer"]
 TRACKING_PREFIX = "utm_"
 
 _URI = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
-_AUTHORITY_SCHEMES = sorted(s for s in uses_netloc if s)
+_PARTS = ["scheme", "authority", "path", "query", "fragment"]
+_AUTHORITY_SCHEMES = ", ".join(q(s) for s in sorted(uses_netloc) if s)
 
 
-def split_url(c: Column | str) -> Column:
-    """STRUCT of the RFC 3986 components; `authority`, `query` and `fragment` keep their marker."""
-    clean = F.regexp_replace(col(c), r"^[\x00-\x20]+|[\t\r\n]", "")
-    return let(
+def split_url_sql(x: str) -> str:
+    clean = f"regexp_replace({x}, {q(r'^[\x00-\x20]+|[\t\r\n]')}, '')"
+    return let_sql(
         clean,
-        lambda u: F.struct(
-            F.regexp_extract(u, _URI, 1).alias("scheme"),
-            F.regexp_extract(u, _URI, 2).alias("authority"),
-            F.regexp_extract(u, _URI, 3).alias("path"),
-            F.regexp_extract(u, _URI, 4).alias("query"),
-            F.regexp_extract(u, _URI, 5).alias("fragment"),
-        ),
+        lambda u: "named_struct("
+        + ", ".join(
+            f"'{part}', regexp_extract({u}, {q(_URI)}, {i})" for i, part in enumerate(_PARTS, 1)
+        )
+        + ")",
     )
 
 
-def _unquote(c: Column) -> Column:
+def split_url(c: Column | str) -> Column:
+    """STRUCT of the RFC 3986 components; `authority`, `query` and `fragment` keep their marker."""
+    return bind(c, split_url_sql)
+
+
+def _unquote_sql(x: str) -> str:
     # A percent sign that starts no escape stays as it is.
-    return F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+    return f"url_decode(regexp_replace({x}, '%(?![0-9A-Fa-f]{{2}})', '%25'))"
+
+
+def quote_sql(x: str) -> str:
+    return f"replace(replace(url_encode({x}), '%7E', '~'), '*', '%2A')"
 
 
-def _quote(c: Column) -> Column:
-    encoded = F.url_encode(c)
-    return F.replace(
-        F.replace(encoded, F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A")
+def query_pairs_sql(query: str) -> str:
+    chunks = f"filter(split({query}, '&'), part -> part <> '')"
+    return each_sql(
+        chunks,
+        lambda part: f"named_struct('key', {_unquote_sql(f'''regexp_extract({part}, '(?s)^([^=]*)', 1)''')},"
+        f" 'value', {_unquote_sql(f'''regexp_extract({part}, '(?s)^[^=]*=(.*)$', 1)''')})",
     )
 
 
 def query_pairs(query: Column | str) -> Column:
     """ARRAY<STRUCT<key, value>> of a query string without its question mark, blanks kept."""
-    chunks = F.filter(F.split(col(query), "&"), lambda part: part != "")
-    return F.transform(
-        chunks,
-        lambda part: F.struct(
-            _unquote(F.regexp_extract(part, "(?s)^([^=]*)", 1)).alias("key"),
-            _unquote(F.regexp_extract(part, "(?s)^[^=]*=(.*)$", 1)).alias("value"),
-        ),
-    )
+    return bind(query, query_pairs_sql)
 
 
-def is_tracking(key: Column) -> Column:
-    lowered = F.lower(key)
-    return lowered.isin(TRACKING_PARAMS) | F.startswith(lowered, F.lit(TRACKING_PREFIX))
+def is_tracking_sql(key: str) -> str:
+    params = ", ".join(q(p) for p in TRACKING_PARAMS)
+    return f"(lower({key}) in ({params}) or startswith(lower({key}), {q(TRACKING_PREFIX)}))"
 
 
-def drop_tracking(pairs: Column) -> Column:
-    return F.filter(pairs, lambda p: ~is_tracking(p["key"]))
+def drop_tracking_sql(pairs: str) -> str:
+    return keep_sql(pairs, lambda p: f"not {is_tracking_sql(f'{p}.key')}")
 
 
-def encode_pairs(pairs: Column) -> Column:
-    """Pairs sorted by key then value and encoded as a query string."""
-    return F.array_join(
-        F.transform(
-            F.array_sort(pairs), lambda p: F.concat(_quote(p["key"]), F.lit("="), _quote(p["value"]))
-        ),
-        "&",
+def drop_tracking(pairs: Column | str) -> Column:
+    return bind(pairs, drop_tracking_sql)
+
+
+def encode_pairs_sql(pairs: str) -> str:
+    encoded = each_sql(
+        f"array_sort({pairs})", lambda p: f"concat({quote_sql(f'{p}.key')}, '=', {quote_sql(f'{p}.value')})"
     )
+    return f"array_join({encoded}, '&')"
+
+
+def encode_pairs(pairs: Column | str) -> Column:
+    """Pairs sorted by key then value and encoded as a query string."""
+    return bind(pairs, encode_pairs_sql)
+
+
+def query_param_sql(url: str, name: str) -> str:
+    pairs = query_pairs_sql(f"substr({split_url_sql(url)}.query, 2)")
+    return f"try_element_at({keep_sql(pairs, lambda p: f'{p}.key = {q(name)}')}, -1).value"
 
 
 def query_param(url: Column | str, name: str) -> Column:
     """Last value of one query parameter, NULL when absent."""
-    pairs = query_pairs(F.substr(split_url(url)["query"], F.lit(2)))
-    return F.try_element_at(F.filter(pairs, lambda p: p["key"] == name), F.lit(-1))["value"]
+    return bind(url, lambda u: query_param_sql(u, name))
+
 
+def norm_url_sql(x: str) -> str:
+    def build(p: str) -> str:
+        path = f"regexp_replace(regexp_replace({p}.path, '/+', '/'), '/$', '')"
+        query = encode_pairs_sql(drop_tracking_sql(query_pairs_sql(f"substr({p}.query, 2)")))
+        parts = (
+            f"named_struct('s', lower(if({p}.scheme = '', 'https', {p}.scheme)),"
+            f" 'a', lower({p}.authority), 'p', {path}, 'q', {query})"
+        )
+        return let_sql(
+            parts,
+            lambda u: f"concat({u}.s, ':', case when length({u}.a) > 2 then {u}.a"
+            f" when {u}.s in ({_AUTHORITY_SCHEMES}) and ({u}.p = '' or startswith({u}.p, '/')) then '//' else '' end,"
+            f" {u}.p, if({u}.q = '', '', concat('?', {u}.q)))",
+        )
 
-def _assemble(scheme: Column, authority: Column, path: Column, query: Column) -> Column:
-    host = F.substr(authority, F.lit(3))
-    needs_marker = scheme.isin(_AUTHORITY_SCHEMES) & ((path == "") | F.startswith(path, F.lit("/")))
-    front = F.when(host != "", authority).when(needs_marker, F.lit("//")).otherwise(F.lit(""))
-    tail = F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))
-    return F.concat(scheme, F.lit(":"), front, path, tail)
+    return f"if(coalesce({x}, '') = '', '', {let_sql(split_url_sql(strip_sql(x)), build)})"
 
 
 def norm_url(c: Column | str) -> Column:
     """Canonical URL: lower-case scheme and host, clean path, sorted query without tracking."""
-
-    def build(p: Column) -> Column:
-        path = F.regexp_replace(F.regexp_replace(p["path"], "/+", "/"), "/$", "")
-        query = encode_pairs(drop_tracking(query_pairs(F.substr(p["query"], F.lit(2)))))
-        parts = F.struct(
-            F.lower(F.coalesce(nonempty(p["scheme"]), F.lit("https"))).alias("s"),
-            F.lower(p["authority"]).alias("a"),
-            path.alias("p"),
-            query.alias("q"),
-        )
-        return let(parts, lambda x: _assemble(x["s"], x["a"], x["p"], x["q"]))
-
-    return F.when(nonempty(c).isNull(), F.lit("")).otherwise(let(split_url(strip(c)), build))
+    return bind(c, norm_url_sql)
 
 
 def short_hash(c: Column | str) -> Column:
@@ -111,57 +122,54 @@ def short_hash(c: Column | str) -> Column:
 
 
 def url_host(c: Column | str) -> Column:
-    return F.lower(F.substr(split_url(c)["authority"], F.lit(3)))
+    return bind(c, lambda x: f"lower(substr({split_url_sql(x)}.authority, 3))")
 
 
-def _remove_dots(segments: Column) -> Column:
+def _remove_dots_sql(segments: str) -> str:
     """Segments with `.` and `..` applied; a trailing dot segment leaves a directory."""
-    kept = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
-        .otherwise(F.concat(acc, F.array(s))),
+    kept = (
+        f"aggregate({segments}, cast(array() as array<string>), (acc, s) -> case when s = '.' then acc"
+        f" when s = '..' then slice(acc, 1, greatest(size(acc) - 1, 1)) else concat(acc, array(s)) end)"
     )
-    is_directory = F.element_at(segments, -1).isin(".", "..")
-    return F.when(is_directory, F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return f"if(element_at({segments}, -1) in ('.', '..'), concat({kept}, array('')), {kept})"
 
 
-def resolve_url(base: Column | str, href: Column | str) -> Column:
-    """Absolute form of `href` found on the page `base`."""
+def resolve_url_sql(base: str, href: str) -> str:
+    """Absolute form of `href` on the page `base`, by the reference resolution of RFC 3986."""
 
-    def merged_path(b: Column, r: Column) -> Column:
-        folder = F.regexp_replace(b["path"], "[^/]*$", "")
-        folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-        target = F.when(F.startswith(r["path"], F.lit("/")), r["path"]).otherwise(
-            F.regexp_replace(F.concat(folder, r["path"]), "/+", "/")
+    def merged_path(p: str) -> str:
+        folder = let_sql(
+            f"regexp_replace({p}.b.path, '[^/]*$', '')", lambda f: f"if({f} = '', '/', {f})"
         )
-        joined = F.array_join(let(F.split(target, "/", -1), _remove_dots), "/")
-        return F.when(joined == "", F.lit("/")).otherwise(joined)
-
-    def combine(b: Column, r: Column) -> Column:
-        relative = (r["authority"] == "") | (r["authority"] == "//")
-        same_page = r["path"] == ""
-        path = F.when(same_page, b["path"]).otherwise(merged_path(b, r))
-        query = F.when(same_page & (r["query"] == ""), b["query"]).otherwise(r["query"])
-        inherited = F.concat(b["scheme"], F.lit(":"), b["authority"], path, query, r["fragment"])
-        with_host = F.concat(
-            F.coalesce(nonempty(r["scheme"]), b["scheme"]),
-            F.lit(":"),
-            r["authority"],
-            r["path"],
-            r["query"],
-            r["fragment"],
+        target = (
+            f"if(startswith({p}.r.path, '/'), {p}.r.path,"
+            f" regexp_replace(concat({folder}, {p}.r.path), '/+', '/'))"
+        )
+        joined = f"array_join({let_sql(f'''split({target}, '/', -1)''', _remove_dots_sql)}, '/')"
+        return let_sql(joined, lambda j: f"if({j} = '', '/', {j})")
+
+    def choose(p: str) -> str:
+        other_scheme = f"({p}.r.scheme <> '' and lower({p}.r.scheme) <> lower({p}.b.scheme))"
+        same_page = f"{p}.r.path = ''"
+        path = f"if({same_page}, {p}.b.path, {merged_path(p)})"
+        query = f"if({same_page} and {p}.r.query = '', {p}.b.query, {p}.r.query)"
+        inherited = f"concat({p}.b.scheme, ':', {p}.b.authority, {path}, {query}, {p}.r.fragment)"
+        with_host = (
+            f"concat(if({p}.r.scheme = '', {p}.b.scheme, {p}.r.scheme), ':',"
+            f" {p}.r.authority, {p}.r.path, {p}.r.query, {p}.r.fragment)"
         )
-        return F.when(relative, inherited).otherwise(with_host)
-
-    def choose(pair: Column) -> Column:
-        b, r = pair["b"], pair["r"]
-        other_scheme = (r["scheme"] != "") & (F.lower(r["scheme"]) != F.lower(b["scheme"]))
         return (
-            F.when(nonempty(href).isNull(), col(base))
-            .when(other_scheme | (b["scheme"] == ""), col(href))
-            .otherwise(combine(b, r))
+            f"case when {p}.href is null or {p}.href = '' then {p}.base when {other_scheme} or {p}.b.scheme = '' then {p}.href"
+            f" when length({p}.r.authority) <= 2 then {inherited} else {with_host} end"
         )
 
-    return let(F.struct(split_url(base).alias("b"), split_url(href).alias("r")), choose)
+    pair = (
+        f"named_struct('base', {base}, 'href', {href}, 'b', {split_url_sql(base)}, 'r', {split_url_sql(href)})"
+    )
+    return let_sql(pair, choose)
+
+
+def resolve_url(base: Column | str, href: Column | str) -> Column:
+    """Absolute form of `href` found on the page `base`."""
+    pair = F.struct(col(base).alias("x"), col(href).alias("y"))
+    return bind(pair, lambda p: resolve_url_sql(f"{p}.x", f"{p}.y"))

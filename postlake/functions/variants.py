@@ -9,68 +9,90 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postlake.functions.text import col
+from postlake.functions.sqltext import bind, let_sql, q
 
-_BLANK = ["null", '""', "0", "0.0", "false", "[]", "{}"]
+_BLANK = "('null', '\"\"', '0', '0.0', 'false', '[]', '{}')"
 
 
 def path(*keys: str) -> str:
     return "$" + "".join(f"['{key}']" for key in keys)
 
 
+def sub_sql(v: str, *keys: str) -> str:
+    return f"try_variant_get({v}, {q(path(*keys))}, 'variant')"
+
+
+def text_sql(v: str, *keys: str) -> str:
+    where = q(path(*keys))
+    return f"if(to_json(try_variant_get({v}, {where}, 'variant')) not in {_BLANK}, try_variant_get({v}, {where}, 'string'), null)"
+
+
 def sub(v: Column | str, *keys: str) -> Column:
     """Nested value as VARIANT; NULL when any step is absent."""
-    return F.try_variant_get(col(v), path(*keys), "variant")
+    return bind(v, lambda x: sub_sql(x, *keys))
 
 
-def json_text(v: Column) -> Column:
-    return F.to_json(v)
+def _starts(v: Column | str, mark: str) -> Column:
+    return bind(v, lambda x: f"coalesce(startswith(to_json({x}), {q(mark)}), false)")
 
 
-def truthy(v: Column) -> Column:
-    return F.coalesce(~json_text(v).isin(_BLANK), F.lit(False))
+def truthy(v: Column | str) -> Column:
+    return bind(v, lambda x: f"coalesce(to_json({x}) not in {_BLANK}, false)")
 
 
-def is_object(v: Column) -> Column:
-    return F.coalesce(F.startswith(json_text(v), F.lit("{")), F.lit(False))
+def is_object(v: Column | str) -> Column:
+    return _starts(v, "{")
 
 
-def is_array(v: Column) -> Column:
-    return F.coalesce(F.startswith(json_text(v), F.lit("[")), F.lit(False))
+def is_array(v: Column | str) -> Column:
+    return _starts(v, "[")
 
 
-def is_string(v: Column) -> Column:
-    return F.coalesce(F.startswith(json_text(v), F.lit('"')), F.lit(False))
+def is_string(v: Column | str) -> Column:
+    return _starts(v, '"')
 
 
-def scalar(v: Column) -> Column:
+def scalar(v: Column | str) -> Column:
     """Text of a value, NULL when it counts as missing."""
-    return F.when(truthy(v), F.try_variant_get(v, "$", "string"))
+    return bind(v, text_sql)
 
 
 def text(v: Column | str, *keys: str) -> Column:
     """Text of a nested value, NULL when it counts as missing."""
-    return scalar(sub(v, *keys))
+    return bind(v, lambda x: text_sql(x, *keys))
+
+
+def first_text_sql(v: str, *names: str) -> str:
+    return "coalesce(" + ", ".join(text_sql(v, name) for name in names) + ")"
 
 
 def first_text(v: Column | str, *names: str) -> Column:
     """First present alias among sibling keys."""
-    return F.coalesce(*[text(v, name) for name in names])
+    return bind(v, lambda x: first_text_sql(x, *names))
+
+
+def raw_text(v: Column | str, *keys: str) -> Column:
+    """Text of a nested value as it is, an empty one included."""
+    return bind(v, lambda x: f"try_variant_get({x}, {q(path(*keys))}, 'string')")
+
+
+def items_sql(v: str, *keys: str) -> str:
+    return f"try_variant_get({v}, {q(path(*keys))}, 'array<variant>')"
 
 
 def items(v: Column | str, *keys: str) -> Column:
     """Nested list as ARRAY<VARIANT>; NULL when it is no list."""
-    return F.try_variant_get(col(v), path(*keys), "array<variant>")
+    return bind(v, lambda x: items_sql(x, *keys))
 
 
-def objects(values: Column) -> Column:
+def objects(values: Column | str) -> Column:
     """Only the object elements of an ARRAY<VARIANT>."""
-    return F.filter(values, is_object)
+    return bind(values, lambda x: f"filter({x}, e -> startswith(to_json(e), '{{'))")
 
 
 def as_map(v: Column | str) -> Column:
     """Object as MAP<STRING, VARIANT>; NULL when it is no object."""
-    return F.try_variant_get(col(v), "$", "map<string,variant>")
+    return bind(v, lambda x: f"try_variant_get({x}, '$', 'map<string,variant>')")
 
 
 def overlay(base: Column, top: Column) -> Column:
@@ -83,8 +105,13 @@ def overlay(base: Column, top: Column) -> Column:
 
 def entry(m: Column | str, key: str) -> Column:
     """VARIANT under `key` of a MAP<STRING, VARIANT>."""
-    return F.element_at(col(m), key)
+    return bind(m, lambda x: f"element_at({x}, {q(key)})")
 
 
 def entry_text(m: Column | str, *names: str) -> Column:
-    return F.coalesce(*[scalar(entry(m, name)) for name in names])
+    """First present alias of a MAP<STRING, VARIANT>."""
+
+    def one(x: str, name: str) -> str:
+        return let_sql(f"element_at({x}, {q(name)})", text_sql)
+
+    return bind(m, lambda x: "coalesce(" + ", ".join(one(x, n) for n in names) + ")")

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postlake.functions.entities import unescape
-from postlake.functions.text import WHITESPACE, col, let, nonempty, strip
+from postlake.functions.entities import unescape_sql
+from postlake.functions.sqltext import bind, each_sql, keep_sql, let_sql, q
+from postlake.functions.text import WHITESPACE, nonempty, strip_sql
 
 # Element names that hold one record, and what marks a document as XML.
 RECORD_TAGS = ["job", "item", "entry", "jobposting", "job_listing"]
@@ -23,80 +24,71 @@ _ELEMENT = rf"(?is)<{_NAME}([\w.-]+){_OPEN_END}(.*?)</{_NAME}\1\s*>"
 
 def is_xml(body: Column | str) -> Column:
     """Format sniff on the start of the document."""
-    return F.regexp_replace(col(body), f"^[{WHITESPACE}]+", "").rlike(XML_START)
-
-
-def _escape(c: Column) -> Column:
-    out = F.replace(c, F.lit("&"), F.lit("&amp;"))
-    return F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return bind(
+        body, lambda b: f"regexp_replace({b}, {q(f'^[{WHITESPACE}]+')}, '') rlike {q(XML_START)}"
+    )
 
 
 def plain_xml(body: Column | str) -> Column:
     """Comments and declarations removed, CDATA sections turned into escaped text."""
-    pieces = F.split(col(body), r"<!\[CDATA\[")
-    unwrapped = F.transform(
-        pieces,
-        lambda p, i: F.when(i == 0, p).otherwise(
-            F.concat(
-                _escape(F.substring_index(p, "]]>", 1)),
-                F.substr(p, F.length(F.substring_index(p, "]]>", 1)) + F.lit(4)),
-            )
-        ),
-    )
-    text = F.array_join(unwrapped, "")
-    return F.regexp_replace(text, r"(?s)<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>]*>", "")
 
+    def unwrap(b: str) -> str:
+        inside = "substring_index(p, ']]>', 1)"
+        escaped = f"replace(replace(replace({inside}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+        rest = f"substr(p, length({inside}) + 4)"
+        pieces = f"transform(split({b}, {q(r'<!\[CDATA\[')}), (p, i) -> if(i = 0, p, concat({escaped}, {rest})))"
+        noise = q(r"(?s)<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>]*>")
+        return f"regexp_replace(array_join({pieces}, ''), {noise}, '')"
 
-def _records_within(text: Column, depth: int) -> Column:
-    whole = F.regexp_extract_all(text, F.lit(_RECORD), F.lit(2))
+    return bind(body, unwrap)
+
+
+def _records_sql(text: str, depth: int) -> str:
+    whole = f"regexp_extract_all({text}, {q(_RECORD)}, 2)"
     if not depth:
         return whole
-    return F.flatten(
-        F.transform(whole, lambda r: F.concat(F.array(r), _records_within(r, depth - 1)))
-    )
+    return f"flatten({each_sql(whole, lambda r: f'concat(array({r}), {_records_sql(r, depth - 1)})')})"
 
 
-def _inner(element: Column) -> Column:
-    return F.regexp_extract(element, _ELEMENT, 2)
+def _inner_sql(element: str) -> str:
+    return f"regexp_extract({element}, {q(_ELEMENT)}, 2)"
 
 
 def xml_records(plain: Column | str) -> Column:
     """ARRAY<STRING> of record contents; without named records, the root's children if all nest."""
 
-    def pick(text: Column) -> Column:
-        named = _records_within(text, 1)
-        root = F.regexp_extract(text, _ELEMENT, 2)
-        children = F.regexp_extract_all(root, F.lit(_ELEMENT), F.lit(0))
-        nested = F.forall(children, lambda c: _inner(c).rlike(_ELEMENT))
-        loose = F.regexp_replace(root, _ELEMENT, "").rlike(r"<[\w.:-]+(?:\s[^<>]*)?/>")
-        fallback = F.when((F.size(children) > 0) & nested & ~loose, F.transform(children, _inner))
-        return F.when(F.size(named) > 0, named).otherwise(
-            F.coalesce(fallback, F.array().cast("array<string>"))
+    def fallback(root: str) -> str:
+        children = f"regexp_extract_all({root}, {q(_ELEMENT)}, 0)"
+        empty_child = q(r"<[\w.:-]+(?:\s[^<>]*)?/>")
+        loose = f"regexp_replace({root}, {q(_ELEMENT)}, '') rlike {empty_child}"
+        return let_sql(
+            children,
+            lambda c: f"if(forall({c}, e -> {_inner_sql('e')} rlike {q(_ELEMENT)}) and not {loose},"
+            f" transform({c}, e -> {_inner_sql('e')}), cast(array() as array<string>))",
         )
 
-    return let(col(plain), pick)
+    def pick(text: str) -> str:
+        return let_sql(
+            _records_sql(text, 1),
+            lambda named: f"if(size({named}) > 0, {named}, {let_sql(_inner_sql(text), fallback)})",
+        )
 
+    return bind(plain, pick)
 
-def _element_text(content: Column) -> Column:
-    parts = F.filter(
-        F.transform(F.split(content, "<[^>]+>"), lambda t: strip(unescape(t))), lambda t: t != ""
-    )
-    return strip(unescape(F.array_join(parts, " ")))
 
+def _element_text_sql(content: str) -> str:
+    parts = each_sql(f"split({content}, '<[^>]+>')", lambda t: strip_sql(unescape_sql(t)))
+    return strip_sql(unescape_sql(f"array_join(filter({parts}, t -> t <> ''), ' ')"))
 
-def _elements(content: Column, depth: int) -> Column:
-    whole = F.regexp_extract_all(content, F.lit(_ELEMENT), F.lit(0))
 
-    def describe(element: Column) -> Column:
-        name = F.regexp_replace(F.lower(F.regexp_extract(element, _ELEMENT, 1)), "[^a-z0-9]+", "")
-        own = F.array(
-            F.struct(name.alias("key"), _element_text(_inner(element)).alias("value"))
-        )
-        if not depth:
-            return own
-        return F.concat(own, _elements(_inner(element), depth - 1))
+def _elements_sql(content: str, depth: int) -> str:
+    def describe(e: str) -> str:
+        name = f"regexp_replace(lower(regexp_extract({e}, {q(_ELEMENT)}, 1)), '[^a-z0-9]+', '')"
+        inner = _inner_sql(e)
+        own = f"array(named_struct('key', {name}, 'inner', {inner}))"
+        return own if not depth else f"concat({own}, {_elements_sql(inner, depth - 1)})"
 
-    return F.flatten(F.transform(whole, describe))
+    return f"flatten({each_sql(f'regexp_extract_all({content}, {q(_ELEMENT)}, 0)', describe)})"
 
 
 def xml_fields(record: Column | str, depth: int = 2) -> Column:
@@ -104,17 +96,31 @@ def xml_fields(record: Column | str, depth: int = 2) -> Column:
 
     Keys are lower-case element names without prefix or punctuation.
     """
-    return F.filter(_elements(col(record), depth), lambda e: (e["key"] != "") & (e["value"] != ""))
+
+    def pick(r: str) -> str:
+        texts = each_sql(
+            _elements_sql(r, depth),
+            lambda e: f"named_struct('key', {e}.key, 'value', {_element_text_sql(f'{e}.inner')})",
+        )
+        return keep_sql(texts, lambda e: f"{e}.key <> '' and {e}.value <> ''")
+
+    return bind(record, pick)
+
+
+def _values_sql(fields: str, key: str) -> str:
+    return f"transform(filter({fields}, e -> e.key = {q(key)}), e -> e.value)"
 
 
 def field_values(fields: Column | str, key: str) -> Column:
-    hits = F.filter(col(fields), lambda e: e["key"] == key)
-    return F.transform(hits, lambda e: e["value"])
+    return bind(fields, lambda f: _values_sql(f, key))
 
 
 def first_field(fields: Column | str, *aliases: str) -> Column:
     """First value of the first alias that occurs."""
-    return F.coalesce(*[F.try_element_at(field_values(fields, a), F.lit(1)) for a in aliases])
+    return bind(
+        fields,
+        lambda f: "coalesce(" + ", ".join(f"try_element_at({_values_sql(f, a)}, 1)" for a in aliases) + ", null)",
+    )
 
 
 def xml_location(fields: Column | str) -> Column:

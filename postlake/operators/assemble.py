@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from postlake.functions import html as H
 from postlake.functions import urls as U
-from postlake.functions.entities import unescape
+from postlake.functions.entities import unescape_sql
+from postlake.functions.sqltext import bind, each_sql, keep_sql, let_sql, q
 from postlake.functions.text import col
 
 # Fixed value: pages read per company unless configured otherwise.
@@ -125,19 +126,24 @@ _NEXT_LINK = r"""(?is)<a\b([^>]*href=["'][^"']*startrow=\d+[^"']*["'][^>]*)>"""
 def next_page(body: Column | str, url: Column | str) -> Column:
     """URL of the smallest start row beyond the current one among the links of a page."""
 
-    def start_row(u: Column) -> Column:
-        return F.coalesce(U.query_param(u, "startrow").try_cast("int"), F.lit(0))
+    def start_row(u: str) -> str:
+        return f"coalesce(try_cast({U.query_param_sql(u, 'startrow')} as int), 0)"
 
-    current = start_row(col(url))
-    targets = F.transform(
-        F.regexp_extract_all(col(body), F.lit(_NEXT_LINK), F.lit(1)),
-        lambda attrs: U.resolve_url(url, unescape(H.quoted_attribute(attrs, "href"))),
-    )
-    found = F.transform(
-        F.filter(targets, lambda t: t.isNotNull()),
-        lambda t: F.struct(start_row(t).alias("startrow"), t.alias("url")),
-    )
-    return F.array_min(F.filter(found, lambda c: c["startrow"] > current))["url"]
+    def pick(p: str) -> str:
+        targets = each_sql(
+            f"regexp_extract_all({p}.body, {q(_NEXT_LINK)}, 1)",
+            lambda a: U.resolve_url_sql(f"{p}.url", unescape_sql(H.quoted_attribute_sql(a, "href"))),
+        )
+        found = each_sql(
+            f"filter({targets}, t -> t is not null)",
+            lambda t: f"named_struct('startrow', {start_row(t)}, 'url', {t})",
+        )
+        later = let_sql(
+            start_row(f"{p}.url"), lambda current: keep_sql(found, lambda f: f"{f}.startrow > {current}")
+        )
+        return f"array_min({later}).url"
+
+    return bind(F.struct(col(body).alias("body"), col(url).alias("url")), pick)
 
 
 def drop_requisition_repeats(rows: DataFrame, url_id: str, requisition: str) -> DataFrame:

@@ -146,7 +146,7 @@ def flatten_records(
     json_rows = (
         listed.where("records is not null")
         .select(*keep, F.posexplode("records").alias("pos", "v"))
-        .where(V.is_object(F.col("v")))
+        .where(V.is_object("v"))
         .select(*keep, "pos", *[V.first_text("v", *names).alias(n) for n, names in aliases.items()])
     )
     xml_rows = (

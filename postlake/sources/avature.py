@@ -9,8 +9,9 @@ from postlake.functions import html as H
 from postlake.functions import urls as U
 from postlake.functions import variants as V
 from postlake.functions.dates import iso_date
-from postlake.functions.entities import unescape
-from postlake.functions.text import first_nonempty, let, nonempty
+from postlake.functions.entities import unescape, unescape_sql
+from postlake.functions.sqltext import bind, each_sql, keep_sql, let_sql, q
+from postlake.functions.text import nonempty
 from postlake.operators.assemble import (
     MAX_PAGES,
     attach_details,
@@ -32,62 +33,59 @@ EMPLOYMENT_LABELS = ["employment type", "job type", "work type"]
 DEPARTMENT_LABELS = ["business area", "business function", "department", "team", "category"]
 
 
-def detail_link(href: Column) -> Column:
+def detail_link_sql(href: str) -> str:
     """STRUCT<id, kind> of a posting link; the id is NULL when the link is none."""
 
-    def describe(u: Column) -> Column:
-        pairs = U.query_pairs(F.substr(u["query"], F.lit(2)))
+    def describe(u: str) -> str:
+        def last(name: str) -> str:
+            return f"nullif({U.query_param_sql(f'{u}.whole', name)}, '')"
 
-        def last(name: str) -> Column:
-            return F.try_element_at(F.filter(pairs, lambda p: p["key"] == name), F.lit(-1))["value"]
-
-        in_path = nonempty(F.regexp_extract(u["path"], ID_IN_PATH, 2))
-        in_query = F.when(
-            u["path"].rlike(BARE_PATH), first_nonempty(last("jobId"), last("folderId"))
-        )
-        kind = F.when(in_path.isNotNull(), F.regexp_extract(u["path"], ID_IN_PATH, 1)).otherwise(
-            F.when(last("folderId").isNotNull(), F.lit("FolderDetail")).otherwise(F.lit("JobDetail"))
+        in_path = f"nullif(regexp_extract({u}.parts.path, {q(ID_IN_PATH)}, 2), '')"
+        bare = f"{u}.parts.path rlike {q(BARE_PATH)}"
+        in_query = f"if({bare}, coalesce({last('jobId')}, {last('folderId')}), null)"
+        kind = (
+            f"case when {in_path} is not null then regexp_extract({u}.parts.path, {q(ID_IN_PATH)}, 1)"
+            f" when {U.query_param_sql(f'{u}.whole', 'folderId')} is not null then 'FolderDetail' else 'JobDetail' end"
         )
-        return F.struct(F.coalesce(in_path, in_query).alias("id"), kind.alias("kind"))
+        return f"named_struct('id', coalesce({in_path}, {in_query}), 'kind', {kind})"
+
+    both = let_sql(
+        unescape_sql(href), lambda h: f"named_struct('whole', {h}, 'parts', {U.split_url_sql(h)})"
+    )
+    return let_sql(both, describe)
+
 
-    return let(U.split_url(unescape(href)), describe)
+def detail_link(href: Column | str) -> Column:
+    return bind(href, detail_link_sql)
 
 
 def posting_links(html: Column | str) -> Column:
     """Posting links of a search page with the text of the article around each."""
-    described = F.transform(
-        H.link_spans(html),
-        lambda a: F.struct(
-            H.attribute(a["attrs"], "href").alias("href"),
-            F.coalesce(
-                nonempty(H.attribute(a["attrs"], "title")),
-                H.strip_html(a["inner"], drop_scripts=True),
-            ).alias("title"),
-            a["start"].alias("start"),
-            a["end"].alias("end"),
-        ),
-    )
-    with_id = F.transform(
-        F.filter(described, lambda a: (a["href"] != "") & (a["title"] != "")),
-        lambda a: F.struct(detail_link(a["href"]).alias("link"), a.alias("a")),
-    )
 
-    def finish(x: Column) -> Column:
-        article = H.enclosing_article(html, x["a"]["start"], x["a"]["end"])
-        return let(
+    def finish(h: str, x: str) -> str:
+        article = H.enclosing_article_sql(h, f"{x}.a.start", f"{x}.a.end")
+        return let_sql(
             article,
-            lambda art: F.struct(
-                x["link"]["id"].alias("id"),
-                x["link"]["kind"].alias("kind"),
-                x["a"]["title"].alias("title"),
-                x["a"]["href"].alias("href"),
-                H.article_footer(art, "icon-address").alias("location"),
-                H.article_footer(art, "icon-tag").alias("department"),
-                H.article_content(art).alias("description"),
-            ),
+            lambda t: f"named_struct('id', {x}.link.id, 'kind', {x}.link.kind, 'title', {x}.a.title, 'href', {x}.a.href,"
+            f" 'location', {H.article_footer_sql(t, 'icon-address')}, 'department', {H.article_footer_sql(t, 'icon-tag')},"
+            f" 'description', {H.article_content_sql(t)})",
+        )
+
+    def pick(h: str) -> str:
+        described = each_sql(
+            H.link_spans_sql(h),
+            lambda a: f"named_struct('href', {H.attribute_sql(f'{a}.attrs', 'href')}, 'title',"
+            f" coalesce(nullif({H.attribute_sql(f'{a}.attrs', 'title')}, ''), {H.strip_html_sql(f'{a}.inner', True)}),"
+            f" 'start', {a}.start, 'end', {a}.end)",
+        )
+        filled = keep_sql(described, lambda a: f"{a}.href <> '' and {a}.title <> ''")
+        linked = each_sql(
+            filled, lambda a: f"named_struct('link', {detail_link_sql(f'{a}.href')}, 'a', {a})"
         )
+        found = keep_sql(linked, lambda x: f"{x}.link.id is not null")
+        return each_sql(found, lambda x: finish(h, x))
 
-    return F.transform(F.filter(with_id, lambda x: x["link"]["id"].isNotNull()), finish)
+    return bind(html, pick)
 
 
 def detail_fields(pages: DataFrame) -> DataFrame:
@@ -133,7 +131,7 @@ def parse_avature(captures: DataFrame, rules: DataFrame, max_pages: int = MAX_PA
     unique = first_by_id(summaries, "summary_id").withColumn(
         "detail_key", U.resolve_url("url", unescape("href"))
     )
-    posting = F.col("posting")
+    posting = "posting"
     only_details = captures.where((F.col("source_type") == SOURCE) & (F.col("kind") == "detail"))
     found = common.details(
         detail_fields(only_details),

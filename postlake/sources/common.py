@@ -48,7 +48,7 @@ def details(captures: DataFrame, source: str, *fields: Column) -> DataFrame:
 def explode_objects(pages: DataFrame, values: str, name: str = "v") -> DataFrame:
     """One row per object element with its position; other elements are dropped."""
     keep = [F.col(c) for c in pages.columns if c != values]
-    return pages.select(*keep, F.posexplode(values).alias("pos", name)).where(V.is_object(F.col(name)))
+    return pages.select(*keep, F.posexplode(values).alias("pos", name)).where(V.is_object(name))
 
 
 def postings(df: DataFrame, source: str, **fields: Column) -> DataFrame:

@@ -41,7 +41,7 @@ def parse_eightfold(
         ].alias("doc"),
     )
     counted = (
-        pages.withColumn("jobs", V.objects(F.col("doc.positions")))
+        pages.withColumn("jobs", V.objects("doc.positions"))
         .withColumn("total", F.col("doc.count").try_cast("bigint"))
         .withColumn("n_objects", F.coalesce(F.size("jobs"), F.lit(0)))
         .drop("doc")

@@ -18,16 +18,15 @@ def parse_greenhouse(captures: DataFrame, rules: DataFrame) -> DataFrame:
         F.from_json("body", "struct<jobs:array<variant>>")["jobs"].alias("jobs"),
     )
     rows = common.explode_objects(pages, "jobs")
-    v = F.col("v")
-    first_department = F.try_element_at(V.items(v, "departments"), F.lit(1))
+    v = "v"
     url = V.text(v, "absolute_url")
     return common.postings(
         rows,
         SOURCE,
         title=F.coalesce(V.text(v, "title"), F.lit(common.UNTITLED)),
-        location=F.try_variant_get(v, V.path("location", "name"), "string"),
-        employment_type=F.try_variant_get(v, V.path("metadata", "employment_type"), "string"),
-        department=F.try_variant_get(first_department, V.path("name"), "string"),
+        location=V.raw_text(v, "location", "name"),
+        employment_type=V.raw_text(v, "metadata", "employment_type"),
+        department=F.try_variant_get("v", "$.departments[0].name", "string"),
         description=V.text(v, "content"),
         posting_url=url,
         application_url=url,

@@ -10,7 +10,7 @@ from postlake.functions import urls as U
 from postlake.functions import variants as V
 from postlake.functions.dates import iso_date
 from postlake.functions.entities import unescape
-from postlake.functions.text import nonempty
+from postlake.functions.sqltext import bind, each_sql, keep_sql, q
 from postlake.operators.assemble import (
     MAX_PAGES,
     attach_details,
@@ -27,36 +27,34 @@ ID_IN_URL = r"/jobs/(\d+)/"
 NO_POSTING = r"/login|/referral|mode=apply"
 
 
-def is_posting_link(href: Column) -> Column:
-    lowered = F.lower(href)
-    return F.contains(lowered, F.lit("/jobs/")) & F.contains(lowered, F.lit("/job")) & ~lowered.rlike(
-        NO_POSTING
+def is_posting_link_sql(href: str) -> str:
+    lowered = f"lower({href})"
+    return (
+        f"(contains({lowered}, '/jobs/') and contains({lowered}, '/job')"
+        f" and not {lowered} rlike {q(NO_POSTING)})"
     )
 
 
 def posting_links(html: Column | str) -> Column:
     """ARRAY<STRUCT<id, title, href>> of the posting links of a search page."""
-    described = F.transform(
-        H.links(html),
-        lambda a: F.struct(
-            H.attribute(a["attrs"], "href").alias("href"),
-            F.coalesce(nonempty(H.attribute(a["attrs"], "title")), H.strip_html(a["inner"])).alias(
-                "title"
-            ),
-        ),
-    )
-    qualified = F.filter(
-        described, lambda a: is_posting_link(a["href"]) & (a["title"] != "")
-    )
-    identified = F.transform(
-        qualified,
-        lambda a: F.struct(
-            F.regexp_extract(a["href"], ID_IN_URL, 1).alias("id"),
-            a["title"].alias("title"),
-            a["href"].alias("href"),
-        ),
-    )
-    return F.filter(identified, lambda a: a["id"] != "")
+
+    def pick(h: str) -> str:
+        described = each_sql(
+            H.links_sql(h),
+            lambda a: f"named_struct('href', {H.attribute_sql(f'{a}.attrs', 'href')}, 'title',"
+            f" coalesce(nullif({H.attribute_sql(f'{a}.attrs', 'title')}, ''), {H.strip_html_sql(f'{a}.inner')}))",
+        )
+        qualified = keep_sql(
+            described, lambda a: f"{is_posting_link_sql(f'{a}.href')} and {a}.title <> ''"
+        )
+        identified = each_sql(
+            qualified,
+            lambda a: f"named_struct('id', regexp_extract({a}.href, {q(ID_IN_URL)}, 1),"
+            f" 'title', {a}.title, 'href', {a}.href)",
+        )
+        return keep_sql(identified, lambda a: f"{a}.id <> ''")
+
+    return bind(html, pick)
 
 
 def parse_icims(captures: DataFrame, rules: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
@@ -82,7 +80,7 @@ def parse_icims(captures: DataFrame, rules: DataFrame, max_pages: int = MAX_PAGE
     unique = first_by_id(summaries).withColumn(
         "detail_key", U.resolve_url("url", unescape("href"))
     )
-    posting = F.col("posting")
+    posting = "posting"
     found = common.details(
         captures.withColumn("posting", H.json_ld_posting("body")),
         SOURCE,

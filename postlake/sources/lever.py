@@ -21,21 +21,21 @@ def parse_lever(captures: DataFrame, rules: DataFrame) -> DataFrame:
         "jobs", F.coalesce(V.items("doc"), V.items("doc", "postings"))
     ).drop("doc")
     rows = common.explode_objects(pages, "jobs")
-    v = F.col("v")
+    v = "v"
     sections = F.transform(V.items(v, "lists"), lambda item: V.text(item, "content"))
     opening = V.first_text(v, "descriptionPlain", "description")
     hosted = V.first_text(v, "hostedUrl", "hosted_url")
-    job_id = F.try_variant_get(v, V.path("id"), "string")
+    job_id = V.raw_text(v, "id")
     return common.postings(
         rows,
         SOURCE,
         title=F.coalesce(V.text(v, "text"), F.lit(common.UNTITLED)),
-        location=F.try_variant_get(v, V.path("categories", "location"), "string"),
-        employment_type=F.try_variant_get(v, V.path("categories", "commitment"), "string"),
-        department=F.try_variant_get(v, V.path("categories", "team"), "string"),
+        location=V.raw_text(v, "categories", "location"),
+        employment_type=V.raw_text(v, "categories", "commitment"),
+        department=V.raw_text(v, "categories", "team"),
         description=F.concat_ws("\n", opening, sections),
         posting_url=hosted,
         application_url=F.coalesce(V.first_text(v, "applyUrl", "apply_url"), hosted),
         source_job_id=job_id,
-        date_posted=epoch_ms_date(F.try_variant_get(v, V.path("createdAt"), "string")),
+        date_posted=epoch_ms_date(V.raw_text(v, "createdAt")),
     )

@@ -75,7 +75,7 @@ def parse_smartrecruiters(
         F.from_json("body", "struct<content:array<variant>,totalFound:string>").alias("doc"),
     )
     counted = (
-        pages.withColumn("jobs", V.objects(F.col("doc.content")))
+        pages.withColumn("jobs", V.objects("doc.content"))
         .withColumn("total", F.col("doc.totalFound").try_cast("bigint"))
         .withColumn("n_objects", F.coalesce(F.size("jobs"), F.lit(0)))
         .drop("doc")

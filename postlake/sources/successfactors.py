@@ -9,7 +9,8 @@ from postlake.functions import html as H
 from postlake.functions import urls as U
 from postlake.functions import xml as X
 from postlake.functions.dates import any_date
-from postlake.functions.entities import unescape
+from postlake.functions.entities import unescape, unescape_sql
+from postlake.functions.sqltext import bind, each_sql, keep_sql, q
 from postlake.functions.text import nonempty
 from postlake.operators.assemble import (
     MAX_PAGES,
@@ -33,32 +34,34 @@ DEPARTMENT_KEYS = ["department", "division", "category", "function"]
 DATE_KEYS = ["date", "posteddate", "dateposted"]
 
 
-def url_id(url: Column) -> Column:
+def url_id_sql(url: str) -> str:
     """Number at the end of the path, NULL when there is none."""
-    return nonempty(F.regexp_extract(unescape(U.split_url(url)["path"]), r"/(\d+)/?$", 1))
+    path = unescape_sql(f"{U.split_url_sql(url)}.path")
+    return f"nullif(regexp_extract({path}, {q(r'/(\d+)/?$')}, 1), '')"
+
+
+def url_id(url: Column | str) -> Column:
+    return bind(url, url_id_sql)
 
 
 def table_rows(html: Column | str) -> Column:
     """ARRAY<STRUCT<id, title, location, href>> of the rows of a search table."""
-    rows = F.regexp_extract_all(H.col(html), F.lit(H.DATA_ROW), F.lit(1))
-    described = F.transform(
-        rows,
-        lambda row: F.struct(
-            H.quoted_attribute(H.matched(row, H.TITLE_LINK, 1), "href").alias("href"),
-            H.strip_html(H.matched(row, H.TITLE_LINK, 2)).alias("title"),
-            nonempty(H.strip_html(H.matched(row, H.LOCATION_CELL))).alias("location"),
-        ),
-    )
-    identified = F.transform(
-        F.filter(described, lambda r: r["href"] != ""),
-        lambda r: F.struct(
-            url_id(r["href"]).alias("id"),
-            r["title"].alias("title"),
-            r["location"].alias("location"),
-            r["href"].alias("href"),
-        ),
-    )
-    return F.filter(identified, lambda r: r["id"].isNotNull())
+
+    def pick(h: str) -> str:
+        described = each_sql(
+            f"regexp_extract_all({h}, {q(H.DATA_ROW)}, 1)",
+            lambda row: f"named_struct('href', {H.quoted_attribute_sql(H.matched_sql(row, H.TITLE_LINK, 1), 'href')},"
+            f" 'title', {H.strip_html_sql(H.matched_sql(row, H.TITLE_LINK, 2))},"
+            f" 'location', nullif({H.strip_html_sql(H.matched_sql(row, H.LOCATION_CELL))}, ''))",
+        )
+        identified = each_sql(
+            keep_sql(described, lambda r: f"{r}.href <> ''"),
+            lambda r: f"named_struct('id', {url_id_sql(f'{r}.href')}, 'title', {r}.title,"
+            f" 'location', {r}.location, 'href', {r}.href)",
+        )
+        return keep_sql(identified, lambda r: f"{r}.id is not null")
+
+    return bind(html, pick)
 
 
 def parse_successfactors_xml(captures: DataFrame, rules: DataFrame) -> DataFrame:

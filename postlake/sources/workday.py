@@ -38,17 +38,17 @@ def parse_workday(
         pages.withColumn("jobs", listed)
         .withColumn("total", F.col("doc.total").try_cast("bigint"))
         .withColumn("n_raw", F.size("jobs"))
-        .withColumn("n_objects", F.size(V.objects(F.col("jobs"))))
+        .withColumn("n_objects", F.size(V.objects("jobs")))
         .drop("doc")
     )
     kept = trim_pages(counted, page_size, max_pages, length="n_raw")
     rows = common.explode_objects(kept, "jobs")
-    v = F.col("v")
+    v = "v"
     described = F.filter(
         V.items(v, "jobPostingInfo", "jobDescriptionFields"),
         lambda f: F.lower(V.text(f, "label")).rlike("time type|employment"),
     )
-    bullet = V.scalar(F.try_element_at(V.items(v, "bulletFields"), F.lit(1)))
+    bullet = V.scalar(F.try_variant_get(v, "$.bulletFields[0]", "variant"))
     external_path = F.coalesce(V.text(v, "externalPath"), V.text(v, "jobPostingInfo", "externalUrl"))
     url = workday_url(F.col("site"), external_path)
     return common.postings(
