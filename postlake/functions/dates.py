@@ -132,10 +132,11 @@ def date_notation(c: Column | str) -> Column:
     def classify(v: str) -> str:
         words = f"lower({squeeze_sql(v)})"
         relative = f"{words} in {_listed(TODAY_WORDS + YESTERDAY_WORDS + MONTH_AGO_WORDS)} or {words} rlike {q(DAYS_AGO)}"
+        # Runs of nine digits and more are epochs; a compact date has eight.
         return (
-            f"case when {relative} then 'relative' when {iso_sql(v)} is not null then 'iso'"
-            f" when {us_sql(v)} is not null then 'us' when {rfc_sql(v)} is not null then 'rfc'"
-            f" when {v} rlike {q(r'^\d{12,}$')} then 'epoch_ms' when {v} rlike {q(r'^\d{9,11}$')} then 'epoch_s' end"
+            f"case when {relative} then 'relative' when {v} rlike {q(r'^\d{12,}$')} then 'epoch_ms'"
+            f" when {v} rlike {q(r'^\d{9,11}$')} then 'epoch_s' when {iso_sql(v)} is not null then 'iso'"
+            f" when {us_sql(v)} is not null then 'us' when {rfc_sql(v)} is not null then 'rfc' end"
         )
 
     return bind(c, lambda x: let_sql(strip_sql(x), classify))

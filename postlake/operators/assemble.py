@@ -149,45 +149,39 @@ def next_page(body: Column | str, url: Column | str) -> Column:
 def drop_requisition_repeats(rows: DataFrame, url_id: str, requisition: str) -> DataFrame:
     """Skip a summary whose URL id is the requisition id of an earlier kept posting of the company.
 
-    Two URL ids with one requisition id both stay. Whether a posting counts depends on whether it
-    was kept itself, so the few postings that take part in such a clash are settled in order, per
-    company; everything else never leaves the JVM.
+    Two URL ids with one requisition id both stay. Every row also appears as a slim claim under its
+    requisition id, so one window finds the earlier claims on a row, without a second parse of the
+    pages. Whether a claim counts depends on whether its own row was kept, so the few claimed rows
+    of a company (at most its page cap of pages) are settled in page order by a fold.
     """
-    order = ["page_no", "pos"]
-    ids = rows.select(*_SITE, *order, F.col(url_id).alias("u"), F.col(requisition).alias("r"))
-    pairs = (
-        ids.alias("a")
-        .join(
-            ids.alias("b"),
-            (F.col("a.run_id") == F.col("b.run_id"))
-            & (F.col("a.company") == F.col("b.company"))
-            & (F.col("a.r") == F.col("b.u"))
-            & (F.col("a.u") != F.col("b.u")),
-        )
-        .where(F.struct("a.page_no", "a.pos") < F.struct("b.page_no", "b.pos"))
+    others = [c for c in rows.columns if c not in (*_SITE, "page_no", "pos", url_id)]
+    twice = rows.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("_is_claim"))
+    is_claim = F.col("_is_claim")
+    facts = (
+        twice.where(~is_claim | F.col(requisition).isNotNull())
+        .withColumn("_key", F.when(is_claim, F.col(requisition)).otherwise(F.col(url_id)))
         .select(
-            F.col("a.run_id").alias("run_id"),
-            F.col("a.company").alias("company"),
-            F.col("a.u").alias("earlier"),
-            F.col("b.u").alias("later"),
-            F.col("b.page_no").alias("page_no"),
-            F.col("b.pos").alias("pos"),
+            *_SITE, "page_no", "pos", url_id, "_is_claim", "_key",
+            *[F.when(~is_claim, F.col(c)).alias(c) for c in others],
         )
+        .repartition(*_SITE)
     )
-
-    def settle(clashes):
-        # Clashes in page order; a company has at most its page cap of pages.
-        skipped: set[str] = set()
-        for row in clashes.sort_values(["page_no", "pos"]).itertuples():
-            if row.earlier not in skipped:
-                skipped.add(row.later)
-        out = clashes[["run_id", "company"]].head(len(skipped)).copy()
-        out["u"] = sorted(skipped)
-        return out
-
-    dropped = pairs.groupBy(*_SITE).applyInPandas(settle, "run_id string, company string, u string")
-    return rows.join(
-        dropped.withColumnRenamed("u", url_id), [*_SITE, url_id], "left_anti"
+    earlier = Window.partitionBy(*_SITE, "_key").orderBy("page_no", "pos").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    claim = F.when(is_claim & (F.col(url_id) != F.col("_key")), F.col(url_id))
+    claimed = facts.withColumn("_claims", F.collect_list(claim).over(earlier)).where(~is_claim)
+    clash = F.when(
+        F.size("_claims") > 0, F.struct("page_no", "pos", F.col(url_id).alias("id"), "_claims")
+    )
+    settled = F.expr(
+        "aggregate(array_sort(_clashes), cast(array() as array<string>), (gone, x) -> "
+        "if(exists(x._claims, c -> not array_contains(gone, c)), concat(gone, array(x.id)), gone))"
+    )
+    return (
+        claimed.withColumn("_clashes", F.collect_list(clash).over(Window.partitionBy(*_SITE)))
+        .where(~F.array_contains(settled, F.col(url_id)))
+        .select(*rows.columns)
     )
 
 
