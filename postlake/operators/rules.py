@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlake.functions.text import WHITESPACE, col, nonempty, norm_text, strip
+from postlake.functions.sqltext import bind, each_sql, keep_sql, let_sql, q
+from postlake.functions.text import WHITESPACE, nonempty, norm_sql, norm_text, strip_sql
 from postlake.schema import RULES
 
 # The default keyword lists of the global filters.
@@ -125,73 +126,69 @@ class GlobalFilters:
     allow_internships: bool = False
 
 
+def _clean_sql(x: str) -> str:
+    stripped = each_sql(f"coalesce({x}, cast(array() as array<string>))", strip_sql)
+    return keep_sql(stripped, lambda k: f"{k} is not null and {k} <> ''")
+
+
 def clean_list(c: Column | str) -> Column:
     """Entries stripped, blank ones dropped; a missing list is empty."""
-    empty = F.array().cast("array<string>")
-    stripped = F.transform(F.coalesce(col(c), empty), strip)
-    return F.filter(stripped, lambda x: x.isNotNull() & (x != ""))
+    return bind(c, _clean_sql)
 
 
-def _literal(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+def _literal(values: list[str]) -> str:
+    """A configured list as an array constant, cleaned like the company lists."""
+    kept = ", ".join(q(v.strip()) for v in values if v and v.strip())
+    return f"cast(array({kept}) as array<string>)"
 
 
-def own_or_global(own: Column, fallback: list[str]) -> Column:
-    return F.when(F.size(own) > 0, own).otherwise(clean_list(_literal(fallback)))
+def _norms_sql(values: str) -> str:
+    return each_sql(values, lambda k: f"named_struct('raw', {k}, 'norm', {norm_sql(k)})")
 
 
-def with_norms(values: Column) -> Column:
+def with_norms(values: Column | str) -> Column:
     """ARRAY<STRUCT<raw, norm>>: keywords are normalised once per company, not once per posting."""
-    return F.transform(values, lambda k: F.struct(k.alias("raw"), norm_text(k).alias("norm")))
-
-
-def is_broad(norm: Column) -> Column:
-    return norm.isin(BROAD_LOCATIONS)
+    return bind(values, _norms_sql)
 
 
 def effective_rules(companies: DataFrame, filters: GlobalFilters) -> DataFrame:
     """One row per company with the keyword lists that apply to it."""
-    cleaned = companies.withColumns(
-        {
-            name: clean_list(name)
-            for name in [
-                "location_filters",
-                "title_keywords_include",
-                "title_keywords_exclude",
-                "description_keywords_include",
-                "employment_types",
-            ]
-        }
-    )
-    excludes = F.concat(clean_list(_literal(filters.exclude_keywords)), F.col("title_keywords_exclude"))
-    staged = cleaned.select(
+
+    def own_or_global(own: str, fallback: list[str]) -> Column:
+        chosen = let_sql(
+            _clean_sql(own), lambda c: f"if(size({c}) > 0, {c}, {_literal(fallback)})"
+        )
+        return F.expr(_norms_sql(chosen))
+
+    excludes = f"concat({_literal(filters.exclude_keywords)}, {_clean_sql('title_keywords_exclude')})"
+    excluding = _norms_sql(excludes)
+    if filters.allow_internships:
+        words = ", ".join(q(w) for w in INTERNSHIP_WORDS)
+        excluding = keep_sql(excluding, lambda k: f"{k}.norm not in ({words})")
+    staged = companies.select(
         "company",
         "company_ord",
-        with_norms(own_or_global(F.col("title_keywords_include"), filters.title_keywords)).alias("title_kw"),
-        with_norms(
-            own_or_global(F.col("description_keywords_include"), filters.description_keywords)
-        ).alias("description_kw"),
-        with_norms(excludes).alias("exclude_kw"),
-        with_norms(clean_list(_literal(filters.seniority_exclude))).alias("seniority_kw"),
-        with_norms(own_or_global(F.col("location_filters"), filters.locations)).alias("location_kw"),
-        with_norms(own_or_global(F.col("employment_types"), filters.employment_types)).alias(
-            "employment_kw"
+        own_or_global("title_keywords_include", filters.title_keywords).alias("title_kw"),
+        own_or_global("description_keywords_include", filters.description_keywords).alias(
+            "description_kw"
         ),
+        F.expr(excluding).alias("exclude_kw"),
+        F.expr(_norms_sql(_literal(filters.seniority_exclude))).alias("seniority_kw"),
+        own_or_global("location_filters", filters.locations).alias("location_kw"),
+        own_or_global("employment_types", filters.employment_types).alias("employment_kw"),
     )
-    if filters.allow_internships:
-        allowed = F.filter("exclude_kw", lambda k: ~k["norm"].isin(INTERNSHIP_WORDS))
-        staged = staged.withColumn("exclude_kw", allowed)
-    specific = F.filter("location_kw", lambda k: ~is_broad(k["norm"]))
-    return staged.withColumn("specific_location_kw", specific)
+    broad = ", ".join(q(w) for w in BROAD_LOCATIONS)
+    specific = keep_sql("location_kw", lambda k: f"{k}.norm not in ({broad})")
+    return staged.withColumn("specific_location_kw", F.expr(specific))
 
 
-def contains_any(norm: Column | str, keywords: Column | str) -> Column:
+def contains_any(norm: str, keywords: str) -> Column:
     """Original keywords whose normal form occurs in the text, in list order.
 
-    A keyword without letters or digits has an empty normal form and occurs everywhere.
+    Both arguments name columns. A keyword without letters or digits has an empty normal form and
+    occurs everywhere.
     """
-    hits = F.filter(col(keywords), lambda k: F.contains(col(norm), k["norm"]))
-    return F.transform(hits, lambda k: k["raw"])
+    return F.expr(f"transform(filter({keywords}, k -> contains({norm}, k.norm)), k -> k.raw)")
 
 
 def job_text(*norms: Column | str) -> Column:
@@ -226,6 +223,30 @@ EXCLUDED, SENIORITY, LOCATION, EMPLOYMENT, NO_KEYWORDS, MATCHED = (
 )
 
 
+_KEYWORDS = "array_distinct(concat(title_hits, description_hits))"
+_LADDER = f"""
+  case when size(exclude_hits) > 0 then '{EXCLUDED}'
+       when size(seniority_hits) > 0 then '{SENIORITY}'
+       when size(location_kw) > 0 and size(location_hits) = 0 then '{LOCATION}'
+       when size(employment_kw) > 0 and employment_type <> '' and size(employment_hits) = 0 then '{EMPLOYMENT}'
+       when size({_KEYWORDS}) = 0 then '{NO_KEYWORDS}'
+       else '{MATCHED}' end"""
+
+# The reason texts.
+_REASON = f"""
+  case reason_class
+    when '{EXCLUDED}' then concat('excluded keyword(s): ', array_join(exclude_hits, ', '))
+    when '{SENIORITY}' then concat('excluded seniority: ', array_join(seniority_hits, ', '))
+    when '{LOCATION}' then concat('location did not match configured filters: ', coalesce(location, ''))
+    when '{EMPLOYMENT}' then concat('employment type did not match: ', employment_type)
+    when '{NO_KEYWORDS}' then 'no configured title or description keywords matched'
+    else concat_ws('; ',
+      if(size(title_hits) > 0, concat('title matched: ', array_join(title_hits, ', ')), null),
+      if(size(description_hits) > 0, concat('description matched: ', array_join(description_hits, ', ')), null),
+      if(size(location_hits) > 0, concat('location matched: ', array_join(location_hits, ', ')), null))
+  end"""
+
+
 def evaluate(postings: DataFrame, rules: DataFrame) -> DataFrame:
     """Join the effective rules and stamp match status, keywords, reason and reason class.
 
@@ -244,60 +265,14 @@ def evaluate(postings: DataFrame, rules: DataFrame) -> DataFrame:
             "employment_hits": contains_any("n_employment", "employment_kw"),
         }
     )
-    has_type = nonempty("employment_type").isNotNull()
-    keywords = F.array_distinct(F.concat("title_hits", "description_hits"))
-    ladder = (
-        F.when(F.size("exclude_hits") > 0, F.lit(EXCLUDED))
-        .when(F.size("seniority_hits") > 0, F.lit(SENIORITY))
-        .when((F.size("location_kw") > 0) & (F.size("location_hits") == 0), F.lit(LOCATION))
-        .when(
-            (F.size("employment_kw") > 0) & has_type & (F.size("employment_hits") == 0),
-            F.lit(EMPLOYMENT),
-        )
-        .when(F.size(keywords) == 0, F.lit(NO_KEYWORDS))
-        .otherwise(F.lit(MATCHED))
-    )
-    staged = hits.withColumn("reason_class", ladder)
-
-    def listed(prefix: str, name: str) -> Column:
-        return F.concat(F.lit(prefix), F.array_join(name, ", "))
-
-    def part(prefix: str, name: str) -> Column:
-        return F.when(F.size(name) > 0, listed(prefix, name))
-
-    kind = F.col("reason_class")
-    reason = (
-        F.when(kind == EXCLUDED, listed("excluded keyword(s): ", "exclude_hits"))
-        .when(kind == SENIORITY, listed("excluded seniority: ", "seniority_hits"))
-        .when(
-            kind == LOCATION,
-            F.concat(
-                F.lit("location did not match configured filters: "),
-                F.coalesce("location", F.lit("")),
-            ),
-        )
-        .when(
-            kind == EMPLOYMENT,
-            F.concat(F.lit("employment type did not match: "), F.col("employment_type")),
-        )
-        .when(kind == NO_KEYWORDS, F.lit("no configured title or description keywords matched"))
-        .otherwise(
-            F.concat_ws(
-                "; ",
-                part("title matched: ", "title_hits"),
-                part("description matched: ", "description_hits"),
-                part("location matched: ", "location_hits"),
-            )
-        )
-    )
-    matched = kind == MATCHED
+    staged = hits.withColumns({"reason_class": F.expr(_LADDER), "keywords": F.expr(_KEYWORDS)})
     decided = staged.withColumns(
         {
-            "match_status": F.when(matched, F.lit("matched")).otherwise(F.lit("filtered_out")),
-            "matched_keywords": F.when(matched, keywords).otherwise(
-                F.array().cast("array<string>")
+            "match_status": F.expr("if(reason_class = 'matched', 'matched', 'filtered_out')"),
+            "matched_keywords": F.expr(
+                "if(reason_class = 'matched', keywords, cast(array() as array<string>))"
             ),
-            "match_reason": reason,
+            "match_reason": F.expr(_REASON),
         }
     )
     return decided.select(

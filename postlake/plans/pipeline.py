@@ -25,7 +25,7 @@ from postlake.operators.rules import (
 )
 from postlake.operators.store import JobStore, to_job_rows, to_run_log
 from postlake.session import materialize
-from postlake.sources import SourceParser, parse_all, unsupported
+from postlake.sources import SourceParser, needed_sources, parse_all, unsupported
 
 
 @dataclass
@@ -65,7 +65,9 @@ def run(
     the decisions once to the shared folder, for runs whose results feed several actions.
     """
     companies = require_company(rules, company) if company else select_companies(rules)
-    parsed = parse_all(captures, companies, sources)
+    # Injected sources are all used; registered ones only where a company has their type.
+    parsers = needed_sources(companies) if sources is None else sources
+    parsed = parse_all(captures, companies, parsers)
     valid, rejects = split_valid(parsed)
     failures = unsupported(companies, sources)
     if strict:

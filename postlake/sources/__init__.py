@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlake.schema import POSTINGS
 from postlake.sources.ashby import parse_ashby
 from postlake.sources.avature import parse_avature
 from postlake.sources.eightfold import parse_eightfold
@@ -48,6 +49,16 @@ def register_source(name: str, parser: SourceParser) -> None:
     _REGISTRY[name] = parser
 
 
+def needed_sources(
+    rules: DataFrame, sources: Mapping[str, SourceParser] | None = None
+) -> dict[str, SourceParser]:
+    """The parsers some company asks for; at most one name per source type reaches the driver."""
+    known = registered_sources() if sources is None else sources
+    asked = rules.select("source_type").where(F.col("source_type").isin(list(known))).distinct()
+    wanted = {row.source_type for row in asked.collect()}
+    return {name: parser for name, parser in known.items() if name in wanted}
+
+
 def parse_all(
     captures: DataFrame, rules: DataFrame, sources: Mapping[str, SourceParser] | None = None
 ) -> DataFrame:
@@ -56,6 +67,8 @@ def parse_all(
     Each branch filters on `source_type`; captures partitioned by it are read once in all.
     """
     parsers = registered_sources() if sources is None else sources
+    if not parsers:
+        return captures.sparkSession.createDataFrame([], POSTINGS)
     return reduce(
         DataFrame.unionByName, [parser(captures, rules) for parser in parsers.values()]
     )
