@@ -220,9 +220,9 @@ def e01(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVEN_SEEN = "seen as (select dedup_key from d where l_orderkey % 2 = 0)"
 
 
-def _even_seen(decided: DataFrame) -> DataFrame:
+def even_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of even orders stand for the stored keys."""
-    return decided.where("l_orderkey % 2 = 0").select("dedup_key")
+    return E.with_dedup_key(views.star(spark, sf_dir).where("l_orderkey % 2 = 0")).select("dedup_key")
 
 
 @query("E02_anti_join_seen", f"""
@@ -230,7 +230,7 @@ def _even_seen(decided: DataFrame) -> DataFrame:
   select company, count(*) as n, count(*) filter (dedup_key in (select dedup_key from seen)) as n_seen from d where reason_class = 'matched' group by 1""")
 def e02(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = star_decided(spark, sf_dir)
-    matched, seen = _matched(decided).select("company", "dedup_key"), _even_seen(decided)
+    matched, seen = _matched(decided).select("company", "dedup_key"), even_seen(spark, sf_dir)
     fresh = E.unseen(matched, seen).withColumn("was_seen", F.lit(0))
     known = E.already_seen(matched, seen).withColumn("was_seen", F.lit(1))
     return fresh.unionByName(known).groupBy("company").agg(F.count(F.lit(1)).alias("n"), F.sum("was_seen").alias("n_seen"))
@@ -249,7 +249,7 @@ def e03(spark: SparkSession, sf_dir: str) -> DataFrame:
   select company, count(*) - count(distinct dedup_key) filter (dedup_key not in (select dedup_key from seen)) as duplicates_skipped from m group by 1""")
 def e04(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = star_decided(spark, sf_dir)
-    counts = P.company_counts(decided, _even_seen(decided)).where("jobs_matched > 0")
+    counts = P.company_counts(decided, even_seen(spark, sf_dir)).where("jobs_matched > 0")
     return counts.select("company", "duplicates_skipped")
 
 
@@ -300,7 +300,7 @@ _FUNNEL = f"""
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = star_decided(spark, sf_dir)
-    return P.company_results(views.star_rules(spark, sf_dir), decided, _even_seen(decided))
+    return P.company_results(views.star_rules(spark, sf_dir), decided, even_seen(spark, sf_dir))
 
 
 @query("F01_company_results", f"with {_FUNNEL} select * from res")

@@ -12,7 +12,7 @@ from postlake.operators.store import JobStore, read_seen, to_job_rows, to_run_lo
 from postlake.plans import sites, views
 from postlake.plans.oracle import norm
 from postlake.plans.pipeline import run_into
-from postlake.plans.q_rules import STAR_CTES, _EVEN_SEEN, _REASON, _even_seen, _matched, star_decided
+from postlake.plans.q_rules import STAR_CTES, _EVEN_SEEN, _REASON, even_seen, _matched, star_decided
 from postlake.plans.registry import query, table
 from postlake.session import new_scratch
 from postlake.streaming.incremental import (
@@ -75,7 +75,7 @@ def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
          '' as failures, 1.23 as execution_duration_seconds from d""")
 def s18(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = star_decided(spark, sf_dir)
-    results = P.company_results(views.star_rules(spark, sf_dir), decided, _even_seen(decided))
+    results = P.company_results(views.star_rules(spark, sf_dir), decided, even_seen(spark, sf_dir))
     store = JobStore(spark, new_scratch(spark, "store"))
     at = F.lit("2026-07-20 06:00:00.25").cast("timestamp")
     store.append_run_log(to_run_log(P.run_summary(results), at, F.lit(1.2345)), "b0")
