@@ -143,8 +143,8 @@ def b07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("B08_has_more", f"""{PART_ROWS}, page as (select distinct company, c, page_no from site)
-  select company, page_no, case when c % 4 = 1 and page_no = 5 then 0 else 1 end as by_number,
-         case when c % 4 = 1 and page_no = 5 then 0 else 1 end as by_offset from page""")
+  select company, page_no, cast(not (c % 4 = 1 and page_no = 5) as bigint) as by_number,
+         cast(not (c % 4 = 1 and page_no = 5) as bigint) as by_offset from page""")
 def b08(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered, _ = sites.icims(spark, sf_dir)
     offset, _ = sites.avature(spark, sf_dir)

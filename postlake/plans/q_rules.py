@@ -277,7 +277,7 @@ def e08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("E09_list_overlap", """
-  select s_suppkey as company_ord, case when s_suppkey % 4 = 1 then 1 else 0 end as names_us,
+  select s_suppkey as company_ord, cast(s_suppkey % 4 = 1 as bigint) as names_us,
          (select count(*) from lineitem where l_suppkey = s_suppkey) as n from supplier""")
 def e09(spark: SparkSession, sf_dir: str) -> DataFrame:
     lowered = F.transform("location_filters", lambda f: F.lower(F.trim(f)))

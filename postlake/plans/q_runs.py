@@ -72,7 +72,7 @@ def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
          count(*) filter (reason_class = 'matched') as jobs_matched,
          count(distinct dedup_key) filter (reason_class = 'matched' and dedup_key not in (select dedup_key from seen)) as new_jobs_inserted,
          count(*) filter (reason_class = 'matched') - count(distinct dedup_key) filter (reason_class = 'matched' and dedup_key not in (select dedup_key from seen)) as duplicates_skipped,
-         '' as failures, 1.23 as execution_duration_seconds from d""")
+         '' as failures, cast(1.23 as double) as execution_duration_seconds from d""")
 def s18(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = star_decided(spark, sf_dir)
     results = P.company_results(views.star_rules(spark, sf_dir), decided, even_seen(spark, sf_dir))
@@ -115,7 +115,7 @@ SITE_CTES = f"""
 
 @query("S20_dry_run", f"""
   with {SITE_CTES} select company, count(*) as jobs_fetched, count(*) filter (hit) as jobs_matched, count(*) filter (hit) as new_jobs_inserted,
-         0 as duplicates_skipped from m group by 1""")
+         cast(0 as bigint) as duplicates_skipped from m group by 1""")
 def s20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No store is touched: all matched postings count as new."""
     captures, rules = sites.greenhouse(spark, sf_dir)
@@ -140,7 +140,7 @@ def _landing(spark: SparkSession, sf_dir: str):
 
 
 @query("T01_incremental_run", f"""
-  with {SITE_CTES} select company, n, case when page_no < 5 then 0 when page_no < 9 then 1 else 2 end as cycle from m where hit and n > 0""")
+  with {SITE_CTES} select company, n, cast(case when page_no < 5 then 0 when page_no < 9 then 1 else 2 end as bigint) as cycle from m where hit and n > 0""")
 def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three fetch cycles through the stream; each one appends what earlier cycles had not."""
     cycles, rules = _landing(spark, sf_dir)
@@ -161,7 +161,7 @@ def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select 1, count(*) filter (page_no between 3 and 8), count(*) filter (page_no between 3 and 8 and hit) from m
     union all select 2, count(*) filter (page_no > 8 or page_no = 0), count(*) filter ((page_no > 8 or page_no = 0) and hit) from m),
   fresh as (select cycle, count(*) filter (hit) as n from c group by 1)
-  select fetched.cycle, (select count(distinct c) from site) as companies_checked, f as jobs_fetched, h as jobs_matched,
+  select cast(fetched.cycle as bigint) as cycle, (select count(distinct c) from site) as companies_checked, f as jobs_fetched, h as jobs_matched,
          coalesce(fresh.n, 0) as new_jobs_inserted, h - coalesce(fresh.n, 0) as duplicates_skipped from fetched left join fresh using (cycle)""")
 def t01_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     cycles, rules = _landing(spark, sf_dir)
@@ -195,7 +195,7 @@ def _slices(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 @query("T01_seen_keys", """
   with e as (select *, user_id || ':' || event_type as dedup_key, case when day(ts) <= 10 then 0 when day(ts) <= 20 then 1 else 2 end as cycle from events),
   x as (select *, row_number() over (partition by dedup_key order by cycle, ts, event_id) as rn from e)
-  select dedup_key, event_id, cycle from x where rn = 1""")
+  select dedup_key, event_id, cast(cycle as bigint) as cycle from x where rn = 1""")
 def t01_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = new_scratch(spark, "keys")
     for part in _slices(spark, sf_dir):

@@ -59,7 +59,7 @@ GREENHOUSE_SQL = f"""
 
 @query("S01_read_captures", f"""
   with site as ({sites.ORDERS_SQL})
-  select company, page_no, count(*) as n_items, sum(o_custkey) as sum_key from site group by all""")
+  select company, page_no, count(*) as n_items, cast(sum(o_custkey) as bigint) as sum_key from site group by all""")
 def s01(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures, _ = sites.greenhouse(spark, sf_dir)
     keys = sites.packed(sites.orders(spark, sf_dir), sites.text("o_custkey"), ",")
@@ -297,7 +297,7 @@ def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("S12_format_sniff", f"""
   with site as ({sites.PARTS_SQL}), page as (select distinct company, page_no from site)
-  select company, page_no, 1 as is_xml from page union all select company, page_no, 0 from page
+  select company, page_no, cast(1 as bigint) as is_xml from page union all select company, page_no, 0 from page
   union all select 'page ' || page_id, 0, 0 from pages""")
 def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
     feeds, _ = sites.successfactors_xml(spark, sf_dir)
@@ -337,7 +337,7 @@ MANY_SQL = " union all ".join(
 
 @query("S13_parse_all", f"""
   select source, company, count(*) as n, count(location) as n_location, count(posting_url) as n_url,
-         sum(length(title)) as title_chars from ({MANY_SQL}) group by all""")
+         cast(sum(length(title)) as bigint) as title_chars from ({MANY_SQL}) group by all""")
 def s13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_all(*_many_sites(spark, sf_dir)).groupBy("source", "company").agg(
         F.count(F.lit(1)).alias("n"), F.count("location").alias("n_location"), F.count("posting_url").alias("n_url"),

@@ -81,7 +81,7 @@ _BASE = "regexp_extract(url, '^([^:]+://[^/?#]*)', 1)"
                     generate_subscripts(regexp_extract_all(html, '(?is)<a\\b[^>]*?>.*?</a>'), 1) as i from pages),
   h as (select *, trim({unescape_sql("regexp_extract(a, 'href=.([^\"]*)', 1)")}) as href from m)
   select page_id, cast(i - 1 as bigint) as pos, {strip_html("regexp_extract(a, '(?is)<a\\b[^>]*?>(.*?)</a>', 1)")} as text,
-         {_BASE} || href as link, nullif(regexp_extract(href, '/(\\d+)/?$', 1), '') as link_id, 0 as is_next_page
+         {_BASE} || href as link, nullif(regexp_extract(href, '/(\\d+)/?$', 1), '') as link_id, cast(0 as bigint) as is_next_page
   from h where href <> ''""")
 def j04(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = tables.link_table(table(spark, sf_dir, "pages"))
@@ -221,7 +221,7 @@ def c09(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("C10_links", f"""
   {PART_ROWS}, ids as (select *, {sites.ID_SQL} as id from site)
-  select company, page_no, count(distinct id) as n_ids, count(*) as n_links, sum(id) as id_sum from ids group by all""")
+  select company, page_no, count(distinct id) as n_ids, count(*) as n_links, cast(sum(id) as bigint) as id_sum from ids group by all""")
 def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Qualified posting links of search pages; login and next-page links are left out."""
     captures, _ = sites.icims(spark, sf_dir)
@@ -343,7 +343,7 @@ def c20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("C21_spans", f"""
-  {PART_ROWS} select n, case when n % 6 <> 0 then {INITCAP.format('p_name')} else '' end as title, 1 as has_text from site""")
+  {PART_ROWS} select n, case when n % 6 <> 0 then {INITCAP.format('p_name')} else '' end as title, cast(1 as bigint) as has_text from site""")
 def c21(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _details(spark, sf_dir, sites.rmk_detail())
     return rows.select(
