@@ -82,8 +82,12 @@ def failure_list(failures: DataFrame) -> DataFrame:
 
 
 def run_summary(results: DataFrame) -> DataFrame:
-    """Totals over the company rows."""
-    in_order = F.array_sort(F.collect_list(F.struct("company_ord", "failures")))
+    """Totals over the company rows.
+
+    Only companies with failures enter the failure list, which is one cell of the run log.
+    """
+    failed = F.when(F.size("failures") > 0, F.struct("company_ord", "failures"))
+    in_order = F.array_sort(F.collect_list(failed))
     return results.agg(
         F.count(F.lit(1)).alias("companies_checked"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS],
@@ -92,7 +96,10 @@ def run_summary(results: DataFrame) -> DataFrame:
 
 
 def nested_summary(results: DataFrame) -> DataFrame:
-    """Totals plus the company rows as one nested column, in company order."""
+    """Totals plus the company rows as one nested column, in company order.
+
+    One small struct per configured company; never one per posting.
+    """
     rows = F.array_sort(F.collect_list(F.struct("company_ord", "company", *COUNTS)))
     return results.agg(
         F.count(F.lit(1)).alias("companies_checked"),

@@ -62,7 +62,8 @@ def run(
 
     `seen` left out is a dry run against an empty store. `strict` drops all postings of a company
     with one invalid posting; by default only the invalid row is rejected. `store_decisions` writes
-    the decisions once to the shared folder, for runs whose results feed several actions.
+    the decisions, without descriptions, once to the shared folder, for runs whose results feed
+    several actions.
     """
     companies = require_company(rules, company) if company else select_companies(rules)
     # Injected sources are all used; registered ones only where a company has their type.
@@ -84,7 +85,8 @@ def run(
         )
     decided = decide(valid, companies, filters or GlobalFilters())
     if store_decisions:
-        decided = materialize(decided, "decisions")
+        # No output column needs the long text any more.
+        decided = materialize(decided.drop("description"), "decisions")
     matched = decided.where(F.col("match_status") == "matched")
     empty = decided.sparkSession.createDataFrame([], "dedup_key string")
     known = empty if seen is None else seen

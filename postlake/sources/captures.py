@@ -11,8 +11,8 @@ from postlake.schema import CAPTURES
 def read_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Captures from a folder of Parquet, JSON lines or ORC files.
 
-    Partitioned by `source_type`, each parser reads its own folders only. Failed fetches are left
-    out.
+    Partitioned by `source_type` and `kind`, each parser branch reads its own folders only. Failed
+    fetches are left out.
     """
     landed = spark.read.format(fmt).schema(CAPTURES).load(path)
     return landed.where(F.col("status").isNull() | F.col("status").between(200, 299))
@@ -25,7 +25,7 @@ def failed_fetches(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
 
 
 def write_captures(captures: DataFrame, path: str) -> None:
-    captures.write.mode("append").partitionBy("source_type").parquet(path)
+    captures.write.mode("append").partitionBy("source_type", "kind").parquet(path)
 
 
 def read_xml_feed(spark: SparkSession, path: str, row_tag: str = "job") -> DataFrame:
