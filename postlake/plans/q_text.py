@@ -385,13 +385,11 @@ def c24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders_as(spark, sf_dir, seconds, D.epoch_s_date)
 
 
-@query("C25_us_date", f"{ORDER_ROWS} select n, case when year(o_orderdate) < 2000 and n % 2 = 1 then strftime(o_orderdate + interval 100 year, '%Y-%m-%d') else {_DAY} end as date from site where not (month(o_orderdate) = 2 and day(o_orderdate) = 29)")
+@query("C25_us_date", f"{ORDER_ROWS} select n, case when year(o_orderdate) < 2000 and n % 2 = 1 then strftime(o_orderdate + interval 100 year, '%Y-%m-%d') else {_DAY} end as date from site")
 def c25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-digit years belong to this century, so 1997 written short reads as 2097."""
     short, full = F.date_format("o_orderdate", "M/d/yy"), F.date_format("o_orderdate", "M/d/yyyy")
-    rows = sites.orders(spark, sf_dir).where("not (month(o_orderdate) = 2 and day(o_orderdate) = 29)")
-    written = rows.select("n", F.when(F.col("n") % 2 == 1, short).otherwise(full).alias("w"))
-    return written.select("n", D.us_date("w").cast("string").alias("date"))
+    return _orders_as(spark, sf_dir, F.when(F.col("n") % 2 == 1, short).otherwise(full), D.us_date)
 
 
 @query("C26_rfc_date", f"{ORDER_ROWS} select n, {_DAY} as date from site")
