@@ -26,6 +26,7 @@ from postlake.operators.rules import (
 from postlake.operators.store import JobStore, to_job_rows, to_run_log
 from postlake.session import materialize
 from postlake.sources import SourceParser, needed_sources, parse_all, unsupported
+from postlake.sources.captures import fetch_failures
 
 
 @dataclass
@@ -56,12 +57,15 @@ def run(
     company: str | None = None,
     strict: bool = False,
     sources: Mapping[str, SourceParser] | None = None,
+    failed: DataFrame | None = None,
     store_decisions: bool = False,
 ) -> Run:
     """Parse, decide, deduplicate and count.
 
     `seen` left out is a dry run against an empty store. `strict` drops all postings of a company
-    with one invalid posting; by default only the invalid row is rejected. `store_decisions` writes
+    with one invalid posting or failed fetch; by default only the invalid row is rejected and what
+    was fetched is kept. `failed` are captures whose fetch failed; they enter the failure list.
+    `store_decisions` writes
     the decisions, without descriptions, once to the shared folder, for runs whose results feed
     several actions.
     """
@@ -71,6 +75,11 @@ def run(
     parsed = parse_all(captures, companies, parsers)
     valid, rejects = split_valid(parsed)
     failures = unsupported(companies, sources)
+    if failed is not None:
+        unfetched = fetch_failures(failed, companies)
+        failures = failures.unionByName(unfetched.select("company", "company_ord", "message"))
+        if strict:
+            valid = valid.join(unfetched.select("run_id", "company"), ["run_id", "company"], "left_anti")
     if strict:
         valid = fail_whole_companies(valid, rejects)
         broken = rejects.groupBy("company", "company_ord").agg(
@@ -114,11 +123,14 @@ def run_into(
     company: str | None = None,
     strict: bool = False,
     sources: Mapping[str, SourceParser] | None = None,
+    failed: DataFrame | None = None,
 ) -> Run:
     """Run against a store: new postings first, then the run log. A dry run reads and writes nothing."""
     started = time.monotonic()
     if dry_run:
-        return run(captures, rules, filters, company=company, strict=strict, sources=sources)
+        return run(
+            captures, rules, filters, company=company, strict=strict, sources=sources, failed=failed
+        )
     store.ensure_tables()
     seen = store.seen(excluding_batch=batch)
     done = run(
@@ -129,6 +141,7 @@ def run_into(
         company=company,
         strict=strict,
         sources=sources,
+        failed=failed,
         store_decisions=True,
     )
     # Counted before the jobs land: the log must not see this batch's own keys.

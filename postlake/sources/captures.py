@@ -24,6 +24,17 @@ def failed_fetches(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     return landed.where(~F.col("status").between(200, 299))
 
 
+def fetch_failures(failed: DataFrame, rules: DataFrame) -> DataFrame:
+    """One failure text per company and run: that of its first failed page."""
+    message = F.concat(
+        "company", F.lit(": HTTPStatusError: "), F.col("status").cast("string"), F.lit(" for "), "url"
+    )
+    known = failed.join(rules.select("company", "company_ord"), "company")
+    return known.groupBy("run_id", "company", "company_ord").agg(
+        F.min_by(message, F.struct(F.col("kind") != "list", "page_no", "url")).alias("message")
+    )
+
+
 def write_captures(captures: DataFrame, path: str) -> None:
     captures.write.mode("append").partitionBy("source_type", "kind").parquet(path)
 

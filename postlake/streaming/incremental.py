@@ -27,8 +27,17 @@ def run_incremental(
     """
     arrived = spark.readStream.schema(CAPTURES).parquet(landing)
 
+    fetched = F.col("status").isNull() | F.col("status").between(200, 299)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        run_into(store, batch, rules, filters, batch=f"b{batch_id:010d}")
+        run_into(
+            store,
+            batch.where(fetched),
+            rules,
+            filters,
+            batch=f"b{batch_id:010d}",
+            failed=batch.where(~fetched),
+        )
 
     query = (
         arrived.writeStream.foreachBatch(handle)

@@ -76,6 +76,17 @@ def test_stream_equals_batch(spark):
     assert store.run_log().count() == 3
 
 
+def test_failed_fetch_is_a_failure_of_its_company(spark):
+    good = captures(spark, board("A", 1), board("B", 2))
+    bad = captures(spark, capture("greenhouse", "", company="B", page_no=2, url="https://b/2", status=503), capture("greenhouse", "", company="B", page_no=1, url="https://b/1", status=404))
+    lenient = run(good, two_companies(spark), FILTERS, failed=bad)
+    got = {r.company: (r.jobs_fetched, list(r.failures)) for r in lenient.results.collect()}
+    assert got["A"] == (1, []) and got["B"] == (1, ["B: HTTPStatusError: 404 for https://b/1"])
+    strict = run(good, two_companies(spark), FILTERS, failed=bad, strict=True)
+    assert {r.company: r.jobs_fetched for r in strict.results.collect()} == {"A": 1, "B": 0, "C": 0}
+    assert strict.summary.first().failures == ["B: HTTPStatusError: 404 for https://b/1", "C: NotImplementedError: custom is not supported"]
+
+
 def test_landing_keeps_failed_fetches_apart(spark):
     base = new_scratch(spark, "landing")
     write_captures(captures(spark, board("A", 1), capture("lever", "[]", status=503)), base)
