@@ -14,7 +14,6 @@ from postlake.functions.text import (
     LINE_BREAK,
     WHITESPACE,
     col,
-    nonempty,
     squeeze_sql,
     strip_sql,
     title_case_words,

@@ -6,17 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake.functions.xml import is_xml
-from postlake.operators.dedup import new_postings, unseen, with_dedup_key
+from postlake.operators.dedup import unseen, with_dedup_key
 from postlake.operators.rules import company_key, select_companies
 from postlake.plans import sites, views
-from postlake.plans.oracle import norm, norm_url, sha16, strip_html, unescape
+from postlake.plans.oracle import norm
 from postlake.plans.pipeline import run
 from postlake.plans.registry import query, table
 from postlake.session import new_scratch
 from postlake.sources import parse_all, registered_sources, unsupported
+from postlake.sources.ashby import parse_ashby
+from postlake.sources.avature import parse_avature
 from postlake.sources.captures import read_captures, write_captures
 from postlake.sources.eightfold import parse_eightfold
 from postlake.sources.greenhouse import parse_greenhouse
+from postlake.sources.icims import parse_icims
+from postlake.sources.lever import parse_lever
 from postlake.sources.smartrecruiters import parse_smartrecruiters
 from postlake.sources.successfactors import (
     parse_successfactors_html,
@@ -64,7 +68,7 @@ def s01(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures, _ = sites.greenhouse(spark, sf_dir)
     keys = sites.packed(sites.orders(spark, sf_dir), sites.text("o_custkey"), ",")
     path = new_scratch(spark, "landing")
-    write_captures(sites._captures(keys, "lever", "list", page_no=F.col("page_no"), body=F.concat(F.lit("["), "items", F.lit("]"))), path)
+    write_captures(sites.as_captures(keys, "lever", "list", page_no=F.col("page_no"), body=F.concat(F.lit("["), "items", F.lit("]"))), path)
     landed = read_captures(spark, path).where(F.col("source_type") == "lever")
     numbers = F.from_json("body", "array<bigint>")
     return landed.select(
@@ -93,8 +97,6 @@ LEVER_SQL = f"""
 
 @query("S03_lever", LEVER_SQL)
 def s03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from postlake.sources.lever import parse_lever
-
     return shown(parse_lever(*sites.lever(spark, sf_dir)))
 
 
@@ -114,8 +116,6 @@ ASHBY_SQL = f"""
 
 @query("S04_ashby", ASHBY_SQL)
 def s04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from postlake.sources.ashby import parse_ashby
-
     return shown(parse_ashby(*sites.ashby(spark, sf_dir)))
 
 
@@ -198,8 +198,6 @@ ICIMS_SQL = f"""
 
 @query("S08_icims", ICIMS_SQL)
 def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from postlake.sources.icims import parse_icims
-
     return shown(parse_icims(*sites.icims(spark, sf_dir)))
 
 
@@ -232,8 +230,6 @@ AVATURE_SQL = f"""
 @query("S09_avature", AVATURE_SQL)
 def s09(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary fallbacks are shown by C17; here the detail fields count where a detail was found."""
-    from postlake.sources.avature import parse_avature
-
     captures, rules = sites.avature(spark, sf_dir)
     rows = parse_avature(captures, rules)
     keys = captures.where("kind = 'detail'").select(

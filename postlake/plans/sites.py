@@ -79,7 +79,7 @@ def rules_for(rows: DataFrame, source: str, **fields: Column) -> DataFrame:
     return companies.select(*chosen)
 
 
-def _captures(df: DataFrame, source: str, kind: str, **fields: Column) -> DataFrame:
+def as_captures(df: DataFrame, source: str, kind: str, **fields: Column) -> DataFrame:
     defaults = {
         "run_id": F.lit("r1"),
         "company": F.col("company"),
@@ -139,7 +139,7 @@ def greenhouse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     docs = packed(rows, item, ",")
     body = F.concat(F.lit('{"jobs":['), F.col("items"), F.lit(',"note",5,null],"meta":{"total":1}}'))
-    return _captures(docs, "greenhouse", "list", page_no=F.col("page_no"), body=body, url=_host()), rules_for(rows, "greenhouse")
+    return as_captures(docs, "greenhouse", "list", page_no=F.col("page_no"), body=body, url=_host()), rules_for(rows, "greenhouse")
 
 
 def lever(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -169,7 +169,7 @@ def lever(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     array = F.concat(F.lit("["), F.col("items"), F.lit(",7]"))
     wrapped = F.concat(F.lit('{"postings":'), array, F.lit("}"))
     body = F.when(F.col("page_no") % 2 == 0, array).otherwise(wrapped)
-    return _captures(docs, "lever", "list", page_no=F.col("page_no"), body=body, url=_host()), rules_for(rows, "lever")
+    return as_captures(docs, "lever", "list", page_no=F.col("page_no"), body=body, url=_host()), rules_for(rows, "lever")
 
 
 def ashby(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -196,7 +196,7 @@ def ashby(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     item = F.concat(head, F.lit(',"location":'), place, F.lit(',"department":'), unit, F.lit("}"))
     docs = packed(rows, item, ",")
     body = F.concat(F.lit('{"jobs":['), F.col("items"), F.lit("]}"))
-    return _captures(docs, "ashby", "list", page_no=F.col("page_no"), body=body, url=_host()), rules_for(rows, "ashby")
+    return as_captures(docs, "ashby", "list", page_no=F.col("page_no"), body=body, url=_host()), rules_for(rows, "ashby")
 
 
 def _paged_total() -> Column:
@@ -258,7 +258,7 @@ def workday(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     docs = packed(rows, _gaps(item), ",")
     body = F.concat(F.lit("{"), F.replace(_paged_total(), F.lit("TOTAL"), F.lit("total")), F.lit('"jobPostings":['), F.col("items"), F.lit("]}"))
-    return _captures(docs, "workday", "list", page_no=F.col("page_no"), body=body, url=_host()), rules_for(rows, "workday")
+    return as_captures(docs, "workday", "list", page_no=F.col("page_no"), body=body, url=_host()), rules_for(rows, "workday")
 
 
 def smartrecruiters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -292,7 +292,7 @@ def smartrecruiters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     item = F.concat(F.regexp_replace(base, r"\}$", ""), with_ref)
     docs = packed(rows, _gaps(item), ",")
     body = F.concat(F.lit("{"), F.replace(_paged_total(), F.lit("TOTAL"), F.lit("totalFound")), F.lit('"content":['), F.col("items"), F.lit("]}"))
-    lists = _captures(docs, "smartrecruiters", "list", page_no=F.col("page_no"), body=body, url=F.concat(endpoint, F.lit("?limit=20&offset="), text(F.col("page_no") * 20)))
+    lists = as_captures(docs, "smartrecruiters", "list", page_no=F.col("page_no"), body=body, url=F.concat(endpoint, F.lit("?limit=20&offset="), text(F.col("page_no") * 20)))
     by_id = F.concat(endpoint, F.lit("/"), every(2, F.concat(F.lit("u-"), text("n")), F.concat(F.lit("S"), text("n"))))
     # Four rows in five have a detail; the department is present there, but null.
     detail = F.to_json(
@@ -308,7 +308,7 @@ def smartrecruiters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     )
     detail = F.concat(F.regexp_replace(detail, r"\}$", ""), F.lit(',"department":null}'))
     found = rows.where(F.col("n") % 5 != 4)
-    details = _captures(
+    details = as_captures(
         found, "smartrecruiters", "detail", body=detail,
         detail_key=F.when(F.col("n") % 3 == 2, by_id).otherwise(ref),
     )
@@ -333,7 +333,7 @@ def eightfold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     docs = packed(rows, _gaps(item), ",")
     body = F.concat(F.lit('{"status":200,"data":{'), F.replace(_paged_total(), F.lit("TOTAL"), F.lit("count")), F.lit('"positions":['), F.col("items"), F.lit("]}}"))
-    lists = _captures(docs, "eightfold", "list", page_no=F.col("page_no"), body=body, url=_host())
+    lists = as_captures(docs, "eightfold", "list", page_no=F.col("page_no"), body=body, url=_host())
     detail = F.to_json(
         F.struct(
             F.struct(
@@ -343,7 +343,7 @@ def eightfold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         )
     )
     found = rows.where(F.col("n") % 5 != 4)
-    details = _captures(found, "eightfold", "detail", body=detail, detail_key=text(F.col("n") + 1))
+    details = as_captures(found, "eightfold", "detail", body=detail, detail_key=text(F.col("n") + 1))
     extra = F.create_map(F.lit("fetch_details"), F.when(F.col("c") % 4 == 3, F.lit("false")).otherwise(F.lit("true")))
     return lists.unionByName(details), rules_for(rows, "eightfold", extra=extra)
 
@@ -384,7 +384,7 @@ def icims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     more = F.when((F.col("c") % 4 == 1) & (F.col("page_no") == 5), F.lit("")).otherwise(
         F.concat(F.lit('<a href="?pr='), text(F.col("page_no") + 1), F.lit('">next</a>'))
     )
-    lists = _captures(
+    lists = as_captures(
         docs, "icims", "list", page_no=F.col("page_no"), body=_html(F.col("items"), more),
         url=F.concat(_host(), F.lit("/jobs/search?pr="), text("page_no")),
     )
@@ -408,7 +408,7 @@ def icims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.lit('<html><head><script type="application/ld+json">{broken</script><script type="application/ld+json">\n{"@graph":[{"@type":"Place"},'),
         posting, F.lit("]}</script></head></html>"),
     )
-    details = _captures(
+    details = as_captures(
         rows, "icims", "detail", body=every(3, F.lit("<html></html>"), body),
         detail_key=F.concat(_host(), F.lit("/jobs/"), text("n"), F.lit("/role/job?in_iframe=1&k=1")),
     )
@@ -436,7 +436,7 @@ def avature(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     more = F.when((F.col("c") % 4 == 1) & (F.col("page_no") == 5), F.lit("")).otherwise(
         F.concat(F.lit('<a href="/careers/SearchJobs?jobOffset='), text(offset), F.lit('">Next</a>'))
     )
-    lists = _captures(
+    lists = as_captures(
         docs, "avature", "list", page_no=F.col("page_no"), body=_html(F.col("items"), more),
         url=F.concat(_host(), F.lit("/careers/SearchJobs")),
     )
@@ -448,7 +448,7 @@ def avature(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
             F.concat(F.lit("/careers/JobDetail/Role-"), F.col("p_size").cast("string"), F.lit("/"), text("n")),
         ),
     )
-    details = _captures(rows, "avature", "detail", body=avature_detail(), detail_key=key)
+    details = as_captures(rows, "avature", "detail", body=avature_detail(), detail_key=key)
     extra = F.create_map(F.lit("max_pages"), F.when(F.col("c") % 3 == 0, F.lit("4")))
     return lists.unionByName(details), rules_for(rows, "avature", extra=extra)
 
@@ -504,7 +504,7 @@ def successfactors_xml(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     )
     docs = packed(rows, item, "\n")
     body = F.concat(F.lit('\n<?xml version="1.0"?><!-- feed --><jobs>'), F.col("items"), F.lit("</jobs>"))
-    return _captures(docs, "successfactors", "list", page_no=F.col("page_no"), body=body, url=_host()), rules_for(rows, "successfactors")
+    return as_captures(docs, "successfactors", "list", page_no=F.col("page_no"), body=body, url=_host()), rules_for(rows, "successfactors")
 
 
 def successfactors_html(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -522,8 +522,8 @@ def successfactors_html(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
         )
     )
     url = F.concat(_host(), F.lit("/search/?startrow="), text(F.col("page_no") * HTML_PAGE))
-    lists = _captures(docs, "successfactors", "list", page_no=F.col("page_no"), body=_html(F.col("items"), more), url=url)
-    details = _captures(
+    lists = as_captures(docs, "successfactors", "list", page_no=F.col("page_no"), body=_html(F.col("items"), more), url=url)
+    details = as_captures(
         rows, "successfactors", "detail", body=rmk_detail(),
         detail_key=F.concat(_host(), F.lit("/job/Role-"), text("p_size"), F.lit("/"), text("n"), F.lit("/")),
     )
