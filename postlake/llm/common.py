@@ -80,7 +80,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     for name, step in (("up", _BASE), ("down", _INVERSE)):
         have = _powers[name]
         while len(have) < n:
-            have = np.concatenate([have, have * (have[-1] * step)])
+            factor = int(have[-1]) * int(step) % (1 << 64)
+            have = np.concatenate([have, have * np.uint64(factor)])
         _powers[name] = have
     return _powers["up"][:n], _powers["down"][:n]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import bpe, chat, merkle, topk
+from postlake.llm import bpe, chat, langid, merkle, minhash, mixing, quality, runindex, topk
 from postlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,12 +33,35 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Domains of the labels table, and what their expected tokens are multiplied with.
+DOMAIN_WEIGHTS = {"plain": 1.1, "low": 0.5, "toxic": 0.25}
+
+
+@_query("op1_mix_to_targets")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.label_domains(table(spark, sf_dir, "labels"))
+    found = mixing.rates(table(spark, sf_dir, "documents"), labelled, DOMAIN_WEIGHTS)
+    shares = [(F.get("p", F.lit(i)) / mixing.GRID).alias(f"p_{d}") for i, d in enumerate(DOMAIN_WEIGHTS)]
+    return found.select("doc_id", "tokens", *shares, "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+
+
 @_query("op2_exact_top_k", topk.SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.whole_parts(F.col("embedding")).alias("v"))
     return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 
 
+@_query("op3_run_index_dedup", runindex.SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return runindex.digest(runindex.without_repeats(documents))
+
+
+@_query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
 @_query("op5_merkle_fingerprints", merkle.SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
@@ -56,3 +79,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.load(tokenizer_path())
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digest(bpe.encode(documents, vocabulary), vocabulary)
+
+
+@_query("op9_weak_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(table(spark, sf_dir, "documents"))
+
+
+@_query("op10_minhash_near_duplicates", minhash.SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
