@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import bpe, chat, langid, merkle, minhash, mixing, quality, runindex, topk
+from postlake.llm import bpe, chat, langid, merkle, minhash, mixing, quality, runindex, topk, wrappers
 from postlake.llm.common import table
+from postlake.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,6 +82,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(documents, vocabulary), vocabulary)
 
 
+@_query("op8_html_wrappers")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return wrappers.digest(wrappers.extracted(pages, materialize(wrappers.wrappers(pages), "wrappers")))
+
+
 @_query("op9_weak_quality")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"))

@@ -307,10 +307,11 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return spans.groupBy(*_KEYS).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """`docs` with three more columns: the removed spans, the number of bytes, and the bytes that are left.
+def without_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
+    """`docs` without `text`, with the removed spans, the number of bytes, and the bytes that are left.
 
-    spans: array of maximal removed runs (start, stop), in order; n_bytes; kept: binary.
+    spans: array of maximal removed runs (start, stop), in order; n_bytes; kept: binary. With
+    `whole_characters` a UTF-8 character goes if one of its bytes does, so that the rest is text.
     """
     marks = repeats(docs, length)
     key, text = own_column(docs, "_row_id"), own_column(docs, "_text")
@@ -339,6 +340,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 np.add.at(edge, ends[row] + inner.field("start").to_numpy(), 1)
                 np.add.at(edge, ends[row] + inner.field("stop").to_numpy(), -1)
                 gone = np.cumsum(edge[:-1]) > 0
+                if whole_characters and len(gone):
+                    character = np.cumsum((data & 0xC0) != 0x80)
+                    gone = (np.bincount(character, gone) > 0)[character]
                 owner = np.repeat(np.arange(len(sizes)), np.diff(ends))
                 before = np.zeros(len(gone), bool)
                 before[1:] = gone[:-1] & (owner[1:] == owner[:-1])
