@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 8_192
 QUERY_ROWS = 512
+MAX_PARTITIONS = 20_000
 
 OUT = "query_id long, vec_id long, score long"
 
@@ -125,6 +126,9 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 20, vector: str = "v") -
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         return pd.concat(found, ignore_index=True)
 
+    # Groups are few and heavy: far more partitions than groups keep them from meeting in one task.
+    parts = min(4 * rounds * blocks, MAX_PARTITIONS)
+    left, right = (x.repartition(parts, "q", "b") for x in (left, right))
     near = left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInPandas(run, OUT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
