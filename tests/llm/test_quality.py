@@ -5,7 +5,7 @@ import pytest
 
 from postlake.llm import quality
 
-SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SF_DIR = os.environ.get("TEST_QUALITY_DIR", "/root/testdata/sf0.01")  # enough documents to estimate from
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
