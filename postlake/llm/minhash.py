@@ -8,9 +8,10 @@ than independent hashes are. Two sets agree in a component with their Jaccard si
 
 Documents with equal shingle sets form a class and only its smallest id goes on, so thousands of copies
 cost one signature lookup. Bands of the signature that agree make candidates. A bucket does not emit its
-pairs: its members are compared to one pivot, then, where a bucket still holds several groups, to another
-pivot, and at last members of different groups among themselves. Every candidate that could join two
-groups is therefore compared on the full sets, and none inside one group.
+pairs: its members are compared to one pivot and, where a bucket still holds several groups, to three more.
+Members of different groups that are left are compared with each other in small buckets; in large ones an
+exact filter by rare shingles finds the pairs that can be similar at all. Every candidate that could join
+two groups is so compared on the full sets or ruled out, and none inside one group.
 
 With BANDS bands of ROWS rows a link at the threshold of 0.8 is missed with a probability of 4e-6, a
 stronger one less.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.llm.common import mix, signed, texts
@@ -35,6 +36,8 @@ from postlake.session import materialize
 
 ROWS = 5
 BANDS = 32
+#: Members of a bucket up to which pairs of different groups are compared directly.
+SMALL_BUCKET = 16
 
 _STEP = np.uint64(0xA0761D6478BD642F)
 _OTHER = np.uint64(0xE7037ED1A0B428DB)
@@ -150,6 +153,44 @@ def _pivots(members: DataFrame, turn: int, percent: int) -> DataFrame:
     return joined.select(high.alias("a"), low.alias("b")).distinct()
 
 
+def _more_pivots(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs with three more pivots of each bucket."""
+    found = [_pivots(rest, turn, percent) for turn in (1, 2, 3)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+
+
+def _rest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different groups that share a small bucket, or that the exact filter finds in large ones."""
+    few = rest.filter(F.col("size") <= SMALL_BUCKET)
+    other = few.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("g").alias("g2"))
+    pairs = few.join(other, "key").filter((F.col("g") < F.col("g2")) & _alike(F.col("n"), F.col("n2"), percent))
+    pairs = pairs.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b"))
+    many = rest.filter(F.col("size") > SMALL_BUCKET).select("id", "n", "g").distinct()
+    return pairs.unionByName(_rare_overlap(many, sets, percent)).distinct()
+
+
+def _rare_overlap(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different groups that can be similar, by their rarest shingles; exact.
+
+    Sets are ordered by how many members have a shingle. If two sets are similar enough, the first
+    n - ceil(2 p n / (100 + p)) + 1 shingles of the smaller and the first n - ceil(p n / 100) + 1 of the larger
+    have one in common. Texts that differ in words of their own share none of these, however many they are.
+    """
+    n, p = F.col("n"), percent
+    tokens = members.join(sets, "id").select("id", "n", "g", F.explode("s").alias("t"))
+    common = tokens.groupBy("t").agg(F.count("*").alias("c"))
+    order = Window.partitionBy("id").orderBy("c", "t")
+    probe = n - F.ceil(n * p / 100) + 1
+    index = n - F.ceil(n * (2 * p) / (100 + p)) + 1
+    ranked = tokens.join(common, "t").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= probe)
+    ranked = materialize(ranked.filter("c > 1").select("id", "n", "g", "t", (F.col("r") <= index).alias("first")), "rare")
+    small = ranked.filter("first").select("t", "id", "n", "g")
+    large = ranked.select("t", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("g").alias("g2"))
+    ascending = F.struct("n", "id") < F.struct(F.col("n2").alias("n"), F.col("id2").alias("id"))
+    met = small.join(large, "t").filter(ascending & (F.col("g") != F.col("g2")) & _alike(n, F.col("n2"), percent))
+    return met.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
@@ -173,18 +214,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     seen = _pivots(members, 0, percent)
     links = materialize(_verified(seen, sets, percent), "links")
     groups = components(links)
-    for turn in (1, 2):
+    for step in (_more_pivots, _rest):
         named = members.join(groups, "id", "left").withColumn("g", F.coalesce("component", "id"))
-        mixed = named.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y")).filter("x < y").select("key")
-        rest = materialize(named.join(mixed, "key").select("key", "id", "n", "g"), "rest")
-        if turn == 1:
-            pairs = _pivots(rest, turn, percent)
-        else:
-            other = rest.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("g").alias("g2"))
-            pairs = rest.join(other, "key").filter((F.col("g") < F.col("g2")) & _alike(F.col("n"), F.col("n2"), percent))
-            pairs = pairs.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
-        fresh = pairs.join(seen, ["a", "b"], "left_anti")
-        more = materialize(_verified(fresh, sets, percent), "links")
+        mixed = named.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("size"))
+        mixed = mixed.filter("x < y").select("key", "size")
+        rest = materialize(named.join(mixed, "key").select("key", "size", "id", "n", "g"), "rest")
+        pairs = materialize(step(rest, sets, percent).join(seen, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(_verified(pairs, sets, percent), "links")
         seen = seen.unionByName(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)

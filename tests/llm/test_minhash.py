@@ -75,8 +75,8 @@ def test_repeated_rows_and_no_rows(spark):
     assert minhash.near_duplicates(table.limit(0)).collect() == []
 
 
-def test_many_groups_in_one_bucket(spark):
-    """Members that miss the first pivot are still compared with the rest of their bucket."""
+def test_many_groups_in_one_bucket(spark, monkeypatch):
+    """Members that miss the pivots are still compared with the rest of their bucket, or ruled out."""
     draw = random.Random(5)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -86,8 +86,21 @@ def test_many_groups_in_one_bucket(spark):
             copy[draw.randrange(120)] = f"x{i}{j}"
         rows.append((i, " ".join(copy)))
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    got = minhash.near_duplicates(table, width=4).collect()
-    assert sorted(map(tuple, got), key=str) == brute(rows, 4)
+    for small in (16, 1):
+        monkeypatch.setattr(minhash, "SMALL_BUCKET", small)
+        got = minhash.near_duplicates(table, width=4).collect()
+        assert sorted(map(tuple, got), key=str) == brute(rows, 4)
+
+
+def test_rare_overlap_finds_every_pair(spark):
+    draw = random.Random(8)
+    sets = {i: set(draw.sample(range(30), draw.randrange(1, 12))) for i in range(120)}
+    sets |= {200 + i: sets[i] | {100 + i} for i in range(40)}
+    table = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, s array<long>")
+    members = spark.createDataFrame([(i, len(s), i) for i, s in sets.items()], "id long, n long, g long")
+    got = {(r.a, r.b) for r in minhash._rare_overlap(members, table, 80).collect()}
+    want = {(a, b) for a in sets for b in sets if a > b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert want and want <= got
 
 
 def test_signatures_estimate_similarity():
