@@ -13,7 +13,8 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
    against the rest are exact at run ends and lose one per byte in between, so they are streamed in text
    order from the samples. Positions with `length` or more mark a repeat.
 4. An anchor with more than GROUP differing contexts, such as the edge of a passage that very many
-   documents share, would not fit a task: its strings are counted by hash in a shuffle instead.
+   documents share, would not fit a task: its strings are counted by hash in shuffles instead, first in
+   blocks and one by one only where a block is neither unique nor repeated as a whole.
 
 Hashes are 64 bits wide and compared in pairs (anchor and context, or anchor and string).
 
@@ -37,6 +38,8 @@ LENGTH = 200
 K = 32
 #: Differing contexts of one anchor that a task indexes; more are counted in a shuffle.
 GROUP = 1_000
+#: Strings of a context that are counted as one block first.
+BLOCK = 16
 #: Bytes indexed at once, and window starts worked on at once.
 INDEX_BYTES = 600_000
 PIECE = 1_500_000
@@ -144,7 +147,7 @@ class RunIndex:
             sign = np.where(place < self.stop, data[np.minimum(place, n - 1)].astype(np.int64) + 1, 0)
             key = key << 9 | sign
         self.levels: list[tuple[int, np.ndarray]] = []
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         step = 7
         while True:
             ranked = key[order]
@@ -156,7 +159,7 @@ class RunIndex:
             place = at + step
             after = np.where(place < self.stop, rank[np.minimum(place, n - 1)] + len(starts), len(starts) - 1 - text)
             key = rank * (n + len(starts) + 1) + after
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             step *= 2
         self.data, self.order, self.rank = data, order, rank
         before = np.where(at > starts[text], data[np.maximum(at - 1, 0)].astype(np.int64), -1 - text)
@@ -241,11 +244,15 @@ def _indexed(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.mapInArrow(run, f"{_ID}, first long, last long")
 
 
-def _with_context(parts: DataFrame, rows: DataFrame, length: int, windows: bool) -> DataFrame:
-    """Contexts (row_id, row_hash, at, h, context) of `parts`, or the hash w of each of their strings."""
+def _with_context(parts: DataFrame, rows: DataFrame, length: int, blocks: bool) -> DataFrame:
+    """Contexts (row_id, row_hash, at, h, context) of `parts`.
+
+    With `blocks` the strings of a context are cut into blocks by their distance from the anchor; a row is
+    a block, `at` its first string, and `core` a hash of the bytes that all strings of such a block share.
+    """
     listed = parts.groupBy(*_KEYS).agg(F.collect_list(F.struct("at", "shape", "h")).alias("parts"))
     joined = listed.join(rows, _KEYS)
-    schema = f"{_ID}, at long, h long, " + ("w long" if windows else "context binary")
+    names = [*_KEYS, "at", "h", "context", *(["core"] if blocks else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -257,25 +264,75 @@ def _with_context(parts: DataFrame, rows: DataFrame, length: int, windows: bool)
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 inner = lists.flatten()
                 at, shape, h = (inner.field(k).to_numpy() for k in ("at", "shape", "h"))
-                ids, hashes = (batch.column(c).to_numpy()[row] for c in _KEYS)
-                more = shape.astype(np.int64) % 4096
-                start = ends[row] + at
-                if windows:
-                    places = spread(start, more + 1)
-                    each = np.repeat(np.arange(len(at)), more + 1)
-                    made = pa.array(signed(span_hash(prefix_hash(data), places, places + length)))
-                    ids, hashes, h, at = ids[each], hashes[each], h[each], places - ends[row][each]
-                else:
-                    size = more + length
-                    made = pa.Array.from_buffers(
-                        pa.binary(), len(size),
-                        [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(data[spread(start, size)])],
-                    )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(hashes), pa.array(at), pa.array(h), made], [*_KEYS, "at", "h", "w" if windows else "context"]
-                )
+                shape = shape.astype(np.int64)
+                start, more, far = ends[row] + at, shape % 4096, shape // 4096
+                core = None
+                if blocks:
+                    # Distances fall from `far` to `far - more` along the strings of a context.
+                    high, low = far // BLOCK, (far - more) // BLOCK
+                    number = high - low + 1
+                    each = np.repeat(np.arange(len(at)), number)
+                    block = np.repeat(high, number) - (np.arange(len(each)) - np.repeat(np.cumsum(number) - number, number))
+                    anchor = (start + far)[each]
+                    first = np.minimum(far[each], block * BLOCK + BLOCK - 1)
+                    last = np.maximum((far - more)[each], block * BLOCK)
+                    start, more, row, h = anchor - first, first - last, row[each], h[each]
+                    shared = anchor - block * BLOCK
+                    core = signed(span_hash(prefix_hash(data), shared, shared + length - BLOCK + 1))
+                size = more + length
+                context = pa.Array.from_buffers(
+                    pa.binary(), len(size),
+                    [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(data[spread(start, size)])],
+                )
+                keys = [pa.array(batch.column(c).to_numpy()[row]) for c in _KEYS]
+                made = [*keys, pa.array(start - ends[row]), pa.array(h), context, *([pa.array(core)] if blocks else [])]
+                yield pa.RecordBatch.from_arrays(made, names)
+
+    return joined.mapInArrow(run, f"{_ID}, at long, h long, context binary" + ", core long" * blocks)
+
+
+def _windows(blocks: DataFrame, length: int) -> DataFrame:
+    """(row_id, row_hash, at, h, w): the hash of each string of some blocks."""
 
-    return joined.mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in range(0, whole.num_rows, 5_000):
+                batch = whole.slice(b, 5_000)
+                data, ends = flat(batch.column("context"))
+                number = np.diff(ends) - length + 1
+                row = np.repeat(np.arange(len(number)), number)
+                start = spread(ends[:-1], number)
+                w = signed(span_hash(prefix_hash(data), start, start + length))
+                at = batch.column("at").to_numpy()[row] + start - ends[row]
+                keys = [pa.array(batch.column(c).to_numpy()[row]) for c in _KEYS]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(at), pa.array(batch.column("h").to_numpy()[row]), pa.array(w)], [*_KEYS, "at", "h", "w"])
+
+    return blocks.mapInArrow(run, f"{_ID}, at long, h long, w long")
+
+
+def _counted(contexts: DataFrame, length: int) -> DataFrame:
+    """(row_id, row_hash, first, last): repeated strings of blocks by counting, from coarse to fine.
+
+    A block whose core is unique has no repeat; one that occurs twice as a whole repeats throughout; only the
+    strings of the others, at the edges of what repeats, are counted one by one.
+    """
+    whole = F.xxhash64("context")
+    blocks = materialize(contexts.withColumn("whole", whole), "blocks")
+    cores = blocks.groupBy("h", "core").agg(F.count("*").alias("n")).filter("n > 1").select("h", "core")
+    wholes = blocks.groupBy("h", "whole").agg(F.count("*").alias("n")).filter("n > 1").select("h", "whole", F.lit(True).alias("again"))
+    alive = blocks.join(cores, ["h", "core"], "left_semi").join(wholes, ["h", "whole"], "left")
+    alive = materialize(alive, "alive")
+    last = F.col("at") + F.octet_length("context") - length
+    settled = alive.filter("again").select(*_KEYS, F.col("at").alias("first"), last.alias("last"))
+    edges = alive.filter("again is null")
+    strings = _windows(edges.select(*_KEYS, "at", "h", "context"), length)
+    # A string at an edge may also occur inside a block that repeats: one of each of these is counted.
+    inner = alive.filter("again").join(edges.select("h", "core").distinct(), ["h", "core"], "left_semi")
+    inner = inner.groupBy("h", "whole").agg(F.min(F.struct(*_KEYS, "at", "context")).alias("one"))
+    counted = strings.unionByName(_windows(inner.select("one.*", "h").select(*_KEYS, "at", "h", "context"), length))
+    often = counted.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w")
+    found = strings.join(often, ["h", "w"]).select(*_KEYS, F.col("at").alias("first"), F.col("at").alias("last"))
+    return settled.unionByName(found)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -295,12 +352,10 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     again = again.select(*_KEYS, F.col("at").alias("first"), (F.col("at") + more).alias("last"))
     size = classes.groupBy("h").agg(F.count("*").alias("classes"))
     sized = classes.join(size, "h").select("one.*", "shape", "h", "classes")
-    few = _with_context(sized.filter(F.col("classes") <= GROUP), rows, length, windows=False)
+    few = _with_context(sized.filter(F.col("classes") <= GROUP), rows, length, blocks=False)
     by_index = _indexed(few.repartition("h").sortWithinPartitions("h"), length)
 
-    many = _with_context(sized.filter(F.col("classes") > GROUP), rows, length, windows=True)
-    often = many.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w")
-    by_count = many.join(often, ["h", "w"]).select(*_KEYS, F.col("at").alias("first"), F.col("at").alias("last"))
+    by_count = _counted(_with_context(sized.filter(F.col("classes") > GROUP), rows, length, blocks=True), length)
 
     strings = settled.unionByName(again).unionByName(by_index).unionByName(by_count)
     spans = strings.select(*_KEYS, F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
