@@ -224,7 +224,7 @@ def label_pairs(html: Column | str, pattern: str) -> Column:
 def labelled_field(
     definitions: Column | str, divisions: Column | str, plain: Column | str, labels: list[str]
 ) -> Column:
-    """Value of the first matching label, at most 200 characters.
+    """Value of the first matching label.
 
     `definitions` and `divisions` are `label_pairs` of the page, `plain` its text. A matching pair
     decides at once, even with a blank value; only pages without one are searched for `Label: value`.
@@ -239,7 +239,7 @@ def labelled_field(
         hits = f"filter(if(exists({x}.d, p -> p.label in ({wanted})), {x}.d, {x}.v), p -> p.label in ({wanted}))"
         written = strip_sql(f"coalesce({', '.join(inline(x, label) for label in labels)})")
         value = let_sql(hits, lambda h: f"if(size({h}) > 0, try_element_at({h}, 1).value, {written})")
-        return f"nullif(left({value}, 200), '')"
+        return f"nullif({value}, '')"
 
     inputs = F.struct(col(definitions).alias("d"), col(divisions).alias("v"), col(plain).alias("t"))
     return bind(inputs, pick)
@@ -257,8 +257,8 @@ def line_field(text: Column | str, label: str) -> Column:
     return bind(text, pick)
 
 
-def _postings_sql(value: str, depth: int) -> str:
-    """JobPosting objects inside a JSON-LD value, in document order, down to `depth` lists."""
+def _level_sql(value: str) -> str:
+    """A JobPosting as it is, a list or `@graph` as its elements, anything else as nothing."""
     kind = V.sub_sql(value, "@type")
     is_posting = let_sql(
         kind,
@@ -266,23 +266,26 @@ def _postings_sql(value: str, depth: int) -> str:
         f" try_variant_get({k}, '$', 'string') = 'JobPosting', false)",
     )
     none = "cast(array() as array<variant>)"
-    below = none
-    if depth:
-        nested = f"coalesce({V.items_sql(value)}, {V.items_sql(value, '@graph')})"
-        below = f"coalesce(flatten({each_sql(nested, lambda e: _postings_sql(e, depth - 1))}), {none})"
-    return f"if({is_posting}, array({value}), {below})"
+    nested = f"coalesce({V.items_sql(value)}, {V.items_sql(value, '@graph')}, {none})"
+    return f"if({is_posting}, array({value}), {nested})"
 
 
-def json_ld_posting(html: Column | str, depth: int = 3) -> Column:
-    """First JobPosting object of a page as VARIANT; scripts with broken JSON are passed over."""
+def json_ld_posting(html: Column | str) -> Column:
+    """First JobPosting object of a page as VARIANT; scripts with broken JSON are passed over.
+
+    Lists are opened level by level, in document order, as often as the script has brackets; so
+    postings are found at any depth.
+    """
+
+    def opened(script: str) -> str:
+        brackets = f"length({script}) - length(replace({script}, '[', ''))"
+        parsed = f"try_parse_json({strip_sql(unescape_sql(script))})"
+        levels = each_sql("acc", _level_sql)
+        return f"aggregate(sequence(0, {brackets}), array({parsed}), (acc, i) -> flatten({levels}))"
 
     def pick(h: str) -> str:
-        parsed = each_sql(
-            f"regexp_extract_all({h}, {q(JSON_LD)}, 1)",
-            lambda s: f"try_parse_json({strip_sql(unescape_sql(s))})",
-        )
-        found = each_sql(f"filter({parsed}, v -> v is not null)", lambda v: _postings_sql(v, depth))
-        return f"try_element_at(flatten({found}), 1)"
+        scripts = f"regexp_extract_all({h}, {q(JSON_LD)}, 1)"
+        return f"try_element_at(flatten({each_sql(scripts, opened)}), 1)"
 
     return bind(html, pick)
 

@@ -10,53 +10,61 @@ from postlake.functions import urls as U
 from postlake.functions.entities import unescape_sql
 from postlake.functions.sqltext import bind, each_sql, keep_sql, let_sql, q
 from postlake.functions.text import col
-
-# Fixed value: pages read per company unless configured otherwise.
-MAX_PAGES = 25
+from postlake.session import materialize
 
 _SITE = ["run_id", "company"]
 
 
-def running_total(c: Column | str, keys: list[str] | None = None, order: str = "page_no") -> Column:
-    """Cumulative sum along the pages of one company."""
-    window = Window.partitionBy(*(keys or _SITE)).orderBy(order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    return F.sum(c).over(window)
+#: Pages whose running total is one window; a company's pages are cut into such blocks.
+BLOCK_PAGES = 1_000
 
 
-def keep_until(pages: DataFrame, stop: Column, keys: list[str] | None = None) -> DataFrame:
-    """Pages up to and including the first one whose `stop` holds.
+def with_running_total(
+    pages: DataFrame, value: str, out: str, keys: list[str] | None = None
+) -> DataFrame:
+    """Cumulative sum of `value` along the pages of one company, by `page_no`.
 
-    Callers cut to the page cap first, which bounds every window group to the cap.
+    Pages are summed inside blocks, and the blocks' totals along the company, so a company with very
+    many pages is not one task's work.
     """
-    earlier = Window.partitionBy(*(keys or _SITE)).orderBy("page_no").rowsBetween(
-        Window.unboundedPreceding, -1
+    site = keys or _SITE
+    blocked = pages.withColumn("_block", F.floor(F.col("page_no") / BLOCK_PAGES))
+    before = Window.partitionBy(*site).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (
+        blocked.groupBy(*site, "_block")
+        .agg(F.sum(value).alias("_sum"))
+        .withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+        .drop("_sum")
+    )
+    within = Window.partitionBy(*site, "_block").orderBy("page_no").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    inner = blocked.withColumn("_within", F.sum(value).over(within))
+    return (
+        inner.join(blocks, [*site, "_block"])
+        .withColumn(out, F.col("_before") + F.col("_within"))
+        .drop("_block", "_before", "_within")
     )
-    flagged = pages.withColumn("_stop", stop).withColumn("_stopped", F.max("_stop").over(earlier))
-    return flagged.where(~F.coalesce("_stopped", F.lit(False))).drop("_stop", "_stopped")
 
 
-def trim_pages(
+def page_report(
     pages: DataFrame,
     page_size: int,
-    max_pages: int = MAX_PAGES,
     counted: str = "n_objects",
     length: str = "n_objects",
     total: str = "total",
     keys: list[str] | None = None,
 ) -> DataFrame:
-    """Apply the paging stop rule of list APIs.
+    """The paging rule of list APIs as a report: `so_far`, and `stop` where no further page is needed.
 
     A page is the last one once the rows so far reach the reported total or the page is shorter than
     `page_size`. A missing total counts as "rows so far", so such a page is the last. `counted` are
-    the rows that add up, `length` is the page length that is compared with `page_size`.
+    the rows that add up, `length` is the page length that is compared with `page_size`. The rule
+    says what to fetch next; every landed page is parsed.
     """
-    capped = pages.where(F.col("page_no") < max_pages)
-    counted_so_far = capped.withColumn("_so_far", running_total(counted, keys))
-    reached = F.col("_so_far") >= F.coalesce(F.col(total), F.col("_so_far"))
-    stop = reached | (F.col(length) < page_size)
-    return keep_until(counted_so_far, stop, keys).drop("_so_far")
+    summed = with_running_total(pages, counted, "so_far", keys)
+    reached = F.col("so_far") >= F.coalesce(F.col(total), F.col("so_far"))
+    return summed.withColumn("stop", reached | (F.col(length) < page_size))
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -149,40 +157,74 @@ def next_page(body: Column | str, url: Column | str) -> Column:
 def drop_requisition_repeats(rows: DataFrame, url_id: str, requisition: str) -> DataFrame:
     """Skip a summary whose URL id is the requisition id of an earlier kept posting of the company.
 
-    Two URL ids with one requisition id both stay. Every row also appears as a slim claim under its
-    requisition id, so one window finds the earlier claims on a row, without a second parse of the
-    pages. Whether a claim counts depends on whether its own row was kept, so the few claimed rows
-    of a company (at most its page cap of pages) are settled in page order by a fold.
+    Two URL ids with one requisition id both stay. URL ids are unique within a run and company. The
+    rows are written once; only the slim ids of claiming and claimed postings are joined to settle
+    who is skipped.
     """
-    others = [c for c in rows.columns if c not in (*_SITE, "page_no", "pos", url_id)]
-    twice = rows.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("_is_claim"))
-    is_claim = F.col("_is_claim")
-    facts = (
-        twice.where(~is_claim | F.col(requisition).isNotNull())
-        .withColumn("_key", F.when(is_claim, F.col(requisition)).otherwise(F.col(url_id)))
-        .select(
-            *_SITE, "page_no", "pos", url_id, "_is_claim", "_key",
-            *[F.when(~is_claim, F.col(c)).alias(c) for c in others],
-        )
-        .repartition(*_SITE)
-    )
-    earlier = Window.partitionBy(*_SITE, "_key").orderBy("page_no", "pos").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    claim = F.when(is_claim & (F.col(url_id) != F.col("_key")), F.col(url_id))
-    claimed = facts.withColumn("_claims", F.collect_list(claim).over(earlier)).where(~is_claim)
-    clash = F.when(
-        F.size("_claims") > 0, F.struct("page_no", "pos", F.col(url_id).alias("id"), "_claims")
+    held = materialize(rows, "requisitions")
+    gone = _skipped(held.select(*_SITE, "page_no", "pos", url_id, requisition), url_id, requisition)
+    return held.join(gone.withColumnRenamed("id", url_id), [*_SITE, url_id], "left_anti").select(
+        *rows.columns
     )
-    settled = F.expr(
-        "aggregate(array_sort(_clashes), cast(array() as array<string>), (gone, x) -> "
-        "if(exists(x._claims, c -> not array_contains(gone, c)), concat(gone, array(x.id)), gone))"
-    )
-    return (
-        claimed.withColumn("_clashes", F.collect_list(clash).over(Window.partitionBy(*_SITE)))
-        .where(~F.array_contains(settled, F.col(url_id)))
-        .select(*rows.columns)
+
+
+def _skipped(rows: DataFrame, url_id: str, requisition: str) -> DataFrame:
+    """Ids of skipped postings. A claimed posting is skipped if one of its claimers is kept.
+
+    A posting claims at most one other, so claims form trees. Each round settles postings whose
+    claimers are settled; one with a single open claimer is the opposite of it and points there, and
+    pointers double. Chains of any length take a logarithmic number of rounds.
+    """
+    place = F.struct("page_no", "pos")
+    slim = rows.select(*_SITE, F.col(url_id).alias("id"), place.alias("place"), F.col(requisition).alias("to"))
+    claims = slim.where("to is not null and id <> to").select(*_SITE, F.col("id").alias("by"), "to", F.col("place").alias("by_place"))
+    claimed = slim.select(*_SITE, F.col("id").alias("to"), "place")
+    edges = claims.join(claimed, [*_SITE, "to"]).where("by_place < place").select(*_SITE, "by", "to")
+    edges = materialize(edges, "claims")
+    targets = edges.select(*_SITE, F.col("to").alias("id")).distinct()
+    state = materialize(
+        targets.select(
+            *_SITE, "id", F.lit(None).cast("boolean").alias("kept"),
+            F.lit(None).cast("string").alias("ptr"), F.lit(False).alias("same"),
+        ),
+        "state",
     )
+    while not state.where("kept is null").isEmpty():
+        # Claimers that nobody claims are kept.
+        by = state.select(*_SITE, F.col("id").alias("by"), "kept", F.lit(True).alias("is_target"))
+        told = edges.join(by, [*_SITE, "by"], "left").withColumn(
+            "kept", F.when(F.col("is_target"), F.col("kept")).otherwise(F.lit(True))
+        )
+        votes = told.groupBy(*_SITE, F.col("to").alias("id")).agg(
+            F.max("kept").alias("any_kept"),
+            F.count(F.when(F.col("kept").isNull(), 1)).alias("n_open"),
+            F.max(F.when(F.col("kept").isNull(), F.col("by"))).alias("open_by"),
+        )
+        voted = state.join(votes, [*_SITE, "id"]).withColumns(
+            {
+                "kept": F.coalesce(
+                    "kept",
+                    F.when(F.coalesce("any_kept", F.lit(False)), F.lit(False)).when(F.col("n_open") == 0, F.lit(True)),
+                ),
+                "same": F.when(F.col("ptr").isNull(), F.lit(False)).otherwise(F.col("same")),
+                "ptr": F.coalesce("ptr", F.when(F.col("n_open") == 1, F.col("open_by"))),
+            }
+        )
+        ahead = state.select(
+            *_SITE, F.col("id").alias("ptr"), F.col("kept").alias("p_kept"), F.col("ptr").alias("p_ptr"), F.col("same").alias("p_same")
+        )
+        jumped = voted.join(ahead, [*_SITE, "ptr"], "left")
+        follow = F.col("p_ptr").isNotNull()
+        state = materialize(
+            jumped.select(
+                *_SITE, "id",
+                F.coalesce("kept", F.col("p_kept") == F.col("same")).alias("kept"),
+                F.when(follow, F.col("p_ptr")).otherwise(F.col("ptr")).alias("ptr"),
+                F.when(follow, F.col("same") == F.col("p_same")).otherwise(F.col("same")).alias("same"),
+            ),
+            "state",
+        )
+    return state.where("not kept").select(*_SITE, "id")
 
 
 def location_pushdown(df: DataFrame, rules: DataFrame) -> DataFrame:

@@ -19,13 +19,21 @@ RUN_ORDER = ["run_id", "company_ord", "page_no", "pos"]
 
 
 def with_dedup_key(postings: DataFrame) -> DataFrame:
-    """Add `dedup_key`: by source id, else by URL, else by company, title and location."""
+    """Add `dedup_key`: by source id, else by URL, else by company, title and location.
+
+    Normal forms that `evaluate` left in `n_company`, `n_title` and `n_location` are used and dropped.
+    """
+
+    def norm(name: str) -> Column:
+        ready = f"n_{name}"
+        return F.col(ready) if ready in postings.columns else norm_text(name)
+
     staged = postings.withColumns(
         {
-            "_company": norm_text("company"),
+            "_company": norm("company"),
             "_id": norm_text("source_job_id"),
-            "_title": norm_text("title"),
-            "_location": norm_text("location"),
+            "_title": norm("title"),
+            "_location": norm("location"),
             "_url": F.coalesce(nonempty("application_url"), nonempty("posting_url")),
         }
     )
@@ -45,7 +53,7 @@ def with_dedup_key(postings: DataFrame) -> DataFrame:
         .otherwise(by_text)
     )
     return staged.withColumn("dedup_key", key).drop(
-        "_company", "_id", "_title", "_location", "_url"
+        "_company", "_id", "_title", "_location", "_url", "n_company", "n_title", "n_location"
     )
 
 

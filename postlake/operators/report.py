@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postlake.operators.dedup import RUN_ORDER
 from postlake.operators.rules import MATCHED
 
 COUNTS = ["jobs_fetched", "jobs_matched", "new_jobs_inserted", "duplicates_skipped"]
@@ -18,29 +19,28 @@ def company_counts(decided: DataFrame, seen: DataFrame | None) -> DataFrame:
     """Fetched, matched, new and duplicate rows per company, in one pass over the decisions.
 
     Rows are first counted per company and key, which shrinks hot keys before any exchange; the first
-    company in order owns a key that several companies post. Unmatched rows of a company share one
-    stand-in key.
+    row in run order owns a key, as it is the one that is stored. Unmatched rows of a company share
+    one stand-in key.
     """
     matched = F.col("match_status") == MATCHED
     stand_in = F.concat(F.lit("\x00"), F.col("company"))
     grouped = (
         decided.select(
-            "company", "company_ord", matched.alias("hit"),
+            "company", "company_ord", matched.alias("hit"), F.struct(*RUN_ORDER).alias("place"),
             F.when(matched, F.col("dedup_key")).otherwise(stand_in).alias("dedup_key"),
         )
         .groupBy("company", "company_ord", "dedup_key", "hit")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
     )
-    owner = Window.partitionBy("dedup_key").orderBy("company_ord")
-    ranked = grouped.withColumn("owns", F.col("hit") & (F.row_number().over(owner) == 1))
+    owners = grouped.where("hit").groupBy("dedup_key").agg(F.min("place").alias("first"))
     if seen is not None:
-        known = seen.select("dedup_key").distinct().withColumn("known", F.lit(True))
-        ranked = ranked.join(known, "dedup_key", "left").withColumn(
-            "owns", F.col("owns") & F.col("known").isNull()
-        )
+        owners = owners.join(seen.select("dedup_key"), "dedup_key", "left_anti")
+    ranked = grouped.join(owners, "dedup_key", "left").withColumn(
+        "owns", F.col("hit") & F.coalesce(F.col("place") == F.col("first"), F.lit(False))
+    )
     hit_rows = F.when(F.col("hit"), F.col("n")).otherwise(0)
     fresh = F.col("owns").cast("bigint")
-    return ranked.groupBy("company").agg(
+    return ranked.groupBy("company", "company_ord").agg(
         F.sum("n").alias("jobs_fetched"),
         F.sum(hit_rows).alias("jobs_matched"),
         F.sum(fresh).alias("new_jobs_inserted"),
@@ -56,7 +56,7 @@ def company_results(
 ) -> DataFrame:
     """One row per selected company, also for those without a single posting."""
     counted = companies.select("company", "company_ord").join(
-        company_counts(decided, seen), "company", "left"
+        company_counts(decided, seen), ["company", "company_ord"], "left"
     )
     filled = counted.select(
         "company", "company_ord", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in COUNTS]
@@ -64,10 +64,10 @@ def company_results(
     none = F.array().cast("array<string>")
     if failures is None:
         return filled.withColumn("failures", none)
-    per_company = failures.groupBy("company").agg(
+    per_company = failures.groupBy("company", "company_ord").agg(
         F.array_sort(F.collect_list("message")).alias("failures")
     )
-    return filled.join(per_company, "company", "left").withColumn(
+    return filled.join(per_company, ["company", "company_ord"], "left").withColumn(
         "failures", F.coalesce("failures", none)
     )
 

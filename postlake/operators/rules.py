@@ -168,6 +168,7 @@ def effective_rules(companies: DataFrame, filters: GlobalFilters) -> DataFrame:
     staged = companies.select(
         "company",
         "company_ord",
+        norm_text("company").alias("n_company"),
         own_or_global("title_keywords_include", filters.title_keywords).alias("title_kw"),
         own_or_global("description_keywords_include", filters.description_keywords).alias(
             "description_kw"
@@ -247,13 +248,14 @@ _REASON = f"""
   end"""
 
 
-def evaluate(postings: DataFrame, rules: DataFrame) -> DataFrame:
+def evaluate(postings: DataFrame, rules: DataFrame, keep_norms: bool = False) -> DataFrame:
     """Join the effective rules and stamp match status, keywords, reason and reason class.
 
+    With `keep_norms` the normal forms that the deduplication key needs stay for `with_dedup_key`.
     The join carries no hint: a small rule table is broadcast by its size, a large one is shuffled
     and a company that holds much of the data is split by adaptive execution.
     """
-    joined = normalise_fields(postings).join(rules.drop("company_ord"), "company")
+    joined = normalise_fields(postings).join(rules, ["company", "company_ord"])
     whole = job_text("n_title", "n_description", "n_department", "n_location", "n_employment")
     hits = joined.withColumn("n_all", whole).withColumns(
         {
@@ -275,8 +277,9 @@ def evaluate(postings: DataFrame, rules: DataFrame) -> DataFrame:
             "match_reason": F.expr(_REASON),
         }
     )
+    norms = ["n_company", "n_title", "n_location"] if keep_norms else []
     return decided.select(
-        *postings.columns, "match_status", "matched_keywords", "match_reason", "reason_class"
+        *postings.columns, "match_status", "matched_keywords", "match_reason", "reason_class", *norms
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,10 +58,16 @@ def to_run_log(summary: DataFrame, run_ts: Column, seconds: Column) -> DataFrame
     )
 
 
+def put_batch(rows: DataFrame, path: str, batch: str) -> None:
+    """Replace the partition `batch` of a table, with no rows as well."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={quote(batch, safe='')}")
+
+
 class JobStore:
     """Two Parquet tables under one folder, partitioned by batch.
 
-    A batch owns its partition: writing it again replaces it, so a retried batch adds nothing twice.
+    A batch owns its partition's folder: writing it again replaces it, also by nothing, so a retried
+    batch adds nothing twice and leaves nothing behind.
     """
 
     def __init__(self, spark: SparkSession, base: str) -> None:
@@ -104,13 +112,7 @@ class JobStore:
         return keys.where("dedup_key is not null and dedup_key <> ''")
 
     def _put(self, rows: DataFrame, path: str, batch: str) -> None:
-        (
-            rows.withColumn("batch", F.lit(batch))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(path)
-        )
+        put_batch(rows, path, batch)
 
     def append_jobs(self, rows: DataFrame, batch: str) -> None:
         self._put(rows, self.jobs_path, batch)

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postlake.functions.text import strip
 from postlake.operators.dedup import (
     fail_whole_companies,
     new_postings,
@@ -26,7 +27,7 @@ from postlake.operators.rules import (
 from postlake.operators.store import JobStore, to_job_rows, to_run_log
 from postlake.session import materialize
 from postlake.sources import SourceParser, needed_sources, parse_all, unsupported
-from postlake.sources.captures import fetch_failures
+from postlake.sources.captures import fetch_failures, unreadable
 
 
 @dataclass
@@ -45,7 +46,7 @@ class Run:
 
 def decide(postings: DataFrame, companies: DataFrame, filters: GlobalFilters) -> DataFrame:
     """Keys and decisions for valid postings."""
-    return with_dedup_key(evaluate(postings, effective_rules(companies, filters)))
+    return with_dedup_key(evaluate(postings, effective_rules(companies, filters), keep_norms=True))
 
 
 def run(
@@ -69,29 +70,32 @@ def run(
     the decisions, without descriptions, once to the shared folder, for runs whose results feed
     several actions.
     """
+    rules = rules.withColumn("company", strip("company"))
+    captures = captures.withColumn("company", strip("company"))
     companies = require_company(rules, company) if company else select_companies(rules)
     # Injected sources are all used; registered ones only where a company has their type.
     parsers = needed_sources(companies) if sources is None else sources
     parsed = parse_all(captures, companies, parsers)
     valid, rejects = split_valid(parsed)
-    failures = unsupported(companies, sources)
+    failures = unsupported(companies, sources).unionByName(unreadable(captures, companies))
     if failed is not None:
+        failed = failed.withColumn("company", strip("company"))
         unfetched = fetch_failures(failed, companies)
         failures = failures.unionByName(unfetched.select("company", "company_ord", "message"))
         if strict:
             valid = valid.join(unfetched.select("run_id", "company"), ["run_id", "company"], "left_anti")
     if strict:
         valid = fail_whole_companies(valid, rejects)
-        broken = rejects.groupBy("company", "company_ord").agg(
-            F.min("reject_reason").alias("reason")
-        )
-        failures = failures.unionByName(
-            broken.select(
-                "company",
-                "company_ord",
-                failure_message("company", "ValidationError", "reason").alias("message"),
-            )
+    # Rejected postings are reported by company and reason, whether or not they fail the company.
+    rejected = rejects.groupBy("company", "company_ord", "reject_reason").count()
+    counted = F.concat("reject_reason", F.lit(" ("), F.col("count").cast("string"), F.lit(")"))
+    failures = failures.unionByName(
+        rejected.select(
+            "company",
+            "company_ord",
+            failure_message("company", "ValidationError", counted).alias("message"),
         )
+    )
     decided = decide(valid, companies, filters or GlobalFilters())
     if store_decisions:
         # No output column needs the long text any more.

@@ -1,4 +1,4 @@
-"""Queries B01-B12, E06, W01, W04: paging, flattening and detail joins."""
+"""Queries B01-B10, B12, E06, W01, W04: paging, flattening and detail joins."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ from postlake.functions import urls as U
 from postlake.functions import variants as V
 from postlake.operators import assemble as A
 from postlake.plans import sites
-from postlake.plans.q_sources import SF_HTML_CTES, kept_parts_sql
+from postlake.plans.q_sources import SF_HTML_CTES
 from postlake.plans.registry import query, table
-from postlake.sources import avature, common, smartrecruiters, successfactors
+from postlake.sources import avature, common, smartrecruiters, successfactors, workday
 
 ORDER_ROWS = f"with site as ({sites.ORDERS_SQL})"
 PART_ROWS = f"with site as ({sites.PARTS_SQL})"
@@ -71,22 +71,19 @@ def _page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("total", total)
 
 
-def _kept(raw: bool, cap: int) -> str:
-    return f"""
-  with {sites.kept_orders_sql(raw_length=raw).replace('page_no < 10', f'page_no < {cap}')}
-  select c, page_no from keep"""
+def _report(spark: SparkSession, sf_dir: str, length: str) -> DataFrame:
+    found = A.page_report(_page_sizes(spark, sf_dir), workday.PAGE_SIZE, length=length, keys=["company"])
+    return _long(found.select("c", "page_no", "so_far", "stop"), "page_no", "so_far", "stop")
 
 
-@query("B02_trim_pages", _kept(False, 10))
+@query("B02_page_report", f"with {sites.page_report_sql(raw_length=False)}")
 def b02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = A.trim_pages(_page_sizes(spark, sf_dir), 20, 10, keys=["company"])
-    return _long(kept.select("c", "page_no"), "page_no")
+    return _report(spark, sf_dir, "n_objects")
 
 
-@query("B02_trim_pages_raw_length", _kept(True, 25))
+@query("B02_page_report_raw_length", f"with {sites.page_report_sql(raw_length=True)}")
 def b02_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = A.trim_pages(_page_sizes(spark, sf_dir), 20, 25, length="n_raw", keys=["company"])
-    return _long(kept.select("c", "page_no"), "page_no")
+    return _report(spark, sf_dir, "n_raw")
 
 
 @query("B03_first_by_id", """
@@ -113,10 +110,10 @@ def b04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("B05_details_off", f"""
-  with {sites.kept_orders_sql(raw_length=False)}
+  with {sites.listed_orders_sql()}
   select company, count(*) as n, count(*) filter (n % 5 <> 4 and c % 4 <> 3) as n_with_detail from kept group by 1""")
 def b05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = smartrecruiters.parse_smartrecruiters(*sites.smartrecruiters(spark, sf_dir), page_size=20, max_pages=10)
+    rows = smartrecruiters.parse_smartrecruiters(*sites.smartrecruiters(spark, sf_dir))
     return rows.groupBy("company").agg(F.count(F.lit(1)).alias("n"), F.count("employment_type").alias("n_with_detail"))
 
 
@@ -153,7 +150,7 @@ def b08(spark: SparkSession, sf_dir: str) -> DataFrame:
         "run_id", "company", "page_no", A.page_markers("body").alias("markers"),
         F.size(F.array_distinct(F.transform(avature.posting_links("body"), lambda a: a["id"]))).alias("n"),
     )
-    counted = pages.withColumn("offset", A.running_total("n"))
+    counted = A.with_running_total(pages, "n", "offset")
     by_offset = counted.select("company", "page_no", A.has_more_offset("markers", "offset").cast("bigint").alias("by_offset"))
     return _long(by_number.join(by_offset, ["company", "page_no"]), "page_no")
 
@@ -181,14 +178,6 @@ def b10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(rows.select("company", "page_no", "pos", F.col("stable_job_id").cast("bigint").alias("id"), requisition.alias("req")), "page_no", "pos")
 
 
-@query("B11_max_pages", f"""
-  with {kept_parts_sql("case when c % 3 = 0 then 4 else 25 end")}
-  select company, max(page_no) as last_page, count(*) as n from firsts group by 1""")
-def b11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = avature.parse_avature(*sites.avature(spark, sf_dir))
-    return rows.groupBy("company").agg(F.max("page_no").cast("bigint").alias("last_page"), F.count(F.lit(1)).alias("n"))
-
-
 @query("B12_location_pushdown", """
   select l_orderkey, l_linenumber, l_partkey, l_quantity, s_name as company, n_name as country, r_name as region
   from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey
@@ -230,15 +219,14 @@ def e06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("W01_running_total", f"""
-  with {EVENT_PAGES}, page as (select block, page_no, count(*) filter (event_id % 7 <> 0) as n from numbered where page_no < 25 group by all)
+  with {EVENT_PAGES}, page as (select block, page_no, count(*) filter (event_id % 7 <> 0) as n from numbered group by all)
   select 'site ' || block as company, page_no, cast(sum(n) over (partition by block order by page_no) as bigint) as so_far from page""")
 def w01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page cap bounds every window group, as in the parsers."""
-    pages = event_pages(spark, sf_dir).where(F.col("page_no") < A.MAX_PAGES).select(
+    pages = event_pages(spark, sf_dir).select(
         F.lit("r1").alias("run_id"), "company", "page_no", F.from_json("body", "struct<rows:array<variant>>")["rows"].alias("rows")
     )
     counted = pages.select("run_id", "company", "page_no", F.size(V.objects("rows")).alias("n"))
-    return _long(counted.select("company", "page_no", A.running_total("n").alias("so_far")), "page_no")
+    return _long(A.with_running_total(counted, "n", "so_far").select("company", "page_no", "so_far"), "page_no", "so_far")
 
 
 @query("W04_smallest_later", """

@@ -150,7 +150,7 @@ def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
         cycle.write.mode("append").parquet(f"{base}/landing")
         run_incremental(spark, f"{base}/landing", store, rules, f"{base}/checkpoint", SITE_FILTERS)
     return store.jobs().select(
-        "company", F.col("source_job_id").cast("bigint").alias("n"), F.regexp_extract("batch", "([0-9]+)", 1).cast("bigint").alias("cycle")
+        "company", F.col("source_job_id").cast("bigint").alias("n"), F.regexp_extract("batch", "([0-9]+)$", 1).cast("bigint").alias("cycle")
     )
 
 
@@ -170,7 +170,7 @@ def t01_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         run_into(store, cycle, rules, SITE_FILTERS, batch=f"b{number}")
     log = store.run_log()
     return log.select(
-        F.regexp_extract("batch", "([0-9]+)", 1).cast("bigint").alias("cycle"), "companies_checked", "jobs_fetched", "jobs_matched",
+        F.regexp_extract("batch", "([0-9]+)$", 1).cast("bigint").alias("cycle"), "companies_checked", "jobs_fetched", "jobs_matched",
         "new_jobs_inserted", "duplicates_skipped",
     )
 
@@ -201,7 +201,7 @@ def t01_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         part.write.mode("append").parquet(f"{base}/landing")
         keep_new_keys(spark, f"{base}/landing", part.schema, f"{base}/kept", f"{base}/checkpoint", ["ts", "event_id"])
     kept = spark.read.parquet(f"{base}/kept")
-    return kept.select("dedup_key", "event_id", F.regexp_extract("batch", "([0-9]+)", 1).cast("bigint").alias("cycle"))
+    return kept.select("dedup_key", "event_id", F.regexp_extract("batch", "([0-9]+)$", 1).cast("bigint").alias("cycle"))
 
 
 @query("T02_stream_dedup", "select distinct user_id || ':' || event_type as dedup_key from events")

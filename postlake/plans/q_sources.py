@@ -120,7 +120,7 @@ def s04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("S05_workday", f"""
-  with {sites.kept_orders_sql(raw_length=True)},
+  with {sites.listed_orders_sql()},
   s as (select *, case when n % 3 = 0 then 'https://abs.example.com/' || n
                   else 'https://c' || c || '.example.com/jobs/job/' || n end as u from kept)
   select company, page_no, pos, nullif(case when n % 7 = 0 then cast(n as varchar) else 'JR' || n end, '0') as stable_job_id,
@@ -134,11 +134,11 @@ def s04(spark: SparkSession, sf_dir: str) -> DataFrame:
                   when 3 then date '2026-06-20' else cast(o_orderdate as date) end, '%Y-%m-%d') as date_posted
   from s""")
 def s05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(parse_workday(*sites.workday(spark, sf_dir), page_size=20, max_pages=10))
+    return shown(parse_workday(*sites.workday(spark, sf_dir)))
 
 
 @query("S06_smartrecruiters", f"""
-  with {sites.kept_orders_sql(raw_length=False)},
+  with {sites.listed_orders_sql()},
   s as (select *, n % 5 <> 4 and c % 4 <> 3 as found,
                'https://jobs.smartrecruiters.com/ats%20' || c || '/S' || n || '-'
                || trim(regexp_replace(lower(o_orderpriority || ' (m/w)'), '[^a-z0-9]+', '-', 'g'), '-') as built from kept),
@@ -153,11 +153,11 @@ def s05(spark: SparkSession, sf_dir: str) -> DataFrame:
          'smartrecruiters' as source, {_DAY} as date_posted
   from t""")
 def s06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(parse_smartrecruiters(*sites.smartrecruiters(spark, sf_dir), page_size=20, max_pages=10))
+    return shown(parse_smartrecruiters(*sites.smartrecruiters(spark, sf_dir)))
 
 
 @query("S07_eightfold", f"""
-  with {sites.kept_orders_sql(raw_length=False)},
+  with {sites.listed_orders_sql()},
   s as (select *, n % 5 <> 4 and c % 4 <> 3 as found, 'https://app.eightfold.ai' || case when n % 3 = 0 then '/careers/p/' || n
                else '/careers/job/' || (n + 1) end || '?domain=ats ' || c as u from kept)
   select company, page_no, pos, cast(n + 1 as varchar) as stable_job_id, cast(n + 1 as varchar) as source_job_id,
@@ -168,14 +168,14 @@ def s06(spark: SparkSession, sf_dir: str) -> DataFrame:
          u as posting_url, u as application_url, 'eightfold' as source, {_DAY} as date_posted
   from s""")
 def s07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(parse_eightfold(*sites.eightfold(spark, sf_dir), page_size=20, max_pages=10))
+    return shown(parse_eightfold(*sites.eightfold(spark, sf_dir)))
 
 
-def kept_parts_sql(cap: str = "25") -> str:
-    """Pages of an HTML site that are read: none after page 5 where it names no next page."""
+def kept_parts_sql() -> str:
+    """Rows of an HTML site, the first of each id."""
     return f"""
   site as ({sites.PARTS_SQL}),
-  ids as (select *, {sites.ID_SQL} as id from site where not (c % 4 = 1 and page_no > 5) and page_no < {cap}),
+  ids as (select *, {sites.ID_SQL} as id from site),
   firsts as (select * from (select *, row_number() over (partition by c, id order by page_no, pos) as rn from ids) where rn = 1)"""
 
 
@@ -204,7 +204,7 @@ def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
 INITCAP = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 
 AVATURE_SQL = f"""
-  with {kept_parts_sql("case when c % 3 = 0 then 4 else 25 end")},
+  with {kept_parts_sql()},
   t as (select f.*, f.n % 5 = 0 as bare,
                'https://c' || f.c || '.example.com/careers/JobDetail' || case when f.n % 4 = 0 then '?jobId=' || f.id || '&source=x'
                     else '/Role-' || f.p_size || '/' || f.id end as u from firsts f),
@@ -265,7 +265,7 @@ def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SF_HTML_CTES = f"""
-  {kept_parts_sql("case when c % 3 = 0 then 4 else 25 end")},
+  {kept_parts_sql()},
   t as (select f.*, d.n as dn, d.p_name as d_name, d.p_brand as d_brand, d.p_size as d_size,
                'https://c' || f.c || '.example.com/job/Role-' || f.p_size || '/' || f.id || '/' as u,
                (select {sites.REQ_SQL} from (select d.n as n) where d.n is not null) as req

@@ -1,4 +1,4 @@
-"""Queries J01-J06, C01-C37, W02-W03: text, URLs, HTML, dates and XML."""
+"""Queries J01-J06, C01-C37, W02: text, URLs, HTML, dates and XML."""
 
 from __future__ import annotations
 
@@ -558,14 +558,3 @@ def c37(spark: SparkSession, sf_dir: str) -> DataFrame:
     web = table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("id"), "html")
     built = _details(spark, sf_dir, sites.avature_detail()).select(F.concat(F.lit("part "), F.col("n").cast("string")).alias("id"), F.col("body").alias("html"))
     return web.unionByName(built).select("id", H.page_description("html").alias("description"))
-
-
-@query("W03_caps", f"""{PART_ROWS}
-  select n, left(repeat(p_name || ' ', 40), 200) as value from site where page_no < 5""")
-def w03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page cap of a company and the length cap of a labelled value are part of their meaning."""
-    rows = sites.parts(spark, sf_dir).where(F.col("page_no") < 5).select(
-        "n", F.concat(F.lit("<dl><dt>Team</dt><dd>"), F.repeat(F.concat("p_name", F.lit(" ")), F.lit(40)), F.lit("</dd></dl>")).alias("body")
-    )
-    staged = avature.detail_fields(rows)
-    return staged.select("n", H.labelled_field("dl", "divs", "plain", ["team"]).alias("value"))

@@ -215,20 +215,24 @@ def _gaps(item: Column) -> Column:
 
 
 # Kept pages of paged JSON sites at page size 20 and a cap of 10 pages, in SQL.
-def kept_orders_sql(raw_length: bool) -> str:
+def listed_orders_sql() -> str:
+    """Orders that are objects on their page."""
+    return f"""
+  site as ({ORDERS_SQL}),
+  kept as (select * from site where not (c % 3 = 2 and page_no = 7 and pos >= 15))"""
+
+
+def page_report_sql(raw_length: bool) -> str:
+    """Rows so far and stop flag of every order page."""
     length = "count(*)" if raw_length else "count(*) filter (not (c % 3 = 2 and page_no = 7 and pos >= 15))"
     return f"""
   site as ({ORDERS_SQL}),
   page as (select c, company, page_no, {length} as len,
                   count(*) filter (not (c % 3 = 2 and page_no = 7 and pos >= 15)) as objs
-           from site where page_no < 10 group by all),
-  total as (select *, sum(objs) over (partition by c order by page_no) as so_far from page),
-  flag as (select *, (so_far >= case when c % 3 = 0 then 100 when c % 3 = 1 and page_no = 4 then so_far
-                                else 10000 end or len < 20) as stop from total),
-  keep as (select c, page_no from (select *, max(stop::int) over (partition by c order by page_no
-             rows between unbounded preceding and 1 preceding) as stopped from flag) where coalesce(stopped, 0) = 0),
-  kept as (select site.* from site join keep using (c, page_no)
-           where not (c % 3 = 2 and page_no = 7 and pos >= 15))"""
+           from site group by all),
+  total as (select *, cast(sum(objs) over (partition by c order by page_no) as bigint) as so_far from page)
+  select c, page_no, so_far, cast(so_far >= case when c % 3 = 0 then 100 when c % 3 = 1 and page_no = 4 then so_far
+                                            else 10000 end or len < 20 as bigint) as stop from total"""
 
 
 def workday(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -449,8 +453,7 @@ def avature(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         ),
     )
     details = as_captures(rows, "avature", "detail", body=avature_detail(), detail_key=key)
-    extra = F.create_map(F.lit("max_pages"), F.when(F.col("c") % 3 == 0, F.lit("4")))
-    return lists.unionByName(details), rules_for(rows, "avature", extra=extra)
+    return lists.unionByName(details), rules_for(rows, "avature")
 
 
 def avature_detail() -> Column:
@@ -527,10 +530,7 @@ def successfactors_html(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
         rows, "successfactors", "detail", body=rmk_detail(),
         detail_key=F.concat(_host(), F.lit("/job/Role-"), text("p_size"), F.lit("/"), text("n"), F.lit("/")),
     )
-    extra = F.create_map(
-        F.lit("fetch_details"), F.when(F.col("c") % 5 == 4, F.lit("false")).otherwise(F.lit("true")),
-        F.lit("max_pages"), F.when(F.col("c") % 3 == 0, F.lit("4")),
-    )
+    extra = F.create_map(F.lit("fetch_details"), F.when(F.col("c") % 5 == 4, F.lit("false")).otherwise(F.lit("true")))
     return lists.unionByName(details), rules_for(rows, "successfactors", extra=extra)
 
 

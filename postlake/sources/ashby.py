@@ -19,9 +19,9 @@ def _name_or_text(v: str, key: str) -> Column:
 
 
 def parse_ashby(captures: DataFrame, rules: DataFrame) -> DataFrame:
-    pages = common.list_pages(captures, rules, SOURCE).select(
-        "run_id", "company", "company_ord", "page_no", "fetched_at",
-        F.from_json("body", "struct<jobs:array<variant>>")["jobs"].alias("jobs"),
+    jobs = F.from_json("body", "struct<jobs:array<variant>>")["jobs"].alias("jobs")
+    pages = common.list_pages(captures, rules, SOURCE, jobs).select(
+        "run_id", "company", "company_ord", "page_no", "fetched_at", "jobs"
     )
     rows = common.explode_objects(pages, "jobs")
     v = "v"

@@ -12,15 +12,7 @@ from postlake.functions.dates import iso_date
 from postlake.functions.entities import unescape, unescape_sql
 from postlake.functions.sqltext import bind, each_sql, keep_sql, let_sql, q
 from postlake.functions.text import nonempty
-from postlake.operators.assemble import (
-    MAX_PAGES,
-    attach_details,
-    first_by_id,
-    has_more_offset,
-    keep_until,
-    page_markers,
-    running_total,
-)
+from postlake.operators.assemble import attach_details, first_by_id
 from postlake.sources import common
 
 SOURCE = "avature"
@@ -101,22 +93,9 @@ def detail_fields(pages: DataFrame) -> DataFrame:
     return staged
 
 
-def parse_avature(captures: DataFrame, rules: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    pages = (
-        common.list_pages(captures, rules, SOURCE)
-        .where(F.col("page_no") < F.coalesce("max_pages", F.lit(max_pages)))
-        .select(
-            "run_id", "company", "company_ord", "page_no", "fetched_at", "url",
-            posting_links("body").alias("found"),
-            page_markers("body").alias("markers"),
-        )
-        .withColumn(
-            "n_found", F.size(F.array_distinct(F.transform("found", lambda a: a["id"])))
-        )
-        .withColumn("offset", running_total("n_found"))
-    )
-    kept = keep_until(pages, (F.col("n_found") == 0) | ~has_more_offset("markers", "offset"))
-    summaries = kept.select(
+def parse_avature(captures: DataFrame, rules: DataFrame) -> DataFrame:
+    pages = common.list_pages(captures, rules, SOURCE, posting_links("body").alias("found"))
+    summaries = pages.select(
         "run_id", "company", "company_ord", "page_no", "fetched_at", "url",
         F.posexplode("found").alias("pos", "a"),
     ).select(

@@ -35,6 +35,27 @@ def fetch_failures(failed: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+#: Source types whose documents are JSON.
+JSON_SOURCES = ["greenhouse", "lever", "ashby", "workday", "smartrecruiters", "eightfold"]
+
+
+def unreadable(captures: DataFrame, rules: DataFrame) -> DataFrame:
+    """One failure text per company whose JSON documents cannot be read, with their number."""
+    broken = captures.where(
+        F.col("source_type").isin(JSON_SOURCES) & F.try_parse_json("body").isNull()
+    ).select("company", "source_type", "kind", "page_no", "url")
+    known = broken.join(
+        rules.select("company", "company_ord", "source_type"), ["company", "source_type"]
+    )
+    first = F.min_by(F.coalesce("url", F.lit("")), F.struct(F.col("kind") != "list", "page_no", "url"))
+    return known.groupBy("company", "company_ord").agg(
+        F.concat(
+            F.first("company"), F.lit(": JSONDecodeError: "), F.count(F.lit(1)).cast("string"),
+            F.lit(" unreadable, first "), first,
+        ).alias("message")
+    )
+
+
 def write_captures(captures: DataFrame, path: str) -> None:
     captures.write.mode("append").partitionBy("source_type", "kind").parquet(path)
 

@@ -12,9 +12,9 @@ from postlake.schema import POSTING_COLUMNS
 UNTITLED = "Untitled role"
 
 
-def site_rules(rules: DataFrame) -> DataFrame:
-    """The rule columns parsers need, for enabled companies."""
-    enabled = rules.where(F.coalesce("enabled", F.lit(True)))
+def site_rules(rules: DataFrame, source: str) -> DataFrame:
+    """The rule columns a parser needs, for the enabled companies of its source type."""
+    enabled = rules.where(F.coalesce("enabled", F.lit(True)) & (F.col("source_type") == source))
     return enabled.select(
         "company",
         "company_ord",
@@ -24,15 +24,18 @@ def site_rules(rules: DataFrame) -> DataFrame:
         F.coalesce(F.lower(F.col("extra")["fetch_details"]) != "false", F.lit(True)).alias(
             "fetch_details"
         ),
-        F.col("extra")["max_pages"].try_cast("int").alias("max_pages"),
         F.col("extra")["domain"].alias("domain"),
     )
 
 
-def list_pages(captures: DataFrame, rules: DataFrame, source: str) -> DataFrame:
-    """List pages of one source joined to their company's settings."""
+def list_pages(captures: DataFrame, rules: DataFrame, source: str, *fields: Column) -> DataFrame:
+    """Parsed fields of the list pages of one source, joined to their company's settings.
+
+    Fields are extracted before the join, so page bodies are not shuffled.
+    """
     pages = captures.where((F.col("source_type") == source) & (F.col("kind") == "list"))
-    return pages.join(site_rules(rules), "company")
+    parsed = pages.select("run_id", "company", "page_no", "fetched_at", "url", *fields)
+    return parsed.join(site_rules(rules, source), "company")
 
 
 def details(captures: DataFrame, source: str, *fields: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from postlake.functions import variants as V
 from postlake.functions.dates import epoch_s_date
 from postlake.functions.entities import unescape
 from postlake.functions.text import nonempty, strip
-from postlake.operators.assemble import MAX_PAGES, attach_details, trim_pages
+from postlake.operators.assemble import attach_details
 from postlake.sources import common
 
 SOURCE = "eightfold"
@@ -30,24 +30,15 @@ def public_url(position_url: Column, position_id: Column, domain: Column) -> Col
     return F.concat(F.lit(PUBLIC_SITE), where, F.lit("?domain="), domain)
 
 
-def parse_eightfold(
-    captures: DataFrame, rules: DataFrame, page_size: int = PAGE_SIZE, max_pages: int = MAX_PAGES
-) -> DataFrame:
-    pages = common.list_pages(captures, rules, SOURCE).select(
+def parse_eightfold(captures: DataFrame, rules: DataFrame) -> DataFrame:
+    document = F.from_json("body", "struct<data:struct<positions:array<variant>>>")["data"].alias("doc")
+    pages = common.list_pages(captures, rules, SOURCE, document).select(
         "run_id", "company", "company_ord", "page_no", "fetched_at", "fetch_details",
         F.coalesce(nonempty("ats_identifier"), nonempty("domain")).alias("domain"),
-        F.from_json("body", "struct<data:struct<positions:array<variant>,count:string>>")[
-            "data"
-        ].alias("doc"),
+        "doc",
     )
-    counted = (
-        pages.withColumn("jobs", V.objects("doc.positions"))
-        .withColumn("total", F.col("doc.count").try_cast("bigint"))
-        .withColumn("n_objects", F.coalesce(F.size("jobs"), F.lit(0)))
-        .drop("doc")
-    )
-    kept = trim_pages(counted, page_size, max_pages)
-    rows = common.explode_objects(kept, "jobs", "raw").withColumn(
+    listed = pages.withColumn("jobs", V.objects("doc.positions")).drop("doc")
+    rows = common.explode_objects(listed, "jobs", "raw").withColumn(
         "detail_key", F.when(F.col("fetch_details"), V.first_text("raw", "id", "atsJobId"))
     )
     found = common.details(

@@ -11,13 +11,7 @@ from postlake.functions import variants as V
 from postlake.functions.dates import iso_date
 from postlake.functions.entities import unescape
 from postlake.functions.sqltext import bind, each_sql, keep_sql, q
-from postlake.operators.assemble import (
-    MAX_PAGES,
-    attach_details,
-    first_by_id,
-    has_more_icims,
-    keep_until,
-)
+from postlake.operators.assemble import attach_details, first_by_id
 from postlake.sources import common
 
 SOURCE = "icims"
@@ -57,18 +51,9 @@ def posting_links(html: Column | str) -> Column:
     return bind(html, pick)
 
 
-def parse_icims(captures: DataFrame, rules: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    pages = (
-        common.list_pages(captures, rules, SOURCE)
-        .where(F.col("page_no") < max_pages)
-        .select(
-            "run_id", "company", "company_ord", "page_no", "fetched_at", "url",
-            posting_links("body").alias("found"),
-            has_more_icims("body", "page_no").alias("more"),
-        )
-    )
-    kept = keep_until(pages, (F.size("found") == 0) | ~F.col("more"))
-    summaries = kept.select(
+def parse_icims(captures: DataFrame, rules: DataFrame) -> DataFrame:
+    pages = common.list_pages(captures, rules, SOURCE, posting_links("body").alias("found"))
+    summaries = pages.select(
         "run_id", "company", "company_ord", "page_no", "fetched_at", "url",
         F.posexplode("found").alias("pos", "a"),
     ).select(

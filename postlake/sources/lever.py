@@ -13,9 +13,9 @@ SOURCE = "lever"
 
 
 def parse_lever(captures: DataFrame, rules: DataFrame) -> DataFrame:
-    documents = common.list_pages(captures, rules, SOURCE).select(
-        "run_id", "company", "company_ord", "page_no", "fetched_at",
-        F.try_parse_json("body").alias("doc"),
+    document = F.try_parse_json("body").alias("doc")
+    documents = common.list_pages(captures, rules, SOURCE, document).select(
+        "run_id", "company", "company_ord", "page_no", "fetched_at", "doc"
     )
     pages = documents.withColumn(
         "jobs", F.coalesce(V.items("doc"), V.items("doc", "postings"))

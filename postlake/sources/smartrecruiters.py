@@ -10,7 +10,7 @@ from postlake.functions import variants as V
 from postlake.functions.dates import iso_date
 from postlake.functions.entities import unescape
 from postlake.functions.text import nonempty, strip
-from postlake.operators.assemble import MAX_PAGES, attach_details, trim_pages
+from postlake.operators.assemble import attach_details
 from postlake.sources import common
 
 SOURCE = "smartrecruiters"
@@ -62,26 +62,19 @@ def public_url(explicit: Column, posting_id: Column, title: Column, company: Col
     return F.when(individual, explicit).otherwise(F.coalesce(built, explicit))
 
 
-def parse_smartrecruiters(
-    captures: DataFrame, rules: DataFrame, page_size: int = PAGE_SIZE, max_pages: int = MAX_PAGES
-) -> DataFrame:
+def parse_smartrecruiters(captures: DataFrame, rules: DataFrame) -> DataFrame:
     from_url = F.regexp_replace("careers_url", "/+$", "")
-    pages = common.list_pages(captures, rules, SOURCE).select(
+    document = F.from_json("body", "struct<content:array<variant>>").alias("doc")
+    pages = common.list_pages(captures, rules, SOURCE, document).select(
         "run_id", "company", "company_ord", "page_no", "fetched_at", "fetch_details",
         F.coalesce(nonempty("api_endpoint"), F.substring_index("url", "?", 1)).alias("endpoint"),
         F.coalesce(
             nonempty("ats_identifier"), nonempty(F.substring_index(from_url, "/", -1))
         ).alias("site"),
-        F.from_json("body", "struct<content:array<variant>,totalFound:string>").alias("doc"),
+        "doc",
     )
-    counted = (
-        pages.withColumn("jobs", V.objects("doc.content"))
-        .withColumn("total", F.col("doc.totalFound").try_cast("bigint"))
-        .withColumn("n_objects", F.coalesce(F.size("jobs"), F.lit(0)))
-        .drop("doc")
-    )
-    kept = trim_pages(counted, page_size, max_pages)
-    rows = common.explode_objects(kept, "jobs", "raw").withColumn(
+    listed = pages.withColumn("jobs", V.objects("doc.content")).drop("doc")
+    rows = common.explode_objects(listed, "jobs", "raw").withColumn(
         "detail_key",
         F.when(F.col("fetch_details"), detail_reference(F.col("raw"), F.col("endpoint"))),
     )

@@ -12,14 +12,7 @@ from postlake.functions.dates import any_date
 from postlake.functions.entities import unescape, unescape_sql
 from postlake.functions.sqltext import bind, each_sql, keep_sql, q
 from postlake.functions.text import nonempty
-from postlake.operators.assemble import (
-    MAX_PAGES,
-    attach_details,
-    drop_requisition_repeats,
-    first_by_id,
-    keep_until,
-    next_page,
-)
+from postlake.operators.assemble import attach_details, drop_requisition_repeats, first_by_id
 from postlake.sources import common
 
 SOURCE = "successfactors"
@@ -65,10 +58,13 @@ def table_rows(html: Column | str) -> Column:
 
 
 def parse_successfactors_xml(captures: DataFrame, rules: DataFrame) -> DataFrame:
-    pages = common.list_pages(captures, rules, SOURCE).where(X.is_xml("body"))
+    feeds = captures.where(X.is_xml("body"))
+    pages = common.list_pages(
+        feeds, rules, SOURCE, X.xml_records(X.plain_xml("body")).alias("records")
+    )
     records = pages.select(
         "run_id", "company", "company_ord", "page_no", "fetched_at",
-        F.posexplode(X.xml_records(X.plain_xml("body"))).alias("pos", "record"),
+        F.posexplode("records").alias("pos", "record"),
     )
     fields = records.withColumn("f", X.xml_fields("record")).drop("record")
     url = X.first_field("f", *URL_KEYS)
@@ -94,21 +90,10 @@ def parse_successfactors_xml(captures: DataFrame, rules: DataFrame) -> DataFrame
     )
 
 
-def parse_successfactors_html(
-    captures: DataFrame, rules: DataFrame, max_pages: int = MAX_PAGES
-) -> DataFrame:
-    pages = (
-        common.list_pages(captures, rules, SOURCE)
-        .where(F.col("page_no") < F.coalesce("max_pages", F.lit(max_pages)))
-        .where(~X.is_xml("body"))
-        .select(
-            "run_id", "company", "company_ord", "page_no", "fetched_at", "url", "fetch_details",
-            table_rows("body").alias("found"),
-            next_page("body", "url").alias("following"),
-        )
-    )
-    kept = keep_until(pages, (F.size("found") == 0) | F.col("following").isNull())
-    summaries = kept.select(
+def parse_successfactors_html(captures: DataFrame, rules: DataFrame) -> DataFrame:
+    boards = captures.where(~X.is_xml("body"))
+    pages = common.list_pages(boards, rules, SOURCE, table_rows("body").alias("found"))
+    summaries = pages.select(
         "run_id", "company", "company_ord", "page_no", "fetched_at", "url", "fetch_details",
         F.posexplode("found").alias("pos", "a"),
     ).select(

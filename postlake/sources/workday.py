@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from postlake.functions import variants as V
 from postlake.functions.dates import relative_date
 from postlake.functions.text import nonempty, strip
-from postlake.operators.assemble import MAX_PAGES, trim_pages
 from postlake.sources import common
 
 SOURCE = "workday"
@@ -25,24 +24,15 @@ def workday_url(site: Column, external_path: Column) -> Column:
     return F.when(external_path.rlike("^https?://"), external_path).otherwise(joined)
 
 
-def parse_workday(
-    captures: DataFrame, rules: DataFrame, page_size: int = PAGE_SIZE, max_pages: int = MAX_PAGES
-) -> DataFrame:
-    pages = common.list_pages(captures, rules, SOURCE).select(
+def parse_workday(captures: DataFrame, rules: DataFrame) -> DataFrame:
+    document = F.from_json("body", "struct<jobPostings:array<variant>>").alias("doc")
+    pages = common.list_pages(captures, rules, SOURCE, document).select(
         "run_id", "company", "company_ord", "page_no", "fetched_at",
         F.coalesce(nonempty("careers_url"), nonempty("api_endpoint"), F.col("url")).alias("site"),
-        F.from_json("body", "struct<jobPostings:array<variant>,total:string>").alias("doc"),
+        "doc",
     )
     listed = F.coalesce("doc.jobPostings", F.array().cast("array<variant>"))
-    counted = (
-        pages.withColumn("jobs", listed)
-        .withColumn("total", F.col("doc.total").try_cast("bigint"))
-        .withColumn("n_raw", F.size("jobs"))
-        .withColumn("n_objects", F.size(V.objects("jobs")))
-        .drop("doc")
-    )
-    kept = trim_pages(counted, page_size, max_pages, length="n_raw")
-    rows = common.explode_objects(kept, "jobs")
+    rows = common.explode_objects(pages.withColumn("jobs", listed).drop("doc"), "jobs")
     v = "v"
     described = F.filter(
         V.items(v, "jobPostingInfo", "jobDescriptionFields"),

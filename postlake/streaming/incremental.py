@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake.operators.assemble import first_wins
 from postlake.operators.rules import GlobalFilters
-from postlake.operators.store import JobStore
+from postlake.operators.store import JobStore, put_batch
 from postlake.plans.pipeline import run_into
 from postlake.schema import CAPTURES
 
 
+def batch_name(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
+    """Name of a micro-batch: the id that its checkpoint keeps for the query, and its number."""
+    held = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()
+    query = json.loads(held.value)["id"]
+    return f"{query}-{batch_id:010d}"
+
+
 def run_incremental(
     spark: SparkSession,
     landing: str,
@@ -22,8 +32,9 @@ def run_incremental(
 ) -> None:
     """Process every capture that landed since the last call, then stop.
 
-    The seen table is the only state. A micro-batch writes the partition named by its id, so a batch
-    that runs again after a failure replaces its own rows.
+    The seen table is the only state. A micro-batch writes the partition named by its checkpoint's
+    query and its number, so a batch that runs again after a failure replaces its own rows, and a new
+    checkpoint on the same store replaces none.
     """
     arrived = spark.readStream.schema(CAPTURES).parquet(landing)
 
@@ -35,7 +46,7 @@ def run_incremental(
             batch.where(fetched),
             rules,
             filters,
-            batch=f"b{batch_id:010d}",
+            batch=batch_name(batch.sparkSession, checkpoint, batch_id),
             failed=batch.where(~fetched),
         )
 
@@ -60,20 +71,19 @@ def keep_new_keys(
     stored_schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema.fields)}, batch string"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        name = f"b{batch_id:010d}"
         session = batch.sparkSession
+        name = batch_name(session, checkpoint, batch_id)
         fresh = first_wins(batch, ["dedup_key"], order)
-        if batch_id > 0:
+        try:
             stored = session.read.schema(stored_schema).parquet(target)
-            earlier = stored.where(F.col("batch") < name).select("dedup_key")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            # Read before its own partition is replaced: a retried batch does not see itself.
+            earlier = stored.where(F.col("batch") != name).select("dedup_key")
             fresh = fresh.join(earlier, "dedup_key", "left_anti")
-        (
-            fresh.withColumn("batch", F.lit(name))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(target)
-        )
+        put_batch(fresh, target, name)
 
     query = (
         arrived.writeStream.foreachBatch(handle)

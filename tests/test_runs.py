@@ -112,12 +112,12 @@ def test_counts_against_brute_force(spark):
     import random
 
     rng = random.Random(11)
-    data = [(f"c{c}", c, f"k{rng.randrange(40)}", rng.choice(["matched", "filtered_out"])) for c in range(6) for _ in range(60)]
+    data = [("r1", f"c{c}", c, 0, i, f"k{rng.randrange(40)}", rng.choice(["matched", "filtered_out"])) for c in range(6) for i in range(60)]
     seen_keys = {f"k{i}" for i in range(0, 40, 5)}
-    decided = spark.createDataFrame(data, "company string, company_ord long, dedup_key string, match_status string")
+    decided = spark.createDataFrame(data, "run_id string, company string, company_ord long, page_no int, pos int, dedup_key string, match_status string")
     seen = spark.createDataFrame([(k,) for k in sorted(seen_keys) * 2], "dedup_key string")
     known, expected = set(seen_keys), {}
-    for company, _, key, status in data:
+    for _, company, _, _, _, key, status in data:
         row = expected.setdefault(company, [0, 0, 0, 0])
         row[0] += 1
         if status == "matched":
@@ -126,3 +126,45 @@ def test_counts_against_brute_force(spark):
             known.add(key)
     got = {r.company: [r.jobs_fetched, r.jobs_matched, r.new_jobs_inserted, r.duplicates_skipped] for r in company_counts(decided, seen).collect()}
     assert got == expected
+
+
+def test_retry_without_matches_leaves_nothing(spark):
+    store = JobStore(spark, new_scratch(spark, "retry"))
+    for title in ("Engineer", "Cook"):
+        run_into(store, captures(spark, board("A", 1, title=title)), two_companies(spark), FILTERS, batch="a b/1")
+    assert store.jobs().count() == 0
+    assert [(r.batch, r.jobs_matched) for r in store.run_log().collect()] == [("a b/1", 0)]
+
+
+def test_new_checkpoint_keeps_stored_jobs(spark):
+    base = new_scratch(spark, "checkpoints")
+    store = JobStore(spark, f"{base}/store")
+    for i in (1, 2):
+        captures(spark, board("A", i)).write.parquet(f"{base}/landing{i}")
+        run_incremental(spark, f"{base}/landing{i}", store, two_companies(spark), f"{base}/checkpoint{i}", FILTERS)
+    assert sorted(r.deduplication_key for r in store.jobs().collect()) == ["source:a:1", "source:a:2"]
+
+
+def test_spaced_names_and_two_sources(spark):
+    both = rules(spark, rule("greenhouse", company=" A ", ord_=0), rule("lever", company="A", ord_=1))
+    done = run(captures(spark, board("A ", 1)), both, FILTERS)
+    got = {r.company_ord: (r.company, r.jobs_fetched, r.new_jobs_inserted) for r in done.results.collect()}
+    assert got == {0: ("A", 1, 1), 1: ("A", 0, 0)} and done.decided.count() == 1
+
+
+def test_unreadable_and_rejected_are_reported(spark):
+    rows = captures(
+        spark, capture("greenhouse", "<html>502</html>", company="A", url="https://a/0"),
+        capture("greenhouse", {"jobs": [{"id": 9, "title": "  "}, {"id": 8, "title": " "}]}, company="B"),
+    )
+    got = {r.company: list(r.failures) for r in run(rows, two_companies(spark), FILTERS).results.collect()}
+    assert got["A"] == ["A: JSONDecodeError: 1 unreadable, first https://a/0"]
+    assert got["B"] == ["B: ValidationError: title cannot be empty (2)"]
+
+
+def test_funnel_credits_the_stored_row(spark):
+    link = lambda c: capture("lever", [{"text": "Engineer", "hostedUrl": "https://x/1", "categories": {"location": "Oslo"}}], company=c, run_id="r1" if c == "B" else "r2")
+    both = rules(spark, rule("lever", company="A", ord_=0), rule("lever", company="B", ord_=1))
+    done = run(captures(spark, link("A"), link("B")), both, FILTERS)
+    assert [r.company for r in done.new_jobs.collect()] == ["B"]
+    assert {r.company: r.new_jobs_inserted for r in done.results.collect()} == {"A": 0, "B": 1}

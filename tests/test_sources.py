@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from datetime import date
 
 from helpers import capture, captures, detail, rule, rules
 
-from postlake.operators.assemble import drop_requisition_repeats, trim_pages
+from pyspark.sql import functions as F
+
+from postlake.functions import html as H
+from postlake.functions import variants as V
+from postlake.operators import assemble
+from postlake.operators.assemble import drop_requisition_repeats, page_report
+from postlake.sources import parse_all
 from postlake.sources.ashby import parse_ashby
 from postlake.sources.avature import parse_avature
 from postlake.sources.eightfold import parse_eightfold
@@ -70,10 +77,10 @@ def test_smartrecruiters_overlay_by_presence(spark):
         ("F", "a & b", "https://jobs.smartrecruiters.com/Co/1-eng-x"), (None, None, "https://jobs.smartrecruiters.com/Co/2-two")]
 
 
-def test_eightfold_pages_stop_at_count(spark):
+def test_eightfold_reads_pages_beyond_the_count(spark):
     page = lambda i, n: capture("eightfold", {"data": {"count": 3, "positions": [{"id": i * 10 + k, "name": "N"} for k in range(n)]}}, page_no=i)
-    rows = parse(spark, parse_eightfold, [page(1, 2), page(2, 2), page(3, 2)], rule("eightfold", ats_identifier="d.com"), page_size=2)
-    assert [r.source_job_id for r in rows] == ["10", "11", "20", "21"]
+    rows = parse(spark, parse_eightfold, [page(1, 2), page(2, 2), page(3, 2)], rule("eightfold", ats_identifier="d.com"))
+    assert [r.source_job_id for r in rows] == ["10", "11", "20", "21", "30", "31"]
 
 
 def test_icims_duplicates_and_fallbacks(spark):
@@ -82,6 +89,13 @@ def test_icims_duplicates_and_fallbacks(spark):
     assert [(r.source_job_id, r.title, r.posting_url) for r in rows] == [("1", "One", "https://c.example.com/jobs/1/a/job"), ("4", "Four 4", "https://c.example.com/jobs/4/e/job")]
 
 
+def test_json_ld_at_any_depth(spark):
+    inner = json.dumps({"@type": ["Thing", "JobPosting"], "title": "Deep"})
+    body = f'<script type="application/ld+json">{"[1, " * 12}{{"@graph": [{inner}, {{"@type": "JobPosting", "title": "Later"}}]}}{"]" * 12}</script>'
+    found = spark.createDataFrame([(body,), ("<p>none</p>",)], "body string").select(V.text(H.json_ld_posting("body"), "title").alias("t"))
+    assert [r.t for r in found.collect()] == ["Deep", None]
+
+
 def test_avature_keeps_summary_without_detail(spark):
     search = ('<article><a href="/careers/JobDetail/X/11">A</a><div class="article__content">S</div><p><i class="icon-tag"></i>T</p><p><i class="icon-address"></i>P</p></article>'
               '<a href="/careers/FolderDetail/Y/12/">B</a>')
@@ -89,12 +103,6 @@ def test_avature_keeps_summary_without_detail(spark):
     assert [(r.source_job_id, r.title, r.location, r.department, r.description) for r in rows] == [("11", "A", "P", "T", "S"), ("12", "B", None, None, None)]
 
 
-def test_avature_page_cap(spark):
-    pages = [capture("avature", f'<a href="/careers/JobDetail/X/{i}">A</a> jobOffset={i + 1}', page_no=i) for i in range(3)]
-    assert len(parse(spark, parse_avature, pages, rule("avature", extra={"max_pages": "2"}))) == 2
-    assert len(parse(spark, parse_avature, pages, rule("avature"))) == 3
-
-
 def test_successfactors_sniffs_both_formats(spark):
     feed = '<jobs><job><referencenumber>007</referencenumber></job></jobs>'
     board = '<tr class="data-row"><td><a class="jobTitle-link" href="/job/x/9/">T</a></td><td class="colLocation">Here</td></tr>'
@@ -119,19 +127,60 @@ def test_requisition_chains_follow_page_order(spark):
     assert kept == expected and ("A", "3") in kept and ("A", "2") not in kept
 
 
-def test_trim_pages_against_a_loop(spark):
+def test_page_report_against_a_loop(spark, monkeypatch):
     import random
 
+    monkeypatch.setattr(assemble, "BLOCK_PAGES", 3)
     rng = random.Random(3)
     data = [(f"c{c}", p, rng.choice([5, 5, 5, 4]), rng.choice([None, 12, 100])) for c in range(40) for p in range(8)]
     df = spark.createDataFrame(data, "company string, page_no int, n_objects int, total int")
-    kept = {(r.company, r.page_no) for r in trim_pages(df, 5, 6, keys=["company"]).collect()}
-    expected = set()
+    got = {(r.company, r.page_no): (r.so_far, r.stop) for r in page_report(df, 5, keys=["company"]).collect()}
+    expected = {}
     for company in {d[0] for d in data}:
         so_far = 0
-        for _, page_no, n, total in sorted((d for d in data if d[0] == company), key=lambda d: d[1])[:6]:
-            expected.add((company, page_no))
+        for _, page_no, n, total in sorted((d for d in data if d[0] == company), key=lambda d: d[1]):
             so_far += n
-            if so_far >= (so_far if total is None else total) or n < 5:
-                break
-    assert kept == expected
+            expected[company, page_no] = (so_far, so_far >= (so_far if total is None else total) or n < 5)
+    assert got == expected
+
+
+def test_every_landed_page_is_parsed(spark):
+    pages = [capture("workday", {"total": 40, "jobPostings": [{"title": "T", "id": f"{p}-{k}"} for k in range(20)]}, page_no=p) for p in range(30)]
+    assert len(parse(spark, parse_workday, pages, rule("workday", extra={"max_pages": "2"}))) == 600
+
+
+def test_long_claim_chain(spark):
+    """Every posting is claimed by the one before it: every second one goes."""
+    rows = spark.range(20_000).select(
+        F.lit("r").alias("run_id"), F.lit("A").alias("company"), F.floor(F.col("id") / 50).cast("int").alias("page_no"),
+        (F.col("id") % 50).cast("int").alias("pos"), F.col("id").cast("string").alias("u"), (F.col("id") + 1).cast("string").alias("q"),
+    )
+    kept = drop_requisition_repeats(rows, "u", "q").agg(F.count("*").alias("n"), F.max(F.col("u").cast("int") % 2).alias("odd")).first()
+    assert (kept.n, kept.odd) == (10_000, 0)
+
+
+def test_claim_trees_against_a_loop(spark):
+    import random
+
+    rng = random.Random(9)
+    for size in (12, 60):
+        ids = list(range(size))
+        data = [("r", c, i // 5, i % 5, str(i), rng.choice([None, *map(str, ids[max(0, i - 3) : i + 6])])) for c in "AB" for i in ids]
+        df = spark.createDataFrame(data, "run_id string, company string, page_no int, pos int, u string, q string")
+        kept = {(r.company, r.u) for r in drop_requisition_repeats(df, "u", "q").collect()}
+        expected = set()
+        for c in "AB":
+            taken = set()
+            for _, _, _, _, u, q in sorted((d for d in data if d[1] == c), key=lambda d: d[2:4]):
+                if u not in taken:
+                    expected.add((c, u))
+                    if q is not None and q != u:
+                        taken.add(q)
+        assert kept == expected
+
+
+def test_one_name_with_two_sources(spark):
+    both = rules(spark, rule("greenhouse", ord_=0), rule("lever", ord_=1))
+    rows = captures(spark, capture("greenhouse", {"jobs": [{"id": 1, "title": "T"}]}), capture("lever", [{"id": "x", "text": "U"}]))
+    got = parse_all(rows, both).collect()
+    assert sorted((r.source, r.company_ord, r.title) for r in got) == [("greenhouse", 0, "T"), ("lever", 1, "U")]
