@@ -65,7 +65,7 @@ def fold(items: list[Item], groups: frozenset[tuple] = frozenset()) -> list[Item
             end = i + p
             while tuple(symbols[end : end + p]) == body:
                 end += p
-            if (end > i + p or body in groups) and body != (SLOT,) and not (p == 1 and isinstance(body[0], tuple)):
+            if (end > i + p or body in groups) and body[0] != SLOT and not (p == 1 and isinstance(body[0], tuple)):
                 out.append(Item(body, [t for x in items[i:end] for t in x.texts]))
                 i = end
                 break
