@@ -117,8 +117,8 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 20, vector: str = "v") -
     blocks = max(1, math.ceil(base.count() / BLOCK_ROWS))
     rounds = max(1, math.ceil(queries.count() / QUERY_ROWS))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(rounds))).withColumn("b", numbers(blocks))
-    right = base.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("q", numbers(rounds))
+    left = queries.withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(rounds)).cast("int")).withColumn("b", numbers(blocks))
+    right = base.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("q", numbers(rounds))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = list(_search(a, b, k))
