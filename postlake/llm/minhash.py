@@ -9,9 +9,9 @@ than independent hashes are. Two sets agree in a component with their Jaccard si
 Documents with equal shingle sets form a class and only its smallest id goes on, so thousands of copies
 cost one signature lookup. Bands of the signature that agree make candidates. A bucket does not emit its
 pairs: its members are compared to one pivot and, where a bucket still holds several groups, to three more.
-Members of different groups that are left are compared with each other in small buckets; in large ones an
-exact filter by rare shingles finds the pairs that can be similar at all. Every candidate that could join
-two groups is so compared on the full sets or ruled out, and none inside one group.
+Members of different groups that are left are compared with each other: by joins in small buckets, in tasks
+over pairs of blocks in large ones, which return links, not pairs. So every candidate that could join two
+groups is compared on the full sets.
 
 With BANDS bands of ROWS rows a link at the threshold of 0.8 is missed with a probability of 4e-6, a
 stronger one less.
@@ -25,19 +25,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import mix, signed, texts
+from postlake.llm.common import mix, signed, spread, texts
 from postlake.llm.shingles import shingle_sets
-from postlake.llm.unionfind import components
+from postlake.llm.unionfind import components, least_labels
 from postlake.session import materialize
 
 ROWS = 5
 BANDS = 32
-#: Members of a bucket up to which pairs of different groups are compared directly.
+#: Members of a bucket up to which pairs of different groups are compared by joins, and members of a block
+#: of a larger one.
 SMALL_BUCKET = 16
+BLOCK = 1_024
 
 _STEP = np.uint64(0xA0761D6478BD642F)
 _OTHER = np.uint64(0xE7037ED1A0B428DB)
@@ -153,42 +156,80 @@ def _pivots(members: DataFrame, turn: int, percent: int) -> DataFrame:
     return joined.select(high.alias("a"), low.alias("b")).distinct()
 
 
-def _more_pivots(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _more_pivots(rest: DataFrame, percent: int) -> DataFrame:
     """Pairs with three more pivots of each bucket."""
     found = [_pivots(rest, turn, percent) for turn in (1, 2, 3)]
     return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
 
 
-def _rest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups that share a small bucket, or that the exact filter finds in large ones."""
+def _few(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different groups in small buckets."""
     few = rest.filter(F.col("size") <= SMALL_BUCKET)
     other = few.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("g").alias("g2"))
     pairs = few.join(other, "key").filter((F.col("g") < F.col("g2")) & _alike(F.col("n"), F.col("n2"), percent))
-    pairs = pairs.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b"))
-    many = rest.filter(F.col("size") > SMALL_BUCKET).select("id", "n", "g").distinct()
-    return pairs.unionByName(_rare_overlap(many, sets, percent)).distinct()
+    return pairs.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
+
+
+def overlaps(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets that `sizes` cuts `tokens` into."""
+    m = len(sizes)
+    owner = np.repeat(np.arange(m), sizes)
+    _, index, count = np.unique(tokens, return_inverse=True, return_counts=True)
+    out = np.zeros((m, m), np.float32)
+    frequent = np.flatnonzero(count > max(16, m // 8))
+    column = np.full(len(count), -1)
+    for at in range(0, len(frequent), 2_048):
+        part = frequent[at : at + 2_048]
+        column[:] = -1
+        column[part] = np.arange(len(part))
+        have = column[index] >= 0
+        dense = np.zeros((m, len(part)), np.float32)
+        dense[owner[have], column[index[have]]] = 1
+        out += dense @ dense.T
+    rare = (count > 1) & (count <= max(16, m // 8))
+    chosen = np.flatnonzero(rare[index])
+    chosen = chosen[np.argsort(index[chosen], kind="stable")]
+    lengths = count[np.flatnonzero(rare)]
+    starts = np.cumsum(lengths) - lengths
+    for c in np.unique(lengths):
+        lists = owner[chosen[spread(starts[lengths == c], np.full((lengths == c).sum(), c))]].reshape(-1, c)
+        x, y = np.triu_indices(c, 1)
+        for at in range(0, len(lists), max(1, 2_000_000 // max(1, len(x)))):
+            part = lists[at : at + max(1, 2_000_000 // max(1, len(x)))]
+            pairs = (part[:, x] * m + part[:, y]).ravel()
+            more = np.bincount(pairs, minlength=m * m).reshape(m, m).astype(np.float32)
+            out += more + more.T
+    return out
 
 
-def _rare_overlap(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different groups that can be similar, by their rarest shingles; exact.
+def _many(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different groups of large buckets, as stars around the least id that they connect.
 
-    Sets are ordered by how many members have a shingle. If two sets are similar enough, the first
-    n - ceil(2 p n / (100 + p)) + 1 shingles of the smaller and the first n - ceil(p n / 100) + 1 of the larger
-    have one in common. Texts that differ in words of their own share none of these, however many they are.
+    Members are dealt to blocks and every pair of blocks of a bucket is compared on the full sets in one
+    task. Nothing is emitted for a pair; a task returns at most one link per member.
     """
-    n, p = F.col("n"), percent
-    tokens = members.join(sets, "id").select("id", "n", "g", F.explode("s").alias("t"))
-    common = tokens.groupBy("t").agg(F.count("*").alias("c"))
-    order = Window.partitionBy("id").orderBy("c", "t")
-    probe = n - F.ceil(n * p / 100) + 1
-    index = n - F.ceil(n * (2 * p) / (100 + p)) + 1
-    ranked = tokens.join(common, "t").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= probe)
-    ranked = materialize(ranked.filter("c > 1").select("id", "n", "g", "t", (F.col("r") <= index).alias("first")), "rare")
-    small = ranked.filter("first").select("t", "id", "n", "g")
-    large = ranked.select("t", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("g").alias("g2"))
-    ascending = F.struct("n", "id") < F.struct(F.col("n2").alias("n"), F.col("id2").alias("id"))
-    met = small.join(large, "t").filter(ascending & (F.col("g") != F.col("g2")) & _alike(n, F.col("n2"), percent))
-    return met.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
+    many = rest.filter(F.col("size") > SMALL_BUCKET).join(sets, "id")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(17)), blocks).cast("int")
+    dealt = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "g", "s")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ids, n, g, own = (group[c].to_numpy() for c in ("id", "n", "g", "own"))
+        both = overlaps(np.concatenate(group["s"].to_list()), n)
+        close = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        close &= g[:, None] != g[None, :]
+        if group["lo"].iat[0] != group["hi"].iat[0]:
+            close &= own[:, None] != own[None, :]
+        x, y = np.nonzero(np.triu(close, 1))
+        order = np.argsort(ids, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        least = ids[order][least_labels(place[x], place[y], len(ids))]
+        leaf = least != ids[order]
+        return pd.DataFrame({"a": ids[order][leaf], "b": least[leaf]})
+
+    return dealt.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -214,13 +255,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     seen = _pivots(members, 0, percent)
     links = materialize(_verified(seen, sets, percent), "links")
     groups = components(links)
-    for step in (_more_pivots, _rest):
+    for last in (False, True):
         named = members.join(groups, "id", "left").withColumn("g", F.coalesce("component", "id"))
         mixed = named.groupBy("key").agg(F.min("g").alias("x"), F.max("g").alias("y"), F.count("*").alias("size"))
         mixed = mixed.filter("x < y").select("key", "size")
         rest = materialize(named.join(mixed, "key").select("key", "size", "id", "n", "g"), "rest")
-        pairs = materialize(step(rest, sets, percent).join(seen, ["a", "b"], "left_anti"), "pairs")
-        more = materialize(_verified(pairs, sets, percent), "links")
+        pairs = _few(rest, percent) if last else _more_pivots(rest, percent)
+        pairs = materialize(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
+        more = _verified(pairs, sets, percent)
+        if last:
+            more = more.unionByName(_many(rest, sets, percent))
+        more = materialize(more, "links")
         seen = seen.unionByName(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)

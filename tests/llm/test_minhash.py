@@ -86,21 +86,18 @@ def test_many_groups_in_one_bucket(spark, monkeypatch):
             copy[draw.randrange(120)] = f"x{i}{j}"
         rows.append((i, " ".join(copy)))
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    for small in (16, 1):
+    for small, block in ((16, 1024), (1, 1024), (1, 7)):
         monkeypatch.setattr(minhash, "SMALL_BUCKET", small)
+        monkeypatch.setattr(minhash, "BLOCK", block)
         got = minhash.near_duplicates(table, width=4).collect()
         assert sorted(map(tuple, got), key=str) == brute(rows, 4)
 
 
-def test_rare_overlap_finds_every_pair(spark):
+def test_overlaps():
     draw = random.Random(8)
-    sets = {i: set(draw.sample(range(30), draw.randrange(1, 12))) for i in range(120)}
-    sets |= {200 + i: sets[i] | {100 + i} for i in range(40)}
-    table = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, s array<long>")
-    members = spark.createDataFrame([(i, len(s), i) for i, s in sets.items()], "id long, n long, g long")
-    got = {(r.a, r.b) for r in minhash._rare_overlap(members, table, 80).collect()}
-    want = {(a, b) for a in sets for b in sets if a > b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    assert want and want <= got
+    sets = [set(draw.sample(range(60), draw.randrange(1, 30))) for _ in range(150)]
+    got = minhash.overlaps(np.array([t for s in sets for t in sorted(s)]), np.array([len(s) for s in sets]))
+    assert all(got[i, j] == len(sets[i] & sets[j]) for i in range(150) for j in range(150) if i != j)
 
 
 def test_signatures_estimate_similarity():
