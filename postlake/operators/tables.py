@@ -89,8 +89,15 @@ def page_fields(pages: DataFrame, html: str = "html") -> DataFrame:
     ).drop(html, "posting", "dl", "divs")
 
 
+# Fixed value: path words of posting pages.
+POSTING_KIND = r"(?i)/(jobdetail|folderdetail|jobs?)(?:/|$)"
+
+
 def link_table(pages: DataFrame, html: str = "html", url: str = "url", page_no: str | None = None) -> DataFrame:
-    """One row per link: position, resolved URL, text, id, and whether it is the next page."""
+    """One row per link: position, resolved URL, text, id, kind, and whether it is the next page.
+
+    `kind` is the path word that marks a posting's page (job, jobs, jobdetail, folderdetail), or NULL.
+    """
     others = [c for c in pages.columns if c not in (html,)]
     following = next_page(html, url)
     rows = pages.select(
@@ -113,6 +120,7 @@ def link_table(pages: DataFrame, html: str = "html", url: str = "url", page_no:
         F.col("a.text").alias("text"),
         "link",
         nonempty(F.regexp_extract(U.split_url("link")["path"], r"/(\d+)/?$", 1)).alias("link_id"),
+        nonempty(F.lower(F.regexp_extract(U.split_url("link")["path"], POSTING_KIND, 1))).alias("kind"),
         F.coalesce(F.col("link") == F.col("following"), F.lit(False)).alias("is_next_page"),
     )
 

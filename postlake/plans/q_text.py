@@ -76,17 +76,28 @@ def j03(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BASE = "regexp_extract(url, '^([^:]+://[^/?#]*)', 1)"
 
 
+_JOB_LINKS = "'<a href=\"/jobs/' || page_id || '/x\">j</a><a href=\"?q=1&amp;startrow=' || (page_id + 5) || '\">n</a>'"
+
+
 @query("J04_link_table", f"""
-  with m as (select page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?>.*?</a>')) as a,
-                    generate_subscripts(regexp_extract_all(html, '(?is)<a\\b[^>]*?>.*?</a>'), 1) as i from pages),
+  with p as (select page_id, 'https://h.example.com/s?startrow=' || page_id as url, {_JOB_LINKS} || html as html from pages),
+  m as (select page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?>.*?</a>')) as a,
+                    generate_subscripts(regexp_extract_all(html, '(?is)<a\\b[^>]*?>.*?</a>'), 1) as i from p),
   h as (select *, trim({unescape_sql("regexp_extract(a, 'href=.([^\"]*)', 1)")}) as href from m)
   select page_id, cast(i - 1 as bigint) as pos, {strip_html("regexp_extract(a, '(?is)<a\\b[^>]*?>(.*?)</a>', 1)")} as text,
-         {_BASE} || href as link, nullif(regexp_extract(href, '/(\\d+)/?$', 1), '') as link_id, cast(0 as bigint) as is_next_page
+         {_BASE} || case when starts_with(href, '?') then '/s' else '' end || href as link, nullif(regexp_extract(href, '/(\\d+)/?$', 1), '') as link_id,
+         nullif(lower(regexp_extract(href, '(?i)/(jobdetail|folderdetail|jobs?)(?:/|$)', 1)), '') as kind,
+         cast(starts_with(href, '?') as bigint) as is_next_page
   from h where href <> ''""")
 def j04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = tables.link_table(table(spark, sf_dir, "pages"))
+    """A posting link and a link to the next page are put before each page's own links."""
+    more = F.format_string('<a href="/jobs/%d/x">j</a><a href="?q=1&amp;startrow=%d">n</a>', "page_id", F.col("page_id") + 5)
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", F.format_string("https://h.example.com/s?startrow=%d", "page_id").alias("url"), F.concat(more, "html").alias("html")
+    )
+    done = tables.link_table(pages)
     return done.select(
-        "page_id", F.col("pos").cast("bigint").alias("pos"), "text", "link", "link_id",
+        "page_id", F.col("pos").cast("bigint").alias("pos"), "text", "link", "link_id", "kind",
         F.col("is_next_page").cast("bigint").alias("is_next_page"),
     )
 
@@ -121,16 +132,14 @@ def j05(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J06_flatten_records", f"""
   with o as ({sites.ORDERS_SQL}), p as ({sites.PARTS_SQL})
   select company, page_no, pos, nullif(cast(n as varchar), '0') as id, case when n % 11 <> 0 then o_orderpriority end as title from o
-  union all select company, page_no, pos, lpad(cast(n as varchar), 8, '0'), p_name || ' & co' from p""")
+  union all select company, page_no, pos, 'x' || n, p_name || ' & co' from p""")
 def j06(spark: SparkSession, sf_dir: str) -> DataFrame:
     json_docs, _ = sites.greenhouse(spark, sf_dir)
     xml_docs, _ = sites.successfactors_xml(spark, sf_dir)
     both = json_docs.unionByName(xml_docs).select("company", "page_no", "body")
     rows, _ = tables.flatten_records(both, "jobs", {"id": ["id", "referenceNumber"], "title": ["title"]})
-    reference = F.when(F.col("company").startswith("Firm"), F.lpad(F.regexp_extract("id", "([0-9]+)", 1), 8, "0"))
     return rows.select(
-        "company", F.col("page_no").cast("bigint").alias("page_no"), F.col("pos").cast("bigint").alias("pos"),
-        F.coalesce(reference, "id").alias("id"), "title",
+        "company", F.col("page_no").cast("bigint").alias("page_no"), F.col("pos").cast("bigint").alias("pos"), "id", "title"
     )
 
 
