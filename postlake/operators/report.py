@@ -72,13 +72,9 @@ def company_results(
     )
 
 
-def failure_list(failures: DataFrame) -> DataFrame:
-    """All failure texts of the run in company order, as one array.
-
-    The list holds at most a few texts per company and is a column of the run log.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct("company_ord", "message")))
-    return failures.agg(F.transform(ordered, lambda f: f["message"]).alias("failures"))
+def failure_rows(failures: DataFrame) -> DataFrame:
+    """All failures of the run, one row each: the rows of the store's failures table."""
+    return failures.select("company_ord", "company", "message")
 
 
 def run_summary(results: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The `jobs` and `run_log` tables."""
+"""The `jobs`, `run_log` and `failures` tables."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlake.schema import JOB_HEADERS, JOBS, RUN_LOG, column_name
+from postlake.schema import FAILURES, JOB_HEADERS, JOBS, RUN_LOG, column_name
 
 
 def iso_timestamp(c: Column | str) -> Column:
@@ -64,7 +64,7 @@ def put_batch(rows: DataFrame, path: str, batch: str) -> None:
 
 
 class JobStore:
-    """Two Parquet tables under one folder, partitioned by batch.
+    """Three Parquet tables under one folder, partitioned by batch.
 
     A batch owns its partition's folder: writing it again replaces it, also by nothing, so a retried
     batch adds nothing twice and leaves nothing behind.
@@ -74,6 +74,7 @@ class JobStore:
         self.spark = spark
         self.jobs_path = f"{base.rstrip('/')}/jobs"
         self.run_log_path = f"{base.rstrip('/')}/run_log"
+        self.failures_path = f"{base.rstrip('/')}/failures"
 
     @staticmethod
     def _with_batch(schema: T.StructType) -> T.StructType:
@@ -100,6 +101,9 @@ class JobStore:
     def run_log(self) -> DataFrame:
         return self._read(self.run_log_path, RUN_LOG)
 
+    def failures(self) -> DataFrame:
+        return self._read(self.failures_path, FAILURES)
+
     def seen(self, excluding_batch: str | None = None) -> DataFrame:
         """Keys of stored postings; a batch being retried does not count its own rows as seen.
 
@@ -117,6 +121,9 @@ class JobStore:
     def append_jobs(self, rows: DataFrame, batch: str) -> None:
         self._put(rows, self.jobs_path, batch)
 
+    def append_failures(self, rows: DataFrame, batch: str) -> None:
+        self._put(rows, self.failures_path, batch)
+
     def append_run_log(self, rows: DataFrame, batch: str) -> None:
         self._put(rows, self.run_log_path, batch)
 

@@ -16,7 +16,7 @@ from postlake.operators.dedup import (
     split_valid,
     with_dedup_key,
 )
-from postlake.operators.report import company_results, failure_message, run_summary
+from postlake.operators.report import company_results, failure_message, failure_rows, run_summary
 from postlake.operators.rules import (
     GlobalFilters,
     effective_rules,
@@ -151,6 +151,7 @@ def run_into(
     # Counted before the jobs land: the log must not see this batch's own keys.
     done.summary = materialize(done.summary, "summary")
     store.append_jobs(to_job_rows(done.new_jobs), batch)
+    store.append_failures(failure_rows(done.failures), batch)
     log = to_run_log(
         done.summary, F.current_timestamp(), F.lit(float(time.monotonic() - started))
     )

@@ -103,6 +103,7 @@ def column_name(header: str) -> str:
 
 
 JOBS = T.StructType([T.StructField(column_name(h), _S) for h in JOB_HEADERS])
+FAILURES = _struct(("company_ord", T.LongType()), ("company", _S), ("message", _S))
 RUN_LOG = T.StructType(
     [
         T.StructField("run_timestamp", _S),

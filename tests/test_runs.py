@@ -60,6 +60,7 @@ def test_replay_adds_nothing(spark):
     log = {r.batch: (r.new_jobs_inserted, r.duplicates_skipped, r.failures) for r in store.run_log().collect()}
     assert log["b0"][:2] == (3, 0) and log["b1"][:2] == (0, 3)
     assert log["b0"][2] == "C: NotImplementedError: custom is not supported"
+    assert sorted((r.batch, r.company, r.message) for r in store.failures().collect()) == [(b, "C", log["b0"][2]) for b in ("b0", "b1")]
 
 
 def test_stream_equals_batch(spark):
