@@ -16,8 +16,8 @@ groups is compared on the full sets.
 With BANDS bands of ROWS rows a link at the threshold of 0.8 is missed with a probability of 4e-6, a
 stronger one less.
 
-Rows without doc_id or words are linked with nothing. Repeated rows each give a row. No rows: none. Other
-columns are ignored.
+Rows without doc_id or words are linked with nothing. Repeated rows each give a row; rows of one doc_id with
+different texts count as one document that has the links of each. No rows: none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -212,10 +212,11 @@ def _many(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(17)), blocks).cast("int")
     dealt = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "n", "g", "s")
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "g", "s")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, n, g, own = (group[c].to_numpy() for c in ("id", "n", "g", "own"))
+        ids, g, own = (group[c].to_numpy() for c in ("id", "g", "own"))
+        n = np.fromiter(map(len, group["s"]), np.int64, len(group))
         both = overlaps(np.concatenate(group["s"].to_list()), n)
         close = 100 * both >= percent * (n[:, None] + n[None, :] - both)
         close &= g[:, None] != g[None, :]

@@ -75,6 +75,14 @@ def test_repeated_rows_and_no_rows(spark):
     assert minhash.near_duplicates(table.limit(0)).collect() == []
 
 
+def test_one_id_with_two_texts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 1)
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(90))
+    rows = [(5, a), (5, b), (6, a + " z"), (4, b + " z"), (9, "other text")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert {(r.doc_id, r.component_id) for r in got} >= {(6, 4), (4, 4), (9, 9)} and len(got) == 5
+
+
 def test_many_groups_in_one_bucket(spark, monkeypatch):
     """Members that miss the pivots are still compared with the rest of their bucket, or ruled out."""
     draw = random.Random(5)
