@@ -7,8 +7,8 @@ bound takes the list's worst value for unread dimensions, its upper bound the la
 stops when no vector outside the best k by lower bound can exceed the k-th of them; the scores of those
 that remain in question are then resolved. The lists of all groups of a query meet in a rank filter.
 
-Vectors that are null, of another length than the first query block asks for, or hold null or non-finite
-components take no part. Equal scores rank by id; repeated ids each count. No queries or vectors: no rows.
+Vectors that are null or empty, or hold null or non-finite components, take no part, and a query only meets
+vectors of its own length. Equal scores rank by id; repeated ids each count. No queries or vectors: no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 8_192
 QUERY_ROWS = 512
 MAX_PARTITIONS = 20_000
+#: How deep the lists are read before the bounds are compared, in sixteenths, and rows in question whose
+#: scores are then resolved instead of reading on.
+DEPTHS = (2, 4, 8, 12, 14, 15, 16)
+RESOLVED = 256
 
 OUT = "query_id long, vec_id long, score long"
 
@@ -36,75 +40,61 @@ def whole_parts(vector: Column, factor: int = 64) -> Column:
     return F.when(vector.isNotNull() & (F.size(vector) > 0) & ~bad, made)
 
 
-def _lists(x: np.ndarray) -> np.ndarray:
-    """Row numbers of each dimension by rising value."""
-    return np.argsort(x, axis=0, kind="stable")
+def no_random_access(x: np.ndarray, q: np.ndarray, k: int, own: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query, rows, scores) with the k best rows of x for each row of q, ties with the k-th among them.
 
-
-def no_random_access(x: np.ndarray, q: np.ndarray, lists: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, scores) that include the k best rows of x for q, ties with the k-th among them.
-
-    own: rows that take no part. All numbers are whole.
+    own: queries x rows, what takes no part. All numbers are whole. The lists are read from both ends in
+    step: queries take the upper end of a dimension where they are positive and the lower where they are
+    negative, so one reading serves all of them.
     """
     n, dims = x.shape
-    live = np.flatnonzero(q)
-    k = min(k, n - len(own))
-    if k <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(live):
-        rows = np.setdiff1d(np.arange(n), own)
-        return rows, np.zeros(len(rows), np.int64)
-    weight = q[live].astype(np.float64)
-    # Sums stay whole numbers below 2**53, so doubles hold them exactly.
-    order = np.where(weight > 0, lists[::-1, live], lists[:, live])
-    worst = weight * np.where(weight > 0, x[lists[0, live], live], x[lists[-1, live], live])
-    gained = np.zeros(n)
-    seen = np.zeros((n, len(live)), bool)
-    depth, step = 0, max(64, n // 16)
-    columns = np.arange(len(live))
-    outside = np.ones(n, bool)
-    outside[own] = False
-    floor_sum = worst.sum()
-    while True:
-        ids = order[depth : depth + step]
-        parts = x[ids, live] * weight
-        seen[ids, columns] = True
-        gained += np.bincount(ids.ravel(), (parts - worst).ravel(), n)
-        depth += len(ids)
-        lower = np.where(outside, gained + floor_sum, -np.inf)
-        kth = np.partition(lower, n - k)[n - k]
-        if depth >= n:
-            rows = np.flatnonzero(lower >= kth)
-            return rows, lower[rows].astype(np.int64)
-        frontier = parts[-1] - worst
-        if frontier.sum() + floor_sum >= kth:
-            continue  # a row that no list has shown yet could still qualify
-        upper = lower + (~seen @ frontier)
-        rows = np.flatnonzero(outside & (upper >= kth))
-        if len(rows) <= max(8 * k, 256):
-            scores = (x[rows][:, live] @ weight).astype(np.int64)
-            return rows, scores
+    reach = dims * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0))
+    # Sums are whole and stay below the precision of the type, so they are exact.
+    kind = np.float32 if reach < 1 << 24 else np.float64
+    x, q = x.astype(kind), q.astype(kind)
+    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
+    lists = np.argsort(x, axis=0)
+    columns = np.arange(dims)
+    least, most = x[lists[0], columns], x[lists[-1], columns]
+    top, bottom = np.zeros(x.shape, bool), np.zeros(x.shape, bool)
+    waiting = np.arange(len(q))
+    k, read = min(k, n), 0
+    for depth in sorted({-(-n * part // 16) for part in DEPTHS}):
+        top[lists[n - depth : n - read], columns] = True
+        bottom[lists[read:depth], columns] = True
+        read = depth
+        p, m, out = plus[waiting], minus[waiting], own[waiting]
+        lower = p @ np.where(top, x, least).T + m @ np.where(bottom, x, most).T
+        lower[out] = -np.inf
+        kth = np.partition(lower, n - k, axis=1)[:, n - k]
+        if depth < n:
+            upper_end, lower_end = x[lists[n - depth], columns], x[lists[depth - 1], columns]
+            # Rows that no list has shown yet, and rows that some have.
+            safe = p @ upper_end + m @ lower_end < kth
+            open_ = p @ np.where(top, x, upper_end).T + m @ np.where(bottom, x, lower_end).T >= kth[:, None]
+            done = safe & (open_.sum(axis=1) <= RESOLVED)
+        else:
+            open_, done = lower >= kth[:, None], np.ones(len(waiting), bool)
+        open_ &= ~out
+        for i in np.flatnonzero(done):
+            rows = np.flatnonzero(open_[i])
+            yield int(waiting[i]), rows, np.rint(x[rows] @ q[waiting[i]]).astype(np.int64)
+        waiting = waiting[~done]
+        if not len(waiting):
+            return
 
 
 def _search(queries: pd.DataFrame, base: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
-    if not len(queries) or not len(base):
-        return
-    by_length: dict[int, list[int]] = {}
-    for i, v in enumerate(base["v"]):
-        by_length.setdefault(len(v), []).append(i)
-    ids = base["vec_id"].to_numpy()
-    prepared = {}
-    for query_id, v in zip(queries["vec_id"].to_numpy(), queries["v"], strict=True):
-        members = by_length.get(len(v))
-        if not members:
+    lengths = base["v"].map(len)
+    for length, asked in queries.groupby(queries["v"].map(len)):
+        members = base[lengths == length]
+        if not len(members):
             continue
-        if len(v) not in prepared:
-            x = np.stack([base["v"].iat[i] for i in members]).astype(np.float64)
-            prepared[len(v)] = (x, _lists(x), ids[members])
-        x, lists, names = prepared[len(v)]
-        rows, scores = no_random_access(x, np.asarray(v, np.int64), lists, k, np.flatnonzero(names == query_id))
-        best = np.lexsort((names[rows], -scores))[:k]
-        yield pd.DataFrame({"query_id": query_id, "vec_id": names[rows][best], "score": scores[best]})
+        names, ids = members["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
+        x, q = np.stack(members["v"].to_list()), np.stack(asked["v"].to_list())
+        for i, rows, scores in no_random_access(x, q, k, names[None, :] == ids[:, None]):
+            best = np.lexsort((names[rows], -scores))[:k]
+            yield pd.DataFrame({"query_id": ids[i], "vec_id": names[rows][best], "score": scores[best]})
 
 
 def top_k(base: DataFrame, queries: DataFrame, k: int = 20, vector: str = "v") -> DataFrame:
