@@ -341,7 +341,9 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = anchors(rows.filter(F.octet_length("text") >= length), length)
     kind = F.xxhash64("ctx", "shape")
     twice = found.groupBy("h").agg(F.count("*").alias("n"), (F.min(kind) == F.max(kind)).alias("uniform")).filter("n > 1")
-    shared = materialize(found.join(twice.select("h", "uniform"), "h"), "shared")
+    # Written first: a join of two plain exchanges lets Spark split an anchor that very many texts have.
+    twice = materialize(twice.select("h", "uniform"), "twice")
+    shared = materialize(found.join(twice, "h"), "shared")
     more = F.col("shape") % 4096
     settled = shared.filter("uniform").select(*_KEYS, F.col("at").alias("first"), (F.col("at") + more).alias("last"))
 
