@@ -76,14 +76,16 @@ def components(links: DataFrame) -> DataFrame:
     links: (a, b) in any direction, repeated or not. Loops are ignored. No links: no rows.
     """
     plain = links.filter("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    now = materialize(_contracted(plain).distinct(), "star")
+    # Links are contracted as they are read back: a file split holds far more of them than a shuffle partition.
+    now = materialize(_contracted(materialize(plain, "links")).distinct(), "star")
     while not _is_star(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         pairs = F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("p")
         small = large.join(least, "a").select(pairs).select(F.col("p.a").alias("a"), F.col("p.m").alias("b"))
-        now = materialize(_contracted(small.filter("a <> b")).distinct(), "star")
+        held = materialize(small.filter("a <> b"), "links")
+        now = materialize(_contracted(held).distinct(), "star")
     ends = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return ends.unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
