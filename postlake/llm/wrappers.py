@@ -1,13 +1,15 @@
 """Main text of web pages with wrappers inferred from pages of the same host.
 
 A wrapper is a union-free regular expression over block tags and texts: a sequence of tags, constant texts,
-text slots, repeated groups and optional parts. It is inferred from a bounded sample of a host's pages by
-alignment. Neighbouring equal tag sequences of a page are first folded into repeated groups; a sequence that
+text slots, repeated groups and optional parts. Pages of a host are told apart by template, a signature of the
+elements and classes of their layout, and each template's wrapper is inferred from a bounded sample of its distinct
+pages by alignment. Templates of fewer than LEAST distinct pages share one wrapper of their host. Neighbouring equal tag sequences of a page are first folded into repeated groups; a sequence that
 repeats on one page counts as a group on all of them. Then the pages are aligned with the wrapper one after
 the other: texts that differ become slots, what only one side has becomes optional.
 
-The wrapper tells which texts are the host's own (constant on every page) and, where no page marks its
-article, which container holds most of the varying text. A page's text is what its alignment puts into
+The wrapper tells which texts are the host's own (constant on every page) and, for pages that do not mark their
+article, which container holds most of the varying text, each page of the sample counting the same. A page that
+has nothing in that container falls back to its own largest one. A page's text is what its alignment puts into
 slots and groups of the article, without menus, headers, footers, sidebars, notices, adverts, forms and
 comments, which their elements and names give away.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import difflib
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,10 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlake.llm.pagetokens import Text, tokens
+from postlake.llm.pagetokens import AROUND_NAMES, MAIN_TAGS, Text, tokens
+from postlake.session import materialize
 
-#: Pages of a host that its wrapper is inferred from at most, chosen by a hash of the id.
+#: Distinct pages of a template that its wrapper is inferred from at most, chosen by a hash of the page.
 SAMPLE = 12
+#: Distinct pages that a template needs for a wrapper of its own.
+LEAST = 3
+#: Nested layout elements that tell templates apart.
+LAYOUT_DEPTH = 4
 #: Tags of a repeated group at most.
 PERIOD = 24
 #: Bytes of wrappers that are sent to every executor at most; more are joined in a shuffle.
@@ -40,6 +48,42 @@ MOST = 0.6
 
 SLOT = "#"
 
+# Elements that pages are laid out with.
+_LAYOUT = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)(div|section|article|main|table|center)\b([^>]*)>", re.I | re.S)
+_CLASS = re.compile(r"""(?:^|\s)class\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_WORD = re.compile(r"[a-z][a-z0-9]*")
+
+
+def signature(source: str | None) -> str:
+    """Template of a page: its outer layout elements by class, without boilerplate and what is in a marked article."""
+    found: set[str] = set()
+    depth = inside = 0
+    for m in _LAYOUT.finditer(source or ""):
+        if m[3] is None:
+            continue
+        if m[2]:
+            depth = max(0, depth - 1)
+            if depth < inside:
+                inside = 0
+            continue
+        depth += 1
+        if inside or depth > LAYOUT_DEPTH:
+            continue
+        tag, held = m[3].lower(), _CLASS.search(m[4])
+        names = _WORD.findall(held[1].lower()) if held else []
+        if (names or tag in MAIN_TAGS) and not AROUND_NAMES.intersection(names):
+            found.add(".".join((tag, *names)))
+        if tag in MAIN_TAGS:
+            inside = depth
+    return " ".join(sorted(found))
+
+
+def template(html: Column) -> Column:
+    def signatures(sources: pd.Series) -> pd.Series:
+        return sources.map(lambda source: signature(source if isinstance(source, str) else None))
+
+    return F.xxhash64(F.pandas_udf(signatures, "string")(html)).cast("string")
+
 
 class Item:
     """Part of a stream: a symbol and the texts below it. Groups are tuples of symbols."""
@@ -93,8 +137,27 @@ def _key(symbol: str | tuple) -> str:
     return symbol if isinstance(symbol, str) else json.dumps(symbol)
 
 
+def _general(path: tuple[str, ...], known: frozenset[str]) -> tuple[str, ...]:
+    """A path by tag alone where class and id are not of the template."""
+    return tuple(s if s in known else s.partition(".")[0] for s in path)
+
+
+def container(pages: list[list[Text]], known: frozenset[str]) -> tuple[str, ...]:
+    """The longest path that holds MOST of the text, each page counting the same."""
+    mass: Counter = Counter()
+    for texts in pages:
+        total = sum(len(t.text) for t in texts)
+        for t in texts:
+            path = _general(t.path, known)
+            for depth in range(1, len(path) + 1):
+                mass[path[:depth]] += len(t.text) / total
+    large = [p for p, n in mass.items() if n >= MOST * len(pages) - 1e-9]
+    return max(large, key=lambda p: (len(p), p)) if large else ()
+
+
 def infer(pages: list[str | None]) -> dict:
     """Wrapper of some pages: the expression, its groups, the constant texts and the article's container."""
+    pages = list(dict.fromkeys(pages))
     groups: set[tuple] = set()
     for page in pages:
         items = stream(page)
@@ -125,21 +188,17 @@ def infer(pages: list[str | None]) -> dict:
                 merged += [[_key(x.symbol), True, t] for x, t in zip(items[c:d], said[c:d], strict=True)]
         wrapper = merged
     constants = {w[2] for w in wrapper if w[2] is not None and not w[1]} if len(pages) > 2 else set()
-    found = [t for page in pages for t in tokens(page) if isinstance(t, Text) and not t.around and t.text not in constants]
-    main: list[str] = []
-    if found and not any(t.in_main for t in found):
-        mass = Counter()
-        for t in found:
-            for depth in range(1, len(t.path) + 1):
-                mass[t.path[:depth]] += len(t.text)
-        total = sum(len(t.text) for t in found)
-        large = [p for p, n in mass.items() if n >= MOST * total]
-        main = list(max(large, key=lambda p: (len(p), p))) if large else []
+    found = [[t for t in tokens(page) if isinstance(t, Text) and not t.around] for page in pages]
+    common = Counter(x for texts in found for x in {x for t in texts for x in t.path})
+    known = frozenset(x for x, n in common.items() if n >= min(2, len(pages)))
+    unmarked = [[t for t in texts if t.text not in constants] for texts in found if not any(t.in_main for t in texts)]
+    main = container([texts for texts in unmarked if texts], known)
     return {
         "expression": [[w[0], w[1], None if w[2] is None or w[2] not in constants else w[2]] for w in wrapper],
         "groups": sorted(_key(g) for g in held),
         "constants": sorted(constants),
-        "main": main,
+        "known": sorted(known),
+        "main": list(main),
     }
 
 
@@ -155,6 +214,7 @@ class Wrapper:
         self.fixed = [w[2] for w in held["expression"]]
         self.groups = frozenset(_symbol(json.loads(g)) for g in held["groups"])
         self.constants = frozenset(held["constants"])
+        self.known = frozenset(held["known"])
         self.main = tuple(held["main"])
 
     def texts(self, source: str | None) -> list[str]:
@@ -166,20 +226,15 @@ class Wrapper:
         match = difflib.SequenceMatcher(None, self.symbols, [_key(x.symbol) for x in items], autojunk=False)
         for a, c, n in match.get_matching_blocks():
             constant.update(c + k for k in range(n) if self.fixed[a + k] is not None)
-        marked = any(t.in_main and not t.around for x in items for t in x.texts)
-        out = []
-        for k, x in enumerate(items):
-            for t in x.texts:
-                if t.around:
-                    continue
-                if marked:
-                    inside = t.in_main
-                else:
-                    own = k in constant and t.text in self.constants
-                    inside = not own and t.path[: len(self.main)] == self.main
-                if inside:
-                    out.append(t.text)
-        return out
+        found = [(k in constant and t.text in self.constants, t) for k, x in enumerate(items) for t in x.texts if not t.around]
+        if any(t.in_main for _, t in found):
+            return [t.text for _, t in found if t.in_main]
+        varying = [t for own, t in found if not own]
+        inside = [t for t in varying if self.main and _general(t.path, self.known)[: len(self.main)] == self.main]
+        if not inside:
+            main = container([varying], frozenset(x for t in varying for x in t.path)) if varying else ()
+            inside = [t for t in varying if t.path[: len(main)] == main]
+        return [t.text for t in inside]
 
 
 def host(url: Column) -> Column:
@@ -187,25 +242,44 @@ def host(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, wrapper): one row per host. Every task cuts its rows to a host's sample before the shuffle."""
-    order = Window.partitionBy("host").orderBy(F.xxhash64("page_id"), "html")
-    drawn = pages.select(host(F.col("url")).alias("host"), "page_id", F.col("html").cast("string").alias("html"))
-    drawn = drawn.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample)
+    """(host, template, wrapper): one row per template, and one with template '' for a host's rare templates.
+
+    Samples are drawn among hashes of all distinct pages; only pages that were drawn are shuffled.
+    """
+    rows = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).filter("html <> ''")
+    rows = rows.withColumn("copy", F.xxhash64("html"))
+    kind = Window.partitionBy("host", "template")
+    drawn = rows.select("host", "copy", template(F.col("html")).alias("template")).distinct()
+    drawn = drawn.withColumn("n", F.row_number().over(kind.orderBy("copy"))).filter(F.col("n") <= sample)
+    drawn = drawn.withColumn("size", F.count(F.lit(1)).over(kind))
+    drawn = drawn.withColumn("template", F.when(F.col("size") >= min(LEAST, sample), F.col("template")).otherwise("")).drop("n", "size")
+    drawn = drawn.withColumn("n", F.row_number().over(kind.orderBy("copy"))).filter(F.col("n") <= sample)
+    held = rows.join(materialize(drawn, "drawn"), ["host", "copy"])
+    once = Window.partitionBy("host", "template", "copy").orderBy("n")
+    held = held.withColumn("_once", F.row_number().over(once)).filter("_once = 1")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values("n")
-        return pd.DataFrame({"host": [rows["host"].iat[0]], "wrapper": [json.dumps(infer(rows["html"].tolist()))]})
+        found = json.dumps(infer(rows["html"].tolist()))
+        return pd.DataFrame({"host": [rows["host"].iat[0]], "template": [rows["template"].iat[0]], "wrapper": [found]})
 
-    return drawn.groupBy("host").applyInPandas(run, "host string, wrapper string")
+    return held.groupBy("host", "template").applyInPandas(run, "host string, template string, wrapper string")
 
 
 def extracted(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """(page_id, url, text) of every page, with the wrapper of its host from `found`."""
-    size = found.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host")).alias("s")).first()["s"] or 0
-    if size <= BROADCAST_BYTES:
+    """(page_id, url, text) of every page, with the wrapper of its template from `found`."""
+    keys = found.filter("template <> ''").select("host", "template", F.col("template").alias("own"))
+    size, slim = found.agg(
+        F.sum(F.octet_length("wrapper") + F.octet_length("host")), F.sum(F.octet_length("host") + F.octet_length("template"))
+    ).first()
+    if (size or 0) <= BROADCAST_BYTES:
         found = F.broadcast(found)
+    if (slim or 0) <= BROADCAST_BYTES:
+        keys = F.broadcast(keys)
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host"))
-    joined = rows.join(found, "host", "left").select("page_id", "url", "html", "wrapper")
+    rows = rows.withColumn("template", template(F.col("html"))).join(keys, ["host", "template"], "left")
+    rows = rows.withColumn("template", F.coalesce("own", F.lit("")))
+    joined = rows.join(found, ["host", "template"], "left").select("page_id", "url", "html", "wrapper")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,3 +56,34 @@ def test_expression():
 
 def test_no_rows(spark):
     assert run(spark, []) == []
+
+
+def texts(spark, pages):
+    return {r.page_id: r.text for r in run(spark, [(i, "http://d.example.com/", html, "", 0) for i, html in enumerate(pages)])}
+
+
+def unmarked(n, box, words=20):
+    return f'<body><div class="top"><p>The Daily Page</p></div><div class="x"><div {box}><h2>Title {n}</h2><p>{f"story {n} " * words}</p></div></div></body>'
+
+
+def test_two_templates_of_a_host(spark):
+    got = texts(spark, [unmarked(i, 'class="content"' if i % 20 < 13 else 'class="post"') for i in range(60)])
+    assert all(got[i] == f"Title {i}\n\n{(f'story {i} ' * 20).strip()}" for i in range(60))
+
+
+def test_a_rare_template_of_a_large_host(spark):
+    got = texts(spark, [unmarked(i, 'class="post"' if i == 7 else 'class="content"') for i in range(80)])
+    assert got[7].startswith("Title 7\n\nstory 7") and got[8].startswith("Title 8\n\nstory 8")
+
+
+def test_one_long_page_decides_nothing():
+    plain = [unmarked(i, f'id="slug{"abcdefghijkl"[i]}"', 5_000 if i == 3 else 20) for i in range(12)]
+    held = wrappers.Wrapper(wrappers.infer(plain))
+    for i, source in enumerate(plain):
+        assert held.texts(source)[0] == f"Title {i}" and len(held.texts(source)) == 2
+
+
+def test_a_marked_page_among_unmarked_ones():
+    mixed = [unmarked(i, 'class="content"') + "<div><p>all rights " + "reserved " * 5 + f"{i}</p></div>" for i in range(8)]
+    held = wrappers.Wrapper(wrappers.infer([page(9, ["marked"]), *mixed]))
+    assert all(held.texts(source) == [f"Title {i}", (f"story {i} " * 20).strip()] for i, source in enumerate(mixed))
