@@ -37,12 +37,13 @@ _WHITE = re.compile(r"\s+")
 
 @dataclass(frozen=True)
 class Text:
-    """A block's text with the stack of containers it stands in: (tag, parts of class and id, boilerplate)."""
+    """A block's text with the stack of containers it stands in, and the symbol of the block itself."""
 
     text: str
     path: tuple[str, ...]
     around: bool
     in_main: bool
+    block: str = ""
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -68,7 +69,7 @@ def tokens(source: str | None) -> list[str | Text]:
     """
     out: list[str | Text] = []
     stack: list[tuple[str, str, bool, bool]] = []  # tag, symbol, boilerplate, inside the article
-    block_around = False
+    block_around, block = False, ""
     parts: list[str] = []
     at, skip = 0, ""
     if not source:
@@ -79,7 +80,7 @@ def tokens(source: str | None) -> list[str | Text]:
         parts.clear()
         if text:
             around = block_around or any(s[2] for s in stack)
-            out.append(Text(text, tuple(s[1] for s in stack), around, any(s[3] for s in stack)))
+            out.append(Text(text, tuple(s[1] for s in stack), around, any(s[3] for s in stack), block))
 
     for m in _TOKEN.finditer(source):
         if m.start() < at:
@@ -121,7 +122,7 @@ def tokens(source: str | None) -> list[str | Text]:
         if tag not in CONTAINERS and tag not in BLOCKS:
             continue
         flush()
-        block_around = False
+        block_around, block = False, ""
         if closing:
             if tag in CONTAINERS and any(s[0] == tag for s in stack):
                 while stack.pop()[0] != tag:
@@ -139,7 +140,7 @@ def tokens(source: str | None) -> list[str | Text]:
             if not rest.rstrip().endswith("/"):
                 stack.append((tag, symbol, around, main))
         else:
-            block_around = around
+            block_around, block = around, symbol
     if not skip:
         parts.append(source[at:])
         flush()

@@ -7,11 +7,13 @@ pages by alignment. Templates of fewer than LEAST distinct pages share one wrapp
 repeats on one page counts as a group on all of them. Then the pages are aligned with the wrapper one after
 the other: texts that differ become slots, what only one side has becomes optional.
 
-The wrapper tells which texts are the host's own (constant on every page) and, for pages that do not mark their
-article, which container holds most of the varying text, each page of the sample counting the same. A page that
-has nothing in that container falls back to its own largest one. A page's text is what its alignment puts into
-slots and groups of the article, without menus, headers, footers, sidebars, notices, adverts, forms and
-comments, which their elements and names give away.
+Texts are aligned only with texts in the same containers and blocks. Every place of the expression is inside the
+article or not: a vote of the sample's pages, whose evidence are the elements and names of menus, headers, footers,
+sidebars, notices, adverts, forms and comments, and the article's mark or, for pages without one, the container that
+holds most of the varying text, each page counting the same. A page's text is what its alignment puts into slots
+and groups of the article. Texts that are constant on the sample are the template's own, unless they are most of
+its articles, as in near copies. Parts of a page that match nothing are kept on the page's own evidence; one that
+has nothing in the container falls back to its own largest one.
 
 Null and empty pages have an empty text, pages without a host share the host ''. Repeated rows each give a
 row. No rows: none. Other columns are ignored.
@@ -22,6 +24,7 @@ from __future__ import annotations
 import difflib
 import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -155,8 +158,35 @@ def container(pages: list[list[Text]], known: frozenset[str]) -> tuple[str, ...]
     return max(large, key=lambda p: (len(p), p)) if large else ()
 
 
+def _place(t: Text, known: frozenset[str]) -> int:
+    """Containers and block of a text as one number."""
+    return zlib.crc32("\0".join(_general((*t.path, t.block), known)).encode())
+
+
+def _aligned(items: list[Item], known: frozenset[str]) -> list[str]:
+    """What items are aligned by: the symbol, and where the first text stands."""
+    return [f"{_key(x.symbol)}@{_place(x.texts[0], known)}" if x.texts else _key(x.symbol) for x in items]
+
+
+def evidence(texts: list[Text], own: list[bool], known: frozenset[str], main: tuple[str, ...]) -> list[bool]:
+    """Which texts of a page are its article by elements and names, or by the container; `own` are constants."""
+    if any(t.in_main and not t.around for t in texts):
+        return [t.in_main and not t.around for t in texts]
+    free = [not t.around and not o for t, o in zip(texts, own, strict=True)]
+    inside = [f and bool(main) and _general(t.path, known)[: len(main)] == main for f, t in zip(free, texts, strict=True)]
+    if any(inside) or not any(free):
+        return inside
+    varying = [t for f, t in zip(free, texts, strict=True) if f]
+    widest = container([varying], frozenset(x for t in varying for x in t.path))
+    return [f and t.path[: len(widest)] == widest for f, t in zip(free, texts, strict=True)]
+
+
 def infer(pages: list[str | None]) -> dict:
-    """Wrapper of some pages: the expression, its groups, the constant texts and the article's container."""
+    """Wrapper of some pages: the expression, its groups, the constant texts and the article's container.
+
+    A part of the expression is its symbol, whether it is optional, its constant text, what it is aligned by,
+    and for each place of its texts whether it is inside the article.
+    """
     pages = list(dict.fromkeys(pages))
     groups: set[tuple] = set()
     for page in pages:
@@ -168,35 +198,60 @@ def infer(pages: list[str | None]) -> dict:
             if len(items) == n:
                 break
     held = frozenset(groups)
-    wrapper: list[list] = []  # symbol, optional, constant text or None
-    for number, page in enumerate(pages):
-        items = folded(page, held)
+    read = [folded(page, held) for page in pages]
+    said = [[t for x in items for t in x.texts] for items in read]
+    common = Counter(x for texts in said for x in {x for t in texts for x in (*t.path, t.block)})
+    known = frozenset(x for x, n in common.items() if n >= min(2, len(pages)))
+    wrapper: list[list] = []  # symbol, optional, constant text or None, what it is aligned by, texts by page
+    for number, items in enumerate(read):
         if not items:
             continue
-        said = [x.texts[0].text if x.symbol == SLOT else None for x in items]
+        parts = [
+            [_key(x.symbol), number > 0, x.texts[0].text if x.symbol == SLOT else None, by, [(number, t) for t in x.texts]]
+            for x, by in zip(items, _aligned(items, known), strict=True)
+        ]
         if not wrapper:
-            wrapper = [[_key(x.symbol), number > 0, t] for x, t in zip(items, said, strict=True)]
+            wrapper = [[w[0], number > 0, *w[2:]] for w in parts]
             continue
-        match = difflib.SequenceMatcher(None, [w[0] for w in wrapper], [_key(x.symbol) for x in items], autojunk=False)
+        match = difflib.SequenceMatcher(None, [w[3] for w in wrapper], [w[3] for w in parts], autojunk=False)
         merged: list[list] = []
         for op, a, b, c, d in match.get_opcodes():
             if op == "equal":
-                for w, t in zip(wrapper[a:b], said[c:d], strict=True):
-                    merged.append([w[0], w[1], w[2] if w[2] == t else None])
+                for w, x in zip(wrapper[a:b], parts[c:d], strict=True):
+                    merged.append([w[0], w[1], w[2] if w[2] == x[2] else None, w[3], w[4] + x[4]])
             else:
-                merged += [[w[0], True, w[2]] for w in wrapper[a:b]]
-                merged += [[_key(x.symbol), True, t] for x, t in zip(items[c:d], said[c:d], strict=True)]
+                merged += [[w[0], True, *w[2:]] for w in wrapper[a:b]]
+                merged += parts[c:d]
         wrapper = merged
     constants = {w[2] for w in wrapper if w[2] is not None and not w[1]} if len(pages) > 2 else set()
-    found = [[t for t in tokens(page) if isinstance(t, Text) and not t.around] for page in pages]
-    common = Counter(x for texts in found for x in {x for t in texts for x in t.path})
-    known = frozenset(x for x, n in common.items() if n >= min(2, len(pages)))
-    unmarked = [[t for t in texts if t.text not in constants] for texts in found if not any(t.in_main for t in texts)]
+    unmarked = [[t for t in texts if not t.around and t.text not in constants] for texts in said if not any(t.in_main and not t.around for t in texts)]
     main = container([texts for texts in unmarked if texts], known)
+    inside: set[int] = set()
+    for texts in said:
+        kept = evidence(texts, [t.text in constants for t in texts], known, main)
+        inside.update(id(t) for t, yes in zip(texts, kept, strict=True) if yes)
+    expression = []
+    for symbol, optional, text, by, texts in wrapper:
+        votes: dict[int, list[bool]] = {}
+        for _, t in texts:
+            votes.setdefault(_place(t, known), []).append(id(t) in inside)
+        places = [[p, 2 * sum(v) >= len(v)] for p, v in sorted(votes.items())]
+        expression.append([symbol, optional, text if text in constants else None, by, places])
+    # Copies of one article have no constants of a template inside it.
+    share = [[0, 0] for _ in pages]
+    for w, (_, _, fixed, _, _) in zip(wrapper, expression, strict=True):
+        for number, t in w[4]:
+            if id(t) in inside:
+                share[number][0] += len(t.text) if fixed is not None else 0
+                share[number][1] += len(t.text)
+    if sum(2 * c >= n for c, n in share if n) * 2 >= sum(n > 0 for _, n in share):
+        for x in expression:
+            if any(yes for _, yes in x[4]):
+                x[2] = None
     return {
-        "expression": [[w[0], w[1], None if w[2] is None or w[2] not in constants else w[2]] for w in wrapper],
+        "expression": expression,
         "groups": sorted(_key(g) for g in held),
-        "constants": sorted(constants),
+        "constants": sorted({x[2] for x in expression if x[2] is not None}),
         "known": sorted(known),
         "main": list(main),
     }
@@ -210,10 +265,10 @@ class Wrapper:
     """A host's wrapper, ready to be applied."""
 
     def __init__(self, held: dict):
-        self.symbols = [w[0] for w in held["expression"]]
+        self.by = [w[3] for w in held["expression"]]
         self.fixed = [w[2] for w in held["expression"]]
+        self.places = [dict(w[4]) for w in held["expression"]]
         self.groups = frozenset(_symbol(json.loads(g)) for g in held["groups"])
-        self.constants = frozenset(held["constants"])
         self.known = frozenset(held["known"])
         self.main = tuple(held["main"])
 
@@ -222,19 +277,20 @@ class Wrapper:
         items = folded(source, self.groups)
         if not items:
             return []
-        constant: set[int] = set()
-        match = difflib.SequenceMatcher(None, self.symbols, [_key(x.symbol) for x in items], autojunk=False)
+        part: dict[int, int] = {}
+        match = difflib.SequenceMatcher(None, self.by, _aligned(items, self.known), autojunk=False)
         for a, c, n in match.get_matching_blocks():
-            constant.update(c + k for k in range(n) if self.fixed[a + k] is not None)
-        found = [(k in constant and t.text in self.constants, t) for k, x in enumerate(items) for t in x.texts if not t.around]
-        if any(t.in_main for _, t in found):
-            return [t.text for _, t in found if t.in_main]
-        varying = [t for own, t in found if not own]
-        inside = [t for t in varying if self.main and _general(t.path, self.known)[: len(self.main)] == self.main]
-        if not inside:
-            main = container([varying], frozenset(x for t in varying for x in t.path)) if varying else ()
-            inside = [t for t in varying if t.path[: len(main)] == main]
-        return [t.text for t in inside]
+            part.update((c + k, a + k) for k in range(n))
+        found = [(part.get(k), t) for k, x in enumerate(items) for t in x.texts]
+        own = [a is not None and self.fixed[a] == t.text for a, t in found]
+        shown = evidence([t for _, t in found], own, self.known, self.main)
+        out = []
+        for (a, t), fixed, yes in zip(found, own, shown, strict=True):
+            if a is not None:
+                yes = self.places[a].get(_place(t, self.known), yes)
+            if yes and not fixed:
+                out.append(t.text)
+        return out
 
 
 def host(url: Column) -> Column:

@@ -87,3 +87,21 @@ def test_a_marked_page_among_unmarked_ones():
     mixed = [unmarked(i, 'class="content"') + "<div><p>all rights " + "reserved " * 5 + f"{i}</p></div>" for i in range(8)]
     held = wrappers.Wrapper(wrappers.infer([page(9, ["marked"]), *mixed]))
     assert all(held.texts(source) == [f"Title {i}", (f"story {i} " * 20).strip()] for i, source in enumerate(mixed))
+
+
+def test_alignment_decides_on_marked_pages():
+    def marked(n, attribute=""):
+        body = "".join(f"<p>part {k} of story {n}</p>" for k in range(1 + n % 3))
+        return f'<body><article><h1>Title {n}</h1><h4>Follow our channel</h4><div class="text"{attribute}>{body}</div></article></body>'
+
+    held = wrappers.Wrapper(wrappers.infer([marked(n) for n in range(12)]))
+    for n, attribute in ((3, ""), (20, ""), (31, ' hidden=""')):
+        assert held.texts(marked(n, attribute)) == [f"Title {n}", *(f"part {k} of story {n}" for k in range(1 + n % 3))]
+    extra = marked(40).replace("<h4>", "<h5>A line of its own</h5><h4>")
+    assert held.texts(extra)[:2] == ["Title 40", "A line of its own"]
+
+
+def test_copies_keep_their_text():
+    near = [f"<body><article><h1>One title</h1><h4>By line</h4><div>{'the same long text ' * 30}</div><h5>{n}</h5></article></body>" for n in range(12)]
+    held = wrappers.Wrapper(wrappers.infer(near))
+    assert held.texts(near[4]) == ["One title", "By line", ("the same long text " * 30).strip(), "4"]
