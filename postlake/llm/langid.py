@@ -6,6 +6,10 @@ in the automaton, and the next begins with it. A language that resembles the tex
 count, times the logarithm of the sample's size, per byte is the cross-parsing entropy, and the language
 with the least wins; equal ones go to the first by name.
 
+Every labelled language is learned. The automata are built for LANGUAGES_AT_ONCE languages at a time: with more of
+them, a task keeps its rows in a temporary file, reads them once for each group of languages, and folds the groups'
+least entropies row by row.
+
 Whole texts are parsed, in pieces of PIECE bytes side by side; a phrase does not go on across pieces,
 which costs every language the same. Letters A-Z are lower-cased. The dense table of an automaton has a row per
 state and a column per byte value of the samples, so its size is fixed by the sample, not by the corpus.
@@ -17,20 +21,24 @@ Repeated rows are scored alike. No rows: none. Other columns are never looked at
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.llm.common import LOWER, flat, slices
+from postlake.session import materialize
 
 #: Labelled texts of each language that the automata are built of at most, chosen by a hash of the id, and
-#: the bytes of them that are used. No more than MAX_LANGUAGES languages, the most frequent, are learned.
+#: the bytes of them that are used, shared equally among the texts as far as they are long enough.
 SAMPLE_TEXTS = 200
 SAMPLE_BYTES = 60_000
-MAX_LANGUAGES = 64
+#: Languages whose automata are in a worker's memory at once.
+LANGUAGES_AT_ONCE = 4
 PIECE = 1_024
 SLICE_BYTES = 6_000_000
 UNKNOWN = "und"
@@ -123,35 +131,46 @@ class Parser:
             out[:, j] = np.bincount(owner[order], count[j], len(sizes))
         return out
 
-    def best(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the language and a score between 0 and 1 for each text."""
+    def best(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the language, its entropy and the sum of all languages' likelihoods relative to it for each text."""
         bits = self.phrases(data, ends) * self.weight
-        sizes = np.maximum(np.diff(ends), 1)[:, None]
-        rate = bits / sizes
-        winner = rate.argmin(axis=1)
-        # Posterior of equal priors, as if at most 64 bytes of the text counted.
-        lead = (rate - rate.min(axis=1, keepdims=True)) * np.minimum(sizes, 64)
-        return winner, 1 / np.exp2(-lead).sum(axis=1)
+        rate = bits / np.maximum(np.diff(ends), 1)[:, None]
+        least = rate.min(axis=1)
+        return rate.argmin(axis=1), least, likelihood(rate - least[:, None], np.diff(ends)[:, None]).sum(axis=1)
+
+
+def likelihood(lead: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Likelihood of a language whose entropy is greater by `lead`, as if at most 64 bytes of the text counted."""
+    return np.exp2(-lead * np.clip(sizes, 1, 64))
+
+
+def shared(texts: list[bytes], total: int) -> bytes:
+    """The first bytes of each text, of all equally many as far as they have them, `total` at most."""
+    level, left = 0, total
+    sizes = sorted(len(t) + 1 for t in texts)
+    for k, size in enumerate(sizes):
+        level = left // (len(sizes) - k)
+        if size > level:
+            break
+        left, level = left - size, size
+    return b"".join((t + b"\n")[: max(level, 1)] for t in texts)[:total]
 
 
-def samples(labelled: DataFrame) -> dict[str, bytes]:
-    """A bounded sample of the texts of each language; rows with a null text or language are left out."""
+def samples(labelled: DataFrame) -> DataFrame:
+    """(lang, sample): bytes of a bounded sample of each language's texts; null texts and languages are left out."""
     known = labelled.filter("text is not null and lang is not null and text <> ''")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    names = [r["lang"] for r in counts.collect()]
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"))
-    rows = (
-        known.filter(F.col("lang").isin(names))
-        .withColumn("_n", F.row_number().over(order))
+    drawn = (
+        known.withColumn("_n", F.row_number().over(order))
         .filter(F.col("_n") <= SAMPLE_TEXTS)
         .select("lang", "_n", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
-        .collect()
     )
-    out: dict[str, bytes] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["_n"])):
-        had = out.get(row["lang"], b"")
-        out[row["lang"]] = (had + row["text"].encode("utf-8") + b"\n")[:SAMPLE_BYTES]
-    return out
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        texts = [t.encode("utf-8") for t in group.sort_values("_n")["text"]]
+        return pd.DataFrame({"lang": [group["lang"].iat[0]], "sample": [shared(texts, SAMPLE_BYTES)]})
+
+    return drawn.groupBy("lang").applyInPandas(run, "lang string, sample binary")
 
 
 _parsers: dict[int, Parser] = {}
@@ -166,30 +185,66 @@ def _parser(held: dict[str, bytes]) -> Parser:
     return _parsers[key]
 
 
-def predicted(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
-    """(doc_id, lang_pred, score) of every document."""
-    held = docs.sparkSession.sparkContext.broadcast(learned)
+def predicted(docs: DataFrame, learned: DataFrame) -> DataFrame:
+    """(doc_id, lang_pred, score) of every document; `learned` has a sample of each language."""
+    names = sorted(r["lang"] for r in learned.select("lang").collect())
+    context = docs.sparkSession.sparkContext
+    held = []
+    for k in range(0, len(names), LANGUAGES_AT_ONCE):
+        rows = learned.filter(F.col("lang").isin(names[k : k + LANGUAGES_AT_ONCE])).collect()
+        held.append(context.broadcast({r["lang"]: bytes(r["sample"]) for r in rows}))
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plain = plain.withColumn("letter", letter)
 
+    def scored(batch: pa.RecordBatch, parser: Parser, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data, ends = flat(batch.column("text"))
+        found = [parser.best(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a]) for a, b in slices(ends, SLICE_BYTES)]
+        winner, least, mass = (np.concatenate(x) for x in zip(*found, strict=True))
+        return winner + first, least, mass
+
+    def result(batch: pa.RecordBatch, winner: np.ndarray, mass: np.ndarray) -> pa.RecordBatch:
+        some = batch.column("letter").to_numpy(zero_copy_only=False)
+        said = np.array([*names, UNKNOWN], object)[np.where(some, winner, len(names))]
+        score = np.where(some, 1 / mass, 0.0)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(said, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = None
-        for batch in batches:
-            parser = parser or _parser(held.value)
-            names = np.array([*parser.names, UNKNOWN], object)
-            data, ends = flat(batch.column("text"))
-            letters = batch.column("letter").to_numpy(zero_copy_only=False)
-            for a, b in slices(ends, SLICE_BYTES):
-                winner, score = np.full(b - a, len(names) - 1), np.zeros(b - a)
-                if parser.names:
-                    winner, score = parser.best(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a])
-                some = letters[a:b]
-                winner, score = np.where(some, winner, len(names) - 1), np.where(some, score, 0.0)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(names[winner], pa.string()), pa.array(score)],
-                    ["doc_id", "lang_pred", "score"],
-                )
+        some = (b for b in batches if b.num_rows)
+        if not names:
+            for batch in some:
+                yield result(batch, np.full(batch.num_rows, len(names)), np.full(batch.num_rows, np.inf))
+        elif len(held) == 1:
+            for batch in some:
+                winner, _, mass = scored(batch, _parser(held[0].value), 0)
+                yield result(batch, winner, mass)
+        else:
+            yield from folded(some)
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryFile() as kept:
+            best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            out = None
+            for batch in batches:
+                out = out or pa.ipc.new_stream(kept, batch.schema)
+                out.write_batch(batch)
+                best.append(scored(batch, _parser(held[0].value), 0))
+            if out is None:
+                return
+            out.close()
+            for g in range(1, len(held)):
+                kept.seek(0)
+                for k, batch in enumerate(pa.ipc.open_stream(kept)):
+                    sizes = np.diff(flat(batch.column("text"))[1])
+                    winner, least, mass = best[k]
+                    winner_, least_, mass_ = scored(batch, _parser(held[g].value), g * LANGUAGES_AT_ONCE)
+                    # Equal entropies stay with the first by name.
+                    low = np.minimum(least, least_)
+                    mass = mass * likelihood(least - low, sizes) + mass_ * likelihood(least_ - low, sizes)
+                    best[k] = np.where(least_ < least, winner_, winner), low, mass
+            kept.seek(0)
+            for k, batch in enumerate(pa.ipc.open_stream(kept)):
+                yield result(batch, best[k][0], best[k][2])
 
     return plain.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -197,5 +252,5 @@ def predicted(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
 def identified(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learned from the rows that are not held out."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    learned = samples(docs.filter(~held_out).select("doc_id", "text", "lang"))
+    learned = materialize(samples(docs.filter(~held_out).select("doc_id", "text", "lang")), "languages")
     return predicted(docs, learned).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

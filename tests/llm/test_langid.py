@@ -53,3 +53,30 @@ def test_held_out_accuracy(spark):
     right, n = got.filter("lang = lang_pred").count(), got.count()
     assert n > 20 and right >= 0.9 * n
     assert got.filter("score < 0 or score > 1").count() == 0
+
+
+def test_every_language_is_learned(spark):
+    # Seventy invented languages of two syllables each; the last has the fewest texts.
+    def words(k):
+        return f"{chr(97 + k % 26)}{chr(97 + k // 26)}ko {chr(97 + k // 26)}x{chr(97 + k % 26)} " * 8
+
+    rows = [(k * 100 + i, words(k) + str(i), f"l{k:02d}", "") for k in range(70) for i in range(8 if k < 69 else 6)]
+    docs = spark.createDataFrame([*rows, (9_999, words(69), None, "")], "doc_id long, text string, lang string, score string")
+    got = {r.doc_id: r for r in langid.identified(docs).collect()}
+    assert len(got) == len(rows) + 1 and all(got[i].lang_pred == lang for i, _, lang, _ in rows)
+    assert got[9_999].lang_pred == "l69" and 0 < got[9_999].score <= 1
+
+
+def test_groups_of_languages_score_as_one(spark, monkeypatch):
+    texts = ["the thing and that", "der hund und die katze", "le chat et le chien", "il gatto e il cane", "el perro y el gato", "o gato e o cachorro"]
+    docs = spark.createDataFrame([(i, f"{t} {i}", f"l{i % 6}") for i in range(60) for t in [texts[i % 6]]], "doc_id long, text string, lang string")
+    apart = sorted(langid.identified(docs).collect())
+    monkeypatch.setattr(langid, "LANGUAGES_AT_ONCE", 100)
+    whole = sorted(langid.identified(docs).collect())
+    assert [r[:3] for r in apart] == [r[:3] for r in whole]
+    assert all(abs(a.score - b.score) < 1e-9 for a, b in zip(apart, whole, strict=True))
+
+
+def test_one_long_text_is_not_the_whole_sample():
+    assert langid.shared([b"a" * 100, b"b" * 3, b"c" * 50], 40) == b"a" * 18 + b"bbb\n" + b"c" * 18
+    assert langid.shared([b"a" * 5, b"b"], 40) == b"aaaaa\nb\n" and langid.shared([b"a" * 90], 40) == b"a" * 40
