@@ -243,6 +243,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     sketch = materialize(sketches(docs, width, bands, rows), "sketches")
     real = sketch.filter("doc_id is not null and n > 0")
     classes = materialize(real.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("id")), "classes")
+    # An id with several texts joins their classes, also those that another id stands for.
+    kind = F.struct("n", "c1", "c2")
+    several = real.groupBy("doc_id").agg(F.min(kind).alias("x"), F.max(kind).alias("y")).filter("x <> y").select("doc_id")
+    mixed = real.select("doc_id", "n", "c1", "c2").join(materialize(several, "several"), "doc_id", "left_semi").distinct()
+    bridges = mixed.join(classes, ["n", "c1", "c2"]).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     reps = real.join(classes.select(F.col("id").alias("doc_id"), "n", "c1", "c2"), ["doc_id", "n", "c1", "c2"], "left_semi")
     keyed = reps.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
@@ -254,7 +259,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     sets = materialize(sets_of(own, width), "sets")
 
     seen = _pivots(members, 0, percent)
-    links = materialize(_verified(seen, sets, percent), "links")
+    links = materialize(_verified(seen, sets, percent).select("a", "b").unionByName(bridges), "links")
     groups = components(links)
     for last in (False, True):
         named = members.join(groups, "id", "left").withColumn("g", F.coalesce("component", "id"))

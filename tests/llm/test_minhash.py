@@ -83,6 +83,15 @@ def test_one_id_with_two_texts(spark, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in got} >= {(6, 4), (4, 4), (9, 9)} and len(got) == 5
 
 
+def test_one_id_joins_the_classes_of_its_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(90))
+    rows = [(5, a), (5, b), (3, b), (6, a + " z"), (8, "one more"), (8, "and another"), (7, "one more"), (2, "and another"), (9, "other text")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in got)
+    linked = [(2, 2, True), (3, 3, True), (5, 3, False), (5, 3, False), (6, 3, False), (7, 2, False), (8, 2, False), (8, 2, False)]
+    assert found == [*linked, (9, 9, True)]
+
+
 def test_many_groups_in_one_bucket(spark, monkeypatch):
     """Members that miss the pivots are still compared with the rest of their bucket, or ruled out."""
     draw = random.Random(5)
