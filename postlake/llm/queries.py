@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import bpe, chat, langid, merkle, minhash, mixing, quality, runindex, topk, wrappers
+from postlake.llm import bpe, chat, langid, merkle, minhash, mixing, periodic, quality, runindex, topk, wrappers
 from postlake.llm.common import table
 from postlake.session import materialize
 
@@ -96,3 +96,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_minhash_near_duplicates", minhash.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+@_query("op11_periodic_runs", periodic.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"))
