@@ -109,15 +109,14 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     return mix((prefix[stops] - prefix[starts]) * down[starts])
 
 
-def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and stops of the runs without white space, and how many each text has."""
-    solid = ~SPACE[data]
-    before = np.zeros(len(data), bool)
+def stretches(solid: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and stops of the runs of solid bytes, and how many each text has."""
+    before = np.zeros(len(solid), bool)
     before[1:] = solid[:-1]
     heads = ends[:-1][ends[:-1] < ends[1:]]
     before[heads] = False
     starts = np.flatnonzero(solid & ~before)
-    after = np.zeros(len(data), bool)
+    after = np.zeros(len(solid), bool)
     after[:-1] = solid[1:]
     after[ends[1:][ends[:-1] < ends[1:]] - 1] = False
     stops = np.flatnonzero(solid & ~after) + 1
@@ -125,6 +124,20 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, stops, counts
 
 
+def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and stops of the runs without white space, and how many each text has."""
+    return stretches(~SPACE[data], ends)
+
+
+def dictionary(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number from 0 for each span, the same for the same bytes, and the bytes of each number."""
+    sizes = stops - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    held = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[spread(starts, sizes)]))]
+    made = pa.Array.from_buffers(pa.large_binary(), len(sizes), held).dictionary_encode()
+    return made.indices.to_numpy().astype(np.int64), made.dictionary
+
+
 def group_of(counts: np.ndarray) -> np.ndarray:
     """Row number of each element when row i has counts[i] of them."""
     return np.repeat(np.arange(len(counts)), counts)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import spread, texts, words
+from postlake.llm.common import dictionary, spread, texts, words
 
 #: Shortest run in words, and in periods.
 LEAST = 6
@@ -40,15 +40,6 @@ SCHEMA = (
 )
 
 
-def word_codes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Numbers from 0, the same for the same bytes."""
-    sizes = stops - starts
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    solid = np.ascontiguousarray(data[spread(starts, sizes)])
-    held = [None, pa.py_buffer(offsets), pa.py_buffer(solid)]
-    return pa.Array.from_buffers(pa.large_binary(), len(sizes), held).dictionary_encode().indices.to_numpy().astype(np.int64)
-
-
 def _repeated(keys: np.ndarray) -> np.ndarray:
     """A number from 0 for each key that occurs more than once, -1 for the others."""
     _, index, count = np.unique(keys, return_inverse=True, return_counts=True)
@@ -169,7 +160,7 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
                 first = np.cumsum(counts) - counts
                 own = ids.slice(a, b - a)
                 take = rewritten(own.to_pylist(), counts)
-                codes = word_codes(data, starts, stops)[take]
+                codes = dictionary(data, starts, stops)[0][take]
                 start, length, period = runs(codes, counts)
                 owner = np.searchsorted(first + counts, start, "right")
                 n_runs = np.bincount(owner, minlength=b - a)

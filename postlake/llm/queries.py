@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import bpe, chat, langid, merkle, minhash, mixing, periodic, quality, runindex, simhash, topk, wrappers
+from postlake.llm import bpe, chat, langid, merkle, minhash, mixing, periodic, quality, runindex, simhash, spelling, topk, wrappers
 from postlake.llm.common import table
 from postlake.session import materialize
 
@@ -103,6 +103,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(table(spark, sf_dir, "documents"))
 
 
+@_query("op12_spelling_variants", spelling.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 @_query("op13_simhash_near_duplicates")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
