@@ -16,12 +16,12 @@ from postlake.operators.rules import (
     select_companies,
 )
 
-FIELDS = "company string, title string, description string, department string, location string, employment_type string, source_job_id string, application_url string, posting_url string"
+FIELDS = "company string, company_ord long, title string, description string, department string, location string, employment_type string, source_job_id string, application_url string, posting_url string"
 
 
 def decide(spark, rule_row, filters=None, **fields):
     names = [f.split()[0] for f in FIELDS.split(", ")]
-    row = {"company": "Acme", "title": "Machine Learning Engineer", "location": "Austin, TX", **fields}
+    row = {"company": "Acme", "company_ord": 0, "title": "Machine Learning Engineer", "location": "Austin, TX", **fields}
     df = spark.createDataFrame([tuple(row.get(n) for n in names)], FIELDS)
     effective = effective_rules(rules(spark, rule_row), filters or GlobalFilters())
     return evaluate(df, effective).first()
@@ -71,10 +71,10 @@ def test_blank_keyword_matches_everything(spark):
 
 def test_key_cascade(spark):
     rows = [
-        ("Éxample", "T", None, None, None, None, "ABC-123", "https://a/1", None),
-        ("Example", "T", None, None, None, None, "", "https://A/1/?utm_x=1", "https://p"),
-        ("Example", "T", None, None, None, None, None, None, "https://a/1"),
-        ("Example", "Sr. SWE", None, None, "U.S.", None, None, "", None),
+        ("Éxample", 0, "T", None, None, None, None, "ABC-123", "https://a/1", None),
+        ("Example", 0, "T", None, None, None, None, "", "https://A/1/?utm_x=1", "https://p"),
+        ("Example", 0, "T", None, None, None, None, None, None, "https://a/1"),
+        ("Example", 0, "Sr. SWE", None, None, "U.S.", None, None, "", None),
     ]
     keys = [r.dedup_key for r in with_dedup_key(spark.createDataFrame(rows, FIELDS)).collect()]
     assert keys[0] == "source:example:abc 123"
