@@ -110,3 +110,10 @@ def sightings(postings: DataFrame, at: str = "fetched_at") -> DataFrame:
     return postings.groupBy("dedup_key").agg(
         F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count(F.lit(1)).alias("n_seen")
     )
+
+
+def merge_sightings(parts: DataFrame) -> DataFrame:
+    """Sightings of one key from several tables as one row."""
+    return parts.groupBy("dedup_key").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n_seen").alias("n_seen")
+    )

@@ -78,30 +78,24 @@ def failure_rows(failures: DataFrame) -> DataFrame:
 
 
 def run_summary(results: DataFrame) -> DataFrame:
-    """Totals over the company rows.
-
-    Only companies with failures enter the failure list, which is one cell of the run log.
-    """
-    failed = F.when(F.size("failures") > 0, F.struct("company_ord", "failures"))
-    in_order = F.array_sort(F.collect_list(failed))
+    """Totals over the company rows, failures as their number: the texts are rows of the failures table."""
     return results.agg(
         F.count(F.lit(1)).alias("companies_checked"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS],
-        F.flatten(F.transform(in_order, lambda r: r["failures"])).alias("failures"),
+        F.coalesce(F.sum(F.size("failures").cast("bigint")), F.lit(0)).alias("failures"),
     )
 
 
-def nested_summary(results: DataFrame) -> DataFrame:
-    """Totals plus the company rows as one nested column, in company order.
+def summary_report(results: DataFrame) -> DataFrame:
+    """The company rows in company order, range-partitioned, and the totals as one more row.
 
-    One small struct per configured company; never one per posting.
+    `level` is `company` or `total`; companies_checked is the number of companies that a row stands for.
     """
-    rows = F.array_sort(F.collect_list(F.struct("company_ord", "company", *COUNTS)))
-    return results.agg(
-        F.count(F.lit(1)).alias("companies_checked"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS],
-        rows.alias("company_results"),
-    )
+    counts = [F.col(c) for c in COUNTS]
+    rows = results.select(F.lit("company").alias("level"), "company_ord", "company", F.lit(1).cast("bigint").alias("companies_checked"), *counts)
+    ordinal, name = F.lit(None).cast("bigint").alias("company_ord"), F.lit(None).cast("string").alias("company")
+    total = run_summary(results).select(F.lit("total").alias("level"), ordinal, name, "companies_checked", *counts)
+    return rows.unionByName(total).orderBy(F.col("company_ord").asc_nulls_last(), "company")
 
 
 def company_and_total(results: DataFrame) -> DataFrame:

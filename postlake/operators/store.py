@@ -1,15 +1,17 @@
-"""The `jobs`, `run_log` and `failures` tables."""
+"""Stored batches, and the `jobs`, `run_log` and `failures` tables."""
 
 from __future__ import annotations
 
-from urllib.parse import quote
+import uuid
+from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlake.schema import FAILURES, JOB_HEADERS, JOBS, RUN_LOG, column_name
+from postlake.operators.keytable import KeyTable
+from postlake.operators.manifest import Manifest
+from postlake.schema import FAILURES, JOB_HEADERS, JOBS, KEYS, RUN_LOG, column_name
 
 
 def iso_timestamp(c: Column | str) -> Column:
@@ -45,7 +47,7 @@ def to_job_rows(postings: DataFrame) -> DataFrame:
 
 
 def to_run_log(summary: DataFrame, run_ts: Column, seconds: Column) -> DataFrame:
-    """The eight run-log columns: failures one per line, duration to two decimals."""
+    """The eight run-log columns: the number of failures, whose texts are in the failures table; duration to two decimals."""
     return summary.select(
         iso_timestamp(run_ts).alias("run_timestamp"),
         "companies_checked",
@@ -53,79 +55,134 @@ def to_run_log(summary: DataFrame, run_ts: Column, seconds: Column) -> DataFrame
         "jobs_matched",
         "new_jobs_inserted",
         "duplicates_skipped",
-        F.array_join("failures", "\n").alias("failures"),
+        "failures",
         F.round(seconds, 2).alias("execution_duration_seconds"),
     )
 
 
-def put_batch(rows: DataFrame, path: str, batch: str) -> None:
-    """Replace the partition `batch` of a table, with no rows as well."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch={quote(batch, safe='')}")
+class BatchStore:
+    """Tables under one folder whose batches appear together or not at all.
 
+    Every write goes to folders of its own; one manifest version then names them. A batch that is written again
+    replaces its rows, also by nothing, and a driver lost on the way leaves the old state whole. The keys of stored rows
+    are kept in a `KeyTable`, which is part of the same version.
 
-class JobStore:
-    """Three Parquet tables under one folder, partitioned by batch.
-
-    A batch owns its partition's folder: writing it again replaces it, also by nothing, so a retried
-    batch adds nothing twice and leaves nothing behind.
+    tables: schema by name. keys: the table and column whose values are the keys.
     """
 
-    def __init__(self, spark: SparkSession, base: str) -> None:
+    def __init__(self, spark: SparkSession, base: str, tables: dict[str, T.StructType], keys: tuple[str, str]) -> None:
         self.spark = spark
-        self.jobs_path = f"{base.rstrip('/')}/jobs"
-        self.run_log_path = f"{base.rstrip('/')}/run_log"
-        self.failures_path = f"{base.rstrip('/')}/failures"
+        self.base = base.rstrip("/")
+        self.tables = tables
+        self.keys = keys
+        self.manifest = Manifest(spark, self.base)
+        self.key_table = KeyTable(spark, f"{self.base}/keys", KEYS)
 
-    @staticmethod
-    def _with_batch(schema: T.StructType) -> T.StructType:
-        return T.StructType([*schema.fields, T.StructField("batch", T.StringType())])
+    def state(self) -> dict:
+        return {"batches": {}, "keys": [], **self.manifest.read()[1]}
 
     def ensure_tables(self) -> None:
-        """Create missing tables empty; existing ones are left alone."""
-        for path, schema in [(self.jobs_path, JOBS), (self.run_log_path, RUN_LOG)]:
-            empty = self.spark.createDataFrame([], self._with_batch(schema))
-            empty.write.mode("ignore").partitionBy("batch").parquet(path)
-
-    def _read(self, path: str, schema: T.StructType) -> DataFrame:
-        full = self._with_batch(schema)
-        try:
-            return self.spark.read.schema(full).parquet(path)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
+        """A first, empty version; an existing store is left alone."""
+        self.manifest.commit(lambda state: None if state else {"batches": {}, "keys": []})
+
+    def read(self, table: str) -> DataFrame:
+        """Rows of a table with the batch that they came with."""
+        full = T.StructType([*self.tables[table].fields, T.StructField("batch", T.StringType())])
+        paths = [held[table] for held in self.state()["batches"].values() if table in held]
+        if not paths:
             return self.spark.createDataFrame([], full)
+        return self.spark.read.schema(full).parquet(*paths)
+
+    def has(self, batch: str) -> bool:
+        return batch in self.state()["batches"]
+
+    def put(self, batch: str, rows: dict[str, DataFrame], also: Callable[[dict], None] | None = None) -> None:
+        """Publish the rows of a batch's tables at once; `also` changes the state in the same version."""
+        paths = {}
+        for table, df in rows.items():
+            paths[table] = f"{self.base}/{table}/{uuid.uuid4().hex}"
+            df.select(self.tables[table].fieldNames()).withColumn("batch", F.lit(batch)).write.parquet(paths[table])
+        segment = None
+        table, column = self.keys
+        if table in paths:
+            stored = self.spark.read.schema(f"`{column}` string, batch string").parquet(paths[table])
+            keys = stored.select(F.col(f"`{column}`").alias("dedup_key"), "batch").where("dedup_key <> ''").distinct()
+            segment = self.key_table.write(keys)
+
+        def change(state: dict) -> dict:
+            state = {"batches": {}, "keys": [], **state}
+            before = state["batches"].get(batch, {})
+            if segment is not None:
+                if table in before:
+                    for held in state["keys"]:
+                        held["without"] = sorted({*held["without"], batch})
+                if segment["rows"]:
+                    state["keys"].append(segment)
+            state["batches"][batch] = {**before, **paths}
+            if also is not None:
+                also(state)
+            return state
+
+        self.manifest.commit(change)
+        self._merge_keys()
+
+    def _merge_keys(self) -> None:
+        """Merge crowded key segments; a store that changed meanwhile keeps them for the next commit."""
+        crowd = self.key_table.crowded(self.state()["keys"])
+        if not crowd:
+            return
+        one = self.key_table.merged(crowd)
+
+        def change(state: dict) -> dict | None:
+            if not all(s in state["keys"] for s in crowd):
+                return None
+            state["keys"] = [s for s in state["keys"] if s not in crowd] + ([one] if one["rows"] else [])
+            return state
+
+        self.manifest.commit(change)
+
+    def _segments(self, excluding_batch: str | None) -> list[dict]:
+        held = self.state()["keys"]
+        if excluding_batch is None:
+            return held
+        return [{**s, "without": [*s["without"], excluding_batch]} for s in held]
 
-    def jobs(self) -> DataFrame:
-        return self._read(self.jobs_path, JOBS)
+    def seen(self, excluding_batch: str | None = None) -> DataFrame:
+        """Keys of all stored rows; a batch being retried does not count its own rows as seen.
 
-    def run_log(self) -> DataFrame:
-        return self._read(self.run_log_path, RUN_LOG)
+        Joins against them need no distinct.
+        """
+        return self.key_table.rows(self._segments(excluding_batch)).select("dedup_key")
 
-    def failures(self) -> DataFrame:
-        return self._read(self.failures_path, FAILURES)
+    def seen_among(self, keys: DataFrame, excluding_batch: str | None = None) -> DataFrame:
+        """All stored keys that are among `keys`, and some others: only the buckets that can hold one are read."""
+        return self.key_table.matching(keys, self._segments(excluding_batch)).select("dedup_key")
 
-    def seen(self, excluding_batch: str | None = None) -> DataFrame:
-        """Keys of stored postings; a batch being retried does not count its own rows as seen.
 
-        Only the key column is read. Joins against it need no distinct.
-        """
-        jobs = self.jobs()
-        if excluding_batch is not None:
-            jobs = jobs.where(F.coalesce(F.col("batch") != excluding_batch, F.lit(True)))
-        keys = jobs.select(F.col("deduplication_key").alias("dedup_key"))
-        return keys.where("dedup_key is not null and dedup_key <> ''")
+class JobStore(BatchStore):
+    """The `jobs`, `run_log` and `failures` tables under one folder."""
+
+    def __init__(self, spark: SparkSession, base: str) -> None:
+        tables = {"jobs": JOBS, "run_log": RUN_LOG, "failures": FAILURES}
+        super().__init__(spark, base, tables, ("jobs", "deduplication_key"))
+
+    def jobs(self) -> DataFrame:
+        return self.read("jobs")
+
+    def run_log(self) -> DataFrame:
+        return self.read("run_log")
 
-    def _put(self, rows: DataFrame, path: str, batch: str) -> None:
-        put_batch(rows, path, batch)
+    def failures(self) -> DataFrame:
+        return self.read("failures")
 
     def append_jobs(self, rows: DataFrame, batch: str) -> None:
-        self._put(rows, self.jobs_path, batch)
+        self.put(batch, {"jobs": rows})
 
     def append_failures(self, rows: DataFrame, batch: str) -> None:
-        self._put(rows, self.failures_path, batch)
+        self.put(batch, {"failures": rows})
 
     def append_run_log(self, rows: DataFrame, batch: str) -> None:
-        self._put(rows, self.run_log_path, batch)
+        self.put(batch, {"run_log": rows})
 
 
 def read_seen(table: DataFrame, header: str = "Deduplication Key") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -53,7 +53,7 @@ def run(
     captures: DataFrame,
     rules: DataFrame,
     filters: GlobalFilters | None = None,
-    seen: DataFrame | None = None,
+    seen: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     *,
     company: str | None = None,
     strict: bool = False,
@@ -63,7 +63,8 @@ def run(
 ) -> Run:
     """Parse, decide, deduplicate and count.
 
-    `seen` left out is a dry run against an empty store. `strict` drops all postings of a company
+    `seen` left out is a dry run against an empty store; a function is given the keys of the matched
+    postings and returns the known ones among them, others too if it likes. `strict` drops all postings of a company
     with one invalid posting or failed fetch; by default only the invalid row is rejected and what
     was fetched is kept. `failed` are captures whose fetch failed; they enter the failure list.
     `store_decisions` writes
@@ -102,8 +103,10 @@ def run(
         decided = materialize(decided.drop("description"), "decisions")
     matched = decided.where(F.col("match_status") == "matched")
     empty = decided.sparkSession.createDataFrame([], "dedup_key string")
+    if callable(seen):
+        seen = seen(matched.select("dedup_key").distinct())
     known = empty if seen is None else seen
-    results = company_results(companies, decided, None if seen is None else seen, failures)
+    results = company_results(companies, decided, seen, failures)
     return Run(
         postings=valid,
         decided=decided,
@@ -128,32 +131,31 @@ def run_into(
     strict: bool = False,
     sources: Mapping[str, SourceParser] | None = None,
     failed: DataFrame | None = None,
+    also: Callable[[dict], None] | None = None,
 ) -> Run:
-    """Run against a store: new postings first, then the run log. A dry run reads and writes nothing."""
+    """Run against a store. New postings, failures and the run log appear in one version of it.
+
+    Of the stored keys, only the buckets that can hold a matched posting's key are read. `also` changes
+    the store's state in the same version. A dry run reads and writes nothing.
+    """
     started = time.monotonic()
     if dry_run:
         return run(
             captures, rules, filters, company=company, strict=strict, sources=sources, failed=failed
         )
     store.ensure_tables()
-    seen = store.seen(excluding_batch=batch)
     done = run(
         captures,
         rules,
         filters,
-        seen,
+        lambda keys: store.seen_among(keys, excluding_batch=batch),
         company=company,
         strict=strict,
         sources=sources,
         failed=failed,
         store_decisions=True,
     )
-    # Counted before the jobs land: the log must not see this batch's own keys.
-    done.summary = materialize(done.summary, "summary")
-    store.append_jobs(to_job_rows(done.new_jobs), batch)
-    store.append_failures(failure_rows(done.failures), batch)
-    log = to_run_log(
-        done.summary, F.current_timestamp(), F.lit(float(time.monotonic() - started))
-    )
-    store.append_run_log(log, batch)
+    log = to_run_log(done.summary, F.current_timestamp(), F.lit(float(time.monotonic() - started)))
+    tables = {"jobs": to_job_rows(done.new_jobs), "failures": failure_rows(done.failures), "run_log": log}
+    store.put(batch, tables, also)
     return done

@@ -333,12 +333,14 @@ def f03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("F04_nested_summary", f"""
-  with {_FUNNEL} select count(*) as companies_checked, cast(sum(jobs_fetched) as bigint) as jobs_fetched,
-         array_to_string(list(company || '=' || jobs_matched || '/' || new_jobs_inserted order by company_ord), ',') as company_results from res""")
+  with {_FUNNEL}, t as (
+    select 'company' as level, company_ord, company, 1 as companies_checked, jobs_fetched, jobs_matched, new_jobs_inserted, duplicates_skipped from res
+    union all select 'total', null, null, count(*), sum(jobs_fetched), sum(jobs_matched), sum(new_jobs_inserted), sum(duplicates_skipped) from res)
+  select level, company_ord, company, cast(companies_checked as bigint) as companies_checked, cast(jobs_fetched as bigint) as jobs_fetched,
+         cast(jobs_matched as bigint) as jobs_matched, cast(new_jobs_inserted as bigint) as new_jobs_inserted,
+         cast(duplicates_skipped as bigint) as duplicates_skipped from t""")
 def f04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = P.nested_summary(_results(spark, sf_dir))
-    shown = F.transform("company_results", lambda r: F.concat(r["company"], F.lit("="), r["jobs_matched"].cast("string"), F.lit("/"), r["new_jobs_inserted"].cast("string")))
-    return nested.select("companies_checked", "jobs_fetched", F.array_join(shown, ",").alias("company_results"))
+    return P.summary_report(_results(spark, sf_dir))
 
 
 @query("F05_reason_breakdown", f"""

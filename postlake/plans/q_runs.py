@@ -13,13 +13,17 @@ from postlake.plans import sites, views
 from postlake.plans.oracle import norm
 from postlake.plans.pipeline import run_into
 from postlake.plans.q_rules import STAR_CTES, _EVEN_SEEN, _REASON, even_seen, _matched, star_decided
+from postlake.plans.q_sources import ICIMS_SQL
 from postlake.plans.registry import query, table
 from postlake.session import new_scratch
 from postlake.streaming.incremental import (
+    END,
+    SightingsTable,
     keep_new_keys,
+    keep_sightings,
+    kept_store,
     run_incremental,
     stream_dedup,
-    stream_sightings,
 )
 
 _FIRST = """x as (select *, row_number() over (partition by dedup_key order by company_ord, l_shipdate, l_partkey, l_linenumber) as rn
@@ -72,7 +76,7 @@ def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
          count(*) filter (reason_class = 'matched') as jobs_matched,
          count(distinct dedup_key) filter (reason_class = 'matched' and dedup_key not in (select dedup_key from seen)) as new_jobs_inserted,
          count(*) filter (reason_class = 'matched') - count(distinct dedup_key) filter (reason_class = 'matched' and dedup_key not in (select dedup_key from seen)) as duplicates_skipped,
-         '' as failures, cast(1.23 as double) as execution_duration_seconds from d""")
+         cast(0 as bigint) as failures, cast(1.23 as double) as execution_duration_seconds from d""")
 def s18(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = star_decided(spark, sf_dir)
     results = P.company_results(views.star_rules(spark, sf_dir), decided, even_seen(spark, sf_dir))
@@ -175,6 +179,22 @@ def t01_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("T01_pending_details", f"""
+  with p as ({ICIMS_SQL}) select company, source_job_id, title, location, employment_type, date_posted from p where location is not null""")
+def t01_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List pages, detail pages and the end marker land in three batches. Only details have locations, which the filter asks for."""
+    captures, rules = sites.icims(spark, sf_dir)
+    base = new_scratch(spark, "pending")
+    store = JobStore(spark, f"{base}/store")
+    mark = captures.select("run_id").distinct().withColumn("kind", F.lit(END))
+    filters = GlobalFilters(title_keywords=["—"], locations=["CA"], seniority_exclude=[], exclude_keywords=[])
+    for part in (captures.where("kind = 'list'"), captures.where("kind = 'detail'"), mark):
+        landed = captures.limit(0).unionByName(part, allowMissingColumns=True)
+        landed.write.mode("append").parquet(f"{base}/landing")
+        run_incremental(spark, f"{base}/landing", store, rules, f"{base}/checkpoint", filters)
+    return store.jobs().select("company", "source_job_id", "title", "location", "employment_type", "date_posted")
+
+
 # -- events as a stream of sightings ------------------------------------------------------------
 
 
@@ -200,7 +220,7 @@ def t01_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     for part in _slices(spark, sf_dir):
         part.write.mode("append").parquet(f"{base}/landing")
         keep_new_keys(spark, f"{base}/landing", part.schema, f"{base}/kept", f"{base}/checkpoint", ["ts", "event_id"])
-    kept = spark.read.parquet(f"{base}/kept")
+    kept = kept_store(spark, f"{base}/kept", part.schema).read("kept")
     return kept.select("dedup_key", "event_id", F.regexp_extract("batch", "([0-9]+)$", 1).cast("bigint").alias("cycle"))
 
 
@@ -238,19 +258,19 @@ def t03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("T03_stream_sightings", _SIGHTINGS)
 def t03_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from a stream: every batch writes the keys it touched, the last write counts."""
+    """The same from a stream, kept as a table that every batch adds to."""
     base = new_scratch(spark, "sightings")
+    for part in _slices(spark, sf_dir):
+        part.write.mode("append").parquet(f"{base}/landing")
+        keep_sightings(spark, f"{base}/landing", part.schema, f"{base}/table", f"{base}/checkpoint", "ts")
+    return _shown_sightings(SightingsTable(spark, f"{base}/table").rows())
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/state/b{batch_id:010d}")
 
+@query("T02_exact_dedup", "select distinct user_id || ':' || event_type as dedup_key from events")
+def t02_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key once, by the key table instead of streaming state: no horizon."""
+    base = new_scratch(spark, "exact")
     for part in _slices(spark, sf_dir):
         part.write.mode("append").parquet(f"{base}/landing")
-        arrived = spark.readStream.schema(part.schema).parquet(f"{base}/landing")
-        (
-            stream_sightings(arrived, "ts").writeStream.outputMode("update").foreachBatch(upsert)
-            .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-        )
-    states = spark.read.parquet(f"{base}/state/*")
-    latest = states.groupBy("dedup_key").agg(F.max_by(F.struct("first_seen", "last_seen", "n_seen"), "batch_id").alias("s"))
-    return _shown_sightings(latest.select("dedup_key", "s.*"))
+        keep_new_keys(spark, f"{base}/landing", part.schema, f"{base}/kept", f"{base}/checkpoint", ["ts", "event_id"])
+    return kept_store(spark, f"{base}/kept", part.schema).read("kept").select("dedup_key")

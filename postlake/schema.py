@@ -103,6 +103,10 @@ def column_name(header: str) -> str:
 
 
 JOBS = T.StructType([T.StructField(column_name(h), _S) for h in JOB_HEADERS])
+KEYS = _struct(("dedup_key", _S), ("batch", _S))
+SIGHTINGS = _struct(
+    ("dedup_key", _S), ("first_seen", T.TimestampType()), ("last_seen", T.TimestampType()), ("n_seen", T.LongType())
+)
 FAILURES = _struct(("company_ord", T.LongType()), ("company", _S), ("message", _S))
 RUN_LOG = T.StructType(
     [
@@ -112,7 +116,7 @@ RUN_LOG = T.StructType(
         T.StructField("jobs_matched", T.LongType()),
         T.StructField("new_jobs_inserted", T.LongType()),
         T.StructField("duplicates_skipped", T.LongType()),
-        T.StructField("failures", _S),
+        T.StructField("failures", T.LongType()),
         T.StructField("execution_duration_seconds", T.DoubleType()),
     ]
 )

@@ -28,6 +28,9 @@ SourceParser = Callable[[DataFrame, DataFrame], DataFrame]
 # `custom` is a declared type without a parser.
 CUSTOM = "custom"
 
+# Types whose list rows are completed by detail pages.
+DETAIL_SOURCES = ["smartrecruiters", "eightfold", "icims", "avature", "successfactors"]
+
 _REGISTRY: dict[str, SourceParser] = {
     "greenhouse": parse_greenhouse,
     "lever": parse_lever,
