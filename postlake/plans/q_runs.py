@@ -184,10 +184,11 @@ def t01_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t01_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List pages, detail pages and the end marker land in three batches. Only details have locations, which the filter asks for."""
     captures, rules = sites.icims(spark, sf_dir)
+    rules = rules.withColumn("location_filters", F.array(F.lit("City")))
     base = new_scratch(spark, "pending")
     store = JobStore(spark, f"{base}/store")
     mark = captures.select("run_id").distinct().withColumn("kind", F.lit(END))
-    filters = GlobalFilters(title_keywords=["—"], locations=["CA"], seniority_exclude=[], exclude_keywords=[])
+    filters = GlobalFilters(title_keywords=["—"], seniority_exclude=[], exclude_keywords=[])
     for part in (captures.where("kind = 'list'"), captures.where("kind = 'detail'"), mark):
         landed = captures.limit(0).unionByName(part, allowMissingColumns=True)
         landed.write.mode("append").parquet(f"{base}/landing")
