@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postlake.functions import variants as V
 from postlake.functions.entities import unescape_sql
@@ -43,6 +46,9 @@ DESCRIPTION_SPAN = r"""(?is)<span\b[^>]*class=["'][^"']*jobdescription[^"']*["']
 TITLE_SPAN = r"""(?is)<span\b[^>]*itemprop=["']title["'][^>]*>(.*?)</span>"""
 
 
+_ANCHOR = re.compile(ANCHOR, re.ASCII)
+
+
 def matched_sql(x: str, pattern: str, group: int = 1) -> str:
     return let_sql(x, lambda t: f"if({t} rlike {q(pattern)}, regexp_extract({t}, {q(pattern)}, {group}), null)")
 
@@ -110,35 +116,33 @@ def links(html: Column | str) -> Column:
     return bind(html, links_sql)
 
 
-def link_spans_sql(html: str) -> str:
-    """`links` plus the 0-based start and end offset of every anchor."""
-
-    def total(texts: str) -> str:
-        return f"aggregate({texts}, 0, (acc, t) -> acc + length(t))"
-
-    def place(both: str) -> str:
-        start = f"{total(f'slice({both}.g, 1, i + 1)')} + {total(f'slice({both}.m, 1, i)')}"
-        described = let_sql(
-            start,
-            lambda s: f"named_struct('attrs', regexp_extract(m, {q(ANCHOR)}, 1), 'inner', regexp_extract(m, {q(ANCHOR)}, 2),"
-            f" 'start', {s}, 'end', {s} + length(m))",
-        )
-        return f"transform({both}.m, (m, i) -> {described})"
+_LINK = T.StructType([T.StructField("attrs", T.StringType()), T.StructField("inner", T.StringType()), T.StructField("article", T.IntegerType())])
+_LINKED = T.StructType([T.StructField("links", T.ArrayType(_LINK)), T.StructField("articles", T.ArrayType(T.StringType()))])
 
-    found = (
-        f"named_struct('m', regexp_extract_all({html}, {q(ANCHOR)}, 0), 'g', split({html}, {q(ANCHOR)}, -1))"
-    )
-    return let_sql(found, place)
 
+@F.pandas_udf(_LINKED)
+def linked_articles(pages: pd.Series) -> pd.DataFrame:
+    """The anchors of each page, and the articles around them: a link's `article` is its number, -1 for none.
 
-def enclosing_article_sql(html: str, start: str, end: str) -> str:
-    sides = f"named_struct('before', substr({html}, 1, {start}), 'after', substr({html}, {end} + 1))"
-    return let_sql(
-        sides,
-        lambda s: f"if(contains({s}.before, '<article') and contains({s}.after, '</article>'),"
-        f" concat('<article', substring_index({s}.before, '<article', -1), substr({html}, {start} + 1, {end} - {start}),"
-        f" substring_index({s}.after, '</article>', 1), '</article>'), '')",
-    )
+    A link's article reaches from the last `<article` that begins before it to the first `</article>` after it. All
+    places come from one pass over the page and are looked up by bisection; an article is cut out once for all its
+    links.
+    """
+    found: dict[str, list] = {"links": [], "articles": []}
+    for page in pages:
+        links: list[dict] = []
+        articles: dict[tuple[int, int], int] = {}
+        if page is not None:
+            opens = [m.end() for m in re.finditer("<article", page)]
+            closes = [m.start() for m in re.finditer("</article>", page)]
+            for m in _ANCHOR.finditer(page):
+                o, c = bisect_right(opens, m.start()) - 1, bisect_left(closes, m.end())
+                around = o >= 0 and c < len(closes)
+                number = articles.setdefault((o, c), len(articles)) if around else -1
+                links.append({"attrs": m[1], "inner": m[2], "article": number})
+        found["links"].append(links)
+        found["articles"].append([page[opens[o] - len("<article") : closes[c] + len("</article>")] for o, c in articles])
+    return pd.DataFrame(found)
 
 
 def article_footer_sql(article: str, icon_class: str) -> str:

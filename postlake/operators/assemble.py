@@ -15,6 +15,11 @@ from postlake.session import materialize
 _SITE = ["run_id", "company"]
 
 
+def _site(df: DataFrame) -> list[str]:
+    """Columns that name a site's run; with `company_ord`, two boards of one company are two sites."""
+    return [*_SITE, "company_ord"] if "company_ord" in df.columns else _SITE
+
+
 #: Pages whose running total is one window; a company's pages are cut into such blocks.
 BLOCK_PAGES = 1_000
 
@@ -78,18 +83,19 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str | Column]) -> Dat
 
 
 def first_by_id(summaries: DataFrame, id_column: str = "source_job_id") -> DataFrame:
-    return first_wins(summaries, [*_SITE, id_column], ["page_no", "pos"])
+    return first_wins(summaries, [*_site(summaries), id_column], ["page_no", "pos"])
 
 
 def attach_details(rows: DataFrame, details: DataFrame, key: str = "detail_key") -> DataFrame:
-    """Left join of list rows to detail documents by run, company and detail key.
+    """Left join of list rows to detail documents by run, site and detail key.
 
     Rows without a key take a unique one that matches nothing: they spread over all partitions
     instead of meeting in the one for NULL.
     """
     lonely = F.concat(F.lit("\x00"), F.col("page_no"), F.lit(":"), F.col("pos"))
     keyed = rows.withColumn(key, F.coalesce(F.col(key), lonely))
-    return keyed.join(details, [*_SITE, key], "left")
+    shared = [c for c in _site(rows) if c in details.columns]
+    return keyed.join(details, [*shared, key], "left")
 
 
 def has_more_icims(body: Column | str, page_no: Column | str) -> Column:
@@ -162,8 +168,9 @@ def drop_requisition_repeats(rows: DataFrame, url_id: str, requisition: str) ->
     who is skipped.
     """
     held = materialize(rows, "requisitions")
-    gone = _skipped(held.select(*_SITE, "page_no", "pos", url_id, requisition), url_id, requisition)
-    return held.join(gone.withColumnRenamed("id", url_id), [*_SITE, url_id], "left_anti").select(
+    site = _site(rows)
+    gone = _skipped(held.select(*site, "page_no", "pos", url_id, requisition), url_id, requisition)
+    return held.join(gone.withColumnRenamed("id", url_id), [*site, url_id], "left_anti").select(
         *rows.columns
     )
 
@@ -175,32 +182,33 @@ def _skipped(rows: DataFrame, url_id: str, requisition: str) -> DataFrame:
     claimers are settled; one with a single open claimer is the opposite of it and points there, and
     pointers double. Chains of any length take a logarithmic number of rounds.
     """
+    site = _site(rows)
     place = F.struct("page_no", "pos")
-    slim = rows.select(*_SITE, F.col(url_id).alias("id"), place.alias("place"), F.col(requisition).alias("to"))
-    claims = slim.where("to is not null and id <> to").select(*_SITE, F.col("id").alias("by"), "to", F.col("place").alias("by_place"))
-    claimed = slim.select(*_SITE, F.col("id").alias("to"), "place")
-    edges = claims.join(claimed, [*_SITE, "to"]).where("by_place < place").select(*_SITE, "by", "to")
+    slim = rows.select(*site, F.col(url_id).alias("id"), place.alias("place"), F.col(requisition).alias("to"))
+    claims = slim.where("to is not null and id <> to").select(*site, F.col("id").alias("by"), "to", F.col("place").alias("by_place"))
+    claimed = slim.select(*site, F.col("id").alias("to"), "place")
+    edges = claims.join(claimed, [*site, "to"]).where("by_place < place").select(*site, "by", "to")
     edges = materialize(edges, "claims")
-    targets = edges.select(*_SITE, F.col("to").alias("id")).distinct()
+    targets = edges.select(*site, F.col("to").alias("id")).distinct()
     state = materialize(
         targets.select(
-            *_SITE, "id", F.lit(None).cast("boolean").alias("kept"),
+            *site, "id", F.lit(None).cast("boolean").alias("kept"),
             F.lit(None).cast("string").alias("ptr"), F.lit(False).alias("same"),
         ),
         "state",
     )
     while not state.where("kept is null").isEmpty():
         # Claimers that nobody claims are kept.
-        by = state.select(*_SITE, F.col("id").alias("by"), "kept", F.lit(True).alias("is_target"))
-        told = edges.join(by, [*_SITE, "by"], "left").withColumn(
+        by = state.select(*site, F.col("id").alias("by"), "kept", F.lit(True).alias("is_target"))
+        told = edges.join(by, [*site, "by"], "left").withColumn(
             "kept", F.when(F.col("is_target"), F.col("kept")).otherwise(F.lit(True))
         )
-        votes = told.groupBy(*_SITE, F.col("to").alias("id")).agg(
+        votes = told.groupBy(*site, F.col("to").alias("id")).agg(
             F.max("kept").alias("any_kept"),
             F.count(F.when(F.col("kept").isNull(), 1)).alias("n_open"),
             F.max(F.when(F.col("kept").isNull(), F.col("by"))).alias("open_by"),
         )
-        voted = state.join(votes, [*_SITE, "id"]).withColumns(
+        voted = state.join(votes, [*site, "id"]).withColumns(
             {
                 "kept": F.coalesce(
                     "kept",
@@ -211,20 +219,20 @@ def _skipped(rows: DataFrame, url_id: str, requisition: str) -> DataFrame:
             }
         )
         ahead = state.select(
-            *_SITE, F.col("id").alias("ptr"), F.col("kept").alias("p_kept"), F.col("ptr").alias("p_ptr"), F.col("same").alias("p_same")
+            *site, F.col("id").alias("ptr"), F.col("kept").alias("p_kept"), F.col("ptr").alias("p_ptr"), F.col("same").alias("p_same")
         )
-        jumped = voted.join(ahead, [*_SITE, "ptr"], "left")
+        jumped = voted.join(ahead, [*site, "ptr"], "left")
         follow = F.col("p_ptr").isNotNull()
         state = materialize(
             jumped.select(
-                *_SITE, "id",
+                *site, "id",
                 F.coalesce("kept", F.col("p_kept") == F.col("same")).alias("kept"),
                 F.when(follow, F.col("p_ptr")).otherwise(F.col("ptr")).alias("ptr"),
                 F.when(follow, F.col("same") == F.col("p_same")).otherwise(F.col("same")).alias("same"),
             ),
             "state",
         )
-    return state.where("not kept").select(*_SITE, "id")
+    return state.where("not kept").select(*site, "id")
 
 
 def location_pushdown(df: DataFrame, rules: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in fields])
 
 
-# One row per landed document: a list page or a detail page, JSON, XML or HTML text in `body`.
+# One row per landed document: a list page or a detail page, JSON, XML or HTML text in `body`. `board` tells
+# several sites of one type and company apart (see sources/boards.py).
 CAPTURES = _struct(
     ("run_id", _S),
     ("company", _S),
@@ -24,6 +25,7 @@ CAPTURES = _struct(
     ("status", T.IntegerType()),
     ("body", _S),
     ("fetched_at", T.TimestampType()),
+    ("board", _S),
 )
 
 # One row per monitored company.

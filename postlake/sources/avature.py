@@ -52,32 +52,41 @@ def detail_link(href: Column | str) -> Column:
 
 
 def posting_links(html: Column | str) -> Column:
-    """Posting links of a search page with the text of the article around each."""
-
-    def finish(h: str, x: str) -> str:
-        article = H.enclosing_article_sql(h, f"{x}.a.start", f"{x}.a.end")
-        return let_sql(
-            article,
-            lambda t: f"named_struct('id', {x}.link.id, 'kind', {x}.link.kind, 'title', {x}.a.title, 'href', {x}.a.href,"
-            f" 'location', {H.article_footer_sql(t, 'icon-address')}, 'department', {H.article_footer_sql(t, 'icon-tag')},"
+    """Posting links of a search page with the text of the article around each.
+
+    An article's texts are taken once, whatever the number of its links.
+    """
+
+    def pick(p: str) -> str:
+        texts = each_sql(
+            f"{p}.page.articles",
+            lambda t: f"named_struct('location', {H.article_footer_sql(t, 'icon-address')}, 'department', {H.article_footer_sql(t, 'icon-tag')},"
             f" 'description', {H.article_content_sql(t)})",
         )
-
-    def pick(h: str) -> str:
         described = each_sql(
-            H.link_spans_sql(h),
+            f"{p}.page.links",
             lambda a: f"named_struct('href', {H.attribute_sql(f'{a}.attrs', 'href')}, 'title',"
             f" coalesce(nullif({H.attribute_sql(f'{a}.attrs', 'title')}, ''), {H.strip_html_sql(f'{a}.inner', True)}),"
-            f" 'start', {a}.start, 'end', {a}.end)",
+            f" 'article', {a}.article)",
         )
         filled = keep_sql(described, lambda a: f"{a}.href <> '' and {a}.title <> ''")
         linked = each_sql(
             filled, lambda a: f"named_struct('link', {detail_link_sql(f'{a}.href')}, 'a', {a})"
         )
         found = keep_sql(linked, lambda x: f"{x}.link.id is not null")
-        return each_sql(found, lambda x: finish(h, x))
 
-    return bind(html, pick)
+        def finish(t: str) -> str:
+            return each_sql(
+                found,
+                lambda x: f"named_struct('id', {x}.link.id, 'kind', {x}.link.kind, 'title', {x}.a.title, 'href', {x}.a.href,"
+                f" 'location', get({t}, {x}.a.article).location, 'department', get({t}, {x}.a.article).department,"
+                f" 'description', get({t}, {x}.a.article).description)",
+            )
+
+        return let_sql(texts, finish)
+
+    page = H.linked_articles(F.col(html) if isinstance(html, str) else html)
+    return bind(F.struct(page.alias("page")), pick)
 
 
 def detail_fields(pages: DataFrame) -> DataFrame:
@@ -114,6 +123,7 @@ def parse_avature(captures: DataFrame, rules: DataFrame) -> DataFrame:
     only_details = captures.where((F.col("source_type") == SOURCE) & (F.col("kind") == "detail"))
     found = common.details(
         detail_fields(only_details),
+        rules,
         SOURCE,
         F.coalesce(
             V.text(posting, "title"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake.schema import CAPTURES
+from postlake.sources.boards import at_board, boards
 
 
 def read_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -29,7 +30,7 @@ def fetch_failures(failed: DataFrame, rules: DataFrame) -> DataFrame:
     message = F.concat(
         "company", F.lit(": HTTPStatusError: "), F.col("status").cast("string"), F.lit(" for "), "url"
     )
-    known = failed.join(rules.select("company", "company_ord"), "company")
+    known = at_board(failed, boards(rules), "company", "source_type")
     return known.groupBy("run_id", "company", "company_ord").agg(
         F.min_by(message, F.struct(F.col("kind") != "list", "page_no", "url")).alias("message")
     )
@@ -43,10 +44,8 @@ def unreadable(captures: DataFrame, rules: DataFrame) -> DataFrame:
     """One failure text per company whose JSON documents cannot be read, with their number."""
     broken = captures.where(
         F.col("source_type").isin(JSON_SOURCES) & F.try_parse_json("body").isNull()
-    ).select("company", "source_type", "kind", "page_no", "url")
-    known = broken.join(
-        rules.select("company", "company_ord", "source_type"), ["company", "source_type"]
-    )
+    ).select("company", "source_type", "board", "kind", "page_no", "url")
+    known = at_board(broken, boards(rules), "company", "source_type")
     first = F.min_by(F.coalesce("url", F.lit("")), F.struct(F.col("kind") != "list", "page_no", "url"))
     return known.groupBy("company", "company_ord").agg(
         F.concat(

@@ -7,45 +7,45 @@ from pyspark.sql import functions as F
 
 from postlake.functions import variants as V
 from postlake.operators.assemble import first_wins
+from postlake.sources.boards import at_board, boards
 from postlake.schema import POSTING_COLUMNS
 
 UNTITLED = "Untitled role"
 
 
 def site_rules(rules: DataFrame, source: str) -> DataFrame:
-    """The rule columns a parser needs, for the enabled companies of its source type."""
+    """The rule columns a parser needs, for the enabled companies of its source type, by company and board."""
     enabled = rules.where(F.coalesce("enabled", F.lit(True)) & (F.col("source_type") == source))
-    return enabled.select(
-        "company",
-        "company_ord",
+    return boards(
+        enabled,
         "ats_identifier",
         "careers_url",
         "api_endpoint",
-        F.coalesce(F.lower(F.col("extra")["fetch_details"]) != "false", F.lit(True)).alias(
-            "fetch_details"
-        ),
+        F.coalesce(F.lower(F.col("extra")["fetch_details"]) != "false", F.lit(True)).alias("fetch_details"),
         F.col("extra")["domain"].alias("domain"),
-    )
+    ).drop("source_type")
 
 
 def list_pages(captures: DataFrame, rules: DataFrame, source: str, *fields: Column) -> DataFrame:
-    """Parsed fields of the list pages of one source, joined to their company's settings.
+    """Parsed fields of the list pages of one source, joined to their site's settings.
 
     Fields are extracted before the join, so page bodies are not shuffled.
     """
     pages = captures.where((F.col("source_type") == source) & (F.col("kind") == "list"))
-    parsed = pages.select("run_id", "company", "page_no", "fetched_at", "url", *fields)
-    return parsed.join(site_rules(rules, source), "company")
+    parsed = pages.select("run_id", "company", "board", "page_no", "fetched_at", "url", *fields)
+    return at_board(parsed, site_rules(rules, source), "company")
 
 
-def details(captures: DataFrame, source: str, *fields: Column) -> DataFrame:
-    """Parsed fields of the detail pages, one row per run, company and key.
+def details(captures: DataFrame, rules: DataFrame, source: str, *fields: Column) -> DataFrame:
+    """Parsed fields of the detail pages, one row per run, site and key.
 
     Fields are extracted before the exchange, so page bodies are not shuffled.
     """
     pages = captures.where((F.col("source_type") == source) & (F.col("kind") == "detail"))
-    parsed = pages.select("run_id", "company", "detail_key", "fetched_at", *fields)
-    return first_wins(parsed, ["run_id", "company", "detail_key"], ["fetched_at"]).drop("fetched_at")
+    parsed = pages.select("run_id", "company", "board", "detail_key", "fetched_at", *fields)
+    site = site_rules(rules, source).select("company", "_board", "company_ord")
+    placed = at_board(parsed, site, "company")
+    return first_wins(placed, ["run_id", "company", "company_ord", "detail_key"], ["fetched_at"]).drop("fetched_at")
 
 
 def explode_objects(pages: DataFrame, values: str, name: str = "v") -> DataFrame:

@@ -42,7 +42,7 @@ def parse_eightfold(captures: DataFrame, rules: DataFrame) -> DataFrame:
         "detail_key", F.when(F.col("fetch_details"), V.first_text("raw", "id", "atsJobId"))
     )
     found = common.details(
-        captures, SOURCE, V.as_map(V.sub(F.try_parse_json("body"), "data")).alias("detail")
+        captures, rules, SOURCE, V.as_map(V.sub(F.try_parse_json("body"), "data")).alias("detail")
     )
     merged = attach_details(rows, found).withColumn(
         "m", V.overlay(V.as_map("raw"), F.col("detail"))

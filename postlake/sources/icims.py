@@ -68,6 +68,7 @@ def parse_icims(captures: DataFrame, rules: DataFrame) -> DataFrame:
     posting = "posting"
     found = common.details(
         captures.withColumn("posting", H.json_ld_posting("body")),
+        rules,
         SOURCE,
         V.text(posting, "title").alias("d_title"),
         H.json_ld_location(V.sub(posting, "jobLocation")).alias("d_location"),

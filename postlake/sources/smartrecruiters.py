@@ -78,7 +78,7 @@ def parse_smartrecruiters(captures: DataFrame, rules: DataFrame) -> DataFrame:
         "detail_key",
         F.when(F.col("fetch_details"), detail_reference(F.col("raw"), F.col("endpoint"))),
     )
-    found = common.details(captures, SOURCE, V.as_map(F.try_parse_json("body")).alias("detail"))
+    found = common.details(captures, rules, SOURCE, V.as_map(F.try_parse_json("body")).alias("detail"))
     merged = attach_details(rows, found).withColumn(
         "m", V.overlay(V.as_map("raw"), F.col("detail"))
     )

@@ -113,6 +113,7 @@ def parse_successfactors_html(captures: DataFrame, rules: DataFrame) -> DataFram
     )
     found = common.details(
         described,
+        rules,
         SOURCE,
         nonempty(H.strip_html(H.matched("body", H.TITLE_SPAN))).alias("d_title"),
         H.line_field("lines", "Location").alias("d_location"),

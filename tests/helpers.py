@@ -10,9 +10,9 @@ from postlake.schema import CAPTURES, RULES
 FETCHED = datetime(2026, 7, 20, 6, 0)
 
 
-def capture(source, body, *, company="Acme", kind="list", page_no=0, detail_key=None, url=None, run_id="r1", status=200):
+def capture(source, body, *, company="Acme", kind="list", page_no=0, detail_key=None, url=None, run_id="r1", status=200, board=None):
     text = body if isinstance(body, str) else json.dumps(body)
-    return (run_id, company, source, kind, page_no, detail_key, url or f"https://{company.lower()}.example.com/jobs", status, text, FETCHED)
+    return (run_id, company, source, kind, page_no, detail_key, url or f"https://{company.lower()}.example.com/jobs", status, text, FETCHED, board)
 
 
 def detail(source, key, body, **kw):

@@ -196,3 +196,25 @@ def test_xml_records_fall_back_to_nested_children(spark):
     nested = "<data><row><id>1</id></row><row><id>2</id></row></data>"
     flat = "<data><id>1</id><row><id>2</id></row></data>"
     assert apply(spark, [nested, flat, "<data/>"], lambda c: F.size(X.xml_records(X.plain_xml(c)))) == [2, 0, 0]
+
+
+def test_articles_of_links_against_brute_force(spark):
+    import random
+    import re as regex
+
+    draw = random.Random(6)
+    pieces = ["<article class='x'>", "</article>", '<a href="/j">in</a>', '<a title="t" href="/k"><b>bold</b></a>', " text ", "<p>é</p>", "<a href='/m'><article></a>", "<area>"]
+    pages = ["".join(draw.choices(pieces, k=draw.randrange(0, 25))) for _ in range(60)] + ["", None]
+    got = apply(spark, pages, lambda c: H.linked_articles(c))
+
+    def around(page, start, end):
+        before, after = page[:start], page[end:]
+        if "<article" not in before or "</article>" not in after:
+            return None
+        return before[before.rindex("<article") :] + page[start:end] + after[: after.index("</article>") + len("</article>")]
+
+    for page, found in zip(pages, got, strict=True):
+        matches = list(regex.finditer(r"(?is)<a\b([^>]*?)>(.*?)</a>", page or ""))
+        assert [(x.attrs, x.inner) for x in found.links] == [(m[1], m[2]) for m in matches]
+        assert [found.articles[x.article] if x.article >= 0 else None for x in found.links] == [around(page, m.start(), m.end()) for m in matches]
+        assert len(set(found.articles)) <= len(found.articles)

@@ -171,3 +171,30 @@ def test_funnel_credits_the_stored_row(spark):
     done = run(captures(spark, link("A"), link("B")), both, FILTERS)
     assert [r.company for r in done.new_jobs.collect()] == ["B"]
     assert {r.company: r.new_jobs_inserted for r in done.results.collect()} == {"A": 0, "B": 1}
+
+
+def test_two_boards_of_one_name(spark):
+    """One company name, two boards of one type: every posting once, each counted for its board."""
+    both = rules(spark, rule("greenhouse", company="A", ats_identifier="one", ord_=0), rule("greenhouse", company="A", ats_identifier="two", ord_=1))
+    job = lambda i: {"jobs": [{"id": i, "title": "Engineer", "location": {"name": "Oslo"}}]}
+    rows = captures(
+        spark, capture("greenhouse", job(1), company="A", board="one"), capture("greenhouse", job(2), company="A", board="two"),
+        capture("greenhouse", job(3), company="A"), capture("greenhouse", "<html>", company="A", board="two", url="https://a/two", page_no=1),
+        capture("greenhouse", job(4), company="A", board="of nobody"),
+    )
+    done = run(rows, both, FILTERS)
+    assert {r.company_ord: (r.jobs_fetched, r.new_jobs_inserted, list(r.failures)) for r in done.results.collect()} == {
+        0: (2, 2, []), 1: (1, 1, ["A: JSONDecodeError: 1 unreadable, first https://a/two"])}
+    assert sorted(r.dedup_key for r in done.new_jobs.collect()) == ["source:a:1", "source:a:2", "source:a:3"]
+
+
+def test_details_of_two_boards(spark):
+    both = rules(spark, rule("icims", company="A", careers_url="https://one", ord_=0), rule("icims", company="A", careers_url="https://two", ord_=1))
+    anchor = '<a href="https://x/jobs/7/role/job">Engineer</a>'
+    page = lambda town: f'<script type="application/ld+json">{{"@type": "JobPosting", "jobLocation": {{"address": {{"addressLocality": "{town}"}}}}}}</script>'
+    key = "https://x/jobs/7/role/job"
+    rows = captures(spark, *[
+        c for board, town in (("https://one", "Oslo"), ("https://two", "Bern"))
+        for c in (capture("icims", anchor, company="A", board=board, page_no=0), capture("icims", page(town), company="A", board=board, kind="detail", detail_key=key))
+    ])
+    assert sorted((r.company_ord, r.location) for r in run(rows, both, FILTERS).postings.collect()) == [(0, "Oslo"), (1, "Bern")]

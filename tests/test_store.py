@@ -146,7 +146,7 @@ def icims_detail(i, run_id="r1"):
 
 
 def end(run_id="r1", company="Acme"):
-    return (run_id, company, None, END, None, None, None, None, None, None)
+    return (run_id, company, None, END, None, None, None, None, None, None, None)
 
 
 def streamed(spark, parts, filters=FILTERS, sites=None):
