@@ -1,27 +1,27 @@
 """XML feeds: records at any depth and their fields by alias, kept as text.
 
-Values stay text on purpose: typed readers would turn a reference number such as 00123 into 123.
+Documents are parsed whole by the standard library's parser in Arrow batches: Spark's own `from_xml` ends the job at a
+broken document and would turn a reference number such as 00123 into 123.
 """
 
 from __future__ import annotations
 
+import html
+import re
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from postlake.functions.entities import unescape_sql
-from postlake.functions.sqltext import bind, each_sql, keep_sql, let_sql, q
-from postlake.functions.text import WHITESPACE, nonempty, strip_sql
+from postlake.functions.sqltext import bind, q
+from postlake.functions.text import WHITESPACE, nonempty
 
 # Element names that hold one record, and what marks a document as XML.
 RECORD_TAGS = ["job", "item", "entry", "jobposting", "job_listing"]
 XML_START = r"^(?:<\?xml|<(?:jobs|job|rss|feed)\b)"
 
-_NAME = r"(?:[\w.-]+:)?"
-_OPEN_END = r"(?:\s[^<>]*)?(?<!/)>"
-_RECORD = rf"(?is)<{_NAME}({'|'.join(RECORD_TAGS)}){_OPEN_END}(.*?)</{_NAME}\1\s*>"
-_ELEMENT = rf"(?is)<{_NAME}([\w.-]+){_OPEN_END}(.*?)</{_NAME}\1\s*>"
-
-
 def is_xml(body: Column | str) -> Column:
     """Format sniff on the start of the document."""
     return bind(
@@ -29,82 +29,48 @@ def is_xml(body: Column | str) -> Column:
     )
 
 
-def plain_xml(body: Column | str) -> Column:
-    """Comments and declarations removed, CDATA sections turned into escaped text."""
-
-    def unwrap(b: str) -> str:
-        inside = "substring_index(p, ']]>', 1)"
-        escaped = f"replace(replace(replace({inside}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
-        rest = f"substr(p, length({inside}) + 4)"
-        pieces = f"transform(split({b}, {q(r'<!\[CDATA\[')}), (p, i) -> if(i = 0, p, concat({escaped}, {rest})))"
-        noise = q(r"(?s)<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>]*>")
-        return f"regexp_replace(array_join({pieces}, ''), {noise}, '')"
-
-    return bind(body, unwrap)
-
-
-def _records_sql(text: str, depth: int) -> str:
-    whole = f"regexp_extract_all({text}, {q(_RECORD)}, 2)"
-    if not depth:
-        return whole
-    return f"flatten({each_sql(whole, lambda r: f'concat(array({r}), {_records_sql(r, depth - 1)})')})"
-
-
-def _inner_sql(element: str) -> str:
-    return f"regexp_extract({element}, {q(_ELEMENT)}, 2)"
+_FIELD = T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])
+_FEED = T.StructType([T.StructField("error", T.StringType()), T.StructField("records", T.ArrayType(T.ArrayType(_FIELD)))])
 
 
-def xml_records(plain: Column | str) -> Column:
-    """ARRAY<STRING> of record contents; without named records, the root's children if all nest."""
-
-    def fallback(root: str) -> str:
-        children = f"regexp_extract_all({root}, {q(_ELEMENT)}, 0)"
-        empty_child = q(r"<[\w.:-]+(?:\s[^<>]*)?/>")
-        loose = f"regexp_replace({root}, {q(_ELEMENT)}, '') rlike {empty_child}"
-        return let_sql(
-            children,
-            lambda c: f"if(forall({c}, e -> {_inner_sql('e')} rlike {q(_ELEMENT)}) and not {loose},"
-            f" transform({c}, e -> {_inner_sql('e')}), cast(array() as array<string>))",
-        )
-
-    def pick(text: str) -> str:
-        return let_sql(
-            _records_sql(text, 1),
-            lambda named: f"if(size({named}) > 0, {named}, {let_sql(_inner_sql(text), fallback)})",
-        )
-
-    return bind(plain, pick)
+def _name(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1].lower()
 
 
-def _element_text_sql(content: str) -> str:
-    parts = each_sql(f"split({content}, '<[^>]+>')", lambda t: strip_sql(unescape_sql(t)))
-    return strip_sql(unescape_sql(f"array_join(filter({parts}, t -> t <> ''), ' ')"))
+def _text(element: ElementTree.Element) -> str:
+    return html.unescape(" ".join(t for t in map(str.strip, element.itertext()) if t)).strip()
 
 
-def _elements_sql(content: str, depth: int) -> str:
-    def describe(e: str) -> str:
-        name = f"regexp_replace(lower(regexp_extract({e}, {q(_ELEMENT)}, 1)), '[^a-z0-9]+', '')"
-        inner = _inner_sql(e)
-        own = f"array(named_struct('key', {name}, 'inner', {inner}))"
-        return own if not depth else f"concat({own}, {_elements_sql(inner, depth - 1)})"
+def _fields(record: ElementTree.Element) -> list[dict[str, str]]:
+    described = (e for e in record.iter() if e is not record or _name(e.tag) not in RECORD_TAGS)
+    pairs = ((re.sub("[^a-z0-9]+", "", _name(e.tag)), _text(e)) for e in described)
+    return [{"key": key, "value": value} for key, value in pairs if key and value]
 
-    return f"flatten({each_sql(f'regexp_extract_all({content}, {q(_ELEMENT)}, 0)', describe)})"
 
+@F.pandas_udf(_FEED)
+def xml_feed(bodies: pd.Series) -> pd.DataFrame:
+    """STRUCT<error, records> of each document: its records' fields, or why it cannot be read.
 
-def xml_fields(record: Column | str, depth: int = 2) -> Column:
-    """ARRAY<STRUCT<key, value>> of every described element in document order, blanks left out.
-
-    Keys are lower-case element names without prefix or punctuation.
+    A record is an element of a record name at any depth, records within records too; without any, the root's children
+    if all of them nest. Its fields are all elements below it, at any depth and in document order, with their whole
+    text; blank ones are left out. Keys are lower-case element names without prefix or punctuation.
     """
-
-    def pick(r: str) -> str:
-        texts = each_sql(
-            _elements_sql(r, depth),
-            lambda e: f"named_struct('key', {e}.key, 'value', {_element_text_sql(f'{e}.inner')})",
-        )
-        return keep_sql(texts, lambda e: f"{e}.key <> '' and {e}.value <> ''")
-
-    return bind(record, pick)
+    found: dict[str, list] = {"error": [], "records": []}
+    for body in bodies:
+        error, records = None, []
+        try:
+            root = ElementTree.fromstring((body or "").strip())
+        except ElementTree.ParseError as broken:
+            error = str(broken)
+        else:
+            chosen = [e for e in root.iter() if _name(e.tag) in RECORD_TAGS]
+            children = list(root)
+            if not chosen and children and all(len(c) for c in children):
+                chosen = children
+            records = [_fields(e) for e in chosen]
+        found["error"].append(error)
+        found["records"].append(records)
+    return pd.DataFrame(found)
 
 
 def _values_sql(fields: str, key: str) -> str:

@@ -145,7 +145,7 @@ def flatten_records(
     """Records of JSON and XML captures with alias-resolved text fields, and the rejected captures.
 
     `list_key` names the JSON list; XML documents are recognised by their start. A capture that is
-    neither, or whose JSON has no such list, is rejected.
+    neither or broken, or whose JSON has no such list, is rejected.
     """
     keep = [c for c in captures.columns if c != "body"]
     typed = captures.withColumn("is_xml", X.is_xml("body"))
@@ -157,10 +157,10 @@ def flatten_records(
         .where(V.is_object("v"))
         .select(*keep, "pos", *[V.first_text("v", *names).alias(n) for n, names in aliases.items()])
     )
+    feeds = typed.where("is_xml").withColumn("feed", X.xml_feed("body"))
     xml_rows = (
-        typed.where("is_xml")
-        .select(*keep, F.posexplode(X.xml_records(X.plain_xml("body"))).alias("pos", "record"))
-        .withColumn("f", X.xml_fields("record"))
+        feeds.where("feed.error is null")
+        .select(*keep, F.posexplode("feed.records").alias("pos", "f"))
         .select(
             *keep,
             "pos",
@@ -173,4 +173,5 @@ def flatten_records(
     rejects = listed.where("records is null").select(
         *keep, F.when(F.col("doc").isNull(), F.lit("unreadable")).otherwise(F.lit("no list")).alias("reason")
     )
-    return json_rows.unionByName(xml_rows), rejects
+    broken = feeds.where("feed.error is not null").select(*keep, F.lit("unreadable").alias("reason"))
+    return json_rows.unionByName(xml_rows), rejects.unionByName(broken)

@@ -505,11 +505,11 @@ def c33(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named records, and the same documents with unnamed records under the root."""
     captures, _ = sites.successfactors_xml(spark, sf_dir)
     rows = captures.select(
-        "company", F.col("page_no").cast("bigint").alias("page_no"), X.plain_xml("body").alias("named"),
-        F.regexp_replace(F.regexp_replace(X.plain_xml("body"), "<(/?)jobs>", "<$1data>"), "<(/?)job>", "<$1row>").alias("nested"),
+        "company", F.col("page_no").cast("bigint").alias("page_no"), X.xml_feed("body").alias("named"),
+        X.xml_feed(F.regexp_replace(F.regexp_replace("body", "<(/?)jobs\\b", "<$1data"), "<(/?)job>", "<$1row>")).alias("nested"),
     )
     return rows.select(
-        "company", "page_no", F.size(X.xml_records("named")).cast("bigint").alias("n_named"), F.size(X.xml_records("nested")).cast("bigint").alias("n_nested")
+        "company", "page_no", F.size("named.records").cast("bigint").alias("n_named"), F.size("nested.records").cast("bigint").alias("n_nested")
     )
 
 
@@ -519,9 +519,9 @@ def c33(spark: SparkSession, sf_dir: str) -> DataFrame:
          '<p>Make ' || p_brand || '</p> & sell' as description from site""")
 def c34(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures, _ = sites.successfactors_xml(spark, sf_dir)
-    fields = captures.select(
-        "company", F.col("page_no").cast("bigint").alias("page_no"), F.posexplode(X.xml_records(X.plain_xml("body"))).alias("pos", "record")
-    ).withColumn("f", X.xml_fields("record"))
+    fields = captures.select("company", F.col("page_no").cast("bigint").alias("page_no"), X.xml_feed("body").alias("feed")).select(
+        "company", "page_no", F.posexplode("feed.records").alias("pos", "f")
+    )
     return fields.select(
         "company", "page_no", F.col("pos").cast("bigint").alias("pos"), X.first_field("f", "reference", "referencenumber").alias("reference"),
         X.first_field("f", "url").alias("url"), X.first_field("f", "division").alias("division"), X.first_field("f", "jobtype").alias("kind"),

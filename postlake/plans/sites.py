@@ -506,7 +506,7 @@ def successfactors_xml(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
         F.lit("</date></job>"),
     )
     docs = packed(rows, item, "\n")
-    body = F.concat(F.lit('\n<?xml version="1.0"?><!-- feed --><jobs>'), F.col("items"), F.lit("</jobs>"))
+    body = F.concat(F.lit('\n<?xml version="1.0"?><!-- feed --><jobs xmlns:g="urn:feed">'), F.col("items"), F.lit("</jobs>"))
     return as_captures(docs, "successfactors", "list", page_no=F.col("page_no"), body=body, url=_host()), rules_for(rows, "successfactors")
 
 

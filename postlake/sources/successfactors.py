@@ -59,14 +59,11 @@ def table_rows(html: Column | str) -> Column:
 
 def parse_successfactors_xml(captures: DataFrame, rules: DataFrame) -> DataFrame:
     feeds = captures.where(X.is_xml("body"))
-    pages = common.list_pages(
-        feeds, rules, SOURCE, X.xml_records(X.plain_xml("body")).alias("records")
-    )
-    records = pages.select(
+    pages = common.list_pages(feeds, rules, SOURCE, X.xml_feed("body").alias("feed"))
+    fields = pages.select(
         "run_id", "company", "company_ord", "page_no", "fetched_at",
-        F.posexplode("records").alias("pos", "record"),
+        F.posexplode("feed.records").alias("pos", "f"),
     )
-    fields = records.withColumn("f", X.xml_fields("record")).drop("record")
     url = X.first_field("f", *URL_KEYS)
     staged = fields.withColumns(
         {

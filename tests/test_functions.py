@@ -181,21 +181,38 @@ def test_title_case_words(spark):
     assert apply(spark, ["FULL_TIME", "part time", "CONTRACTOR"], T.title_case_words) == ["Full-Time", "Part Time", "Contractor"]
 
 
-def test_xml_fields(spark):
-    feed = """<?xml version="1.0"?><rss><channel><item><title>A &amp;amp; B</title><ref-number>00123</ref-number>
-    <g:location>X</g:location><g:location>Y</g:location><desc><![CDATA[<p>Hi</p>]]></desc><a><city>C</city><empty/></a></item></channel></rss>"""
-    def pairs(c):
-        rec = F.element_at(X.xml_records(X.plain_xml(c)), 1)
-        return F.array_join(F.transform(X.xml_fields(rec), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+def feed_of(spark, *bodies):
+    return apply(spark, list(bodies), lambda c: X.xml_feed(c))
+
+
+def shown(record):
+    return "|".join(f"{f.key}={f.value}" for f in record)
+
 
-    assert apply(spark, [feed], pairs) == ["title=A & B|refnumber=00123|location=X|location=Y|desc=<p>Hi</p>|a=C|city=C"]
+def test_xml_fields(spark):
+    feed = """<?xml version="1.0"?><rss xmlns:g="urn:x"><channel><item><title>A &amp;amp; B</title><ref-number>00123</ref-number>
+      <g:Job_Type>Full</g:Job_Type><!-- no --><info><division>D</division></info><blank> </blank>
+      <description><![CDATA[<p>x</p> & y]]> tail</description></item></channel></rss>"""
+    (found,) = feed_of(spark, feed)
+    assert found.error is None
+    assert shown(found.records[0]) == "title=A & B|refnumber=00123|jobtype=Full|info=D|division=D|description=<p>x</p> & y tail"
     assert apply(spark, ["<?xml?>", "  <jobs>", "<jobsx>", "<html>"], X.is_xml) == [True, True, False, False]
 
 
-def test_xml_records_fall_back_to_nested_children(spark):
-    nested = "<data><row><id>1</id></row><row><id>2</id></row></data>"
-    flat = "<data><id>1</id><row><id>2</id></row></data>"
-    assert apply(spark, [nested, flat, "<data/>"], lambda c: F.size(X.xml_records(X.plain_xml(c)))) == [2, 0, 0]
+def test_xml_records_at_any_depth(spark):
+    deep = "<jobs><a><b><job><c><d><e><f><g><title>five down</title></g></f></e></d></c></job></b></a></jobs>"
+    inside = "<jobs><job><title>outer</title><related><job><title>inner</title></job></related></job></jobs>"
+    same = "<data><item><item><location>x</location><location>y</location></item></item></data>"
+    got = feed_of(spark, deep, inside, same)
+    assert [shown(r) for r in got[0].records][0].endswith("title=five down")
+    assert [[f.value for f in r if f.key == "title"] for r in got[1].records] == [["outer", "inner"], ["inner"]]
+    assert [[f.value for f in r if f.key == "location"] for r in got[2].records] == [["x", "y"], ["x", "y"]]
+
+
+def test_xml_fallback_and_broken_documents(spark):
+    got = feed_of(spark, "<data><row><id>1</id></row><row><id>2</id></row></data>", "<data><row><id>1</id></row><flat/></data>", "<data/>", "<jobs><job><title>cut", "", None, "<jobs><g:x/></jobs>")
+    assert [len(g.records) for g in got] == [2, 0, 0, 0, 0, 0, 0]
+    assert [g.error is None for g in got] == [True, True, True, False, False, False, False]
 
 
 def test_articles_of_links_against_brute_force(spark):

@@ -198,3 +198,11 @@ def test_details_of_two_boards(spark):
         for c in (capture("icims", anchor, company="A", board=board, page_no=0), capture("icims", page(town), company="A", board=board, kind="detail", detail_key=key))
     ])
     assert sorted((r.company_ord, r.location) for r in run(rows, both, FILTERS).postings.collect()) == [(0, "Oslo"), (1, "Bern")]
+
+
+def test_broken_feed_is_a_failure(spark):
+    sites = rules(spark, rule("successfactors", company="S", ord_=0))
+    whole = "<jobs><job><title>Engineer</title><id>1</id><location>Oslo</location></job></jobs>"
+    rows = captures(spark, capture("successfactors", whole, company="S"), capture("successfactors", whole[:40], company="S", page_no=1, url="https://s/1"))
+    (row,) = run(rows, sites, FILTERS).results.collect()
+    assert (row.jobs_fetched, row.new_jobs_inserted, list(row.failures)) == (1, 1, ["S: ParseError: 1 unreadable, first https://s/1"])
