@@ -10,9 +10,9 @@ the other: texts that differ become slots, what only one side has becomes option
 Texts are aligned only with texts in the same containers and blocks. Every place of the expression is inside the
 article or not: a vote of the sample's pages, whose evidence are the elements and names of menus, headers, footers,
 sidebars, notices, adverts, forms and comments, and the article's mark or, for pages without one, the container that
-holds most of the varying text, each page counting the same. A page's text is what its alignment puts into slots
-and groups of the article. Texts that are constant on the sample are the template's own, unless they are most of
-its articles, as in near copies. Parts of a page that match nothing are kept on the page's own evidence; one that
+holds most of the varying text, each page counting the same. A page's text is what its alignment puts into the
+article's places, headings that all pages share included; a template's own constants are those outside the article.
+Parts of a page that match nothing are kept on the page's own evidence; one that
 has nothing in the container falls back to its own largest one.
 
 Null and empty pages have an empty text, pages without a host share the host ''. Repeated rows each give a
@@ -25,6 +25,7 @@ import difflib
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,6 +43,9 @@ SAMPLE = 12
 LEAST = 3
 #: Nested layout elements that tell templates apart.
 LAYOUT_DEPTH = 4
+#: Pairs of places of a gap that is aligned by its longest common blocks, and rounds of anchors.
+SMALL_GAP = 4_096
+DEPTH = 12
 #: Tags of a repeated group at most.
 PERIOD = 24
 #: Bytes of wrappers that are sent to every executor at most; more are joined in a shuffle.
@@ -169,16 +173,83 @@ def _aligned(items: list[Item], known: frozenset[str]) -> list[str]:
 
 
 def evidence(texts: list[Text], own: list[bool], known: frozenset[str], main: tuple[str, ...]) -> list[bool]:
-    """Which texts of a page are its article by elements and names, or by the container; `own` are constants."""
+    """Which texts of a page are its article by elements and names, or by the container.
+
+    Constants (`own`) find no container, but what stands in it is of the article, constant or not.
+    """
     if any(t.in_main and not t.around for t in texts):
         return [t.in_main and not t.around for t in texts]
-    free = [not t.around and not o for t, o in zip(texts, own, strict=True)]
-    inside = [f and bool(main) and _general(t.path, known)[: len(main)] == main for f, t in zip(free, texts, strict=True)]
-    if any(inside) or not any(free):
+    inside = [not t.around and bool(main) and _general(t.path, known)[: len(main)] == main for t in texts]
+    varying = [t for t, o in zip(texts, own, strict=True) if not t.around and not o]
+    if any(inside) or not varying:
         return inside
-    varying = [t for f, t in zip(free, texts, strict=True) if f]
     widest = container([varying], frozenset(x for t in varying for x in t.path))
-    return [f and t.path[: len(widest)] == widest for f, t in zip(free, texts, strict=True)]
+    return [not t.around and t.path[: len(widest)] == widest for t in texts]
+
+
+def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest part of pairs, ascending in the first place, that ascends in the second one too."""
+    tails: list[int] = []
+    ends: list[int] = []
+    before: list[int] = []
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(tails, j)
+        before.append(ends[k - 1] if k else -1)
+        tails[k : k + 1] = [j]
+        ends[k : k + 1] = [n]
+    out = []
+    n = ends[-1] if ends else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
+def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places (i, j) with a[i] = b[j], ascending in both.
+
+    Common ends are matched first, then symbols that stand once on either side, in order, and the gaps between them
+    likewise. Small gaps are matched by their longest common blocks; in a large gap without such symbols, or after DEPTH
+    rounds, the n-th occurrence of a symbol is matched with the n-th one. Every round looks at each place once.
+    """
+    found: list[tuple[int, int]] = []
+    open_gaps = [(0, len(a), 0, len(b), 0)]
+    while open_gaps:
+        i, ia, j, jb, depth = open_gaps.pop()
+        while i < ia and j < jb and a[i] == b[j]:
+            found.append((i, j))
+            i, j = i + 1, j + 1
+        while i < ia and j < jb and a[ia - 1] == b[jb - 1]:
+            ia, jb = ia - 1, jb - 1
+            found.append((ia, jb))
+        if i == ia or j == jb:
+            continue
+        if (ia - i) * (jb - j) <= SMALL_GAP:
+            match = difflib.SequenceMatcher(None, a[i:ia], b[j:jb], autojunk=False)
+            found += [(i + x + k, j + y + k) for x, y, n in match.get_matching_blocks() for k in range(n)]
+            continue
+        often_a, often_b = Counter(a[i:ia]), Counter(b[j:jb])
+        place = {b[y]: y for y in range(j, jb) if often_b[b[y]] == 1}
+        anchors = _increasing([(x, place[a[x]]) for x in range(i, ia) if often_a[a[x]] == 1 and a[x] in place])
+        if not anchors or depth == DEPTH:
+            numbers: Counter = Counter()
+            places: dict[tuple[str, int], int] = {}
+            for y in range(j, jb):
+                places[b[y], numbers[b[y]]] = y
+                numbers[b[y]] += 1
+            numbers.clear()
+            pairs = []
+            for x in range(i, ia):
+                y = places.get((a[x], numbers[a[x]]))
+                numbers[a[x]] += 1
+                if y is not None:
+                    pairs.append((x, y))
+            found += _increasing(pairs)
+            continue
+        found += anchors
+        for (x, y), (xb, yb) in zip([(i - 1, j - 1), *anchors], [*anchors, (ia, jb)], strict=True):
+            open_gaps.append((x + 1, xb, y + 1, yb, depth + 1))
+    return sorted(found)
 
 
 def infer(pages: list[str | None]) -> dict:
@@ -213,15 +284,15 @@ def infer(pages: list[str | None]) -> dict:
         if not wrapper:
             wrapper = [[w[0], number > 0, *w[2:]] for w in parts]
             continue
-        match = difflib.SequenceMatcher(None, [w[3] for w in wrapper], [w[3] for w in parts], autojunk=False)
         merged: list[list] = []
-        for op, a, b, c, d in match.get_opcodes():
-            if op == "equal":
-                for w, x in zip(wrapper[a:b], parts[c:d], strict=True):
-                    merged.append([w[0], w[1], w[2] if w[2] == x[2] else None, w[3], w[4] + x[4]])
-            else:
-                merged += [[w[0], True, *w[2:]] for w in wrapper[a:b]]
-                merged += parts[c:d]
+        a = c = 0
+        for b, d in [*align([w[3] for w in wrapper], [w[3] for w in parts]), (len(wrapper), len(parts))]:
+            merged += [[w[0], True, *w[2:]] for w in wrapper[a:b]]
+            merged += parts[c:d]
+            if b < len(wrapper):
+                w, x = wrapper[b], parts[d]
+                merged.append([w[0], w[1], w[2] if w[2] == x[2] else None, w[3], w[4] + x[4]])
+            a, c = b + 1, d + 1
         wrapper = merged
     constants = {w[2] for w in wrapper if w[2] is not None and not w[1]} if len(pages) > 2 else set()
     unmarked = [[t for t in texts if not t.around and t.text not in constants] for texts in said if not any(t.in_main and not t.around for t in texts)]
@@ -237,17 +308,6 @@ def infer(pages: list[str | None]) -> dict:
             votes.setdefault(_place(t, known), []).append(id(t) in inside)
         places = [[p, 2 * sum(v) >= len(v)] for p, v in sorted(votes.items())]
         expression.append([symbol, optional, text if text in constants else None, by, places])
-    # Copies of one article have no constants of a template inside it.
-    share = [[0, 0] for _ in pages]
-    for w, (_, _, fixed, _, _) in zip(wrapper, expression, strict=True):
-        for number, t in w[4]:
-            if id(t) in inside:
-                share[number][0] += len(t.text) if fixed is not None else 0
-                share[number][1] += len(t.text)
-    if sum(2 * c >= n for c, n in share if n) * 2 >= sum(n > 0 for _, n in share):
-        for x in expression:
-            if any(yes for _, yes in x[4]):
-                x[2] = None
     return {
         "expression": expression,
         "groups": sorted(_key(g) for g in held),
@@ -277,18 +337,15 @@ class Wrapper:
         items = folded(source, self.groups)
         if not items:
             return []
-        part: dict[int, int] = {}
-        match = difflib.SequenceMatcher(None, self.by, _aligned(items, self.known), autojunk=False)
-        for a, c, n in match.get_matching_blocks():
-            part.update((c + k, a + k) for k in range(n))
+        part = {c: a for a, c in align(self.by, _aligned(items, self.known))}
         found = [(part.get(k), t) for k, x in enumerate(items) for t in x.texts]
         own = [a is not None and self.fixed[a] == t.text for a, t in found]
         shown = evidence([t for _, t in found], own, self.known, self.main)
         out = []
-        for (a, t), fixed, yes in zip(found, own, shown, strict=True):
+        for (a, t), yes in zip(found, shown, strict=True):
             if a is not None:
                 yes = self.places[a].get(_place(t, self.known), yes)
-            if yes and not fixed:
+            if yes:
                 out.append(t.text)
         return out
 

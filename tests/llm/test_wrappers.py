@@ -96,7 +96,7 @@ def test_alignment_decides_on_marked_pages():
 
     held = wrappers.Wrapper(wrappers.infer([marked(n) for n in range(12)]))
     for n, attribute in ((3, ""), (20, ""), (31, ' hidden=""')):
-        assert held.texts(marked(n, attribute)) == [f"Title {n}", *(f"part {k} of story {n}" for k in range(1 + n % 3))]
+        assert held.texts(marked(n, attribute)) == [f"Title {n}", "Follow our channel", *(f"part {k} of story {n}" for k in range(1 + n % 3))]
     extra = marked(40).replace("<h4>", "<h5>A line of its own</h5><h4>")
     assert held.texts(extra)[:2] == ["Title 40", "A line of its own"]
 
@@ -105,3 +105,59 @@ def test_copies_keep_their_text():
     near = [f"<body><article><h1>One title</h1><h4>By line</h4><div>{'the same long text ' * 30}</div><h5>{n}</h5></article></body>" for n in range(12)]
     held = wrappers.Wrapper(wrappers.infer(near))
     assert held.texts(near[4]) == ["One title", "By line", ("the same long text " * 30).strip(), "4"]
+
+
+def headed(n, words):
+    parts = "".join(f"<h2>{h}</h2><p>{f'{h.lower()} {n} ' * words}</p>" for h in ("Abstract", "Methods", "Results"))
+    return f"<body><div><p>Daily</p></div><article><h1>T</h1>{parts}</article></body>"
+
+
+def test_constant_headings_stay():
+    """Whether the other texts are short or long, and whatever the other pages hold."""
+    for words in (1, 3, 60):
+        for pages in (5, 12):
+            sources = [headed(n, words) for n in range(pages)]
+            for source in (sources, [s.replace("article>", "section>") for s in sources]):
+                held = wrappers.Wrapper(wrappers.infer(source))
+                for n in (0, 4):
+                    want = ["T"] + [x for h in ("Abstract", "Methods", "Results") for x in (h, " ".join([h.lower(), str(n)] * words))]
+                    assert held.texts(source[n]) == want
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_alignment_against_brute_force(monkeypatch):
+    import random
+
+    draw = random.Random(3)
+    for small, depth in ((4096, 12), (9, 12), (0, 1)):
+        monkeypatch.setattr(wrappers, "SMALL_GAP", small)
+        monkeypatch.setattr(wrappers, "DEPTH", depth)
+        for _ in range(80):
+            a = [draw.choice(("p", "li", "h2", *(f"x{i}" for i in range(60)))) for _ in range(draw.randrange(0, 60))]
+            b = [draw.choice(a) if a and draw.random() < 0.1 else x for x in a if draw.random() < 0.9]
+            got = wrappers.align(a, b)
+            assert all(a[i] == b[j] for i, j in got)
+            assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+            assert len(got) >= 0.85 * longest_common(a, b)
+    assert wrappers.align([], ["a"]) == [] and wrappers.align(["a"] * 3, ["a"] * 2) == [(0, 0), (1, 1)]
+
+
+def test_a_very_long_page():
+    import time
+
+    def long(n, blocks):
+        body = "".join(f"<p>text {n} {k}</p><h3>Part</h3><ul><li>{k}</li></ul>" if k % 3 else f"<div class=c{k % 7}><h4>{n}</h4></div>" for k in range(blocks))
+        return f"<body><nav>x</nav><article>{body}</article></body>"
+
+    held = wrappers.Wrapper(wrappers.infer([long(n, 40 + n) for n in range(5)]))
+    start = time.time()
+    assert len(held.texts(long(7, 50_000))) == sum(3 if k % 3 else 1 for k in range(50_000))
+    assert time.time() - start < 20
