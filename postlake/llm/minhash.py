@@ -202,26 +202,47 @@ def overlaps(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _blocks(many: DataFrame) -> DataFrame:
+    """Members with the block of their bucket that they are in: large groups have blocks of their own."""
+    groups = many.groupBy("key", "g").agg(F.count("*").alias("held"))
+    large = F.col("held") > BLOCK // 2
+    few = groups.groupBy("key").agg(F.sum(F.when(~large, F.col("held")).otherwise(0)).alias("others"))
+    sized = groups.withColumn("large", large).join(few, "key")
+    parts = F.greatest(F.lit(1), F.ceil(F.when(F.col("large"), F.col("held")).otherwise(F.col("others")) / BLOCK)).cast("int")
+    sized = sized.select("key", "g", F.when(F.col("large"), F.col("g")).alias("of"), parts.alias("parts"))
+    no = F.pmod(F.xxhash64("id", F.lit(17)), F.col("parts")).cast("int")
+    return many.join(sized, ["key", "g"]).withColumn("block", F.struct("of", no.alias("no"))).drop("of", "parts")
+
+
 def _many(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different groups of large buckets, as stars around the least id that they connect.
 
-    Members are dealt to blocks and every pair of blocks of a bucket is compared on the full sets in one
-    task. Nothing is emitted for a pair; a task returns at most one link per member.
+    Members are dealt to blocks, and two blocks are compared on the full sets in one task unless both hold one group
+    only, the same. So a group is never compared with itself, and a bucket of one large group and some others costs as
+    many tasks as the group has blocks. Nothing is emitted for a pair; a task returns at most one link per member.
     """
-    many = rest.filter(F.col("size") > SMALL_BUCKET).join(sets, "id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(17)), blocks).cast("int")
-    dealt = many.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "g", "s")
+    dealt = _blocks(rest.filter(F.col("size") > SMALL_BUCKET).select("key", "id", "g"))
+    dealt = materialize(dealt, "blocks")
+    blocks = dealt.select("key", "block").distinct()
+    other = blocks.withColumnRenamed("block", "other")
+    same = F.col("block.of").isNotNull() & F.col("block.of").eqNullSafe(F.col("other.of"))
+    low = F.struct(F.coalesce("block.of", F.lit(-1)), F.col("block.of").isNull(), "block.no")
+    high = F.struct(F.coalesce("other.of", F.lit(-1)), F.col("other.of").isNull(), "other.no")
+    pairs = blocks.join(other, "key").filter((low <= high) & ~same)
+    pairs = materialize(pairs.withColumn("pair", F.xxhash64("key", "block", "other")), "block_pairs")
+    first = dealt.join(pairs.select("key", "block", "pair"), ["key", "block"]).withColumn("side", F.lit(0))
+    apart = pairs.filter(~F.col("block").eqNullSafe(F.col("other")))
+    second = dealt.join(apart.select("key", F.col("other").alias("block"), "pair"), ["key", "block"]).withColumn("side", F.lit(1))
+    met = first.unionByName(second).select("key", "pair", "side", "id", "g").join(sets, "id")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, g, own = (group[c].to_numpy() for c in ("id", "g", "own"))
+        ids, g, side = (group[c].to_numpy() for c in ("id", "g", "side"))
         n = np.fromiter(map(len, group["s"]), np.int64, len(group))
         both = overlaps(np.concatenate(group["s"].to_list()), n)
         close = 100 * both >= percent * (n[:, None] + n[None, :] - both)
         close &= g[:, None] != g[None, :]
-        if group["lo"].iat[0] != group["hi"].iat[0]:
-            close &= own[:, None] != own[None, :]
+        if side.any():
+            close &= side[:, None] != side[None, :]
         x, y = np.nonzero(np.triu(close, 1))
         order = np.argsort(ids, kind="stable")
         place = np.empty(len(ids), np.int64)
@@ -230,7 +251,7 @@ def _many(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         leaf = least != ids[order]
         return pd.DataFrame({"a": ids[order][leaf], "b": least[leaf]})
 
-    return dealt.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    return met.groupBy("key", "pair").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

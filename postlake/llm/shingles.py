@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-from postlake.llm.common import LOWER, group_of, mix, prefix_hash, span_hash, spread, words
+from postlake.llm.common import LOWER, dictionary, group_of, mix, spread, words
 
 _FOLD = np.uint64(0x9FB21C651E98DF25)
 _NONE = np.uint64(0xD6E8FEB86659FD93)
@@ -18,7 +19,8 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.nda
     """
     data = LOWER[data]
     starts, stops, counts = words(data, ends)
-    hashes = span_hash(prefix_hash(data), starts, stops)
+    codes, found = dictionary(data, starts, stops)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found.to_pylist()), np.uint64, len(found))[codes]
     windows = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
     first = np.cumsum(counts) - counts
     at = spread(first, windows)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from postlake.llm import minhash, shingles
 from postlake.llm.common import flat
@@ -137,3 +138,28 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100, 199: 199, 200: 199}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def thue_morse(letters, length):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(length))
+
+
+def test_words_that_a_polynomial_would_confuse(spark):
+    rows = [(1, thue_morse("ab", 2048)), (2, thue_morse("ba", 2048)), (3, thue_morse("AB", 2048))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_a_large_group_is_not_compared_with_itself(spark, monkeypatch):
+    """One group of a bucket in many blocks, and some outsiders: as many tasks as the group has blocks."""
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 50)
+    rest = spark.range(1000).selectExpr("7L as key", "1003L as size", "id", "50L as n", "0L as g")
+    rest = rest.unionByName(spark.range(1000, 1003).selectExpr("7L as key", "1003L as size", "id", "50L as n", "id as g"))
+    shape = F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.when(i < 48, i).otherwise(i + 100 * F.col("id")).cast("long"))
+    sets = rest.select("id", F.when(F.col("id") < 1002, shape).otherwise(F.transform(shape, lambda x: x + 10_000)).alias("s"))
+    found = minhash._many(rest, sets, 80).collect()
+    linked = {x for r in found for x in (r.a, r.b)}
+    assert {1000, 1001} <= linked and 1002 not in linked
+    dealt = minhash._blocks(rest.select("key", "id", "g"))
+    assert dealt.select("block").distinct().count() <= 21
