@@ -8,7 +8,8 @@ A conversation is rendered as segments: for each message `<|role|>` and a line f
 a line feed. Control strings inside roles and texts are escaped with a backslash after their first
 character, backslashes are doubled; `unescape` undoes both. Segments of assistant texts carry the loss mask.
 
-Null texts and roles count as empty. Repeated events each count. No rows: none. A conversation's messages
+Null texts and roles count as empty. Repeated events each count; stored rows of one turn follow each other by role,
+then text, and those without a turn come first. No rows: none. A conversation's messages
 end up in one row, because its rendering is one text.
 """
 
@@ -91,17 +92,15 @@ def read_back(text: Column) -> Column:
 def events_of(conversations: DataFrame) -> DataFrame:
     """Stored messages as the log of a stream: pieces of PIECE characters, in order.
 
-    Equal rows of one turn are counted first, so that each copy stays a message of its own.
+    Rows of one turn are messages of their own, numbered by role and text. The rows are dealt by conversation once;
+    folding and rendering need no other exchange.
     """
     rows = conversations.select(
         F.col("conv_id"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    counted = rows.groupBy("conv_id", "turn", "role", "text").count()
+    ).repartition("conv_id")
     pieces = F.greatest(F.ceil(F.char_length("text") / PIECE), F.lit(1)).cast("int")
-    copies = F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("n")
     return (
-        counted.select("conv_id", "turn", "role", "text", copies)
-        .withColumn("copy", F.struct("role", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("d"), "n"))
+        rows.withColumn("copy", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
         .select("*", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("seq"))
         .select(
             "conv_id", "turn", "copy", "seq", F.lit("delta").alias("op"), "role",

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -35,10 +36,18 @@ def test_round_trip_of_hostile_texts(spark):
         mine = sorted((t if t is not None else -1, r or "", x or "") for k, t, r, x, _ in rows if k == c)
         loss = "".join(x for _, r, x in mine if r == "assistant")
         assert got[c].n_turns == len(mine)
-        if c != 3:
-            assert got[c].turns_sha256 == sha("".join(f"{r}\n{x}\n" for _, r, x in mine))
-            assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), sha(loss))
-    assert got[3].loss_chars == sum(len(x or "") for k, _, r, x, _ in rows if k == 3 and r == "assistant")
+        assert got[c].turns_sha256 == sha("".join(f"{r}\n{x}\n" for _, r, x in mine))
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), sha(loss))
+
+
+def test_ties_of_a_turn_follow_by_role_and_text(spark):
+    draw = random.Random(2)
+    rows = [(c, 0, draw.choice("ab"), draw.choice(["", "x", "é" * 300, "z" * 700, "y"])) for c in range(20) for _ in range(6)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rendered = chat.render(chat.fold(chat.events_of(table)))
+    for r in chat.digest(rendered).collect():
+        assert r.turns_sha256 == sha("".join(f"{a}\n{b}\n" for _, _, a, b in sorted(x for x in rows if x[0] == r.conv_id)))
+    assert rendered._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
 def test_no_rows(spark):
