@@ -43,6 +43,8 @@ BLOCK = 16
 #: Bytes indexed at once, and window starts worked on at once.
 INDEX_BYTES = 600_000
 PIECE = 1_500_000
+#: Bytes of text whose contexts are cut out at once.
+CONTEXT_BYTES = 2_000_000
 
 _ID = "row_id long, row_hash long"
 _KEYS = ["row_id", "row_hash"]
@@ -256,8 +258,8 @@ def _with_context(parts: DataFrame, rows: DataFrame, length: int, blocks: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in range(0, whole.num_rows, 200):
-                batch = whole.slice(b, 200)
+            for a, b in slices(flat(whole.column("text"))[1], CONTEXT_BYTES):
+                batch = whole.slice(a, b - a)
                 data, ends = flat(batch.column("text"))
                 lists = batch.column("parts")
                 sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
@@ -386,8 +388,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
-            for b in range(0, whole_batch.num_rows, 200):
-                batch = whole_batch.slice(b, 200)
+            for a, b in slices(flat(whole_batch.column(text))[1], CONTEXT_BYTES):
+                batch = whole_batch.slice(a, b - a)
                 data, ends = flat(batch.column(text))
                 lists = batch.column("_spans_")
                 sizes = lists.fill_null([]).value_lengths().to_numpy(zero_copy_only=False)
