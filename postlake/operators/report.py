@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.operators.dedup import RUN_ORDER
@@ -20,7 +20,7 @@ def company_counts(decided: DataFrame, seen: DataFrame | None) -> DataFrame:
 
     Rows are first counted per company and key, which shrinks hot keys before any exchange; the first
     row in run order owns a key, as it is the one that is stored. Unmatched rows of a company share
-    one stand-in key.
+    one stand-in key. One exchange on the key serves the owners and the seen keys.
     """
     matched = F.col("match_status") == MATCHED
     stand_in = F.concat(F.lit("\x00"), F.col("company"))
@@ -32,12 +32,11 @@ def company_counts(decided: DataFrame, seen: DataFrame | None) -> DataFrame:
         .groupBy("company", "company_ord", "dedup_key", "hit")
         .agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
     )
-    owners = grouped.where("hit").groupBy("dedup_key").agg(F.min("place").alias("first"))
+    first = F.min(F.when(F.col("hit"), F.col("place"))).over(Window.partitionBy("dedup_key"))
+    ranked = grouped.withColumn("owns", F.col("hit") & (F.col("place") == first))
     if seen is not None:
-        owners = owners.join(seen.select("dedup_key"), "dedup_key", "left_anti")
-    ranked = grouped.join(owners, "dedup_key", "left").withColumn(
-        "owns", F.col("hit") & F.coalesce(F.col("place") == F.col("first"), F.lit(False))
-    )
+        known = seen.select("dedup_key").distinct().withColumn("known", F.lit(True))
+        ranked = ranked.join(known, "dedup_key", "left").withColumn("owns", F.col("owns") & F.col("known").isNull())
     hit_rows = F.when(F.col("hit"), F.col("n")).otherwise(0)
     fresh = F.col("owns").cast("bigint")
     return ranked.groupBy("company", "company_ord").agg(
