@@ -212,40 +212,32 @@ AVATURE_SQL = f"""
                     else '/Role-' || p_size || '/' || n end as key from site),
   d as (select t.*, k.n as dn, k.n % 4 as m, k.p_name as d_name, k.p_brand as d_brand, k.p_size as d_size, k.p_type as d_type
         from t left join k on k.key = t.u and k.c = t.c),
-  around as (select d.*, lag(n) over page as prev_n, lead(n) over page as next_n from d window page as (partition by c, page_no order by pos))
+  own as (select *, n % 5 <> 0 as own from site),
+  near as (select *, max(case when own then pos end) over (partition by c, page_no order by pos rows between unbounded preceding and 1 preceding) as before,
+                  min(case when own then pos end) over (partition by c, page_no order by pos rows between 1 following and unbounded following) as after from own),
+  around as (select a.c, a.page_no, a.pos, case when a.own then a.p_size when a.before is not null and a.after is not null then b.p_size end as a_size,
+                    case when a.own then a.p_type when a.before is not null and a.after is not null then b.p_type end as a_type,
+                    case when a.own then a.p_brand when a.before is not null and a.after is not null then b.p_brand end as a_brand
+             from near a left join site b on b.c = a.c and b.page_no = a.page_no and b.pos = a.before)
   select company, page_no, pos,
          case when m = 0 then 'REQ-' || dn else cast(id as varchar) end as stable_job_id,
          case when m = 0 then 'REQ-' || dn else cast(id as varchar) end as source_job_id,
          case m when 0 then {INITCAP.format('d_name')} when 1 then d_name else p_name end as title,
-         case m when 0 then 'Ulm; Bonn' when 1 then 'Site ' || d_size when 2 then 'Area ' || d_size when 3 then 'Rome, ' || d_type || '; Turin' end as detail_location,
+         case m when 0 then 'Ulm; Bonn' when 1 then 'Site ' || d_size when 2 then 'Area ' || d_size when 3 then 'Rome, ' || d_type || '; Turin'
+              else 'Town ' || a_size end as location,
          case m when 0 then 'FULL_TIME, INTERN' when 1 then 'Full-time' when 3 then 'Regular' end as employment_type,
-         case m when 1 then 'Research' when 2 then d_type when 3 then d_brand end as detail_department,
+         case m when 1 then 'Research' when 2 then d_type when 3 then d_brand else a_type end as department,
          case m when 0 then 'Build ' || d_brand when 1 then 'About ' || d_brand || ' & more'
               when 2 then 'Location Area ' || d_size || ' Business Area ' || d_type
-              when 3 then 'Same job available in 2 locations Rome, ' || d_type || ' Turin Employment Type: Regular | Department: ' || d_brand || ' • end' end as detail_description,
-         u as posting_url, 'avature' as source
-  from around"""
+              when 3 then 'Same job available in 2 locations Rome, ' || d_type || ' Turin Employment Type: Regular | Department: ' || d_brand || ' • end'
+              else 'Snippet ' || a_brand end as description,
+         u as posting_url, u as application_url, 'avature' as source, cast(null as varchar) as date_posted
+  from d join around using (c, page_no, pos)"""
 
 
 @query("S09_avature", AVATURE_SQL)
 def s09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summary fallbacks are shown by C17; here the detail fields count where a detail was found."""
-    captures, rules = sites.avature(spark, sf_dir)
-    rows = parse_avature(captures, rules)
-    keys = captures.where("kind = 'detail'").select(
-        "company", F.col("detail_key").alias("posting_url"), F.lit(True).alias("found"),
-        F.col("body").contains("ld+json").alias("is_ld"),
-    )
-    both = shown(rows).join(keys, ["company", "posting_url"], "left")
-    found = F.col("found")
-    return both.select(
-        "company", "page_no", "pos", "stable_job_id", "source_job_id", "title",
-        F.when(found, F.col("location")).alias("detail_location"),
-        "employment_type",
-        F.when(found & ~F.col("is_ld"), F.col("department")).alias("detail_department"),
-        F.when(found, F.col("description")).alias("detail_description"),
-        "posting_url", "source",
-    )
+    return shown(parse_avature(*sites.avature(spark, sf_dir)))
 
 
 SF_XML_SQL = f"""
