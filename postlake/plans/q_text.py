@@ -73,6 +73,24 @@ def j03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("page_id", "page_title", "h1", "meta_description", "plain", "posting_title", "description")
 
 
+@query("J03_posting_pages", f"""{PART_ROWS}, p as (select *, n % 4 as m,
+    array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') as capital from site)
+  select n, cast(null as varchar) as page_title, case when m = 1 then p_name end as h1, case when m = 1 then 'About ' || p_brand || ' & more' end as meta_description,
+         case when m = 0 then '<i>' || capital || '</i>' end as posting_title, case when m = 0 then 'REQ-' || n end as posting_id,
+         case when m = 0 then 'Ulm; Bonn' end as posting_location,
+         case m when 1 then 'Site ' || p_size when 2 then 'Area ' || p_size end as field_location,
+         case m when 1 then 'Research' when 3 then p_brand end as field_department,
+         case m when 0 then '' when 1 then p_name || ' Location Site ' || p_size || ' Work Type Full-time Team Research'
+              when 2 then 'Location Area ' || p_size || ' Business Area ' || p_type
+              else 'Same job available in 2 locations Rome, ' || p_type || ' Turin Employment Type: Regular | Department: ' || p_brand || ' • end' end as plain,
+         case m when 0 then 'Build ' || p_brand when 1 then 'About ' || p_brand || ' & more' when 2 then 'Location Area ' || p_size || ' Business Area ' || p_type
+              else 'Same job available in 2 locations Rome, ' || p_type || ' Turin Employment Type: Regular | Department: ' || p_brand || ' • end' end as description
+  from p""")
+def j03_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns, on pages with JSON-LD, meta elements, definition lists, labelled divisions and plain labels."""
+    return tables.page_fields(_details(spark, sf_dir, sites.avature_detail()), "body")
+
+
 _BASE = "regexp_extract(url, '^([^:]+://[^/?#]*)', 1)"
 
 
