@@ -1,12 +1,13 @@
 """Document fingerprints as Merkle trees over sections and paragraphs, in DataFrame functions only.
 
-A text is cut at line feeds into paragraphs, and at blank lines into sections. A paragraph's digest is the
-SHA-256 of its bytes, a section's that of its paragraphs' digests joined, the root's that of its sections'
-digests joined. Equal texts have equal roots, and texts that differ have different ones: which sections and
-paragraphs there are is fixed by the joined digests (fixed width, and a separator that no digest holds).
-
-Sentences (cut after `.`, `!` or `?` and a space) are the leaves below a paragraph. They do not enter the
-root; their digests measure how much two texts share when a paragraph was edited only in part.
+A text is cut at line feeds into paragraphs, at blank lines into sections, and a paragraph after `.`, `!` or `?` and a
+space into sentences, the leaves. A leaf's digest is the SHA-256 of its bytes, that of a paragraph, section or text the
+SHA-256 of its children's digests joined. Equal texts have equal roots, and texts that differ have different ones: the
+joined digests have a fixed width and a separator that no digest holds, so they fix the shape of the tree.
+
+Two trees are compared from the root down. Sections that both have are shared whole; only the paragraphs of the others
+are compared, and only the sentences of paragraphs that differ. The share of leaves found this way measures likeness;
+the places where the trees differ are the edits.
 """
 
 from __future__ import annotations
@@ -21,55 +22,70 @@ RANGE_ROWS = 4_000
 MAX_RANGES = 10_000
 
 
-def paragraphs(text: Column) -> Column:
-    """Digests of the paragraphs, an array for each section; a null text counts as empty."""
-    sections = F.split(F.coalesce(text, F.lit("")), "\n\n")
-    return F.transform(sections, lambda s: F.transform(F.split(s, "\n"), lambda p: F.sha2(p, 256)))
-
-
-def with_tree(df: DataFrame, text: str, out: str) -> DataFrame:
-    """`df` with the tree of `text` as struct `out`: root, sections, paragraphs and leaves."""
-    raw, sections = own_column(df, "_raw"), own_column(df, "_sections")
-    return (
-        df.withColumn(raw, paragraphs(F.col(text)))
-        .withColumn(sections, F.transform(F.col(raw), lambda s: F.sha2(F.array_join(s, "."), 256)))
-        .withColumn(
-            out,
-            F.struct(
-                F.sha2(F.array_join(F.col(sections), "."), 256).alias("root"),
-                F.col(sections).alias("sections"),
-                F.col(raw).alias("paragraphs"),
-                leaves(F.col(text)).alias("leaves"),
-            ),
-        )
-        .drop(raw, sections)
-    )
+_LEAF = 65  # characters of a digest and the sign after it
+
+
+def tree(text: Column) -> Column:
+    """Struct of the root and the sections; a null text counts as empty.
+
+    A section is the digests of its sentences, joined by `.` within paragraphs and `|` between them: as long as these
+    are equal, so are the digests of the paragraphs and of the section.
+    """
+
+    def sentences(p: Column) -> Column:
+        return F.array_join(F.transform(F.split(p, "(?<=[.!?]) "), lambda x: F.sha2(x, 256)), ".")
+
+    def section(s: Column) -> Column:
+        return F.array_join(F.transform(F.split(s, "\n"), sentences), "|")
+
+    def digest(s: Column) -> Column:
+        return F.sha2(F.array_join(F.transform(F.split(s, r"\|"), lambda p: F.sha2(p, 256)), "."), 256)
 
+    sections = F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), section)
+    made = F.transform(F.array(sections), lambda t: F.struct(F.sha2(F.array_join(F.transform(t, digest), "."), 256).alias("root"), t.alias("sections")))
+    return made[0]
 
-def leaves(text: Column) -> Column:
-    """Distinct 64-bit digests of the sentences; an empty text has one empty sentence."""
-    cut = F.split(F.coalesce(text, F.lit("")), "(?<=[.!?]) |\n")
-    return F.array_distinct(F.transform(cut, lambda s: F.xxhash64(s)))
 
+def _leaves(branches: Column) -> Column:
+    """How many leaves some branches have."""
+    return F.aggregate(branches, F.lit(0), lambda n, b: n + ((F.char_length(b) + 1) / _LEAF).cast("int"))
 
-def likeness(left: Column, right: Column) -> Column:
-    """Share of the leaves of both trees that both have, from 0 to 1."""
-    both = F.size(F.array_intersect(left["leaves"], right["leaves"]))
-    return both / (F.size(left["leaves"]) + F.size(right["leaves"]) - both)
+
+def _below(branches: Column, sign: str) -> Column:
+    return F.array_distinct(F.flatten(F.transform(branches, lambda b: F.split(b, sign))))
+
+
+def likeness(df: DataFrame, left: str, right: str, out: str) -> DataFrame:
+    """`df` with the share of the leaves of two trees that both have, from 0 to 1.
+
+    Shared sections and paragraphs count with all their leaves; below the others leaves are compared as sets.
+    """
+    names = [own_column(df, f"_{x}") for x in ("pa", "pb", "la", "lb", "same")]
+    pa, pb, la, lb, same = names
+    a, b = F.col(f"{left}.sections"), F.col(f"{right}.sections")
+    staged = df.withColumns({pa: _below(F.array_except(a, b), r"\|"), pb: _below(F.array_except(b, a), r"\|"), same: _leaves(F.array_intersect(a, b))})
+    staged = staged.withColumns(
+        {
+            la: _below(F.array_except(pa, pb), r"\."),
+            lb: _below(F.array_except(pb, pa), r"\."),
+            same: F.col(same) + _leaves(F.array_intersect(pa, pb)),
+        }
+    )
+    both = F.size(F.array_intersect(la, lb))
+    share = (F.col(same) + both) / (F.col(same) + F.size(la) + F.size(lb) - both)
+    return staged.withColumn(out, share).drop(*names)
 
 
 def edits(left: Column, right: Column) -> Column:
     """Where two trees differ: array of (section, paragraph), both from 0.
 
-    Equal sections are left out as a whole by their digests; a section or paragraph that only one tree has
-    counts as different, with paragraph -1 for a whole section.
+    Equal sections are left out as a whole; a section that only one tree has counts as different with paragraph -1.
     """
 
     def inner(i: Column) -> Column:
-        a, b = F.get(left["paragraphs"], i), F.get(right["paragraphs"], i)
+        a, b = F.split(F.get(left["sections"], i), r"\|"), F.split(F.get(right["sections"], i), r"\|")
         whole = F.array(F.struct(i.alias("section"), F.lit(-1).alias("paragraph")))
-        n = F.greatest(F.size(a), F.size(b))
-        places = F.filter(F.sequence(F.lit(0), n - 1), lambda j: ~F.get(a, j).eqNullSafe(F.get(b, j)))
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b)) - 1), lambda j: ~F.get(a, j).eqNullSafe(F.get(b, j)))
         return F.when(a.isNull() | b.isNull(), whole).otherwise(
             F.transform(places, lambda j: F.struct(i.alias("section"), j.alias("paragraph")))
         )
@@ -131,46 +147,73 @@ def half_edited(text: Column, other: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Per document: its fingerprint, that of its half-edited text, and their likeness.
+    """Per document: its fingerprint, that of its half-edited text, their likeness, and where the edits are.
 
-    Null texts count as empty, repeated rows each give a row, no rows give none; other columns are ignored.
+    `edits` lists `section:paragraph` of the places where the edited text differs, joined by commas. Null texts count as
+    empty, rows without doc_id come last in the order of ids, repeated rows each give a row, no rows give none; other
+    columns are ignored.
     """
     plain = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     paired = with_next(plain, "doc_id", "text", "next").withColumn("edited", half_edited(F.col("text"), F.col("next")))
-    trees = with_tree(with_tree(paired, "text", "tree"), "edited", "edited_tree")
-    trees = trees.withColumn("next_tree", F.struct(leaves(F.col("next")).alias("leaves")))
-    return trees.select(
+    slim = paired.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        F.col("tree.root").alias("fingerprint"),
-        F.col("edited_tree.root").alias("edited_fingerprint"),
-        likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"),
-        likeness(F.col("tree"), F.col("next_tree")).alias("near_next"),
+        tree(F.col("text")).alias("tree"),
+        tree(F.col("edited")).alias("edited_tree"),
+        tree(F.col("next")).alias("next_tree"),
     )
+    compared = likeness(likeness(slim, "tree", "edited_tree", "near_edited"), "tree", "next_tree", "near_next")
+    places = F.transform(edits(F.col("tree"), F.col("edited_tree")), lambda e: F.concat_ws(":", e["section"].cast("string"), e["paragraph"].cast("string")))
+    return compared.select(
+        "doc_id", "n_chars", "edited_sha256", F.col("tree.root").alias("fingerprint"), F.col("edited_tree.root").alias("edited_fingerprint"),
+        "near_edited", "near_next", F.array_join(places, ",").alias("edits"),
+    )
+
+
+def _sections_sql(x: str) -> str:
+    # DuckDB's expressions look neither behind nor ahead: mark the cuts with the sign that no paragraph holds.
+    leaves = "list_transform(string_split(regexp_replace(p, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)), lambda l: sha256(l))"
+    section = f"array_to_string(list_transform(string_split(s, chr(10)), lambda p: array_to_string({leaves}, '.')), '|')"
+    return f"list_transform(string_split({x}, chr(10) || chr(10)), lambda s: {section})"
 
 
 def _root_sql(x: str) -> str:
-    inner = "array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), '.')"
-    return f"sha256(array_to_string(list_transform(string_split({x}, chr(10) || chr(10)), lambda s: sha256({inner})), '.'))"
+    inner = "array_to_string(list_transform(string_split(s, '|'), lambda p: sha256(p)), '.')"
+    return f"sha256(array_to_string(list_transform({x}, lambda s: sha256({inner})), '.'))"
+
+
+def _except_sql(a: str, b: str) -> str:
+    return f"list_distinct(list_filter({a}, lambda x: not list_contains({b}, x)))"
 
 
-def _leaves_sql(x: str) -> str:
-    # DuckDB's expressions look neither behind nor ahead: mark the cuts first.
-    return f"list_distinct(string_split(regexp_replace({x}, '([.!?]) |\\n', '\\1' || chr(10), 'g'), chr(10)))"
+def _below_sql(branches: str, sign: str) -> str:
+    return f"list_distinct(flatten(list_transform({branches}, lambda x: string_split(x, '{sign}'))))"
 
 
-def _near_sql(a: str, b: str) -> str:
-    both = f"len(list_intersect({a}, {b}))"
-    return f"({both} / (len({a}) + len({b}) - {both})::double)"
+def _near_ctes(name: str, a: str, b: str) -> str:
+    shared = "coalesce(list_sum(list_transform(list_intersect({0}, {1}), lambda x: (length(x) + 1) // 65)), 0)"
+    return f"""
+{name}1 as (select doc_id, r, {a} as sa, {b} as sb, {shared.format(a, b)} as w,
+  {_below_sql(_except_sql(a, b), "|")} as pa, {_below_sql(_except_sql(b, a), "|")} as pb from g),
+{name}2 as (select doc_id, r, w + {shared.format("pa", "pb")} as w, {_below_sql(_except_sql("pa", "pb"), ".")} as la,
+  {_below_sql(_except_sql("pb", "pa"), ".")} as lb from {name}1),
+{name} as (select r, (w + len(list_intersect(la, lb))) / (w + len(la) + len(lb) - len(list_intersect(la, lb)))::double as near from {name}2)"""
 
 
 SQL = f"""
-with d as (select doc_id, coalesce(text, '') as t from documents),
-e as (select doc_id, t, coalesce(lead(t) over (order by doc_id desc), first_value(t) over (order by doc_id desc)) as nt from d),
-f as (select doc_id, t, nt, substring(t, 1, length(t) - length(t) // 2) || substring(nt, 1, length(t) // 2) as ed from e),
-g as (select *, {_leaves_sql("t")} as lt, {_leaves_sql("ed")} as le, {_leaves_sql("nt")} as ln from f)
-select doc_id, length(t)::bigint as n_chars, sha256(ed) as edited_sha256, {_root_sql("t")} as fingerprint,
-  {_root_sql("ed")} as edited_fingerprint, {_near_sql("lt", "le")} as near_edited, {_near_sql("lt", "ln")} as near_next
-from g
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+e as (select r, doc_id, t, coalesce(lead(t) over (order by doc_id desc), first_value(t) over (order by doc_id desc)) as nt from d),
+f as (select r, doc_id, t, nt, substring(t, 1, length(t) - length(t) // 2) || substring(nt, 1, length(t) // 2) as ed from e),
+g as (select r, doc_id, t, ed, {_sections_sql("t")} as st, {_sections_sql("ed")} as se, {_sections_sql("nt")} as sn from f),
+{_near_ctes("x", "st", "se")},
+{_near_ctes("y", "st", "sn")},
+p as (select r, array_to_string(flatten(list_transform(range(greatest(len(st), len(se))), lambda i: case
+    when st[i + 1] is not distinct from se[i + 1] then []
+    when st[i + 1] is null or se[i + 1] is null then [i || ':-1']
+    else list_transform(list_filter(range(greatest(len(string_split(st[i + 1], '|')), len(string_split(se[i + 1], '|')))),
+      lambda j: string_split(st[i + 1], '|')[j + 1] is distinct from string_split(se[i + 1], '|')[j + 1]), lambda j: i || ':' || j) end)), ',') as edits from g)
+select g.doc_id, length(t)::bigint as n_chars, sha256(ed) as edited_sha256, {_root_sql("st")} as fingerprint,
+  {_root_sql("se")} as edited_fingerprint, x.near as near_edited, y.near as near_next, p.edits
+from g join x using (r) join y using (r) join p using (r)
 """
