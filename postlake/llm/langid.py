@@ -7,8 +7,8 @@ count, times the logarithm of the sample's size, per byte is the cross-parsing e
 with the least wins; equal ones go to the first by name.
 
 Every labelled language is learned. The automata are built for LANGUAGES_AT_ONCE languages at a time: with more of
-them, a task keeps its rows in a temporary file, reads them once for each group of languages, and folds the groups'
-least entropies row by row.
+them, the texts are written to the shared folder once and read for each group of languages, and the groups' least
+entropies of a row are folded in a shuffle of slim rows.
 
 Whole texts are parsed, in pieces of PIECE bytes side by side; a phrase does not go on across pieces,
 which costs every language the same. Letters A-Z are lower-cased. The dense table of an automaton has a row per
@@ -21,7 +21,6 @@ Repeated rows are scored alike. No rows: none. Other columns are never looked at
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,64 +188,53 @@ def predicted(docs: DataFrame, learned: DataFrame) -> DataFrame:
     """(doc_id, lang_pred, score) of every document; `learned` has a sample of each language."""
     names = sorted(r["lang"] for r in learned.select("lang").collect())
     context = docs.sparkSession.sparkContext
-    held = []
-    for k in range(0, len(names), LANGUAGES_AT_ONCE):
-        rows = learned.filter(F.col("lang").isin(names[k : k + LANGUAGES_AT_ONCE])).collect()
-        held.append(context.broadcast({r["lang"]: bytes(r["sample"]) for r in rows}))
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plain = plain.withColumn("letter", letter)
-
-    def scored(batch: pa.RecordBatch, parser: Parser, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        data, ends = flat(batch.column("text"))
-        found = [parser.best(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a]) for a, b in slices(ends, SLICE_BYTES)]
-        winner, least, mass = (np.concatenate(x) for x in zip(*found, strict=True))
-        return winner + first, least, mass
-
-    def result(batch: pa.RecordBatch, winner: np.ndarray, mass: np.ndarray) -> pa.RecordBatch:
-        some = batch.column("letter").to_numpy(zero_copy_only=False)
-        said = np.array([*names, UNKNOWN], object)[np.where(some, winner, len(names))]
-        score = np.where(some, 1 / mass, 0.0)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(said, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = (b for b in batches if b.num_rows)
-        if not names:
-            for batch in some:
-                yield result(batch, np.full(batch.num_rows, len(names)), np.full(batch.num_rows, np.inf))
-        elif len(held) == 1:
-            for batch in some:
-                winner, _, mass = scored(batch, _parser(held[0].value), 0)
-                yield result(batch, winner, mass)
-        else:
-            yield from folded(some)
-
-    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with tempfile.TemporaryFile() as kept:
-            best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            out = None
+    groups = range(0, len(names), LANGUAGES_AT_ONCE)
+    if len(groups) > 1:
+        # Read once for each group: the numbers of the rows must not change between.
+        plain = materialize(plain.withColumn("row", F.monotonically_increasing_id()), "texts")
+    else:
+        plain = plain.withColumn("row", F.lit(0).cast("long"))
+
+    def scores(first: int) -> DataFrame:
+        """(row, doc_id, letter, size, winner, least, mass) by the languages of one group."""
+        rows = learned.filter(F.col("lang").isin(names[first : first + LANGUAGES_AT_ONCE])).collect()
+        held = context.broadcast({r["lang"]: bytes(r["sample"]) for r in rows})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = out or pa.ipc.new_stream(kept, batch.schema)
-                out.write_batch(batch)
-                best.append(scored(batch, _parser(held[0].value), 0))
-            if out is None:
-                return
-            out.close()
-            for g in range(1, len(held)):
-                kept.seek(0)
-                for k, batch in enumerate(pa.ipc.open_stream(kept)):
-                    sizes = np.diff(flat(batch.column("text"))[1])
-                    winner, least, mass = best[k]
-                    winner_, least_, mass_ = scored(batch, _parser(held[g].value), g * LANGUAGES_AT_ONCE)
-                    # Equal entropies stay with the first by name.
-                    low = np.minimum(least, least_)
-                    mass = mass * likelihood(least - low, sizes) + mass_ * likelihood(least_ - low, sizes)
-                    best[k] = np.where(least_ < least, winner_, winner), low, mass
-            kept.seek(0)
-            for k, batch in enumerate(pa.ipc.open_stream(kept)):
-                yield result(batch, best[k][0], best[k][2])
-
-    return plain.mapInArrow(run, "doc_id long, lang_pred string, score double")
+                data, ends = flat(batch.column("text"))
+                for a, b in slices(ends, SLICE_BYTES):
+                    cut = ends[a : b + 1] - ends[a]
+                    winner, least, mass = _parser(held.value).best(data[ends[a] : ends[b]], cut)
+                    part = batch.slice(a, b - a)
+                    columns = [*(part.column(c) for c in ("row", "doc_id", "letter")), *map(pa.array, (np.diff(cut), winner + first, least, mass))]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "letter", "size", "winner", "least", "mass"])
+
+        return plain.mapInArrow(run, "row long, doc_id long, letter boolean, size long, winner long, least double, mass double")
+
+    if not names:
+        return plain.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    found = scores(0)
+    if len(groups) > 1:
+        for first in groups[1:]:
+            found = found.unionByName(scores(first))
+        # Slim rows, one for each group of languages; equal entropies stay with the first by name.
+        each = F.collect_list(F.struct("least", "winner", "mass"))
+        found = found.groupBy("row", "doc_id", "letter", "size").agg(each.alias("g"))
+        found = found.withColumn("best", F.array_min("g"))
+        counted = F.greatest(F.lit(1), F.least(F.lit(64), F.col("size")))
+        lead = lambda x: F.pow(F.lit(2.0), (F.col("best.least") - x["least"]) * counted)
+        mass = F.aggregate("g", F.lit(0.0), lambda m, x: m + x["mass"] * lead(x))
+        found = found.select("doc_id", "letter", F.col("best.winner").alias("winner"), mass.alias("mass"))
+    said = F.get(F.array(*map(F.lit, names)), F.col("winner").cast("int"))
+    return found.select(
+        "doc_id",
+        F.when(F.col("letter"), said).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
+        F.when(F.col("letter"), 1 / F.col("mass")).otherwise(0.0).alias("score"),
+    )
 
 
 def identified(docs: DataFrame) -> DataFrame:
