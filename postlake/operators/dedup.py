@@ -57,16 +57,20 @@ def with_dedup_key(postings: DataFrame) -> DataFrame:
     )
 
 
-def split_valid(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with company, title and source, stripped, and the rejected rest with a reason."""
+def with_reject_reason(postings: DataFrame) -> DataFrame:
+    """Company, title and source stripped, and `reject_reason`: which of them are missing, else empty."""
     names = ["company", "title", "source"]
     stripped = postings.withColumns({n: F.coalesce(strip(n), F.lit("")) for n in names})
     reason = F.concat_ws(
         ", ", *[F.when(F.col(n) == "", F.lit(f"{n} cannot be empty")) for n in names]
     )
-    return stripped.where(reason == ""), stripped.where(reason != "").withColumn(
-        "reject_reason", reason
-    )
+    return stripped.withColumn("reject_reason", reason)
+
+
+def split_valid(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with company, title and source, stripped, and the rejected rest with a reason."""
+    checked = with_reject_reason(postings)
+    return checked.where("reject_reason = ''").drop("reject_reason"), checked.where("reject_reason <> ''")
 
 
 def fail_whole_companies(valid: DataFrame, rejects: DataFrame) -> DataFrame:

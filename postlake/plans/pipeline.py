@@ -13,8 +13,8 @@ from postlake.functions.text import strip
 from postlake.operators.dedup import (
     fail_whole_companies,
     new_postings,
-    split_valid,
     with_dedup_key,
+    with_reject_reason,
 )
 from postlake.operators.report import company_results, failure_message, failure_rows, run_summary
 from postlake.operators.rules import (
@@ -77,16 +77,24 @@ def run(
     # Injected sources are all used; registered ones only where a company has their type.
     parsers = needed_sources(companies) if sources is None else sources
     parsed = parse_all(captures, companies, parsers)
-    valid, rejects = split_valid(parsed)
+    checked = with_reject_reason(parsed)
+    outcome = decide(checked, companies, filters or GlobalFilters())
+    if store_decisions:
+        # Decisions and rejects from one pass over the captures; no output column needs the long text any more.
+        outcome = materialize(outcome.drop("description"), "decisions")
+    rejects = outcome.where("reject_reason <> ''")
+    decided = outcome.where("reject_reason = ''").drop("reject_reason")
+    valid = checked.where("reject_reason = ''").drop("reject_reason")
     failures = unsupported(companies, sources).unionByName(unreadable(captures, companies))
     if failed is not None:
         failed = failed.withColumn("company", strip("company"))
         unfetched = fetch_failures(failed, companies)
         failures = failures.unionByName(unfetched.select("company", "company_ord", "message"))
         if strict:
-            valid = valid.join(unfetched.select("run_id", "company"), ["run_id", "company"], "left_anti")
+            missed = unfetched.select("run_id", "company")
+            valid, decided = (x.join(missed, ["run_id", "company"], "left_anti") for x in (valid, decided))
     if strict:
-        valid = fail_whole_companies(valid, rejects)
+        valid, decided = (fail_whole_companies(x, rejects) for x in (valid, decided))
     # Rejected postings are reported by company and reason, whether or not they fail the company.
     rejected = rejects.groupBy("company", "company_ord", "reject_reason").count()
     counted = F.concat("reject_reason", F.lit(" ("), F.col("count").cast("string"), F.lit(")"))
@@ -97,10 +105,8 @@ def run(
             failure_message("company", "ValidationError", counted).alias("message"),
         )
     )
-    decided = decide(valid, companies, filters or GlobalFilters())
     if store_decisions:
-        # No output column needs the long text any more.
-        decided = materialize(decided.drop("description"), "decisions")
+        failures = materialize(failures, "failures")
     matched = decided.where(F.col("match_status") == "matched")
     empty = decided.sparkSession.createDataFrame([], "dedup_key string")
     if callable(seen):
