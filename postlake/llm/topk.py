@@ -1,8 +1,10 @@
 """Exact top-k by inner product with the no-random-access algorithm.
 
-Vectors are dealt to blocks of at most about BLOCK_ROWS and queries to blocks of QUERY_ROWS; every pair of
-blocks is one group, so the work is spread however large either side is. Inside a group each dimension is a
-list sorted by value. A query reads its lists in step from the end that its sign prefers; a vector's lower
+Vectors are dealt to cells by their nearest pivot, large cells to blocks of about BLOCK_ROWS, and queries to blocks of
+QUERY_ROWS; a pair of blocks is one group, so the work is spread however large either side is. A query first reads the
+likeliest cells, whose k-th score is a threshold; of the others it reads those that can hold a score as large, by the
+extremes of the cell's components and by its radius around the pivot. Inside a group each dimension is a list sorted by
+value. A query reads its lists in step from the end that its sign prefers; a vector's lower
 bound takes the list's worst value for unread dimensions, its upper bound the last value read. Reading
 stops when no vector outside the best k by lower bound can exceed the k-th of them; the scores of those
 that remain in question are then resolved. The lists of all groups of a query meet in a rank filter.
@@ -21,9 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlake.session import materialize
+
 BLOCK_ROWS = 8_192
 QUERY_ROWS = 512
 MAX_PARTITIONS = 20_000
+#: Cells for each block that the vectors fill, and of all at most. Fewer vectors than a block are one cell.
+CELLS_PER_BLOCK = 4
+MAX_CELLS = 256
 #: How deep the lists are read before the bounds are compared, in sixteenths, and rows in question whose
 #: scores are then resolved instead of reading on.
 DEPTHS = (2, 4, 8, 12, 14, 15, 16)
@@ -97,18 +104,128 @@ def _search(queries: pd.DataFrame, base: pd.DataFrame, k: int) -> Iterator[pd.Da
             yield pd.DataFrame({"query_id": ids[i], "vec_id": names[rows][best], "score": scores[best]})
 
 
-def top_k(base: DataFrame, queries: DataFrame, k: int = 20, vector: str = "v") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query its k best rows of `base`, itself left out by id.
+class Cells:
+    """What is known of the cells that vectors lie in: at most MAX_CELLS rows, whatever the number of vectors."""
+
+    def __init__(self, stats: list[dict], pivots: dict[int, np.ndarray]):
+        self.rows = {s["cell"]: s["rows"] for s in stats}
+        held = {s["cell"]: s for s in stats if s["cell"] >= 0}
+        self.lengths: dict[int, tuple[np.ndarray, ...]] = {}  # cells, pivots, extremes and radius by vector length
+        for length in {len(p) for p in pivots.values()}:
+            names = [c for c, p in pivots.items() if len(p) == length and (c in held or not stats)]
+            if names:
+                known = [held[c] for c in names] if stats else []
+                low, high = (np.array([s[e] for s in known], float) for e in ("low", "high"))
+                self.lengths[length] = (np.array(names), np.stack([pivots[c] for c in names]), low, high, np.array([s["radius"] for s in known]))
+
+    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of the nearest pivots of vectors of one length, and the distances; -1 without a pivot."""
+        n, length = vectors.shape
+        if length not in self.lengths:
+            return np.full(n, -1), np.zeros(n)
+        names, pivots, *_ = self.lengths[length]
+        best = np.argmin((pivots * pivots).sum(axis=1) - 2 * vectors @ pivots.T, axis=1)
+        return names[best], np.sqrt(((vectors - pivots[best]) ** 2).sum(axis=1))
+
+    def bounds(self, q: np.ndarray) -> list[tuple[float, float, int]]:
+        """(likely score, greatest possible score, cell) of the cells that can hold vectors of the query's length."""
+        out = [(-math.inf, math.inf, -1)] if -1 in self.rows else []
+        if len(q) in self.lengths:
+            names, pivots, low, high, radius = self.lengths[len(q)]
+            likely = pivots @ q
+            box = np.maximum(q * low, q * high).sum(axis=1)
+            most = np.minimum(box, likely + math.sqrt(float(q @ q)) * radius)
+            most += 1e-6 * np.maximum(1.0, np.abs(most))
+            out += zip(likely.tolist(), most.tolist(), names.tolist(), strict=True)
+        return sorted(out, reverse=True)
+
+    def first(self, q: np.ndarray, k: int) -> list[int]:
+        """The likeliest cells that hold more than k vectors together."""
+        chosen, held = [], 0
+        for _, _, c in self.bounds(q):
+            if held > k:
+                break
+            chosen.append(c)
+            held += self.rows[c]
+        return chosen
+
+
+def _vectors(rows: pd.DataFrame) -> list[np.ndarray]:
+    return [np.asarray(v, float) for v in rows["v"]]
+
 
-    Both sides have vec_id and `vector`, an array of whole numbers.
+def _dealt(base: DataFrame) -> tuple[DataFrame, Cells]:
+    """`base` with the cell of each row, and the cells.
+
+    Pivots are a bounded sample; they decide how much is read, never what is found.
     """
-    base = base.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<long>").alias("v")).dropna()
-    queries = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<long>").alias("v")).dropna()
-    blocks = max(1, math.ceil(base.count() / BLOCK_ROWS))
-    rounds = max(1, math.ceil(queries.count() / QUERY_ROWS))
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(rounds)).cast("int")).withColumn("b", numbers(blocks))
-    right = base.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("q", numbers(rounds))
+    blocks = math.ceil(base.count() / BLOCK_ROWS)
+    number = min(MAX_CELLS, CELLS_PER_BLOCK * blocks) if blocks > 1 else 1
+    drawn = base.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(number).collect()
+    pivots = {i: np.array(r["v"], float) for i, r in enumerate(drawn)}
+    empty = Cells([], pivots)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for _, part in rows.groupby(rows["v"].map(len)):
+                cell, away = empty.nearest(np.stack(part["v"].to_list()).astype(float))
+                yield part.assign(cell=cell.astype(np.int32), away=away)
+
+    placed = materialize(base.mapInPandas(place, "vec_id long, v array<long>, cell int, away double"), "cells")
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for cell, held in rows.groupby("cell"):
+                x = np.stack(held["v"].to_list()) if cell >= 0 else np.zeros((1, 0))
+                yield pd.DataFrame({"cell": [cell], "rows": [len(held)], "radius": [held["away"].max()], "low": [x.min(axis=0)], "high": [x.max(axis=0)]})
+
+    def combine(rows: pd.DataFrame) -> pd.DataFrame:
+        low, high = np.stack(rows["low"].to_list()).min(axis=0), np.stack(rows["high"].to_list()).max(axis=0)
+        return pd.DataFrame({"cell": [rows["cell"].iat[0]], "rows": [rows["rows"].sum()], "radius": [rows["radius"].max()], "low": [low], "high": [high]})
+
+    shape = "cell int, rows long, radius double, low array<long>, high array<long>"
+    stats = placed.mapInPandas(measure, shape).groupBy("cell").applyInPandas(combine, shape).collect()
+    return placed, Cells([s.asDict() for s in stats], pivots)
+
+
+def _first(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """(vec_id, v, cell): the queries at the cells that they read first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            chosen = [cells.first(v, k) for v in _vectors(rows)]
+            at = np.repeat(np.arange(len(rows)), list(map(len, chosen)))
+            yield rows[["vec_id", "v"]].iloc[at].assign(cell=np.array([c for x in chosen for c in x], np.int32))
+
+    return queries.mapInPandas(run, "vec_id long, v array<long>, cell int")
+
+
+def _rest(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """The same for the other cells that can hold a score of at least `least`, the k-th so far."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            chosen = []
+            for v, least in zip(_vectors(rows), rows["least"], strict=True):
+                done = set(cells.first(v, k))
+                open_ = math.isnan(least) if least is not None else True
+                chosen.append([c for _, most, c in cells.bounds(v) if c not in done and (open_ or most >= least)])
+            at = np.repeat(np.arange(len(rows)), list(map(len, chosen)))
+            yield rows[["vec_id", "v"]].iloc[at].assign(cell=np.array([c for x in chosen for c in x], np.int32))
+
+    return queries.mapInPandas(run, "vec_id long, v array<long>, cell int")
+
+
+def _met(asked: DataFrame, placed: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each block for the queries at its cell."""
+    counts = {r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}
+    shapes = [(c, math.ceil(cells.rows[c] / BLOCK_ROWS), math.ceil(n / QUERY_ROWS)) for c, n in counts.items()]
+    if not shapes:
+        return asked.sparkSession.createDataFrame([], OUT)
+    shape = F.broadcast(asked.sparkSession.createDataFrame(shapes, "cell int, blocks int, rounds int"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(shape, "cell").withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("rounds")).cast("int")).withColumn("b", numbers("blocks"))
+    right = placed.join(shape, "cell").withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("q", numbers("rounds"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = list(_search(a, b, k))
@@ -117,11 +234,31 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 20, vector: str = "v") -
         return pd.concat(found, ignore_index=True)
 
     # Groups are few and heavy: far more partitions than groups keep them from meeting in one task.
-    parts = min(4 * rounds * blocks, MAX_PARTITIONS)
-    left, right = (x.repartition(parts, "q", "b") for x in (left, right))
-    near = left.groupBy("q", "b").cogroup(right.groupBy("q", "b")).applyInPandas(run, OUT)
+    parts = min(4 * sum(x * y for _, x, y in shapes), MAX_PARTITIONS)
+    left, right = (x.select("vec_id", "v", "cell", "q", "b").repartition(parts, "cell", "q", "b") for x in (left, right))
+    return left.groupBy("cell", "q", "b").cogroup(right.groupBy("cell", "q", "b")).applyInPandas(run, OUT)
+
+
+def _ranked(near: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def top_k(base: DataFrame, queries: DataFrame, k: int = 20, vector: str = "v") -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query its k best rows of `base`, itself left out by id.
+
+    Both sides have vec_id and `vector`, an array of whole numbers. Queries of one id share one list.
+    """
+    base = base.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<long>").alias("v")).dropna()
+    queries = queries.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector).cast("array<long>").alias("v")).dropna()
+    placed, cells = _dealt(base)
+    near = _met(_first(queries, cells, k), placed, cells, k)
+    if len(cells.rows) > 1:
+        near = materialize(_ranked(near, k), "near")
+        least = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("least"))
+        rest = materialize(_rest(queries.join(least, "vec_id", "left"), cells, k), "rest")
+        near = near.drop("rank").unionByName(_met(rest, placed, cells, k))
+    return _ranked(near, k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """

@@ -36,3 +36,30 @@ def test_components(spark):
 def test_no_rows(spark):
     none = spark.createDataFrame([], "vec_id long, v array<long>")
     assert topk.top_k(none, none).collect() == []
+
+
+def test_clustered_vectors_leave_cells_out(spark, monkeypatch):
+    """Same answers, and queries read a small part of the cells."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 100)
+    draw = np.random.default_rng(5)
+    centres = draw.integers(-60, 60, (12, 16))
+    vectors = [(i, centres[i % 12] + draw.integers(-4, 5, 16)) for i in range(1500)]
+    base = spark.createDataFrame([(i, [int(x) for x in v]) for i, v in vectors], "vec_id long, v array<long>")
+    queries = base.filter("vec_id % 20 = 0")
+    got = topk.top_k(base, queries, k=5).collect()
+    picked = [(i, v) for i, v in vectors if i % 20 == 0]
+    assert sorted(map(tuple, got)) == brute(vectors, picked, 5)
+    placed, cells = topk._dealt(base)
+    least = {r.query_id: r.score for r in got if r.rank == 5}
+    known = spark.createDataFrame([(i, [int(x) for x in v], float(least[i])) for i, v in picked], "vec_id long, v array<long>, least double")
+    rows = {c: n for c, n in cells.rows.items()}
+    read = sum(rows[r.cell] for r in topk._first(queries, cells, 5).collect()) + sum(rows[r.cell] for r in topk._rest(known, cells, 5).collect())
+    assert read < 0.5 * len(picked) * len(vectors)
+
+
+def test_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 4)
+    rows = [(1, [1, 2]), (1, [2, 1]), (2, [5, 5]), (2, [5, 5]), (3, [0, 1]), (4, [9, 9]), (4, [-9, -9]), (5, [1, 0, 0])]
+    base = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = [tuple(r) for r in topk.top_k(base, base.filter("vec_id = 3"), k=4).collect()]
+    assert sorted(got) == [(3, 1, 4, 9), (3, 2, 2, 5), (3, 3, 2, 5), (3, 4, 1, 2)]
