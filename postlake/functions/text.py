@@ -51,11 +51,6 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
 
 
-def squeeze(c: Column | str) -> Column:
-    """White-space runs become one space; the ends are trimmed."""
-    return F.trim(F.regexp_replace(col(c), f"[{WHITESPACE}]+", " "))
-
-
 def _char_class(points: Iterable[int]) -> str:
     spans: list[list[int]] = []
     for point in sorted(points):
@@ -153,8 +148,3 @@ def title_case_words(c: Column | str) -> Column:
         )
         + ", '')",
     )
-
-
-def join_nonempty(separator: str, *cols: Column | str) -> Column:
-    """Non-empty parts joined; NULL when none is left."""
-    return nonempty(F.concat_ws(separator, *[nonempty(c) for c in cols]))

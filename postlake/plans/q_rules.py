@@ -245,11 +245,12 @@ def e03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("E04_duplicates_skipped", f"""
-  with {STAR_CTES}, {_EVEN_SEEN}, m as (select * from d where reason_class = 'matched')
-  select company, count(*) - count(distinct dedup_key) filter (dedup_key not in (select dedup_key from seen)) as duplicates_skipped from m group by 1""")
+  with {STAR_CTES}, {_EVEN_SEEN}
+  select company, count(*) filter (reason_class = 'matched')
+         - count(distinct dedup_key) filter (reason_class = 'matched' and dedup_key not in (select dedup_key from seen)) as duplicates_skipped from d group by 1""")
 def e04(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = star_decided(spark, sf_dir)
-    counts = P.company_counts(decided, even_seen(spark, sf_dir)).where("jobs_matched > 0")
+    counts = P.company_counts(decided, even_seen(spark, sf_dir))
     return counts.select("company", "duplicates_skipped")
 
 
