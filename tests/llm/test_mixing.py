@@ -49,3 +49,29 @@ def test_label_domains(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 0, 1), (4, None, None), (1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = mixing.label_domains(labels).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == [(1, "plain"), (2, "low"), (3, "toxic")]
+
+
+def test_rates_against_a_second_solver(spark):
+    """The rates nearest to one copy, by tokens, that meet the targets: closed form, and Newton's method where some clip."""
+    draw = np.random.default_rng(4)
+    raw = draw.dirichlet([0.6, 0.6, 0.6], 300)
+    p = np.rint(raw * mixing.GRID).astype(int)
+    tokens = draw.integers(1, 500, len(p)).astype(float)
+    share = p / mixing.GRID
+    table = spark.createDataFrame([([int(x) for x in row], float(t)) for row, t in zip(p, tokens, strict=True)], "p array<int>, tokens double")
+    have = share.T @ tokens
+    for weights in ([1.1, 0.9, 1.05], [1.6, 0.3, 1.0]):
+        targets = have * np.array(weights)
+        steps = mixing.solve(table, targets)
+        got = {tuple(r.p): r.w for r in table.select("p", mixing._rate(F.col("p"), steps).alias("w")).collect()}
+        rate = np.array([got[tuple(row)] for row in p.tolist()])
+        assert (rate >= 0).all() and np.allclose(share.T @ (tokens * rate), targets, rtol=1e-3)
+        dual = np.zeros(3)
+        for _ in range(200):
+            best = np.maximum(0.0, 1.0 - share @ dual)
+            alive = best > 0
+            slope = (share[alive] * tokens[alive, None]).T @ share[alive]
+            dual += np.linalg.solve(slope + 1e-9 * np.eye(3), share.T @ (tokens * best) - targets)
+        best = np.maximum(0.0, 1.0 - share @ dual)
+        assert np.allclose(share.T @ (tokens * best), targets, rtol=1e-6)
+        assert np.allclose(rate, best, atol=1e-4 if best.min() > 0 else 2e-3)
