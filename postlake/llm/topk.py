@@ -47,10 +47,10 @@ def whole_parts(vector: Column, factor: int = 64) -> Column:
     return F.when(vector.isNotNull() & (F.size(vector) > 0) & ~bad, made)
 
 
-def no_random_access(x: np.ndarray, q: np.ndarray, k: int, own: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def no_random_access(x: np.ndarray, q: np.ndarray, k: int, own: np.ndarray, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, rows, scores) with the k best rows of x for each row of q, ties with the k-th among them.
 
-    own: queries x rows, what takes no part. All numbers are whole. The lists are read from both ends in
+    own: queries x rows, what takes no part. wanted: scores below it are not asked for. All numbers are whole. The lists are read from both ends in
     step: queries take the upper end of a dimension where they are positive and the lower where they are
     negative, so one reading serves all of them.
     """
@@ -74,6 +74,8 @@ def no_random_access(x: np.ndarray, q: np.ndarray, k: int, own: np.ndarray) -> I
         lower = p @ np.where(top, x, least).T + m @ np.where(bottom, x, most).T
         lower[out] = -np.inf
         kth = np.partition(lower, n - k, axis=1)[:, n - k]
+        if wanted is not None:
+            kth = np.maximum(kth, wanted[waiting])
         if depth < n:
             upper_end, lower_end = x[lists[n - depth], columns], x[lists[depth - 1], columns]
             # Rows that no list has shown yet, and rows that some have.
@@ -99,7 +101,9 @@ def _search(queries: pd.DataFrame, base: pd.DataFrame, k: int) -> Iterator[pd.Da
             continue
         names, ids = members["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
         x, q = np.stack(members["v"].to_list()), np.stack(asked["v"].to_list())
-        for i, rows, scores in no_random_access(x, q, k, names[None, :] == ids[:, None]):
+        least = asked["least"].to_numpy()
+        for i, rows, scores in no_random_access(x, q, k, names[None, :] == ids[:, None], least):
+            rows, scores = rows[scores >= least[i]], scores[scores >= least[i]]
             best = np.lexsort((names[rows], -scores))[:k]
             yield pd.DataFrame({"query_id": ids[i], "vec_id": names[rows][best], "score": scores[best]})
 
@@ -188,32 +192,34 @@ def _dealt(base: DataFrame) -> tuple[DataFrame, Cells]:
     return placed, Cells([s.asDict() for s in stats], pivots)
 
 
+_ASKED = "vec_id long, v array<long>, cell int, least double"
+
+
 def _first(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """(vec_id, v, cell): the queries at the cells that they read first."""
+    """(vec_id, v, cell, least): the queries at the cells that they read first; every score is asked for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             chosen = [cells.first(v, k) for v in _vectors(rows)]
             at = np.repeat(np.arange(len(rows)), list(map(len, chosen)))
-            yield rows[["vec_id", "v"]].iloc[at].assign(cell=np.array([c for x in chosen for c in x], np.int32))
+            yield rows[["vec_id", "v"]].iloc[at].assign(cell=np.array([c for x in chosen for c in x], np.int32), least=-math.inf)
 
-    return queries.mapInPandas(run, "vec_id long, v array<long>, cell int")
+    return queries.mapInPandas(run, _ASKED)
 
 
 def _rest(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """The same for the other cells that can hold a score of at least `least`, the k-th so far."""
+    """The same for the other cells that can hold a score of at least `least`, the k-th so far; only these are asked for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             chosen = []
             for v, least in zip(_vectors(rows), rows["least"], strict=True):
                 done = set(cells.first(v, k))
-                open_ = math.isnan(least) if least is not None else True
-                chosen.append([c for _, most, c in cells.bounds(v) if c not in done and (open_ or most >= least)])
+                chosen.append([c for _, most, c in cells.bounds(v) if c not in done and most >= least])
             at = np.repeat(np.arange(len(rows)), list(map(len, chosen)))
-            yield rows[["vec_id", "v"]].iloc[at].assign(cell=np.array([c for x in chosen for c in x], np.int32))
+            yield rows[["vec_id", "v", "least"]].iloc[at].assign(cell=np.array([c for x in chosen for c in x], np.int32))[["vec_id", "v", "cell", "least"]]
 
-    return queries.mapInPandas(run, "vec_id long, v array<long>, cell int")
+    return queries.fillna(-math.inf, ["least"]).mapInPandas(run, _ASKED)
 
 
 def _met(asked: DataFrame, placed: DataFrame, cells: Cells, k: int) -> DataFrame:
@@ -235,7 +241,7 @@ def _met(asked: DataFrame, placed: DataFrame, cells: Cells, k: int) -> DataFrame
 
     # Groups are few and heavy: far more partitions than groups keep them from meeting in one task.
     parts = min(4 * sum(x * y for _, x, y in shapes), MAX_PARTITIONS)
-    left, right = (x.select("vec_id", "v", "cell", "q", "b").repartition(parts, "cell", "q", "b") for x in (left, right))
+    left, right = (x.drop("away", "blocks", "rounds").repartition(parts, "cell", "q", "b") for x in (left, right))
     return left.groupBy("cell", "q", "b").cogroup(right.groupBy("cell", "q", "b")).applyInPandas(run, OUT)
 
 
