@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postlake.functions.batches import pieces
 from postlake.functions.sqltext import bind, q
 from postlake.functions.text import WHITESPACE, nonempty
 
@@ -47,14 +49,7 @@ def _fields(record: ElementTree.Element) -> list[dict[str, str]]:
     return [{"key": key, "value": value} for key, value in pairs if key and value]
 
 
-@F.pandas_udf(_FEED)
-def xml_feed(bodies: pd.Series) -> pd.DataFrame:
-    """STRUCT<error, records> of each document: its records' fields, or why it cannot be read.
-
-    A record is an element of a record name at any depth, records within records too; without any, the root's children
-    if all of them nest. Its fields are all elements below it, at any depth and in document order, with their whole
-    text; blank ones are left out. Keys are lower-case element names without prefix or punctuation.
-    """
+def _parsed(bodies: pd.Series) -> pd.DataFrame:
     found: dict[str, list] = {"error": [], "records": []}
     for body in bodies:
         error, records = None, []
@@ -73,6 +68,19 @@ def xml_feed(bodies: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found)
 
 
+@F.pandas_udf(_FEED)
+def xml_feed(bodies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """STRUCT<error, records> of each document: its records' fields, or why it cannot be read.
+
+    A record is an element of a record name at any depth, records within records too; without any, the root's children
+    if all of them nest. Its fields are all elements below it, at any depth and in document order, with their whole
+    text; blank ones are left out. Keys are lower-case element names without prefix or punctuation.
+
+    The fields of a few documents are held at a time, not those of a whole Arrow batch.
+    """
+    return (_parsed(piece) for batch in bodies for piece in pieces(batch))
+
+
 def _values_sql(fields: str, key: str) -> str:
     return f"transform(filter({fields}, e -> e.key = {q(key)}), e -> e.value)"
 
