@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlake.functions import variants as V
+from postlake.functions.batches import pieces
 from postlake.functions.entities import unescape_sql
 from postlake.functions.sqltext import bind, each_sql, keep_sql, let_sql, q
 from postlake.functions.text import (
@@ -120,14 +122,7 @@ _LINK = T.StructType([T.StructField("attrs", T.StringType()), T.StructField("inn
 _LINKED = T.StructType([T.StructField("links", T.ArrayType(_LINK)), T.StructField("articles", T.ArrayType(T.StringType()))])
 
 
-@F.pandas_udf(_LINKED)
-def linked_articles(pages: pd.Series) -> pd.DataFrame:
-    """The anchors of each page, and the articles around them: a link's `article` is its number, -1 for none.
-
-    A link's article reaches from the last `<article` that begins before it to the first `</article>` after it. All
-    places come from one pass over the page and are looked up by bisection; an article is cut out once for all its
-    links.
-    """
+def _linked(pages: pd.Series) -> pd.DataFrame:
     found: dict[str, list] = {"links": [], "articles": []}
     for page in pages:
         links: list[dict] = []
@@ -145,6 +140,17 @@ def linked_articles(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(found)
 
 
+@F.pandas_udf(_LINKED)
+def linked_articles(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """The anchors of each page, and the articles around them: a link's `article` is its number, -1 for none.
+
+    A link's article reaches from the last `<article` that begins before it to the first `</article>` after it. All
+    places come from one pass over the page and are looked up by bisection; an article is cut out once for all its
+    links. The links of a few pages are held at a time, not those of a whole Arrow batch.
+    """
+    return (_linked(piece) for batch in pages for piece in pieces(batch))
+
+
 def article_footer_sql(article: str, icon_class: str) -> str:
     marked = keep_sql(
         f"regexp_extract_all({article}, {q(PARAGRAPH)}, 1)", lambda p: f"contains({p}, {q(icon_class)})"

@@ -27,3 +27,13 @@ def test_feeds_are_handed_on_in_small_pieces():
     whole = pd.concat(parts)
     assert [r[0][0]["value"] for r in whole["records"][:1000]] == [str(i) for i in range(1000)]
     assert len(whole) == 1002 and whole["error"].notna().sum() == 2
+
+
+def test_linked_pages_are_handed_on_in_small_pieces():
+    long = "x" * batches.PIECE_CHARS
+    pages = pd.Series([f'<article><a href="/{i}">t</a></article>' for i in range(500)] + [long, long, None])
+    parts = list(linked_articles.func(iter([pages])))
+    assert max(map(len, parts)) <= batches.PIECE_TEXTS and len(parts) >= 5
+    whole = pd.concat(parts)
+    assert [links[0]["attrs"] for links in whole["links"][:500]] == [f' href="/{i}"' for i in range(500)]
+    assert [len(links) for links in whole["links"][500:]] == [0, 0, 0]
