@@ -60,6 +60,20 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows of a task that builds and parses pages.
+TASK_ROWS = 10_000
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt by page to as many tasks as their number asks for.
+
+    A table is small next to the pages built from it, so its files give few tasks; pages are packed and parsed without
+    another exchange.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    return rows.repartition(tasks, "c", "company", "page_no")
+
+
 def rules_for(rows: DataFrame, source: str, **fields: Column) -> DataFrame:
     """One enabled rule row per company of `rows`."""
     companies = rows.select("c", "company").distinct()
@@ -378,7 +392,8 @@ def _html(items: Column, footer: Column) -> Column:
 
 
 def icims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = parts(spark, sf_dir)
+    listed = parts(spark, sf_dir)
+    rows = spread(listed)
     title = F.concat(F.lit(' title="'), F.col("p_name"), F.lit(' &amp; co"'))
     item = F.concat(
         F.lit('<a class="x"'), every(2, title, F.lit("")), F.lit(' href="/jobs/'), text(_id()),
@@ -416,11 +431,12 @@ def icims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         rows, "icims", "detail", body=every(3, F.lit("<html></html>"), body),
         detail_key=F.concat(_host(), F.lit("/jobs/"), text("n"), F.lit("/role/job?in_iframe=1&k=1")),
     )
-    return lists.unionByName(details), rules_for(rows, "icims")
+    return lists.unionByName(details), rules_for(listed, "icims")
 
 
 def avature(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = parts(spark, sf_dir)
+    listed = parts(spark, sf_dir)
+    rows = spread(listed)
     path = every(
         4,
         F.concat(F.lit("/careers/JobDetail?jobId="), text(_id()), F.lit("&amp;source=x")),
@@ -453,7 +469,7 @@ def avature(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         ),
     )
     details = as_captures(rows, "avature", "detail", body=avature_detail(), detail_key=key)
-    return lists.unionByName(details), rules_for(rows, "avature")
+    return lists.unionByName(details), rules_for(listed, "avature")
 
 
 def avature_detail() -> Column:
@@ -493,7 +509,8 @@ def avature_detail() -> Column:
 
 
 def successfactors_xml(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = parts(spark, sf_dir)
+    listed = parts(spark, sf_dir)
+    rows = spread(listed)
     number = F.lpad(text("n"), 8, "0")
     item = F.concat(
         F.lit("<job><title>"), F.col("p_name"), F.lit(" &amp;amp; co</title><ReferenceNumber>"), number, F.lit("</ReferenceNumber><ID>x"), text("n"),
@@ -507,11 +524,12 @@ def successfactors_xml(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     )
     docs = packed(rows, item, "\n")
     body = F.concat(F.lit('\n<?xml version="1.0"?><!-- feed --><jobs xmlns:g="urn:feed">'), F.col("items"), F.lit("</jobs>"))
-    return as_captures(docs, "successfactors", "list", page_no=F.col("page_no"), body=body, url=_host()), rules_for(rows, "successfactors")
+    return as_captures(docs, "successfactors", "list", page_no=F.col("page_no"), body=body, url=_host()), rules_for(listed, "successfactors")
 
 
 def successfactors_html(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = parts(spark, sf_dir)
+    listed = parts(spark, sf_dir)
+    rows = spread(listed)
     item = F.concat(
         F.lit('<tr class="data-row"><td><a href="/job/Role-'), text("p_size"), F.lit("/"), text(_id()), F.lit('/" class="jobTitle-link">'), F.col("p_name"),
         F.lit('</a></td><td class="colLocation x"><span> Town '), text("p_size"), F.lit("</span></td></tr>"),
@@ -531,7 +549,7 @@ def successfactors_html(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
         detail_key=F.concat(_host(), F.lit("/job/Role-"), text("p_size"), F.lit("/"), text("n"), F.lit("/")),
     )
     extra = F.create_map(F.lit("fetch_details"), F.when(F.col("c") % 5 == 4, F.lit("false")).otherwise(F.lit("true")))
-    return lists.unionByName(details), rules_for(rows, "successfactors", extra=extra)
+    return lists.unionByName(details), rules_for(listed, "successfactors", extra=extra)
 
 
 # Requisition ids: the row three places on (a later URL id) for every seventh row, else R + number.

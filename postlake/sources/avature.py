@@ -104,9 +104,8 @@ def detail_fields(pages: DataFrame) -> DataFrame:
 
 def parse_avature(captures: DataFrame, rules: DataFrame) -> DataFrame:
     pages = common.list_pages(captures, rules, SOURCE, posting_links("body").alias("found"))
-    summaries = pages.select(
-        "run_id", "company", "company_ord", "page_no", "fetched_at", "url",
-        F.posexplode("found").alias("pos", "a"),
+    summaries = common.exploded(
+        pages, "found", "a", "run_id", "company", "company_ord", "page_no", "fetched_at", "url",
     ).select(
         "run_id", "company", "company_ord", "page_no", "pos", "fetched_at", "url",
         F.col("a.id").alias("summary_id"),

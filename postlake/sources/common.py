@@ -51,7 +51,16 @@ def details(captures: DataFrame, rules: DataFrame, source: str, *fields: Column)
 def explode_objects(pages: DataFrame, values: str, name: str = "v") -> DataFrame:
     """One row per object element with its position; other elements are dropped."""
     keep = [F.col(c) for c in pages.columns if c != values]
-    return pages.select(*keep, F.posexplode(values).alias("pos", name)).where(V.is_object(name))
+    return exploded(pages, values, name, *keep).where(V.is_object(name))
+
+
+def exploded(pages: DataFrame, values: str, name: str, *keep: Column | str) -> DataFrame:
+    """One row per element with its position.
+
+    Pages without elements are dropped after the explode: for a plain one Spark adds a filter on the array's size below
+    it, which parses every page again.
+    """
+    return pages.select(*keep, F.posexplode_outer(values).alias("pos", name)).where("pos is not null")
 
 
 def postings(df: DataFrame, source: str, **fields: Column) -> DataFrame:

@@ -60,9 +60,8 @@ def table_rows(html: Column | str) -> Column:
 def parse_successfactors_xml(captures: DataFrame, rules: DataFrame) -> DataFrame:
     feeds = captures.where(X.is_xml("body"))
     pages = common.list_pages(feeds, rules, SOURCE, X.xml_feed("body").alias("feed"))
-    fields = pages.select(
-        "run_id", "company", "company_ord", "page_no", "fetched_at",
-        F.posexplode("feed.records").alias("pos", "f"),
+    fields = common.exploded(
+        pages, "feed.records", "f", "run_id", "company", "company_ord", "page_no", "fetched_at"
     )
     url = X.first_field("f", *URL_KEYS)
     staged = fields.withColumns(
@@ -90,9 +89,8 @@ def parse_successfactors_xml(captures: DataFrame, rules: DataFrame) -> DataFrame
 def parse_successfactors_html(captures: DataFrame, rules: DataFrame) -> DataFrame:
     boards = captures.where(~X.is_xml("body"))
     pages = common.list_pages(boards, rules, SOURCE, table_rows("body").alias("found"))
-    summaries = pages.select(
-        "run_id", "company", "company_ord", "page_no", "fetched_at", "url", "fetch_details",
-        F.posexplode("found").alias("pos", "a"),
+    summaries = common.exploded(
+        pages, "found", "a", "run_id", "company", "company_ord", "page_no", "fetched_at", "url", "fetch_details",
     ).select(
         "run_id", "company", "company_ord", "page_no", "pos", "fetched_at", "url", "fetch_details",
         F.col("a.id").alias("summary_id"),

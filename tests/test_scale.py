@@ -37,3 +37,23 @@ def test_linked_pages_are_handed_on_in_small_pieces():
     whole = pd.concat(parts)
     assert [links[0]["attrs"] for links in whole["links"][:500]] == [f' href="/{i}"' for i in range(500)]
     assert [len(links) for links in whole["links"][500:]] == [0, 0, 0]
+
+
+def test_pages_are_parsed_once_for_their_elements(spark):
+    pages = spark.createDataFrame([(1, "a b"), (2, None), (3, "c")], "page int, body string").select(
+        "page", F.expr("filter(split(body, ' '), x -> x <> 'c')").alias("found")
+    )
+    rows = common.exploded(pages, "found", "a", "page")
+    assert [tuple(r) for r in rows.orderBy("page", "pos").collect()] == [(1, 0, "a"), (1, 1, "b")]
+    assert _optimised(rows).count("split(") == 1
+
+
+def test_pages_are_built_in_as_many_tasks_as_rows_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(sites, "TASK_ROWS", 10)
+    rows = spark.range(1000).selectExpr("id as n", "id div 80 as c", "concat('Firm ', id div 80) as company", "id div 10 % 8 as page_no", "id % 10 as pos")
+    dealt = sites.spread(rows)
+    assert dealt.rdd.getNumPartitions() == 100
+    docs = sites.packed(dealt, F.col("n").cast("string"), ",")
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert docs.count() == 100
