@@ -187,9 +187,10 @@ def contains_any(norm: str, keywords: str) -> Column:
     """Original keywords whose normal form occurs in the text, in list order.
 
     Both arguments name columns. A keyword without letters or digits has an empty normal form and
-    occurs everywhere.
+    occurs everywhere. The text is bound outside the filter: an expression that Spark puts in the name's place is
+    evaluated once per row, not once per keyword.
     """
-    return F.expr(f"transform(filter({keywords}, k -> contains({norm}, k.norm)), k -> k.raw)")
+    return F.expr(let_sql(norm, lambda n: f"transform(filter({keywords}, k -> contains({n}, k.norm)), k -> k.raw)"))
 
 
 def job_text(*norms: Column | str) -> Column:

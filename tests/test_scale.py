@@ -39,6 +39,15 @@ def test_linked_pages_are_handed_on_in_small_pieces():
     assert [len(links) for links in whole["links"][500:]] == [0, 0, 0]
 
 
+def test_a_text_is_normalised_once_for_all_keywords(spark):
+    rows = spark.createDataFrame([("Ein Café",), (None,)], "t string")
+    keywords = F.array(F.lit("cafe"), F.lit("--"), F.lit("tea"))
+    hits = rows.select(norm_text("t").alias("n"), with_norms(keywords).alias("k")).select(contains_any("n", "k").alias("hits"))
+    assert [r.hits for r in hits.collect()] == [["cafe", "--"], ["--"]]
+    tests = re.findall(r"contains\((\w+ \w+)", _optimised(hits), re.IGNORECASE)
+    assert tests and all(t.startswith("lambda ") for t in tests)
+
+
 def test_pages_are_parsed_once_for_their_elements(spark):
     pages = spark.createDataFrame([(1, "a b"), (2, None), (3, "c")], "page int, body string").select(
         "page", F.expr("filter(split(body, ' '), x -> x <> 'c')").alias("found")
