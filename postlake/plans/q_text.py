@@ -25,8 +25,8 @@ ORDER_ROWS = f"with site as ({sites.ORDERS_SQL})"
 
 
 def _details(spark: SparkSession, sf_dir: str, body) -> DataFrame:
-    """Detail pages built from `part`, one row each."""
-    return sites.parts(spark, sf_dir).select("n", body.alias("body"))
+    """Detail pages built from `part`, one row each, in as many tasks as their number asks for."""
+    return sites.spread(sites.parts(spark, sf_dir)).select("n", body.alias("body"))
 
 
 # -- table jobs ---------------------------------------------------------------------------------
@@ -473,7 +473,7 @@ def c29(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('[{"address":{"addressLocality":"A'), F.col("o_custkey").cast("string"),
         F.lit('","addressCountry":{"name":"US"}}},{"address":{}},{"address":{"streetAddress":"B"}}]'),
     )
-    rows = sites.orders(spark, sf_dir).select("n", F.parse_json(place).alias("v"), F.parse_json(listed).alias("l"))
+    rows = sites.spread(sites.orders(spark, sf_dir)).select("n", F.parse_json(place).alias("v"), F.parse_json(listed).alias("l"))
     return rows.select("n", smartrecruiters.location_text(F.col("v")).alias("location"), H.json_ld_location("l", street_fallback=True).alias("listed"))
 
 
