@@ -12,7 +12,7 @@ from postlake.functions.html import linked_articles
 from postlake.functions.text import norm_text
 from postlake.functions.xml import xml_feed
 from postlake.operators.rules import contains_any, with_norms
-from postlake.plans import sites
+from postlake.plans import q_runs, sites
 from postlake.sources import common
 
 
@@ -66,3 +66,25 @@ def test_pages_are_built_in_as_many_tasks_as_rows_ask_for(spark, monkeypatch):
     plan = docs._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert docs.count() == 100
+
+
+def test_postings_of_two_batches_are_decided_once(spark, monkeypatch):
+    decisions = spark.sparkContext.accumulator(0)
+
+    def decide(key: str) -> str:
+        decisions.add(1)
+        return "matched"
+
+    def decided(_spark, _sf_dir):
+        rows = spark.range(6).selectExpr(
+            "id as l_orderkey", "id as l_partkey", "1 as l_linenumber", "concat('k', id div 2) as dedup_key", "id as company_ord",
+            *[f"'x' as {c}" for c in ["company", "title", "location", "department", "employment_type", "match_reason", "posting_url",
+              "application_url", "source", "source_job_id", "description", "matched_keywords"]],
+            "date'2026-07-20' as date_posted", "timestamp'2026-07-20 06:00:00' as fetched_at",
+        )
+        return rows.withColumn("match_status", F.udf(decide)("dedup_key"))
+
+    monkeypatch.setattr(q_runs, "star_decided", decided)
+    stored = q_runs.s17(spark, "unused").collect()
+    assert sorted((r.batch, r.deduplication_key) for r in stored) == [("b0", "k0"), ("b0", "k1"), ("b0", "k2")]
+    assert decisions.value <= 12
