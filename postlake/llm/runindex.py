@@ -14,7 +14,7 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
    order from the samples. Positions with `length` or more mark a repeat.
 4. An anchor with more than GROUP differing contexts, such as the edge of a passage that very many
    documents share, would not fit a task: its strings are counted by hash in shuffles instead, first in
-   blocks and one by one only where a block is neither unique nor repeated as a whole.
+   blocks, then in smaller ones, and one by one only where these are neither unique nor repeated as a whole.
 
 Hashes are 64 bits wide and compared in pairs (anchor and context, or anchor and string).
 
@@ -38,8 +38,8 @@ LENGTH = 200
 K = 32
 #: Differing contexts of one anchor that a task indexes; more are counted in a shuffle.
 GROUP = 1_000
-#: Strings of a context that are counted as one block first.
-BLOCK = 16
+#: Strings of a context that are counted as one block first, and next; the first is a multiple of the second.
+BLOCK, FINE = 16, 4
 #: Bytes indexed at once, and window starts worked on at once.
 INDEX_BYTES = 600_000
 PIECE = 1_500_000
@@ -246,15 +246,39 @@ def _indexed(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.mapInArrow(run, f"{_ID}, first long, last long")
 
 
+def _cut(prefix: np.ndarray, anchor: np.ndarray, far: np.ndarray, near: np.ndarray, size: int, length: int) -> tuple[np.ndarray, ...]:
+    """(owner, far, near, core) of the blocks of `size` strings, by distance from the anchor, of some contexts.
+
+    Distances fall from `far` to `near` along the strings of a context. core: hash of the bytes that all strings of
+    such a block share.
+    """
+    high, low = far // size, near // size
+    number = high - low + 1
+    each = np.repeat(np.arange(len(far)), number)
+    block = np.repeat(high, number) - (np.arange(len(each)) - np.repeat(np.cumsum(number) - number, number))
+    shared = anchor[each] - block * size
+    core = signed(span_hash(prefix, shared, shared + length - size + 1))
+    return each, np.minimum(far[each], block * size + size - 1), np.maximum(near[each], block * size), core
+
+
+def _bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """data[start : start + size] of each, as a binary column."""
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data[spread(start, size)])])
+
+
+_BLOCKS = f"{_ID}, at long, h long, context binary, core long, far long, own boolean"
+
+
 def _with_context(parts: DataFrame, rows: DataFrame, length: int, blocks: bool) -> DataFrame:
     """Contexts (row_id, row_hash, at, h, context) of `parts`.
 
-    With `blocks` the strings of a context are cut into blocks by their distance from the anchor; a row is
-    a block, `at` its first string, and `core` a hash of the bytes that all strings of such a block share.
+    With `blocks` the strings of a context are cut into blocks (see `_cut`); a row is a block, `at` its first
+    string, `far` that string's distance from the anchor, and all blocks are `own`.
     """
     listed = parts.groupBy(*_KEYS).agg(F.collect_list(F.struct("at", "shape", "h")).alias("parts"))
     joined = listed.join(rows, _KEYS)
-    names = [*_KEYS, "at", "h", "context", *(["core"] if blocks else [])]
+    names = [*_KEYS, "at", "h", "context", *(["core", "far", "own"] if blocks else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -268,33 +292,43 @@ def _with_context(parts: DataFrame, rows: DataFrame, length: int, blocks: bool)
                 at, shape, h = (inner.field(k).to_numpy() for k in ("at", "shape", "h"))
                 shape = shape.astype(np.int64)
                 start, more, far = ends[row] + at, shape % 4096, shape // 4096
-                core = None
+                cut = []
                 if blocks:
-                    # Distances fall from `far` to `far - more` along the strings of a context.
-                    high, low = far // BLOCK, (far - more) // BLOCK
-                    number = high - low + 1
-                    each = np.repeat(np.arange(len(at)), number)
-                    block = np.repeat(high, number) - (np.arange(len(each)) - np.repeat(np.cumsum(number) - number, number))
-                    anchor = (start + far)[each]
-                    first = np.minimum(far[each], block * BLOCK + BLOCK - 1)
-                    last = np.maximum((far - more)[each], block * BLOCK)
-                    start, more, row, h = anchor - first, first - last, row[each], h[each]
-                    shared = anchor - block * BLOCK
-                    core = signed(span_hash(prefix_hash(data), shared, shared + length - BLOCK + 1))
-                size = more + length
-                context = pa.Array.from_buffers(
-                    pa.binary(), len(size),
-                    [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(data[spread(start, size)])],
-                )
+                    anchor = start + far
+                    each, far, near, core = _cut(prefix_hash(data), anchor, far, far - more, BLOCK, length)
+                    start, more, row, h = anchor[each] - far, far - near, row[each], h[each]
+                    cut = [pa.array(core), pa.array(far), pa.array(np.ones(len(far), bool))]
                 keys = [pa.array(batch.column(c).to_numpy()[row]) for c in _KEYS]
-                made = [*keys, pa.array(start - ends[row]), pa.array(h), context, *([pa.array(core)] if blocks else [])]
+                made = [*keys, pa.array(start - ends[row]), pa.array(h), _bytes(data, start, more + length), *cut]
                 yield pa.RecordBatch.from_arrays(made, names)
 
-    return joined.mapInArrow(run, f"{_ID}, at long, h long, context binary" + ", core long" * blocks)
+    return joined.mapInArrow(run, _BLOCKS if blocks else f"{_ID}, at long, h long, context binary")
+
+
+def _finer(blocks: DataFrame, length: int) -> DataFrame:
+    """The blocks cut into blocks of FINE strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in range(0, whole.num_rows, 5_000):
+                batch = whole.slice(b, 5_000)
+                data, ends = flat(batch.column("context"))
+                far = batch.column("far").to_numpy()
+                anchor = ends[:-1] + far
+                each, first, near, core = _cut(prefix_hash(data), anchor, far, far - (np.diff(ends) - length), FINE, length)
+                start = anchor[each] - first
+                ids, hashes, at, h = (pa.array(batch.column(c).to_numpy()[each]) for c in (*_KEYS, "at", "h"))
+                at = pa.array(at.to_numpy() + start - ends[each])
+                context = _bytes(data, start, first - near + length)
+                own = pa.array(batch.column("own").to_numpy(zero_copy_only=False)[each])
+                made = [ids, hashes, at, h, context, pa.array(core), pa.array(first), own]
+                yield pa.RecordBatch.from_arrays(made, [*_KEYS, "at", "h", "context", "core", "far", "own"])
+
+    return blocks.mapInArrow(run, _BLOCKS)
 
 
 def _windows(blocks: DataFrame, length: int) -> DataFrame:
-    """(row_id, row_hash, at, h, w): the hash of each string of some blocks."""
+    """(row_id, row_hash, at, h, w, own): the hash of each string of some blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -307,34 +341,46 @@ def _windows(blocks: DataFrame, length: int) -> DataFrame:
                 w = signed(span_hash(prefix_hash(data), start, start + length))
                 at = batch.column("at").to_numpy()[row] + start - ends[row]
                 keys = [pa.array(batch.column(c).to_numpy()[row]) for c in _KEYS]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(at), pa.array(batch.column("h").to_numpy()[row]), pa.array(w)], [*_KEYS, "at", "h", "w"])
+                own = batch.column("own").to_numpy(zero_copy_only=False)[row]
+                made = [*keys, pa.array(at), pa.array(batch.column("h").to_numpy()[row]), pa.array(w), pa.array(own)]
+                yield pa.RecordBatch.from_arrays(made, [*_KEYS, "at", "h", "w", "own"])
 
-    return blocks.mapInArrow(run, f"{_ID}, at long, h long, w long")
+    return blocks.select(*_KEYS, "at", "h", "context", "own").mapInArrow(run, f"{_ID}, at long, h long, w long, own boolean")
 
 
-def _counted(contexts: DataFrame, length: int) -> DataFrame:
-    """(row_id, row_hash, first, last): repeated strings of blocks by counting, from coarse to fine.
+def _settled(blocks: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Repeated strings (row_id, row_hash, first, last) of blocks that repeat as a whole, and the blocks to cut finer.
 
-    A block whose core is unique has no repeat; one that occurs twice as a whole repeats throughout; only the
-    strings of the others, at the edges of what repeats, are counted one by one.
+    A block whose core is unique has no repeat; one that occurs twice as a whole repeats throughout. The others
+    go on, and so does one of each repeated block with the core of such a one, as its strings may occur there too:
+    it is not `own`, that is, counted but not reported.
     """
-    whole = F.xxhash64("context")
-    blocks = materialize(contexts.withColumn("whole", whole), "blocks")
+    blocks = materialize(blocks.withColumn("whole", F.xxhash64("context")), "blocks")
     cores = blocks.groupBy("h", "core").agg(F.count("*").alias("n")).filter("n > 1").select("h", "core")
     wholes = blocks.groupBy("h", "whole").agg(F.count("*").alias("n")).filter("n > 1").select("h", "whole", F.lit(True).alias("again"))
     alive = blocks.join(cores, ["h", "core"], "left_semi").join(wholes, ["h", "whole"], "left")
     alive = materialize(alive, "alive")
     last = F.col("at") + F.octet_length("context") - length
-    settled = alive.filter("again").select(*_KEYS, F.col("at").alias("first"), last.alias("last"))
-    edges = alive.filter("again is null")
-    strings = _windows(edges.select(*_KEYS, "at", "h", "context"), length)
-    # A string at an edge may also occur inside a block that repeats: one of each of these is counted.
-    inner = alive.filter("again").join(edges.select("h", "core").distinct(), ["h", "core"], "left_semi")
-    inner = inner.groupBy("h", "whole").agg(F.min(F.struct(*_KEYS, "at", "context")).alias("one"))
-    counted = strings.unionByName(_windows(inner.select("one.*", "h").select(*_KEYS, "at", "h", "context"), length))
-    often = counted.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w")
-    found = strings.join(often, ["h", "w"]).select(*_KEYS, F.col("at").alias("first"), F.col("at").alias("last"))
-    return settled.unionByName(found)
+    settled = alive.filter("own and again").select(*_KEYS, F.col("at").alias("first"), last.alias("last"))
+    edges = alive.filter("own and again is null")
+    inner = alive.filter("again or not own").join(edges.select("h", "core").distinct(), ["h", "core"], "left_semi")
+    one = F.min(F.struct(*_KEYS, "at", "context", "core", "far")).alias("one")
+    inner = inner.groupBy("h", "whole").agg(one).select("one.*", "h", F.lit(False).alias("own"))
+    return settled, edges.select(inner.columns).unionByName(inner)
+
+
+def _counted(contexts: DataFrame, length: int) -> DataFrame:
+    """(row_id, row_hash, first, last): repeated strings of blocks by counting, from coarse to fine.
+
+    Only the strings of small blocks at the edges of what repeats are counted one by one, FINE for each at most.
+    """
+    coarse, edges = _settled(contexts, length)
+    fine, edges = _settled(_finer(edges, length), length)
+    # Written: they are counted, and joined to what was counted.
+    strings = materialize(_windows(edges, length), "strings")
+    often = strings.groupBy("h", "w").agg(F.count("*").alias("n")).filter("n > 1").select("h", "w")
+    found = strings.filter("own").join(often, ["h", "w"]).select(*_KEYS, F.col("at").alias("first"), F.col("at").alias("last"))
+    return coarse.unionByName(fine).unionByName(found)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

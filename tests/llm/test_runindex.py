@@ -98,3 +98,29 @@ def test_long_text_in_pieces(monkeypatch):
             assert not starts & more
             starts |= more
     assert starts == set(range(3000 - 200 + 1))
+
+
+def test_few_strings_of_a_hot_anchor_are_made(spark, monkeypatch):
+    """Strings are made one by one at the edges of repeats only, and once."""
+    monkeypatch.setattr(runindex, "GROUP", 3)
+    made = spark.sparkContext.accumulator(0)
+    windows = runindex._windows
+
+    def counted(blocks, length):
+        out = windows(blocks, length)
+
+        def run(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        return out.mapInArrow(run, out.schema)
+
+    monkeypatch.setattr(runindex, "_windows", counted)
+    draw = random.Random(5)
+    passage = "".join(draw.choices("abcdefgh ", k=420))
+    texts = ["".join(draw.choices("xyz", k=50)) + passage[:k] + "#" + passage[k + 1 :] for k in draw.choices(range(420), k=300)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = runindex.digest(runindex.without_repeats(table)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(list(enumerate(texts)), 200)
+    assert 0 < made.value < 10_000
