@@ -23,8 +23,16 @@ def sub_sql(v: str, *keys: str) -> str:
 
 
 def text_sql(v: str, *keys: str) -> str:
+    """Only short texts and zeros can be missing values; JSON, which is slow to write, is written for these alone."""
     where = q(path(*keys))
-    return f"if(to_json(try_variant_get({v}, {where}, 'variant')) not in {_BLANK}, try_variant_get({v}, {where}, 'string'), null)"
+    text = f"try_variant_get({v}, {where}, 'string')"
+    present = f"to_json(try_variant_get({v}, {where}, 'variant')) not in {_BLANK}"
+    return f"if((length({text}) > 5 and not startswith({text}, '0')) or {present}, {text}, null)"
+
+
+def object_sql(v: str) -> str:
+    """Whether a value is an object: nothing else can be read as one, of however few fields."""
+    return f"(try_variant_get({v}, '$', 'struct<>') is not null)"
 
 
 def sub(v: Column | str, *keys: str) -> Column:
@@ -41,7 +49,7 @@ def truthy(v: Column | str) -> Column:
 
 
 def is_object(v: Column | str) -> Column:
-    return _starts(v, "{")
+    return bind(v, object_sql)
 
 
 def is_array(v: Column | str) -> Column:
@@ -87,7 +95,7 @@ def items(v: Column | str, *keys: str) -> Column:
 
 def objects(values: Column | str) -> Column:
     """Only the object elements of an ARRAY<VARIANT>."""
-    return bind(values, lambda x: f"filter({x}, e -> startswith(to_json(e), '{{'))")
+    return bind(values, lambda x: f"filter({x}, e -> {object_sql('e')})")
 
 
 def as_map(v: Column | str) -> Column:

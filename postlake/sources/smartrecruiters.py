@@ -74,7 +74,8 @@ def parse_smartrecruiters(captures: DataFrame, rules: DataFrame) -> DataFrame:
         "doc",
     )
     listed = pages.withColumn("jobs", V.objects("doc.content")).drop("doc")
-    rows = common.explode_objects(listed, "jobs", "raw").withColumn(
+    kept = [c for c in listed.columns if c != "jobs"]
+    rows = common.exploded(listed, "jobs", "raw", *kept).withColumn(
         "detail_key",
         F.when(F.col("fetch_details"), detail_reference(F.col("raw"), F.col("endpoint"))),
     )

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from postlake.functions import batches
+from postlake.functions import variants as V
 from postlake.functions.html import linked_articles
 from postlake.functions.text import norm_text
 from postlake.functions.xml import xml_feed
@@ -88,3 +89,17 @@ def test_postings_of_two_batches_are_decided_once(spark, monkeypatch):
     stored = q_runs.s17(spark, "unused").collect()
     assert sorted((r.batch, r.deduplication_key) for r in stored) == [("b0", "k0"), ("b0", "k1"), ("b0", "k2")]
     assert decisions.value <= 12
+
+
+def test_values_are_tested_without_writing_them_as_json(spark):
+    """Objects are told from other values, and missing ones from present ones, as their JSON would tell."""
+    blank = ["null", '""', "0", "0.0", "false", "[]", "{}"]
+    values = [*blank, '{"a":"b"}', "[{}]", "1", "-1.5", "true", '"0"', '"0.0"', '"00000000"', '"false"', '"null"', '"{}"', '"{"', '"      "', '"a longer text"', "0.000000001", "123456789"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None])], "i int, j string").select("i", "j", F.try_parse_json("j").alias("v"))
+    got = rows.select("j", V.is_object("v").alias("object"), V.scalar("v").alias("text"), F.expr("try_variant_get(v, '$', 'string')").alias("whole"))
+    for r in got.collect():
+        assert r.object == (r.j is not None and r.j.startswith("{"))
+        assert r.text == (None if r.j is None or r.j in blank else r.whole)
+    assert "to_json" not in str(V.is_object("v")) and "to_json" not in str(V.objects("v"))
+    told = V.text_sql("v", "id")
+    assert told.index("length(") < told.index("to_json(")
