@@ -201,6 +201,9 @@ def job_text(*norms: Column | str) -> Column:
     return F.concat_ws(" ", *[nonempty(c) for c in norms])
 
 
+NORMS = ["n_title", "n_description", "n_department", "n_location", "n_employment"]
+
+
 def normalise_fields(postings: DataFrame) -> DataFrame:
     """Normal forms the ladder reads."""
     return postings.withColumns(
@@ -254,9 +257,13 @@ def evaluate(postings: DataFrame, rules: DataFrame, keep_norms: bool = False) ->
 
     With `keep_norms` the normal forms that the deduplication key needs stay for `with_dedup_key`.
     The join carries no hint: a small rule table is broadcast by its size, a large one is shuffled
-    and a company that holds much of the data is split by adaptive execution.
+    and a company that holds much of the data is split by adaptive execution. Texts are normalised
+    after it, so that only the texts are shuffled, and handed on as a generated row: a filter on the decisions stays
+    above it, where in a plain projection it would take a copy of a normal form for each of its uses.
     """
-    joined = normalise_fields(postings).join(rules, ["company", "company_ord"])
+    both = postings.join(rules, ["company", "company_ord"])
+    normed = normalise_fields(both).select(*both.columns, F.explode_outer(F.array(F.struct(*NORMS))).alias("_n"))
+    joined = normed.select(*both.columns, "_n.*")
     whole = job_text("n_title", "n_description", "n_department", "n_location", "n_employment")
     hits = joined.withColumn("n_all", whole).withColumns(
         {

@@ -12,7 +12,7 @@ from postlake.functions import variants as V
 from postlake.functions.html import linked_articles
 from postlake.functions.text import norm_text
 from postlake.functions.xml import xml_feed
-from postlake.operators.rules import contains_any, with_norms
+from postlake.operators.rules import GlobalFilters, contains_any, effective_rules, evaluate, with_norms
 from postlake.plans import q_runs, sites
 from postlake.sources import common
 
@@ -91,6 +91,23 @@ def test_postings_of_two_batches_are_decided_once(spark, monkeypatch):
     assert decisions.value <= 12
 
 
+def test_texts_are_normalised_after_the_rules_join(spark):
+    """Normal forms are not shuffled, and a filter on the decisions holds no copies of them."""
+    fields = ["company", "title", "description", "department", "location", "employment_type"]
+    rows = [("Acme", "Big  Gizmo", None, "R&D", "Berlin", ""), ("Acme", "Old Gizmo", "x", None, "Paris", "Full")]
+    postings = spark.createDataFrame([(*r, 1) for r in rows], ", ".join(f"{f} string" for f in fields) + ", company_ord long")
+    filters = GlobalFilters(title_keywords=["gizmo"], exclude_keywords=[], locations=["berlin", "paris"], seniority_exclude=["old"])
+    none = [F.array().cast("array<string>").alias(n) for n in ("title_keywords_include", "title_keywords_exclude", "description_keywords_include", "location_filters", "employment_types")]
+    companies = postings.select("company", "company_ord", *none).distinct()
+    rules = effective_rules(companies, filters)
+    rules = spark.createDataFrame(rules.collect(), rules.schema)
+    matched = evaluate(postings, rules).where("match_status = 'matched'")
+    assert [(r.title, r.matched_keywords, r.reason_class) for r in matched.collect()] == [("Big  Gizmo", ["gizmo"], "matched")]
+    above, below = _optimised(matched).split("Join Inner")
+    assert "lower(" not in below
+    assert above.count("lower(") == 5
+
+
 def test_values_are_tested_without_writing_them_as_json(spark):
     """Objects are told from other values, and missing ones from present ones, as their JSON would tell."""
     blank = ["null", '""', "0", "0.0", "false", "[]", "{}"]
