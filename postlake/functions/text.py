@@ -97,11 +97,16 @@ def fold_sql(x: str) -> str:
     widened = f"if({x} rlike {several_class}, array_join({spelled}, ''), {x})"
     other = q(r"[^\x00-\x7F]")
     folded = f"regexp_replace(translate({widened}, {q(single_from)}, {q(single_to)}), {other}, '')"
-    return f"if({x} rlike {other}, {folded}, {x})"
+    # As many bytes as characters: ASCII, found without a pattern. Broken UTF-8 is not, whatever its count.
+    return f"if(octet_length({x}) = char_length({x}) and is_valid_utf8({x}), {x}, {folded})"
+
+
+#: ASCII but lower-case letters and digits, each by itself: a bit set to `java.util.regex`, which ranges and complements are not.
+_NO_WORD = "[" + "".join(f"\\x{point:02x}" for point in range(0x80) if not (chr(point).isdigit() or chr(point).islower())) + "]"
 
 
 def norm_sql(x: str) -> str:
-    return f"coalesce(trim(regexp_replace(lower({fold_sql(x)}), '[^a-z0-9]+', ' ')), '')"
+    return f"coalesce(trim(regexp_replace(lower({fold_sql(x)}), {q(_NO_WORD + '+')}, ' ')), '')"
 
 
 def norm_text(c: Column | str) -> Column:

@@ -120,3 +120,11 @@ def test_values_are_tested_without_writing_them_as_json(spark):
     assert "to_json" not in str(V.is_object("v")) and "to_json" not in str(V.objects("v"))
     told = V.text_sql("v", "id")
     assert told.index("length(") < told.index("to_json(")
+
+
+def test_plain_texts_are_normalised_without_a_search_for_other_characters(spark):
+    rows = spark.createDataFrame([(1, b"A_b-C 9\x7f"), (2, "Caf\u00e9 \ufb01".encode()), (3, b"a\x80b"), (4, b"")], "i int, b binary")
+    texts = rows.select("i", norm_text(F.col("b").cast("string")).alias("n"))
+    assert [r.n for r in texts.orderBy("i").collect()] == ["a b c 9", "cafe fi", "ab", ""]
+    plan = _optimised(rows.select(F.col("b").cast("string").alias("t")).select(norm_text("t")))
+    assert "octet_length" in plan and "is_valid_utf8" in plan.lower()
