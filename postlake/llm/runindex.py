@@ -8,10 +8,11 @@ A byte goes if a string of `length` bytes that covers it also starts anywhere el
    form its context.
 2. Where all contexts of an anchor are equal, or a context has an equal, all its strings repeat. This
    settles the inside of copies, however many there are.
-3. The differing contexts of an anchor go to one task and are indexed there: suffix order, Burrows-Wheeler
-   transform, its runs, and the order's entries at both ends of each run. The matching statistics of the text
-   against the rest are exact at run ends and lose one per byte in between, so they are streamed in text
-   order from the samples. Positions with `length` or more mark a repeat.
+3. The differing contexts of an anchor go to one task. Equal strings stand at the same distance from their
+   anchor, so a block of strings whose core is alone at its distance is left out; the rest is indexed there:
+   suffix order, Burrows-Wheeler transform, its runs, and the order's entries at both ends of each run. The
+   matching statistics of the text against the rest are exact at run ends and lose one per byte in between,
+   so they are streamed in text order from the samples. Positions with `length` or more mark a repeat.
 4. An anchor with more than GROUP differing contexts, such as the edge of a passage that very many
    documents share, would not fit a task: its strings are counted by hash in shuffles instead, first in
    blocks, then in smaller ones, and one by one only where these are neither unique nor repeated as a whole.
@@ -42,10 +43,14 @@ GROUP = 1_000
 BLOCK, FINE = 16, 4
 #: Bytes indexed at once, and window starts worked on at once.
 INDEX_BYTES = 600_000
-PIECE = 1_500_000
+PIECE = 250_000
 #: Bytes of text whose contexts are cut out at once.
 CONTEXT_BYTES = 2_000_000
 
+#: Bits of an order's entry that hold the place, and a factor that spreads the hash over the others.
+_PLACE = np.uint64((1 << 24) - 1)
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
+
 _ID = "row_id long, row_hash long"
 _KEYS = ["row_id", "row_hash"]
 
@@ -58,14 +63,12 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Least of each `width` neighbours: by block-wise running minima from both sides."""
-    n = len(x)
-    padded = np.full(-(-n // width) * width, np.iinfo(x.dtype).max, x.dtype)
-    padded[:n] = x
-    blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).reshape(-1)
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
+    """Least of each `width` neighbours, by doubling the width. `x` is overwritten."""
+    have = 1
+    while have * 2 <= width:
+        x = np.minimum(x[:-have], x[have:], out=x[:-have])
+        have *= 2
+    return np.minimum(x[: len(x) - width + have], x[width - have :]) if have < width else x
 
 
 def _flat_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -76,26 +79,30 @@ def _flat_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndar
     """
     if len(data) < length:
         return tuple(np.zeros(0, t) for t in (np.int64,) * 4 + (np.uint64,) * 2)
-    n = len(data)
     prefix = prefix_hash(data)
-    _, down = powers(n + 1)
-    pieces = n - K + 1
-    hashes = mix((prefix[K:] - prefix[:pieces]) * down[:pieces])
-    order = (hashes >> np.uint64(24) << np.uint64(24)) | np.arange(pieces, dtype=np.uint64)
-    least = (_sliding_min(order, length - K + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
-    starts = np.arange(len(least))
-    row = np.searchsorted(ends, starts, "right") - 1
-    inside = starts + length <= ends[row + 1]
-    starts, row, least = starts[inside], row[inside], least[inside]
-    if not len(starts):
-        return tuple(np.zeros(0, t) for t in (np.int64,) * 4 + (np.uint64,) * 2)
-    new = np.append(True, (least[1:] != least[:-1]) | (row[1:] != row[:-1]))
-    heads = np.flatnonzero(new)
-    first, last = starts[heads], starts[np.append(heads[1:], len(starts)) - 1]
-    row, anchor = row[heads], least[heads]
-    context = span_hash(prefix, first, last + length)
+    pieces = len(data) - K + 1
+    order = prefix[K:] - prefix[:pieces]
+    order *= powers(pieces)[1]
+    # A few steps of `mix` are enough to choose by; the low bits hold the place, so equal entries are one place.
+    order ^= order >> np.uint64(32)
+    order *= _SPREAD
+    order &= ~_PLACE
+    order |= np.arange(pieces, dtype=np.uint64)
+    least = _sliding_min(order, length - K + 1)
+    new = np.ones(len(least), bool)
+    np.not_equal(least[1:], least[:-1], out=new[1:])
+    # A run ends with its text's last string, and starts with its first.
+    edges = np.concatenate([ends[:-1], ends[1:] - length + 1])
+    new[edges[(edges >= 0) & (edges < len(new))]] = True
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(new)) - 1
+    row = np.searchsorted(ends, first, "right") - 1
+    inside = first + length <= ends[row + 1]
+    first, last, row = first[inside], last[inside], row[inside]
+    anchor = (least[first] & _PLACE).astype(np.int64)
     base = ends[row]
-    return row, anchor - base, first - base, last - base, hashes[anchor], context
+    context = span_hash(prefix, first, last + length)
+    return row, anchor - base, first - base, last - base, span_hash(prefix, anchor, anchor + K), context
 
 
 def _pieces(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -143,25 +150,35 @@ class RunIndex:
         text = np.repeat(np.arange(len(starts)), stops - starts)
         n = len(data)
         at = np.arange(n)
-        key = np.zeros(n, np.int64)
-        for j in range(7):
-            place = at + j
-            sign = np.where(place < self.stop, data[np.minimum(place, n - 1)].astype(np.int64) + 1, 0)
-            key = key << 9 | sign
+        rest = self.stop - at
+        key = data.astype(np.int64) + 1
+        for width, used in ((1, 1), (2, 2), (4, 3)):  # one sign, two, four, seven
+            after = np.zeros(n, np.int64)
+            after[:-width] = key[width:] >> 9 * (width - used)
+            after[rest <= width] = 0
+            key = key << 9 * used | after
         self.levels: list[tuple[int, np.ndarray]] = []
         order = np.argsort(key)
-        step = 7
+        ranked = key[order]
+        new = np.append(True, ranked[1:] != ranked[:-1])
+        slots, rank = at, np.empty(n, np.int64)
+        members, step = order, 7
         while True:
-            ranked = key[order]
-            rank = np.zeros(n, np.int64)
-            rank[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1]))
+            # A group's rank is the first of its places in the order; only groups of two or more go on.
+            rank[members] = np.maximum.accumulate(np.where(new, slots, 0))
             self.levels.append((step, rank))
-            if rank[order[-1]] == n - 1:
+            going = ~(new & np.append(new[1:], True))
+            if not going.any():
                 break
-            place = at + step
-            after = np.where(place < self.stop, rank[np.minimum(place, n - 1)] + len(starts), len(starts) - 1 - text)
-            key = rank * (n + len(starts) + 1) + after
-            order = np.argsort(key)
+            slots, members = slots[going], members[going]
+            place = np.minimum(members + step, n - 1)
+            after = np.where(step < rest[members], rank[place] + len(starts), len(starts) - 1 - text[members])
+            key = rank[members] * (n + len(starts) + 1) + after
+            sort = np.argsort(key)
+            members, key = members[sort], key[sort]
+            order[slots] = members
+            new = np.append(True, key[1:] != key[:-1])
+            rank = rank.copy()
             step *= 2
         self.data, self.order, self.rank = data, order, rank
         before = np.where(at > starts[text], data[np.maximum(at - 1, 0)].astype(np.int64), -1 - text)
@@ -200,67 +217,94 @@ class RunIndex:
         return best
 
 
-def _marks(contexts: list[tuple], length: int) -> tuple[np.ndarray, ...]:
+def _cut(prefix: np.ndarray, anchor: np.ndarray, far: np.ndarray, near: np.ndarray, size: int, length: int) -> tuple[np.ndarray, ...]:
+    """(owner, far, near, core) of the blocks of `size` strings, by distance from the anchor, of some contexts.
+
+    Distances fall from `far` to `near` along the strings of a context. core: hash of the bytes that all strings of
+    such a block share.
+    """
+    high, low = far // size, near // size
+    number = high - low + 1
+    each = np.repeat(np.arange(len(far)), number)
+    block = np.repeat(high, number) - (np.arange(len(each)) - np.repeat(np.cumsum(number) - number, number))
+    shared = anchor[each] - block * size
+    core = signed(span_hash(prefix, shared, shared + length - size + 1))
+    return each, np.minimum(far[each], block * size + size - 1), np.maximum(near[each], block * size), core
+
+
+def _candidates(data: np.ndarray, ends: np.ndarray, far: np.ndarray, h: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(context, first, last): the strings of some contexts that the index has to decide, in stretches.
+
+    Equal strings stand at the same distance from the same anchor. So a block of strings whose core no other block
+    of the same anchor and distance has is left out; all contexts of an anchor are among those given.
+    """
+    near = far - (np.diff(ends) - length)
+    each, high, low, core = _cut(prefix_hash(data), ends[:-1] + far, far, near, FINE, length)
+    # Blocks of an anchor at one distance get a common key, apart from collisions, which leave out nothing.
+    key = mix(h.view(np.uint64)[each] + (high // FINE).astype(np.uint64)) ^ core.view(np.uint64)
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    held = np.zeros(len(key), bool)
+    held[order[1:]] |= same
+    held[order[:-1]] |= same
+    each, high, low = each[held], high[held], low[held]
+    new = np.append(True, (each[1:] != each[:-1]) | (high[1:] != low[:-1] - 1))[: len(each)]
+    heads = np.flatnonzero(new)
+    owner = each[heads]
+    return owner, far[owner] - high[heads], far[owner] - low[np.append(heads[1:], len(each))[: len(heads)] - 1]
+
+
+def _marks(data: np.ndarray, ends: np.ndarray, far: np.ndarray, h: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Which strings of the contexts repeat among them: (context, first string, last string) of each run."""
-    raw = [c["context"] for c in contexts]
-    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-    stops = np.cumsum(sizes)
-    index = RunIndex(np.frombuffer(b"".join(raw), np.uint8), stops - sizes, stops)
-    long = index.matching_statistics() >= length
-    owner = np.repeat(np.arange(len(raw)), sizes)
-    hit = np.flatnonzero(long)
-    if not len(hit):
+    context, first, last = _candidates(data, ends, far, h, length)
+    if not len(context):
         return (np.zeros(0, np.int64),) * 3
-    new = np.append(True, (np.diff(hit) > 1) | (np.diff(owner[hit]) > 0))
+    sizes = last - first + length
+    stops = np.cumsum(sizes)
+    index = RunIndex(data[spread(ends[context] + first, sizes)], stops - sizes, stops)
+    hit = np.flatnonzero(index.matching_statistics() >= length)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    new = np.append(True, (np.diff(hit) > 1) | (np.diff(owner[hit]) > 0))[: len(hit)]
     heads = np.flatnonzero(new)
-    first, last = hit[heads], hit[np.append(heads[1:], len(hit)) - 1]
-    base = (stops - sizes)[owner[first]]
-    return owner[first], first - base, last - base
+    tails = np.append(heads[1:], len(hit))[: len(heads)] - 1
+    stretch = owner[hit[heads]]
+    base = first[stretch] - (stops - sizes)[stretch]
+    return context[stretch], hit[heads] + base, hit[tails] + base
 
 
 def _indexed(contexts: DataFrame, length: int) -> DataFrame:
     """(row_id, row_hash, first, last): repeated strings by index. Contexts of one anchor are neighbours."""
 
+    def marked(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        data, ends = flat(table["context"])
+        at, far, h = (table[c].to_numpy() for c in ("at", "far", "h"))
+        context, first, last = _marks(data, ends, far, h, length)
+        if len(context):
+            keys = [table[c].to_numpy()[context] for c in _KEYS]
+            made = [*keys, at[context] + first, at[context] + last]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], [*_KEYS, "first", "last"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
         size, last_h = 0, None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            context, first, last = _marks(held, length)
-            at = np.array([c["at"] for c in held])[context] if len(context) else np.zeros(0, np.int64)
-            keys = [np.array([c[k] for c in held], np.int64)[context] for k in _KEYS]
-            if len(context):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys, at + first, at + last)], [*_KEYS, "first", "last"])
-
         for batch in batches:
-            for row in batch.to_pylist():
-                if size >= INDEX_BYTES and row["h"] != last_h:
-                    yield from flush()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row["context"])
-                last_h = row["h"]
+            h, ends = batch.column("h").to_numpy(), flat(batch.column("context"))[1]
+            begin = 0
+            for b in np.flatnonzero(np.append(last_h is not None, h[1:] != h[:-1])):
+                if size + ends[b] - ends[begin] >= INDEX_BYTES and (b or h[0] != last_h):
+                    held.append(batch.slice(begin, b - begin))
+                    yield from marked(held)
+                    held, size, begin = [], 0, b
+            if batch.num_rows:
+                held.append(batch.slice(begin))
+                size, last_h = size + ends[-1] - ends[begin], h[-1]
         if held:
-            yield from flush()
+            yield from marked(held)
 
     return contexts.mapInArrow(run, f"{_ID}, first long, last long")
 
 
-def _cut(prefix: np.ndarray, anchor: np.ndarray, far: np.ndarray, near: np.ndarray, size: int, length: int) -> tuple[np.ndarray, ...]:
-    """(owner, far, near, core) of the blocks of `size` strings, by distance from the anchor, of some contexts.
-
-    Distances fall from `far` to `near` along the strings of a context. core: hash of the bytes that all strings of
-    such a block share.
-    """
-    high, low = far // size, near // size
-    number = high - low + 1
-    each = np.repeat(np.arange(len(far)), number)
-    block = np.repeat(high, number) - (np.arange(len(each)) - np.repeat(np.cumsum(number) - number, number))
-    shared = anchor[each] - block * size
-    core = signed(span_hash(prefix, shared, shared + length - size + 1))
-    return each, np.minimum(far[each], block * size + size - 1), np.maximum(near[each], block * size), core
-
-
 def _bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     """data[start : start + size] of each, as a binary column."""
     ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
@@ -271,14 +315,14 @@ _BLOCKS = f"{_ID}, at long, h long, context binary, core long, far long, own boo
 
 
 def _with_context(parts: DataFrame, rows: DataFrame, length: int, blocks: bool) -> DataFrame:
-    """Contexts (row_id, row_hash, at, h, context) of `parts`.
+    """Contexts (row_id, row_hash, at, h, context, far) of `parts`; far: the first string's distance from its anchor.
 
     With `blocks` the strings of a context are cut into blocks (see `_cut`); a row is a block, `at` its first
     string, `far` that string's distance from the anchor, and all blocks are `own`.
     """
     listed = parts.groupBy(*_KEYS).agg(F.collect_list(F.struct("at", "shape", "h")).alias("parts"))
     joined = listed.join(rows, _KEYS)
-    names = [*_KEYS, "at", "h", "context", *(["core", "far", "own"] if blocks else [])]
+    names = [*_KEYS, "at", "h", "context", *(["core", "far", "own"] if blocks else ["far"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -292,7 +336,7 @@ def _with_context(parts: DataFrame, rows: DataFrame, length: int, blocks: bool)
                 at, shape, h = (inner.field(k).to_numpy() for k in ("at", "shape", "h"))
                 shape = shape.astype(np.int64)
                 start, more, far = ends[row] + at, shape % 4096, shape // 4096
-                cut = []
+                cut = [pa.array(far)]
                 if blocks:
                     anchor = start + far
                     each, far, near, core = _cut(prefix_hash(data), anchor, far, far - more, BLOCK, length)
@@ -302,7 +346,7 @@ def _with_context(parts: DataFrame, rows: DataFrame, length: int, blocks: bool)
                 made = [*keys, pa.array(start - ends[row]), pa.array(h), _bytes(data, start, more + length), *cut]
                 yield pa.RecordBatch.from_arrays(made, names)
 
-    return joined.mapInArrow(run, _BLOCKS if blocks else f"{_ID}, at long, h long, context binary")
+    return joined.mapInArrow(run, _BLOCKS if blocks else f"{_ID}, at long, h long, context binary, far long")
 
 
 def _finer(blocks: DataFrame, length: int) -> DataFrame:

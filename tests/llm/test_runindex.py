@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from postlake.llm import runindex
@@ -124,3 +125,52 @@ def test_few_strings_of_a_hot_anchor_are_made(spark, monkeypatch):
     got = runindex.digest(runindex.without_repeats(table)).collect()
     assert sorted(map(tuple, got), key=str) == brute(list(enumerate(texts)), 200)
     assert 0 < made.value < 10_000
+
+
+class InProcess:
+    """Stands for a DataFrame whose one mapInArrow runs here."""
+
+    def __init__(self, batches):
+        self.batches = batches
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return list(run(iter(self.batches)))
+
+
+@pytest.mark.parametrize("index_bytes", [1, 600_000])
+def test_index_holds_only_strings_that_may_repeat(monkeypatch, index_bytes):
+    """Contexts that share their anchor and nothing near it are not indexed; the others only around what they share."""
+    indexed = []
+
+    class Counted(runindex.RunIndex):
+        def __init__(self, data, starts, stops):
+            indexed.append(len(data))
+            super().__init__(data, starts, stops)
+
+    monkeypatch.setattr(runindex, "RunIndex", Counted)
+    monkeypatch.setattr(runindex, "INDEX_BYTES", index_bytes)
+    draw = random.Random(6)
+    said = lambda n: bytes(draw.choices(b"abcdefgh ", k=n))
+    anchor, passage = said(runindex.K), said(120)
+    alone = [(1, k, said(168) + anchor + said(168)) for k in range(300)]
+    shared = [(2, 300 + k, said(168 - 110) + passage[:110] + anchor + passage + said(168 - 120)) for k in range(2)]
+    rows = [{"row_id": d, "row_hash": 0, "at": 7, "h": h, "context": c, "far": 168} for h, d, c in alone + shared]
+    schema = pa.schema([(k, pa.int64()) for k in ("row_id", "row_hash", "at", "h")] + [("context", pa.binary()), ("far", pa.int64())])
+    batches = [pa.RecordBatch.from_pylist(rows[a : a + 100], schema) for a in range(0, len(rows), 100)]
+    out = [x for batch in runindex._indexed(InProcess(batches), 200) for x in batch.to_pylist()]
+    seen = Counter(c[i : i + 200] for *_, c in alone + shared for i in range(len(c) - 199))
+    expected = {(d, 7 + i) for _, d, c in shared for i in range(len(c) - 199) if seen[c[i : i + 200]] > 1}
+    assert {(x["row_id"], i) for x in out for i in range(x["first"], x["last"] + 1)} == expected
+    assert len(expected) == 2 * (110 + 120 + 32 - 199)
+    assert sum(indexed) <= 2 * (110 + 120 + 32 + 2 * runindex.FINE)
+
+
+def test_runs_of_short_and_empty_texts():
+    """Every string of every text lies in one run, with its anchor inside it, whatever lies between the texts."""
+    draw = random.Random(7)
+    texts = ["".join(draw.choices("abcd", k=k)).encode() for k in (0, 199, 200, 0, 500, 1, 201, 150, 900, 30, 0)]
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    row, anchor, first, last, _, _ = runindex._flat_runs(np.frombuffer(b"".join(texts), np.uint8), ends, 200)
+    covered = Counter((r, i) for r, a, b in zip(row.tolist(), first.tolist(), last.tolist(), strict=True) for i in range(a, b + 1))
+    assert covered == Counter((r, i) for r, t in enumerate(texts) for i in range(len(t) - 199))
+    assert ((anchor >= last) & (anchor + runindex.K <= first + 200)).all()
