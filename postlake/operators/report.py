@@ -77,11 +77,17 @@ def failure_rows(failures: DataFrame) -> DataFrame:
 
 
 def run_summary(results: DataFrame) -> DataFrame:
-    """Totals over the company rows, failures as their number: the texts are rows of the failures table."""
+    """Totals over the company rows: the number of failures, and their texts in company order.
+
+    Only companies with failures enter the list of texts, which is one cell of the run log.
+    """
+    failed = F.when(F.size("failures") > 0, F.struct("company_ord", "failures"))
+    in_order = F.array_sort(F.collect_list(failed))
     return results.agg(
         F.count(F.lit(1)).alias("companies_checked"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS],
         F.coalesce(F.sum(F.size("failures").cast("bigint")), F.lit(0)).alias("failures"),
+        F.flatten(F.transform(in_order, lambda r: r["failures"])).alias("failure_texts"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from postlake.operators.keytable import KeyTable
 from postlake.operators.manifest import Manifest
-from postlake.schema import FAILURES, JOB_HEADERS, JOBS, KEYS, RUN_LOG, column_name
+from postlake.schema import FAILURES, JOB_HEADERS, JOBS, KEYS, RUN_LOG, RUN_LOG_HEADERS, column_name
 
 
 def iso_timestamp(c: Column | str) -> Column:
@@ -47,7 +47,7 @@ def to_job_rows(postings: DataFrame) -> DataFrame:
 
 
 def to_run_log(summary: DataFrame, run_ts: Column, seconds: Column) -> DataFrame:
-    """The eight run-log columns: the number of failures, whose texts are in the failures table; duration to two decimals."""
+    """The columns of the run-log table: the number of failures and their texts, one per line; duration to two decimals."""
     return summary.select(
         iso_timestamp(run_ts).alias("run_timestamp"),
         "companies_checked",
@@ -56,10 +56,17 @@ def to_run_log(summary: DataFrame, run_ts: Column, seconds: Column) -> DataFrame
         "new_jobs_inserted",
         "duplicates_skipped",
         "failures",
+        F.array_join("failure_texts", "\n").alias("failure_texts"),
         F.round(seconds, 2).alias("execution_duration_seconds"),
     )
 
 
+def run_log_rows(log: DataFrame) -> DataFrame:
+    """The eight output columns of the run log, in which the failures are their texts, one per line."""
+    values = {"Failures": F.col("failure_texts")}
+    return log.select(*[values.get(h, F.col(column_name(h))).alias(column_name(h)) for h in RUN_LOG_HEADERS])
+
+
 class BatchStore:
     """Tables under one folder whose batches appear together or not at all.
 

@@ -313,7 +313,7 @@ def f01(spark: SparkSession, sf_dir: str) -> DataFrame:
   with {_FUNNEL} select count(*) as companies_checked, cast(sum(jobs_fetched) as bigint) as jobs_fetched, cast(sum(jobs_matched) as bigint) as jobs_matched,
          cast(sum(new_jobs_inserted) as bigint) as new_jobs_inserted, cast(sum(duplicates_skipped) as bigint) as duplicates_skipped from res""")
 def f02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.run_summary(_results(spark, sf_dir)).drop("failures")
+    return P.run_summary(_results(spark, sf_dir)).drop("failures", "failure_texts")
 
 
 @query("F02_company_and_total", f"""

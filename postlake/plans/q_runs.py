@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postlake.operators import dedup as E
 from postlake.operators import report as P
 from postlake.operators.rules import GlobalFilters
-from postlake.operators.store import JobStore, read_seen, to_job_rows, to_run_log
+from postlake.operators.store import JobStore, read_seen, run_log_rows, to_job_rows, to_run_log
 from postlake.plans import sites, views
 from postlake.plans.oracle import norm
 from postlake.plans.pipeline import run_into
@@ -76,14 +76,14 @@ def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
          count(*) filter (reason_class = 'matched') as jobs_matched,
          count(distinct dedup_key) filter (reason_class = 'matched' and dedup_key not in (select dedup_key from seen)) as new_jobs_inserted,
          count(*) filter (reason_class = 'matched') - count(distinct dedup_key) filter (reason_class = 'matched' and dedup_key not in (select dedup_key from seen)) as duplicates_skipped,
-         cast(0 as bigint) as failures, cast(1.23 as double) as execution_duration_seconds from d""")
+         '' as failures, cast(1.23 as double) as execution_duration_seconds from d""")
 def s18(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = star_decided(spark, sf_dir)
     results = P.company_results(views.star_rules(spark, sf_dir), decided, even_seen(spark, sf_dir))
     store = JobStore(spark, new_scratch(spark, "store"))
     at = F.lit("2026-07-20 06:00:00.25").cast("timestamp")
     store.append_run_log(to_run_log(P.run_summary(results), at, F.lit(1.2345)), "b0")
-    return store.run_log().drop("batch")
+    return run_log_rows(store.run_log())
 
 
 @query("S19_ensure_tables", f"""

@@ -119,6 +119,7 @@ RUN_LOG = T.StructType(
         T.StructField("new_jobs_inserted", T.LongType()),
         T.StructField("duplicates_skipped", T.LongType()),
         T.StructField("failures", T.LongType()),
+        T.StructField("failure_texts", _S),
         T.StructField("execution_duration_seconds", T.DoubleType()),
     ]
 )

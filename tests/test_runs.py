@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from postlake.operators.assemble import first_wins
 from postlake.operators.report import company_counts
 from postlake.operators.rules import GlobalFilters
-from postlake.operators.store import JobStore
+from postlake.operators.store import JobStore, run_log_rows
 from postlake.plans.pipeline import run, run_into
+from postlake.schema import RUN_LOG
 from postlake.session import new_scratch
 from postlake.sources.captures import failed_fetches, read_captures, write_captures
 from postlake.streaming.incremental import run_incremental
@@ -206,3 +207,35 @@ def test_broken_feed_is_a_failure(spark):
     rows = captures(spark, capture("successfactors", whole, company="S"), capture("successfactors", whole[:40], company="S", page_no=1, url="https://s/1"))
     (row,) = run(rows, sites, FILTERS).results.collect()
     assert (row.jobs_fetched, row.new_jobs_inserted, list(row.failures)) == (1, 1, ["S: ParseError: 1 unreadable, first https://s/1"])
+
+
+def test_run_log_holds_the_failure_texts(spark):
+    """One per line, in company order; a company's own are sorted. Every batch has those of its run only."""
+    sites = rules(
+        spark, rule("custom", company="J", ord_=10), rule("greenhouse", company="A", ord_=0),
+        rule("custom", company="K", ord_=9), rule("greenhouse", company="B", ord_=2),
+    )
+    good = captures(spark, board("A", 1), board("B", 2), capture("greenhouse", {"jobs": [{"id": 9, "title": " "}]}, company="B", page_no=1))
+    bad = captures(spark, capture("greenhouse", "", company="B", page_no=2, url="https://b/2", status=503))
+    store = JobStore(spark, new_scratch(spark, "texts"))
+    done = run_into(store, good, sites, FILTERS, batch="b0", failed=bad)
+    run_into(store, captures(spark, board("A", 1)), rules(spark, rule("greenhouse", company="A")), FILTERS, batch="b1")
+    texts = done.summary.first().failure_texts
+    assert [t.split(": ")[:2] for t in texts] == [
+        ["B", "HTTPStatusError"], ["B", "ValidationError"], ["K", "NotImplementedError"], ["J", "NotImplementedError"]
+    ]
+    assert sorted(texts) == sorted(r.message for r in store.failures().where("batch = 'b0'").collect())
+    rows = run_log_rows(store.run_log()).collect()
+    assert sorted((r.companies_checked, r.failures) for r in rows) == [(1, ""), (4, "\n".join(texts))]
+    assert [len(r) for r in rows] == [8, 8]
+    assert {r.batch: (r.failures, r.failure_texts) for r in store.run_log().collect()} == {"b0": (4, "\n".join(texts)), "b1": (0, "")}
+
+
+def test_run_logs_stored_without_texts_are_still_read(spark):
+    base = new_scratch(spark, "older")
+    older = JobStore(spark, base)
+    older.tables["run_log"] = type(RUN_LOG)([f for f in RUN_LOG if f.name != "failure_texts"])
+    run_into(older, captures(spark, board("A", 1)), two_companies(spark), FILTERS, batch="b0")
+    run_into(JobStore(spark, base), captures(spark, board("A", 2)), two_companies(spark), FILTERS, batch="b1")
+    log = {r.batch: (r.failures, r.failure_texts) for r in JobStore(spark, base).run_log().collect()}
+    assert log == {"b0": (1, None), "b1": (1, "C: NotImplementedError: custom is not supported")}
