@@ -10,6 +10,9 @@ from postlake.operators.rules import MATCHED
 
 COUNTS = ["jobs_fetched", "jobs_matched", "new_jobs_inserted", "duplicates_skipped"]
 
+# Companies with neighbouring numbers whose failure texts are joined at once.
+BLOCK = 1024
+
 
 def failure_message(company: Column | str, kind: str, message: Column | str) -> Column:
     return F.concat(company, F.lit(f": {kind}: "), message)
@@ -77,17 +80,25 @@ def failure_rows(failures: DataFrame) -> DataFrame:
 
 
 def run_summary(results: DataFrame) -> DataFrame:
-    """Totals over the company rows: the number of failures, and their texts in company order.
+    """Totals over the company rows: the number of failures, and their texts in company order, one per line.
 
-    Only companies with failures enter the list of texts, which is one cell of the run log.
+    The texts are one cell of the run log. They are joined in blocks of companies first, so that the task that makes
+    the cell holds one text per block, not one per failure.
     """
     failed = F.when(F.size("failures") > 0, F.struct("company_ord", "failures"))
-    in_order = F.array_sort(F.collect_list(failed))
-    return results.agg(
-        F.count(F.lit(1)).alias("companies_checked"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS],
-        F.coalesce(F.sum(F.size("failures").cast("bigint")), F.lit(0)).alias("failures"),
-        F.flatten(F.transform(in_order, lambda r: r["failures"])).alias("failure_texts"),
+    texts = F.flatten(F.transform(F.sort_array(F.collect_list(failed)), lambda r: r["failures"]))
+    blocks = results.groupBy(F.expr(f"company_ord div {BLOCK}").alias("block")).agg(
+        F.count(F.lit(1)).alias("companies"),
+        *[F.sum(c).alias(c) for c in COUNTS],
+        F.sum(F.size("failures").cast("bigint")).alias("failures"),
+        texts.alias("texts"),
+    )
+    joined = blocks.withColumn("texts", F.when(F.size("texts") > 0, F.struct("block", F.array_join("texts", "\n").alias("text"))))
+    in_order = F.sort_array(F.collect_list("texts"))
+    return joined.agg(
+        F.coalesce(F.sum("companies"), F.lit(0)).alias("companies_checked"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*COUNTS, "failures"]],
+        F.array_join(F.transform(in_order, lambda b: b["text"]), "\n").alias("failure_texts"),
     )
 
 

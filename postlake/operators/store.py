@@ -56,7 +56,7 @@ def to_run_log(summary: DataFrame, run_ts: Column, seconds: Column) -> DataFrame
         "new_jobs_inserted",
         "duplicates_skipped",
         "failures",
-        F.array_join("failure_texts", "\n").alias("failure_texts"),
+        "failure_texts",
         F.round(seconds, 2).alias("execution_duration_seconds"),
     )
 

@@ -6,7 +6,7 @@ from helpers import capture, captures, rule, rules
 from pyspark.sql import functions as F
 
 from postlake.operators.assemble import first_wins
-from postlake.operators.report import company_counts
+from postlake.operators.report import COUNTS, company_counts, run_summary
 from postlake.operators.rules import GlobalFilters
 from postlake.operators.store import JobStore, run_log_rows
 from postlake.plans.pipeline import run, run_into
@@ -220,7 +220,7 @@ def test_run_log_holds_the_failure_texts(spark):
     store = JobStore(spark, new_scratch(spark, "texts"))
     done = run_into(store, good, sites, FILTERS, batch="b0", failed=bad)
     run_into(store, captures(spark, board("A", 1)), rules(spark, rule("greenhouse", company="A")), FILTERS, batch="b1")
-    texts = done.summary.first().failure_texts
+    texts = done.summary.first().failure_texts.split("\n")
     assert [t.split(": ")[:2] for t in texts] == [
         ["B", "HTTPStatusError"], ["B", "ValidationError"], ["K", "NotImplementedError"], ["J", "NotImplementedError"]
     ]
@@ -231,6 +231,21 @@ def test_run_log_holds_the_failure_texts(spark):
     assert {r.batch: (r.failures, r.failure_texts) for r in store.run_log().collect()} == {"b0": (4, "\n".join(texts)), "b1": (0, "")}
 
 
+def test_failure_texts_of_many_companies_keep_their_order(spark):
+    """Blocks of companies are joined in the order of their numbers; companies without a number come first."""
+    import random
+
+    ords = [None, *range(-1500, 2600, 3), 10**12]
+    data = [(f"c{o}", o, *[1] * len(COUNTS), sorted(f"c{o}: {k}" for k in range((o or 1) % 4))) for o in ords]
+    expected = [m for *_, messages in data for m in messages]
+    random.Random(5).shuffle(data)
+    results = spark.createDataFrame(data, f"company string, company_ord long, {', '.join(f'{c} long' for c in COUNTS)}, failures array<string>")
+    total = run_summary(results.repartition(7)).first()
+    assert total.failure_texts.split("\n") == expected and total.failures == len(expected) > 1024
+    assert (total.companies_checked, total.jobs_fetched) == (len(ords), len(ords))
+    assert tuple(run_summary(results.limit(0)).first()) == (0, 0, 0, 0, 0, 0, "")
+
+
 def test_run_logs_stored_without_texts_are_still_read(spark):
     base = new_scratch(spark, "older")
     older = JobStore(spark, base)
